@@ -18,6 +18,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_quality(_table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import genre, mix_to_targets, words
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    margins = {"source": (F.col("source"), 0.7), "lang": (F.col("lang"), 0.9), "topic": (genre(F.col("text"), words(F.col("text"))), 1.0)}
+    return mix_to_targets(docs, margins).select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), "tokens", F.round("probability", 9).alias("probability"), "kept")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), fit(docs))
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -53,6 +70,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_mixing": op3_mixing,
+    "op4_language_id": op4_language_id,
     "op5_warc": op5_warc,
     "op7_exact_topk": op7_exact_topk,
     "op8_line_dedup": op8_line_dedup,
