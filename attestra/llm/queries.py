@@ -18,6 +18,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_quality(_table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import as_text, scan_secrets
+
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), number("random"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import genre, mix_to_targets, words
 
@@ -77,6 +86,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_secret_scans": op2_secret_scans,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op5_warc": op5_warc,
