@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 from pyspark.sql.types import StructType
 
 from .shared import fresh_path, small_batches
@@ -295,8 +295,10 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if column not in _DECIDED or not isinstance(f, EqualTo | In | StringStartsWith):
+            if column not in _DECIDED or not isinstance(f, EqualTo | In | IsNotNull | StringStartsWith):
                 yield f
+            elif isinstance(f, IsNotNull):
+                self.filters.append((column, "^", ""))
             elif isinstance(f, In):
                 self.filters.append((column, "in", frozenset(f.value)))
             else:
