@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space in the sense of the contracts: [\x20\x09-\x0D].
 WS = " \t\n\x0b\x0c\r"
@@ -58,6 +60,17 @@ def drop_written(df: DataFrame) -> None:
         _remove(df.sparkSession, f)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that nothing refers to any more, instead of when the driver next happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def met(left: DataFrame, right: DataFrame, on: str, most_rows: int = 1_000_000) -> DataFrame:
+    """Inner join with a written table of few short columns: broadcast if it has at most most_rows rows (counted), else shuffled."""
+    return left.join(F.broadcast(right) if right.count() <= most_rows else right.hint("shuffle_hash"), on)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches sent to Python by bytes too, so long texts cannot add up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -19,11 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rolling, chunks, mix, small_batches, utf8, written
+from .shared import Rolling, chunks, drop_written, met, mix, release, small_batches, utf8, written
 
 GRAM = 50
 #: Distinct contexts of one anchor up to which one task sorts them; beyond, its windows are counted one by one.
-SORTED = 4096
+SORTED = 8192
+#: Contexts that one task sorts, about.
+BUCKET = 6000
 #: Bytes of a long text handled at once.
 SEGMENT = 4 << 20
 _one, _two = Rolling(41), Rolling(42)
@@ -216,6 +218,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     every = written(long.select("k", "text").mapInArrow(contexts, "anchor long, ctx long, p long, k long, lo long, n int, off int"), "contexts")
     again = every.groupBy("anchor").agg(F.min("p").alias("x"), F.max("p").alias("y")).where("x <> y").select("anchor")
     some = written(every.join(again, "anchor"), "repeated-anchors")
+    drop_written(every)
+    release(spark)
 
     # Contexts that occur as a whole elsewhere are settled; one of each stays to be compared with.
     one = some.groupBy("anchor", "ctx").agg(F.min("p").alias("x"), F.max("p").alias("y"), F.min(F.struct("p", "k", "lo", "n", "off")).alias("at"))
@@ -229,7 +233,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = settled.unionByName(copied)
     if sizes["all"]:
         want = open_.groupBy("k").agg(F.collect_list(F.struct("anchor", "lo", "n", "off", (F.col("c") > SORTED).alias("hot"))).alias("want"))
-        texts = rows.join(want.hint("shuffle_hash"), "k").select("doc_id", "text", "k", "want")
+        # Only texts with such contexts are shuffled; which ones is a table of keys.
+        keys = written(open_.select("k").distinct(), "wanted")
+        texts = met(rows, keys, "k").join(want.hint("shuffle_hash"), "k").select("doc_id", "text", "k", "want")
 
         def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
@@ -252,8 +258,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if out:
                     yield _contexts_batch(out)
 
-        found = texts.mapInArrow(bodies, _CONTEXT + ", hot boolean")
-        buckets = max(24, -(-sizes["all"] // 20_000))
+        found = written(texts.mapInArrow(bodies, _CONTEXT + ", hot boolean"), "bodies")
+        del texts
+        release(spark)
+        buckets = max(24, -(-sizes["all"] // BUCKET))
 
         def compare(table: pa.Table) -> pa.Table:
             table = table.take(np.lexsort(tuple(table.column(c).to_numpy() for c in ("lo", "k", "anchor"))))
@@ -279,6 +287,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         h, g = (r.of(r.prefix(data), a, a + length) for r in (_one, _two))
                         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(np.full(n, k)), pa.array(lo + a)], names=["h", "g", "k", "s"])
 
+            release(spark)
             each = written(found.where("hot").mapInArrow(windows, "h long, g long, k long, s long"), "frequent-windows")
             twice = each.groupBy("h", "g").agg(F.min(F.struct("k", "s")).alias("x"), F.max(F.struct("k", "s")).alias("y")).where("x <> y").select("h", "g")
             ranges = ranges.unionByName(each.join(twice, ["h", "g"]).select("k", "s", (F.col("s") + length).alias("e")))
@@ -306,8 +315,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(removed), pa.array(many), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    met = rows.join(lists.hint("shuffle_hash"), "k", "left").select("doc_id", "text", "spans")
-    return met.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("doc_id", id_col)
+    joined = rows.join(lists.hint("shuffle_hash"), "k", "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("doc_id", id_col)
 
 
 def _contexts_batch(out: list[tuple]) -> pa.RecordBatch:
