@@ -99,7 +99,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+def _quality_sql() -> str:
+    from .quality import COVERAGE, LINE_CHARS, MAX_REPEAT_PERCENT, MIN_WORDS
+
+    chars = ", ".join(f"CAST(coalesce(max(chars) FILTER (n = {k}), 0) AS BIGINT) AS dup_{k}gram_chars" for k in COVERAGE)
+    names = ", ".join(f"coalesce(dup_{k}gram_chars, 0) AS dup_{k}gram_chars" for k in COVERAGE)
+    within = " AND ".join(f"dup_{k}gram_chars <= CAST({most} AS DOUBLE) * word_chars" for k, most in COVERAGE.items())
+    return f"""
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[' || {_WS} || ']+'), lambda x: x <> '') AS ws FROM documents),
+        i AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT unnest([3, {", ".join(map(str, COVERAGE))}]) AS n)),
+        g AS (SELECT doc_id, n, i, list_aggregate(ws[i : i + n - 1], 'string_agg', ' ') AS gram FROM i),
+        d AS (SELECT doc_id, n, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, n, gram) > 1),
+        c AS (SELECT DISTINCT doc_id, n, i + k AS pos FROM d, (SELECT unnest(range(10)) AS k) WHERE k < n),
+        m AS (SELECT doc_id, n, count(*) AS words, sum(length(ws[pos])) AS chars FROM c JOIN w USING (doc_id) GROUP BY ALL),
+        r AS (SELECT doc_id, coalesce(max(words) FILTER (n = 3), 0) AS n_repeat_words, {chars} FROM m GROUP BY doc_id),
+        l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+        u AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AND trim(line, {_WS}) <> '' AS again FROM l),
+        q AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, CAST(coalesce(sum(length(line)) FILTER (again), 0) AS BIGINT) AS dup_line_chars FROM u GROUP BY doc_id),
+        b AS (
+            SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                   length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(coalesce(text, '')) AS n_chars_all, n_dup_lines, dup_line_chars,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words, {names}
+            FROM documents JOIN w USING (doc_id) JOIN q USING (doc_id) LEFT JOIN r USING (doc_id)),
+        f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b)
+        SELECT * EXCLUDE (n_chars_all), NOT base_failed AND dup_line_chars <= CAST({LINE_CHARS} AS DOUBLE) * n_chars_all AND {within} AS kept FROM f"""
+
+
 ORACLE: dict[str, str] = {
+    "op1_quality_rules": _quality_sql(),
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS x FROM pages),
+        f AS (SELECT body, min(page_id) AS first FROM p GROUP BY body)
+        SELECT page_id, octet_length(encode(p.body)) AS payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(x, (i // 4) * 5 + 1, 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM p JOIN f ON p.body = f.body""",
     "op7_exact_topk": """
         WITH x AS (
             SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS v
