@@ -7,7 +7,7 @@ indexed with each one element deleted (e + 2d = H + 1 + slack, allocated per ban
 segments. Keys are packed by bucket in numpy, candidates verified on whole texts.
 
 Copies are one class from the start (equal set digests). Keys shared by few classes give their pairs. The others
-give, first, one pair per member with one leader. Only where verified links have not connected all members of a key by then,
+give, first, a pair of each member with the leader it shares most keys with. Only where verified links have not connected all members of a key by then,
 its cluster is compared block by block, inside tasks that count shared shingles and return connecting links alone.
 """
 
@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .quality import words_of
-from .shared import Rolling, chunks, drop_written, mix, small_batches, utf8, written
+from .shared import Rolling, chunks, drop_written, met, mix, release, small_batches, utf8, written
 
 #: Classes on a key up to which all pairs are candidates at once.
 FEW = 8
 #: Index entries in one bucket, about.
 BUCKET = 1 << 20
 #: Classes in a block of those that frequent keys bring together.
-BLOCK = 1024
+BLOCK = 8192
 _BAND = 1.5
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -325,6 +325,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = max(24, math.ceil(0.5 * total / BUCKET))
     packed = _index(docs, n, bands, buckets)
     found = written(packed.groupBy("bucket").applyInArrow(lambda t: _candidates(t, bands), "a long, b long, hot long, size long, band long"), "candidates")
+    del packed
+    release(docs.sparkSession)
 
     # Of the exact keys of a set in a band, its most frequent may stay out, as many as the band has slack.
     slack = F.element_at(F.array(*(F.lit(bands.slack(i)) for i in range(len(bands.low) - 1))), F.col("band").cast("int") + 1)
@@ -342,29 +344,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     score = frequent.groupBy(F.col("a").alias("id")).agg(F.sum("hot").alias("score"))
     hot = written(hot.join(score, "id"), "frequent")
     leaders = hot.groupBy("key").agg(F.max_by("id", F.struct("score", "id")).alias("leader"))
-    star = hot.join(leaders, "key").where("id <> leader").select("key", F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
+    led = written(hot.join(leaders, "key").where("id <> leader").select("key", "band", "id", "leader"), "led")
+    # One leader of a member is tried: the one it shares most frequent keys with. What that leaves open is settled below.
+    best = led.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
+    star = best.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
 
     def texts(ids: DataFrame) -> DataFrame:
-        rep = group.join(ids, "d1").select(F.col("d1").alias("id"), F.col("rep").alias("doc_id"))
-        return docs.join(rep, "doc_id").select("id", "text")
+        """Whole texts of these classes: documents are only shuffled for it if there are many."""
+        rep = written(group.join(ids, "d1").select(F.col("d1").alias("id"), F.col("rep").alias("doc_id")), "wanted")
+        return met(docs, rep, "doc_id").select("id", "text")
 
-    candidates = written(pairs.unionByName(star.select("a", "b")).distinct(), "pairs")
+    candidates = written(pairs.unionByName(star).distinct(), "pairs")
     ids = candidates.select(F.col("a").alias("d1")).unionByName(candidates.select(F.col("b").alias("d1"))).distinct()
     links = written(verify(candidates, texts(ids), n, percent), "links")
     reach = components(links)
+    release(docs.sparkSession)
     # What frequent keys still have to tell: members of one key that no chain of links connects yet.
-    member = hot.join(reach, "id", "left").select("key", "id", "size", F.coalesce("label", "id").alias("label"))
+    member = hot.join(reach, "id", "left").select("key", "id", "size", "band", F.coalesce("label", "id").alias("label"))
     still = member.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     member = written(member.join(still, "key"), "open")
     if not member.isEmpty():
-        cluster = components(star.join(still, "key").select("a", "b"), "clusters").withColumnRenamed("label", "cluster")
-        member = member.select("id", "size", "label").distinct().join(cluster, "id")
-        blocks = member.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BUCKET)).cast("int").alias("blocks"))
+        # Sets of one band that such keys chain together, compared block by block.
+        node = lambda c: F.xxhash64(c, "band")
+        chained = components(led.join(still, "key").select(node("leader").alias("a"), node("id").alias("b")), "clusters").select(F.col("id").alias("node"), F.col("label").alias("cluster"))
+        member = member.select("id", "size", "label", "band").distinct().withColumn("node", node("id")).join(chained, "node").drop("node", "band")
+        blocks = member.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / (2 * BUCKET))).cast("int").alias("blocks"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cluster", "blocks")
         member = member.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        member = member.join(texts(member.select(F.col("id").alias("d1"))), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = member.select("cluster", "id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "text")
+        member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        spread = member.select("id", F.struct("cluster", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("at"))
+        sent = written(spread.groupBy("id").agg(F.collect_list("at").alias("at")), "spread")  # a set has a block against each other of its clusters
+        spread = texts(sent.select(F.col("id").alias("d1"))).join(sent, "id").withColumn("at", F.explode("at")).select("id", "text", "at.*")
         more = spread.groupBy("cluster", "i", "j").applyInArrow(lambda t: _within(t, n, percent), "a long, b long")
         links = links.unionByName(written(more, "more-links"))
+        release(docs.sparkSession)
 
     named = group.select("d1", "rep")
     edges = links.join(named.withColumnRenamed("rep", "ra"), links["a"] == F.col("d1")).drop("d1").join(named.withColumnRenamed("rep", "rb"), F.col("b") == F.col("d1")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
