@@ -37,10 +37,10 @@ def relationship(pairs: DataFrame, hash_a: str, hash_b: str, file_a: str, file_b
     return out.withColumns({"uncertainty": look(0), "action": look(1)})
 
 
-def blocked_pairs(df: DataFrame, key: str, block: Column, keep: list[str]) -> DataFrame:
-    """Pairs a < b of rows with the same block, with the columns kept as <name>_a and <name>_b."""
+def blocked_pairs(df: DataFrame, key: str, block: Column, keep: list[str], where: Column | None = None) -> DataFrame:
+    """Pairs of rows with the same block, a < b by key or as `where` says, with the columns kept as <name>_a and <name>_b."""
     side = lambda s: df.select(block.alias("_block"), *(F.col(c).alias(f"{c}_{s}") for c in [key, *keep])).where("_block IS NOT NULL")
-    return side("a").join(side("b"), "_block").where(F.col(f"{key}_a") < F.col(f"{key}_b"))
+    return side("a").join(side("b"), "_block").where(F.col(f"{key}_a") < F.col(f"{key}_b") if where is None else where)
 
 
 def classify(items: DataFrame, nodes: DataFrame, item: str, stem: str, node: str, name: str, grams: int = 3, k: int = 3, least: float = 0.35) -> DataFrame:

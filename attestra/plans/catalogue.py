@@ -285,12 +285,18 @@ _SCORE = "round(greatest(CASE WHEN len(wa) + len(wb) = 0 THEN 0 ELSE len(list_in
     p AS (SELECT a.p_partkey AS part_a, b.p_partkey AS part_b, a.p_name = b.p_name AS same, a.w AS wa, b.w AS wb, a.g AS ga, b.g AS gb FROM u a JOIN u b ON a.p_brand = b.p_brand AND a.s[1:4] = b.s[1:4] AND a.p_partkey < b.p_partkey AND a.p_partkey // 40 = b.p_partkey // 40)
     SELECT part_a, part_b, CASE WHEN same THEN 'exact_duplicate' WHEN {_SCORE} >= 0.74 THEN 'suspected_same_family' ELSE 'no_match' END AS decision, {_SCORE} AS score FROM p""")
 def near_duplicate_families(spark, sf_dir):
+    """Every pair of parts of one brand. Each pair of texts is scored once, and met by the parts that have them; a part's text stands for
+    both file and stem, whole words only, so the higher threshold decides."""
     s = tx.plain(F.concat_ws(" ", "p_name", "p_type"))
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", s.alias("s"))
-    block = F.concat_ws("|", "p_brand", F.substring("s", 1, 4), F.expr("p_partkey div 40").cast("string"))
-    pairs = similarity.blocked_pairs(parts, "p_partkey", block, ["p_name", "s"])
-    out = similarity.relationship(pairs, "p_name_a", "p_name_b", "s_a", "s_b", "s_a", "s_b").withColumn("score", similarity.similarity(F.col("s_a"), F.col("s_b")))
-    return out.select(F.col("p_partkey_a").alias("part_a"), F.col("p_partkey_b").alias("part_b"), "decision", "score")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", s.alias("s"), F.xxhash64("p_name", s).alias("text"))
+    kinds = similarity.blocked_pairs(parts.drop("p_partkey").distinct(), "text", F.col("p_brand"), ["p_name", "s"], F.col("text_a") <= F.col("text_b"))
+    score = similarity.similarity(F.col("s_a"), F.col("s_b"))
+    scored = kinds.drop("_block").distinct().withColumn("score", score)
+    decision = F.when(F.col("p_name_a") == F.col("p_name_b"), "exact_duplicate").when(F.col("score") >= similarity.STEM_SCORE, "suspected_same_family").otherwise("no_match")
+    told = scored.select(F.col("text_a").alias("t1"), F.col("text_b").alias("t2"), decision.alias("decision"), "score")
+    pairs = similarity.blocked_pairs(parts, "p_partkey", F.col("p_brand"), ["text"])
+    pairs = pairs.select(F.col("p_partkey_a").alias("part_a"), F.col("p_partkey_b").alias("part_b"), F.least("text_a", "text_b").alias("t1"), F.greatest("text_a", "text_b").alias("t2"))
+    return pairs.join(told, ["t1", "t2"]).select("part_a", "part_b", "decision", "score")
 
 
 @query(f"""WITH i AS (SELECT p_partkey, {_PLAIN.format("p_name || ' ' || p_type")} AS s FROM part WHERE p_size <= 5), n AS (SELECT DISTINCT p_name AS node, {_PLAIN.format("p_name")} AS m FROM part),
