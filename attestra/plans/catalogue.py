@@ -317,7 +317,7 @@ def topk_classify(spark, sf_dir):
     f AS (SELECT *, CASE WHEN one IS NULL THEN CASE WHEN outside THEN 'candidate_node_outside_allowed_progress' ELSE 'no_complete_evidence_chain' END WHEN one - coalesce(two, 0) < 0.15 THEN 'ambiguous_top_candidate' WHEN outside THEN 'candidate_node_outside_allowed_progress' ELSE 'unique_evidence_chain' END AS reason FROM b)
     SELECT doc_id, CASE WHEN reason = 'unique_evidence_chain' THEN 'candidate' ELSE 'rejected' END AS status, reason, CASE WHEN reason = 'unique_evidence_chain' THEN node END AS item_id FROM f""")
 def anchor_scope_decision(spark, sf_dir):
-    anchors = table(spark, sf_dir, "benchmark").where("item_id < 20").select("item_id", F.explode(F.array_distinct(F.filter(F.split("text", " "), lambda w: F.length(w) >= 4))).alias("w"))
+    anchors = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.filter(F.split("text", " "), lambda w: F.length(w) >= 4))).alias("w"))
     words = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
     found = words.join(anchors, "w").groupBy("doc_id", "item_id").agg(F.max(F.length("w")).alias("longest"))
     return similarity.scope_decision(found, "doc_id", "item_id", "longest", F.col("item_id") % 2 == 0)

@@ -56,3 +56,8 @@ def test_all_parts_of_a_brand_are_compared(spark, duck):
     data = got.collect()
     assert any(r["part_a"] // 40 != r["part_b"] // 40 and r["decision"] == "exact_duplicate" for r in data)
     assert rows(got.columns, data) == uncut(duck, "near_duplicate_families", " AND a.s[1:4] = b.s[1:4]", " AND a.p_partkey // 40 = b.p_partkey // 40")
+
+
+def test_anchors_of_all_items_decide(spark, duck):
+    got = catalogue.anchor_scope_decision(spark, SF)
+    assert rows(got.columns, got.collect()) == uncut(duck, "anchor_scope_decision", " WHERE item_id < 20")
