@@ -305,7 +305,7 @@ def near_duplicate_families(spark, sf_dir):
     r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, node) AS rank FROM z) SELECT p_partkey, node, score, rank FROM r WHERE rank <= 3 AND score >= 0.35""")
 def topk_classify(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    items = part.where("p_size <= 5").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("stem"))
+    items = part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("stem"))
     nodes = part.select(F.col("p_name").alias("node"), F.col("p_name").alias("name")).distinct()
     return similarity.classify(items, nodes, "p_partkey", "stem", "node", "name")
 
@@ -477,8 +477,7 @@ def math_validate(spark, sf_dir):
 
     stem = F.expr("concat(l_partkey, '×(', l_suppkey, '+', l_linenumber, ')=')")
     answer = F.expr("CAST(l_partkey * (l_suppkey + l_linenumber) + (1 - l_linenumber % 2) AS STRING)")
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber < 3")
-    return rows.select("l_orderkey", "l_linenumber", validate(F.lit("arithmetic"), stem, answer)["status"].alias("status"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", validate(F.lit("arithmetic"), stem, answer)["status"].alias("status"))
 
 
 @query("SELECT event_type, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY 1")

@@ -61,3 +61,9 @@ def test_all_parts_of_a_brand_are_compared(spark, duck):
 def test_anchors_of_all_items_decide(spark, duck):
     got = catalogue.anchor_scope_decision(spark, SF)
     assert rows(got.columns, got.collect()) == uncut(duck, "anchor_scope_decision", " WHERE item_id < 20")
+
+
+@pytest.mark.parametrize("name,cut", [("topk_classify", " WHERE p_size <= 5"), ("math_validate", " WHERE l_linenumber < 3")])
+def test_every_part_and_line_counts(spark, duck, name, cut):
+    got = catalogue.QUERIES[name](spark, SF)
+    assert rows(got.columns, got.collect()) == uncut(duck, name, cut)
