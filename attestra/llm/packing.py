@@ -3,8 +3,8 @@
 Only the histogram of piece lengths (below the capacity: full pieces fill a sequence each) reaches the driver. A
 configuration is a multiset of lengths that fits into one sequence. The program "fewest configurations that cover every
 length's count" is solved by multiplicative weights: lengths that are covered least weigh most, and a knapsack dynamic program
-prices the best configuration under the weights. Its multiplicities are rounded down; what is left over, bounded by
-the number of configurations, goes best-fit decreasing into remaining room. Every piece then finds its place from its
+prices the best configuration under the weights, until all but a thousandth of the tokens is covered. Multiplicities are
+rounded down, then up by their fractions where the counts allow; what is left over goes best-fit decreasing into remaining room. Every piece then finds its place from its
 length and its rank within that length alone.
 """
 
@@ -24,6 +24,9 @@ from pyspark.sql.window import Window
 from .shared import chunks, small_batches, utf8, written
 
 CAPACITY = 1024
+#: The share of tokens that the program may leave uncovered. As full configurations waste nothing and tokens / capacity bounds the sequences
+#: from below, this is also the duality gap of the part that is covered by full ones.
+GAP = 1e-3
 
 
 def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
@@ -48,10 +51,11 @@ def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
     return counts
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 400, eta: float = 1.0) -> list[tuple[np.ndarray, float]]:
-    """(configuration, multiplicity) pairs that cover the counts, or all but little of them after `rounds` prices."""
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP, eta: float = 1.0) -> list[tuple[np.ndarray, float]]:
+    """(configuration, multiplicity) pairs that cover all but `gap` of the counts' tokens. Each round covers a length or halves one, so
+    there are at most about 31 rounds a length (2.5 to 5 in practice)."""
     left, out = counts.astype(float), []
-    for _ in range(rounds):
+    while left @ lengths > gap * (counts @ lengths):
         live = np.flatnonzero(left > 1e-9 * counts)
         if not len(live):
             break
@@ -68,37 +72,44 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 400) -> tuple[np.ndarray, int]:
+def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP) -> list[tuple[np.ndarray, int]]:
+    """Full configurations and how often each is used, within the counts: the program's, rounded."""
+    merged: dict[bytes, float] = {}
+    for config, times in fractional(lengths, counts, capacity, gap):
+        if config @ lengths == capacity:  # best fit does no worse with what others hold
+            merged[config.tobytes()] = merged.get(config.tobytes(), 0.0) + times
+    down = [(key, int(times)) for key, times in merged.items()]
+    up = [(key, 1) for key, times in sorted(merged.items(), key=lambda x: int(x[1]) - x[1]) if times > int(times)]  # largest fractions first
+    left, out = counts.copy(), []
+    for key, times in down + up:
+        config = np.frombuffer(key, np.int64)
+        used = np.flatnonzero(config)
+        times = min(times, int((left[used] // config[used]).min()))
+        if times > 0:
+            left -= config * times
+            out.append((config, times))
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int, gap: float = GAP) -> tuple[np.ndarray, int]:
     """Slots (length, first rank, last rank + 1, first sequence, offset), by length and rank, and the number of sequences.
 
     The piece of rank r in [first, last) of a length goes to sequence first sequence + r - first, at offset. A length's ranks
-    run from 0 on. The size of the result depends on the capacity and rounds, not on the counts.
+    run from 0 on. The size of the result depends on the capacity and the rounds, with the logarithm of the counts.
     """
     lengths = np.array(sorted(n for n in histogram if histogram[n]), np.int64)
     counts = np.array([histogram[n] for n in lengths], np.int64)
-    merged: dict[bytes, float] = {}
-    # Small counts leave nothing after rounding down: then only the last step works.
-    for config, times in fractional(lengths, counts, capacity, rounds) if counts.sum() > 50 * len(lengths) else ():
-        merged[config.tobytes()] = merged.get(config.tobytes(), 0.0) + times
     done, slots, sequences = np.zeros(len(lengths), np.int64), [], 0
     rooms: dict[int, list[list[int]]] = {}  # free tokens: [first sequence, how many sequences]
-    for key, times in merged.items():
-        config, times = np.frombuffer(key, np.int64), int(times)
-        used = np.flatnonzero(config)
-        if config @ lengths < capacity:  # best fit does no worse with what these hold
-            continue
-        times = min([times, *((counts - done)[used] // config[used]).tolist()])
-        if times < 1:
-            continue
+    for config, times in configurations(lengths, counts, capacity, gap):
         offset = 0
-        for i in used[::-1].tolist():
+        for i in np.flatnonzero(config)[::-1].tolist():
             for _ in range(config[i]):
                 slots.append((lengths[i], done[i], done[i] + times, sequences, offset))
                 done[i] += times
                 offset += int(lengths[i])
-        rooms.setdefault(capacity - offset, []).append([sequences, times])
         sequences += times
-    order = sorted(n for n in rooms if n > 0)
+    order: list[int] = []
 
     def room_left(room: int, first: int, many: int) -> None:
         if room > 0 and many > 0:
@@ -172,7 +183,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, k long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 2, rounds: int = 400) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 2, gap: float = GAP) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every document's ids and an end id, in sequences of at most `capacity` ids.
 
     Only documents of more than capacity ids are cut, into full pieces after a first, perhaps shorter one. Null and empty texts
@@ -185,7 +196,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     short = pieces.where(F.col("length") < capacity)
     by_part = short.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    slots, _ = plan(histogram, capacity, rounds)
+    slots, _ = plan(histogram, capacity, gap)
     before = by_part.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "length", F.coalesce("before", F.lit(0)).alias("before"))
     ranked = short.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("k")).alias("rank"))
     shift = np.int64(1 << 44)

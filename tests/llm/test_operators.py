@@ -261,6 +261,19 @@ def test_packing_plan_is_near_the_bound():
     assert n <= 1.003 * size.sum() / 1024
 
 
+@pytest.mark.parametrize("n", [1_000, 10_000])
+def test_packing_plan_uses_the_program_at_small_sizes(n, monkeypatch):
+    size = np.clip(np.random.default_rng(3).lognormal(5.9, 0.8, n).astype(int), 1, 1023)
+    solved = []
+    monkeypatch.setattr(packing, "fractional", lambda *a, f=packing.fractional: solved.extend(f(*a)) or solved)
+    slots, total = packing.plan(Counter(size.tolist()), 1024)
+    lengths, counts = np.unique(size, return_counts=True)
+    assert sum(t * (c @ lengths) for c, t in solved) >= (1 - packing.GAP) * size.sum() - 1e-6
+    used = packing.configurations(lengths, counts, 1024)
+    assert sum(t for _, t in used) >= 0.25 * total and (sum(c * t for c, t in used) <= counts).all()
+    assert (slots[:, 2] - slots[:, 1]).sum() == n and total <= -(-size.sum() // 1024) + 5
+
+
 def test_tokens_equal_the_vocabulary():
     rng = random.Random(2)
     t = tokens.Tokenizer(tokens.vocabulary())
