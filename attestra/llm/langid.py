@@ -15,13 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import chunks, small_batches, utf8
 
 GRAMS = (2, 3, 4)
 BITS = 15
-#: The sample that a model is fitted on: rows in all, characters of a row, languages.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_LANGS = 4000, 20_000, 400
+#: The sample that a model is fitted on: rows in all, characters of a row.
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
 #: No text scoring at least this is rejected, however the sample scores.
 MOST_REJECTED = 0.4
 
@@ -133,20 +134,33 @@ def train(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 8, ra
     return model
 
 
+def shares(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """How many of each language's rows fit into `rows` when all get alike, none more than it has, and each at least one."""
+    out, room = {}, rows
+    for k, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = min(counts[lang], max(1, room // (len(counts) - k)))
+        room = max(0, room - out[lang])
+    return out
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
     """A model from at most `rows` texts (of at most `chars` characters each) of the rows of docs whose crc32(id as text) mod 3 is not 1
-    and whose text and language are not null. The sample is spread evenly over languages, by a hash of the id. None without such rows."""
+    and whose text and language are not null. Room is shared evenly over languages, what a rare one leaves goes to the others, and each
+    gets its first rows by a hash of the id; one text a language where there are more languages than rows. None without such rows."""
     pool = docs.where((F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= chars))
-    counts = {r[0]: r[1] for r in pool.groupBy(F.col(lang_col)).count().orderBy(F.desc("count"), lang_col).limit(SAMPLE_LANGS).collect()}
+    counts = {r[0]: r[1] for r in pool.groupBy(F.col(lang_col)).count().collect()}
     if not counts:
         return None
-    each = max(1, rows // len(counts))
+    wanted = shares(counts, rows)
+    most = max(wanted.values())
     draw = F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 30))
-    wanted = F.lit(False)
-    for lang, n in counts.items():
-        wanted = wanted | ((F.col(lang_col) == lang) & (draw < int(min(1.0, 1.1 * each / n) * (1 << 30))))
-    sample = pool.where(wanted).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), draw.alias("d"), F.col(id_col).alias("i")).limit(2 * rows).collect()
-    sample = sorted(((r["d"], str(r["i"]), r["t"], r["l"]) for r in sample))[:rows]
+    # A language's first rows lie below this bound but for a tiny chance; ranks need not be worked out beyond.
+    bounds = [(lang, int(min(1.0, (n + 6 * n**0.5 + 20) / counts[lang]) * (1 << 30)), n) for lang, n in wanted.items()]
+    to = F.broadcast(docs.sparkSession.createDataFrame(bounds, f"_l {dict(docs.dtypes)[lang_col]}, _to long, _n long"))
+    drawn = pool.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), draw.alias("d"), F.col(id_col).cast("string").alias("i")).join(to, F.col("l") == F.col("_l")).where("d < _to")
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("d", "i", "t"))
+    sample = drawn.withColumn("_r", rank).where((F.col("_r") <= most) & (F.col("_r") <= F.col("_n"))).select("d", "i", "t", "l").collect()
+    sample = sorted((r["d"], str(r["i"]), r["t"], r["l"]) for r in sample)
     return train([r[2] for r in sample], [r[3] for r in sample]) if sample else None
 
 

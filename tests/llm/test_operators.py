@@ -125,6 +125,17 @@ def test_language_id(spark):
     assert langid.identify(df.where("false"), model).count() == 0
 
 
+def test_language_sample_keeps_rare_languages(spark, monkeypatch):
+    rows = [(i, f"text {i}", f"l{i % 14:02}") for i in range(28_000)] + [(100_000 + i, f"rare {i}", "rare") for i in range(30)]
+    got = {}
+    monkeypatch.setattr(langid, "train", lambda texts, langs: got.update(Counter(langs)))
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=1500)
+    held = sum(zlib.crc32(str(100_000 + i).encode()) % 3 != 1 for i in range(30))
+    assert got["rare"] == held and len(got) == 15 and sum(got.values()) == 1500
+    assert max(got.values()) - min(n for k, n in got.items() if k != "rare") <= 1
+    assert langid.shares({"a": 1000, "b": 3, "c": 1000}, 101) == {"b": 3, "a": 49, "c": 49}
+
+
 def test_warc_round_trip(spark):
     body = ["<p>é</p>", None, "", "<p>é</p>", "long " * 50_000, "x\r\n\r\ny", "<p>é</p>"]
     df = spark.createDataFrame([(i, f"http://h/{i}" if i else None, b, 7) for i, b in enumerate(body)], "page_id long, url string, html string, body int").repartition(2)
