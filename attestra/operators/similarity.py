@@ -75,18 +75,20 @@ def scope_decision(matches: DataFrame, item: str, node: str, longest: str, allow
 
 def contained(haystack: DataFrame, needles: DataFrame, key: str, text: str, needle: str, passage: str, words: int = 5) -> DataFrame:
     """key, needle of all pairs whose passage lies in the text. Texts and passages meet at the passage's rarest inner run of `words` words,
-    as hashes; whole texts are compared for those pairs only. Passages shorter than a run are not told from common words: they are left out."""
+    as hashes; whole texts are compared for those pairs only. Passages too short for an inner run are looked for in every text."""
     cut = lambda c: F.split(c, " ")
 
     def runs(c: Column) -> Column:
         """Hashes of an array's runs; the array is worked out once, not once a run."""
         return F.array_distinct(F.flatten(F.transform(F.array(c), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, words), " "))))))
 
-    long = needles.where(F.size(cut(F.col(passage))) >= words + 2)
+    enough = F.size(cut(F.col(passage))) >= words + 2
+    long, short = needles.where(enough), needles.where(~enough).select(needle, passage)
     inner = F.slice(cut(F.col(passage)), F.lit(2), F.size(cut(F.col(passage))) - 2)
     index = long.select(needle, F.explode(runs(inner)).alias("_g"))
     often = index.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     one = index.join(often, "_g").groupBy(needle).agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"))
     grams = haystack.where(F.size(cut(F.col(text))) >= words).select(key, F.explode(runs(cut(F.col(text)))).alias("_g"))
     met = grams.join(one, "_g").select(key, needle).distinct()
-    return met.join(needles, needle).join(haystack, key).where(F.contains(F.col(text), F.col(passage))).select(key, needle)
+    found = met.join(needles, needle).join(haystack, key).where(F.contains(F.col(text), F.col(passage))).select(key, needle)
+    return found.unionByName(haystack.join(short, F.contains(F.col(text), F.col(passage))).select(key, needle))

@@ -86,6 +86,13 @@ def test_classify_and_scope_decision(spark):
     assert got == {1: ("candidate", "unique_evidence_chain"), 2: ("rejected", "ambiguous_top_candidate"), 3: ("rejected", "candidate_node_outside_allowed_progress"), 4: ("rejected", "candidate_node_outside_allowed_progress")}
 
 
+def test_passages_of_any_length_are_found(spark):
+    texts = [(1, "a b c d e f g h i"), (2, "x one two y"), (3, None), (4, "zone twofold")]
+    passages = [(10, "b c d e f g h"), (11, "one two"), (12, "two y"), (13, "nowhere"), (14, "i"), (15, None)]
+    got = similarity.contained(spark.createDataFrame(texts, "d int, t string"), spark.createDataFrame(passages, "q int, p string"), "d", "t", "q", "p")
+    assert rows(got) == sorted((d, q) for d, t in texts for q, p in passages if t and p and p in t)
+
+
 def test_segments_owners_overlaps(spark):
     b = spark.createDataFrame([("d", i, t) for i, t in enumerate(["head", "1. a", "x", "2. b"])], "d string, o int, t string")
     got = rows(segment.segments(b, "d", "o", F.col("t").rlike(r"^\d+\."), "t"))
