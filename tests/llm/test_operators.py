@@ -322,12 +322,27 @@ def _components(plain, n=5, percent=80):
     return out
 
 
-def test_jaccard(docs, plain, empty):
-    got = Counter(tuple(r) for r in jaccard.jaccard_components(docs).collect())
-    unique = Counter(i for i, _ in plain)
-    want = _components([(i, t) for i, t in plain])
-    assert {k for k in got if unique[k[0]] == 1 and k[0] is not None} == {k for k in want if unique[k[0]] == 1 and k[0] is not None}
+@pytest.mark.parametrize("ref", [(1 << 40) - 1, 15])
+def test_jaccard(spark, docs, plain, empty, monkeypatch, ref):
+    monkeypatch.setattr(jaccard, "REF", ref)  # 15: most digests meet in the index
+    assert Counter(tuple(r) for r in jaccard.jaccard_components(docs).collect()) == _components(plain)
     assert jaccard.jaccard_components(empty).count() == 0
+    more = [(None, plain[20][1] + " x"), (None, None), (None, "alone and null"), (7, plain[20][1] + " y"), (7, "other text of one id"), (8, " ".join(f"w{i % 977}" for i in range(300_000)))]
+    odd = spark.createDataFrame([(i, t, 0, 0) for i, t in plain + more + more[-2:]], "doc_id long, text string, label int, th int")
+    assert Counter(tuple(r) for r in jaccard.jaccard_components(odd).collect()) == _components(plain + more + more[-2:])
+
+
+def test_jaccard_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        s = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 700)), dtype=np.uint64))
+        r = np.unique(np.append(s[rng.random(len(s)) > rng.choice([0, 0.05, 0.2])], rng.integers(0, 1 << 63, int(rng.integers(0, 60)), dtype=np.uint64)))
+        x, y = (np.frombuffer(jaccard.sketch(t), np.uint64) for t in (s, r))
+        n, both = min(len(x), len(y)), len(np.intersect1d(s, r))
+        differ = np.bitwise_count(jaccard.folded(x, n) ^ jaccard.folded(y, n)).sum()
+        assert differ <= len(s) + len(r) - 2 * both
+        if 100 * both >= 80 * (len(s) + len(r) - both):
+            assert jaccard.may_link(differ, len(s), len(r), 80)
 
 
 def test_jaccard_large_groups_of_copies(spark, monkeypatch):
