@@ -32,7 +32,7 @@ from .shared import Rolling, chunks, drop_written, met, mix, release, small_batc
 #: Classes on a key up to which all pairs are candidates at once.
 FEW = 8
 #: Index entries in one bucket, about. A set's 40 bits are sent once a bucket, so fewer buckets take less room.
-BUCKET = 1 << 22
+BUCKET = 3 << 20
 #: Classes in a block of those that frequent keys bring together.
 BLOCK = 8192
 #: Shingles in such a block, about.
@@ -509,7 +509,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         member = member.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         member = member.select("id", "cluster", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n_shingles", "bits")
-        alike = written(member.groupBy("cluster", "i", "j").applyInArrow(lambda t: _alike(t, percent), "id long, cluster long, label long, block int, i int, j int"), "alike")
+        # One column as the key, or Spark would leave all of a cluster's block pairs in the task that its members met in.
+        alike = written(member.groupBy(F.concat_ws(":", "cluster", "i", "j").alias("cell")).applyInArrow(lambda t: _alike(t, percent), "id long, cluster long, label long, block int, i int, j int"), "alike")
         own = texts(alike.select(F.col("id").alias("cid")).distinct(), "more-texts").withColumnRenamed("cid", "id")
         more = written(alike.join(own, "id").groupBy("cluster", "i", "j").applyInArrow(lambda t: _within(t, n, percent), "a long, b long"), "more-links")
         if not more.isEmpty():
