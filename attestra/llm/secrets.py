@@ -2,9 +2,11 @@
 
 A long token's encoding (hexadecimal, base32, letters and digits, base64 ...) is inferred from its characters. Under the hypothesis
 that it was drawn uniformly from that alphabet, three tests give p-values: chi-squared uniformity of the alphabet, runs above
-and below its middle, and serial correlation; Fisher's method combines them. Words and paths fail them. Which tokens do is
-decided over the whole corpus by the Benjamini-Hochberg rule within bands of length, so that of the tokens set aside
-as not random, at most a share `fdr` is expected to be; the others are reported.
+and below its middle, and serial correlation; Fisher's method combines them. Words and paths fail them, random keys do not.
+
+Reported are the tokens for which "this is a word-like token" is rejected. What word-like tokens score is estimated from the corpus:
+long tokens without any digit, by bands of length, have a log-normal -ln p, whose lower tail is a token's p-value of not being one. The
+Benjamini-Hochberg rule within each band then bounds the expected share of word-like tokens among those reported by `fdr`.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import written
+
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,13 +38,19 @@ ENCODINGS = (
     (r"^[A-Za-z0-9]+$", _UP + _LOW + _DIGITS),
 )
 _BASE64 = _UP + _LOW + _DIGITS + "+/"
-_BIN = 100  # bins of p per unit of its logarithm
+#: Bins per unit of ln(-ln p).
+BINS = 50
+#: Word-like tokens of different scores in a band from which its distribution is estimated; of fewer, the band takes DEFAULT: mean and deviation
+#: of ln(-ln p), which for random tokens are -0.7 and 1.4 at any length.
+ENOUGH = 100
+DEFAULT = ((2.2, 0.6), (2.8, 0.6), (3.4, 0.6), (4.0, 0.6))
 
 
-def _running(sizes: Column) -> Column:
-    """Running sums of an array, by doubling steps: n log n for n entries."""
-    steps = F.when(F.size(sizes) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(sizes).cast("double"))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, sizes, lambda acc, p: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - F.pow(F.lit(2), p).cast("int")), F.lit(0))))
+def _scan(values: Column, joined, back: bool = False) -> Column:
+    """Running results of an associative `joined` over an array, from its first entry on (or from its last), by doubling steps: n log n for n entries."""
+    steps = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(values).cast("double"))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    away = lambda i, p: i + F.pow(F.lit(2), p).cast("int") * (1 if back else -1)
+    return F.aggregate(steps, values, lambda acc, p: F.transform(acc, lambda x, i: F.coalesce(joined(x, F.get(acc, away(i, p))), x)))
 
 
 def matches(text: Column, pattern: str, value_group: int = 0) -> Column:
@@ -48,7 +58,7 @@ def matches(text: Column, pattern: str, value_group: int = 0) -> Column:
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else hits
     sizes = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h))
-    ends = _running(sizes)
+    ends = _scan(sizes, lambda x, y: x + y)
     found = F.zip_with(F.zip_with(hits, ends, lambda h, e: F.struct((e - F.length(h)).alias("start"), e.alias("end"))), values, lambda p, v: F.struct(p["start"].alias("start"), p["end"].alias("end"), v.alias("value")))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
@@ -93,17 +103,30 @@ def randomness(token: Column) -> Column:
     return F.element_at(F.transform(F.transform(first, summed), combined), 1)
 
 
+def _free_of(base: Column, tokens: Column) -> Column:
+    """The tokens (start, end, value; by start, not overlapping) that meet no base span (by start): one sweep over both, sorted together."""
+    at = lambda x, kind, value: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), value.alias("value"))
+    both = F.array_sort(F.concat(F.transform(base, lambda b: at(b, 0, F.lit(None).cast("string"))), F.transform(tokens, lambda t: at(t, 1, t["value"]))))
+    named = F.array(F.struct(both.alias("m")))
+    # Ends of the base spans so far, and the start of the next one.
+    named = F.transform(named, lambda s: F.struct(s["m"].alias("m"), _scan(F.transform(s["m"], lambda x: F.when(x["kind"] == 0, x["end"]).otherwise(-1)), F.greatest).alias("so_far"), _scan(F.transform(s["m"], lambda x: F.when(x["kind"] == 0, x["start"]).otherwise(1 << 30)), F.least, back=True).alias("next")))
+    free = F.transform(named, lambda s: F.filter(s["m"], lambda x, i: (x["kind"] == 1) & (F.get(s["so_far"], i) <= x["start"]) & (F.get(s["next"], i) >= x["end"])))
+    return F.element_at(free, 1)
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.05, floor: float = 1e-3, letters_only: int = 48) -> DataFrame:
     """Every row's id_col with `spans`: array<struct<start, kind, end>> of code point offsets, end exclusive, by start and then kind.
 
     Kinds: assign, access and hex by their patterns; random: tokens of 20 characters or more of base64 alphabets, that hold a digit
-    and a letter (or have letters_only characters or more), meet no span of the other kinds, and whose p-value is neither below
-    `floor` nor rejected in its length band at the false-discovery rate `fdr`.
+    and a letter (or have letters_only characters or more), meet no span of the other kinds, are told from word-like tokens of
+    their length band at the false-discovery rate `fdr`, and whose randomness is not rejected at `floor`.
 
     Null and empty texts have no spans. Repeated rows and null ids are rows like others (equal tokens count as often as they
-    occur). Empty tables give no rows. Other columns are ignored.
+    occur). Very long texts are scanned whole, in time about linear in their length. Empty tables give no rows. Other columns are ignored,
+    whatever their names.
 
-    Only the histogram of p-values by length band is shuffled, and only its cuts (a row a band) are broadcast.
+    Texts are read once: what is found in them is written, and the cuts meet that. Only the histogram of scores by length band is shuffled, and
+    only its cuts (a row a band) are broadcast.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
@@ -114,20 +137,28 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def tagged(found: Column, order: int, kind: str) -> Column:
         return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("order"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    rows = rows.withColumn("base", F.array_sort(F.flatten(F.array(*(tagged(found, i, k) for i, (k, found) in enumerate(kinds.items()))))))
-    eligible = lambda m: ((m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]")) | (F.length(m["value"]) >= letters_only)) & ~F.exists("base", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
+    base = F.array_sort(F.flatten(F.array(*(tagged(found, i, k) for i, (k, found) in enumerate(kinds.items())))))
     band = lambda m: F.lit(len(BANDS)) - sum((F.length(m["value"]) <= b).cast("int") for b in BANDS)
-    scored = F.transform(F.filter(matches(F.col("text"), TOKEN), eligible), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), band(m).alias("band"), randomness(m["value"]).alias("p")))
-    rows = rows.withColumn("tokens", F.transform(scored, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["band"].alias("band"), F.floor(-F.log(F.greatest(m["p"], F.lit(1e-30))) * _BIN).cast("int").alias("bin"))))
-
-    counts = rows.select(F.explode("tokens").alias("t")).groupBy(F.col("t.band").alias("band"), F.col("t.bin").alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-    below = Window.partitionBy("band").orderBy(F.desc("bin"))
-    ranked = counts.withColumn("rank", F.sum("c").over(below)).withColumn("all", F.sum("c").over(Window.partitionBy("band")))
-    cut = ranked.where(F.exp(-F.col("bin") / _BIN) <= fdr * F.col("rank") / F.col("all")).groupBy("band").agg(F.min("bin").alias("cut"))
+    digit, letter = (lambda m: m["value"].rlike("[0-9]")), (lambda m: m["value"].rlike("[A-Za-z]"))
+    candidate = lambda m: (digit(m) & letter(m)) | (F.length(m["value"]) >= letters_only)
+    score = lambda m: F.log(F.greatest(-F.log(F.greatest(randomness(m["value"]), F.lit(1e-300))), F.lit(0.01)))
+    scored = lambda found: F.transform(F.filter(found, lambda m: candidate(m) | ~digit(m)), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), band(m).alias("band"), candidate(m).alias("candidate"), score(m).alias("x")))
+    # Named once, so that nothing is worked out again for each token.
+    found = F.transform(F.array(F.struct(base.alias("base"), matches(F.col("text"), TOKEN).alias("tokens"))), lambda s: F.struct(s["base"].alias("base"), scored(_free_of(s["base"], s["tokens"])).alias("tokens")))
+    rows = written(rows.select("doc_id", F.element_at(found, 1).alias("f")).select("doc_id", "f.base", "f.tokens"), "spans")
+
+    tokens = rows.select(F.explode("tokens").alias("t")).select("t.*")
+    words = tokens.where("NOT candidate").groupBy("band").agg(F.count_distinct("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("dev")).where((F.col("n") >= ENOUGH) & (F.col("dev") > 0))
+    wordlike = rows.sparkSession.createDataFrame([(i, *d) for i, d in enumerate(DEFAULT)], "band int, m0 double, d0 double").join(words, "band", "left")
+    wordlike = wordlike.select("band", F.coalesce("mean", "m0").alias("mean"), F.coalesce("dev", "d0").alias("dev"))
+    counts = tokens.where("candidate").groupBy("band", F.ceil(F.col("x") * BINS).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    ranked = counts.withColumn("rank", F.sum("c").over(Window.partitionBy("band").orderBy("bin"))).withColumn("all", F.sum("c").over(Window.partitionBy("band"))).join(F.broadcast(wordlike), "band")
+    p = _tail((F.col("mean") - F.col("bin") / BINS) / F.col("dev"))
+    cut = ranked.where(p <= fdr * F.col("rank") / F.col("all")).groupBy("band").agg(F.max("bin").alias("cut"))
     cuts = cut.agg(F.map_from_entries(F.collect_list(F.struct("band", "cut"))).alias("cuts"))  # one row, of a cut a band
-    most = int(-math.log(floor) * _BIN)
+    most = math.log(-math.log(floor))
     met = rows.crossJoin(F.broadcast(cuts))  # one row
-    random = F.filter("tokens", lambda m: (m["bin"] < F.coalesce(F.try_element_at(F.col("cuts"), m["band"]), F.lit(1 << 30))) & (m["bin"] <= most))
+    random = F.filter("tokens", lambda m: m["candidate"] & (F.ceil(m["x"] * BINS) <= F.coalesce(F.try_element_at(F.col("cuts"), m["band"]), F.lit(-(1 << 30)))) & (m["x"] <= most))
     spans = F.array_sort(F.concat("base", F.transform(random, lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("order"), m["end"].alias("end"), F.lit("random").alias("kind")))))
     return met.select(F.col("doc_id").alias(id_col), F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("spans"))
 
