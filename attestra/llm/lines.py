@@ -1,8 +1,8 @@
 """Line dedup, with DataFrame functions only.
 
-Normalised lines are exploded as fixed-size hashes, distinct documents are counted per hash, and the documents get
-back the hashes of the lines they lose. Line texts are never shuffled; each text is once, to meet its list of
-lost hashes, and is put together again in line order.
+Normalised lines are exploded as fixed-size hashes with their positions, distinct documents are counted per hash, and the documents get
+back the positions of the lines they lose. Line texts are never shuffled; each text is once, to meet its list of
+lost positions, and is put together again in line order.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WS
+from .shared import WS, unused
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -32,22 +32,29 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts are one empty line. Documents are told apart by their id: rows that repeat an id count as one
     document and lose the same lines. Rows with a null id count for no line and lose none. text_col itself is left as
-    it was. Columns of docs named n_lines, n_dropped or kept_text are replaced. Empty tables give no rows.
+    it was. Columns of docs named n_lines, n_dropped or kept_text are replaced; any other names are free. Very long texts are
+    taken whole, in time linear in their lines. Empty tables give no rows.
 
     A key that a third of all documents hold: its rows are first spread by (key, document), counted with partial sums,
     and met with its one total in a join whose large side AQE may split.
     """
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    keys = F.array_distinct(F.transform(F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= min_chars), _hash))
-    held = (
-        docs.where(F.col(id_col).isNotNull() & (F.length(F.col(text_col)) >= min_chars))
-        .select(F.col(id_col).alias("_doc"), F.explode(keys).alias("_k"))
-        .select("_doc", F.col("_k.a").alias("_a"), F.col("_k.b").alias("_b"), F.col("_k.n").alias("_n"))
-        .distinct()
-    )
-    common = held.groupBy("_a", "_b", "_n").agg(F.count(F.lit(1)).alias("_docs"), F.max("_doc").alias("_last")).where(F.col("_docs") >= min_docs).drop("_docs")
-    lost = held.join(common, ["_a", "_b", "_n"]).where(F.col("_doc") < F.col("_last")).groupBy("_doc").agg(F.collect_list(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"), F.col("_n").alias("n"))).alias("_lost"))
+    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
+    keys = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("pos"), line_key(x).alias("key"))), lambda x: F.length(x["key"]) >= min_chars)
+    hashed = F.transform(keys, lambda x: F.struct(x["pos"].alias("pos"), _hash(x["key"]).alias("h")))
+    # Rows are known by id and text, as rows that repeat an id may differ in text.
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+    held = rows.where(F.col("doc").isNotNull() & (F.length("text") >= min_chars)).select("doc", "th", F.explode(hashed).alias("x")).select("doc", "th", F.col("x.pos").alias("pos"), F.col("x.h.a").alias("a"), F.col("x.h.b").alias("b"), F.col("x.h.n").alias("n"))
+    held = held.repartition("doc", "a", "b", "n")  # one shuffle for the count of distinct documents and for the join
+    common = held.select("doc", "a", "b", "n").distinct().groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last")).where(F.col("docs") >= min_docs).drop("docs")
+    mine, its, lost_at = unused(docs, "doc", "th", "lost")
+    lost = held.join(common, ["a", "b", "n"]).where(F.col("doc") < F.col("last")).groupBy(F.col("doc").alias(mine), F.col("th").alias(its)).agg(F.collect_list("pos").alias(lost_at))
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")]
-    joined = docs.select(*(F.col(f"`{c}`") for c in names)).join(lost.hint("shuffle_hash"), F.col(id_col) == F.col("_doc"), "left")
-    stays = F.when(F.col("_lost").isNull(), lines).otherwise(F.filter(lines, lambda x: ~((F.length(line_key(x)) >= min_chars) & F.array_contains(F.col("_lost"), _hash(line_key(x))))))
-    return joined.withColumn("_stays", stays).select(*(F.col(f"`{c}`") for c in names), F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("_stays")).cast("long").alias("n_dropped"), F.array_join("_stays", "\n").alias("kept_text"))
+    own = [F.col(f"`{c}`") for c in names]
+    joined = docs.select(*own).join(lost.hint("shuffle_hash"), (F.col(f"`{id_col}`") == F.col(mine)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(its)), "left")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    # Positions that stay, and the lines there; named once, so that the text is split once.
+    named = F.transform(F.array(F.struct(F.split(text, "\n", -1).alias("l"), F.col(lost_at).alias("x"))), lambda s: F.struct(s["l"].alias("l"), F.array_except(F.sequence(F.lit(0), F.size(s["l"]) - 1), s["x"]).alias("k")))
+    kept = F.element_at(F.transform(named, lambda s: F.array_join(F.transform(s["k"], lambda i: F.get(s["l"], i)), "\n")), 1)
+    dropped = F.coalesce(F.size(F.array_distinct(F.col(lost_at))), F.lit(0)).cast("long")
+    return joined.select(*own, n_lines.cast("long").alias("n_lines"), F.when(F.col(lost_at).isNull(), 0).otherwise(dropped).alias("n_dropped"), F.when(F.col(lost_at).isNull(), text).otherwise(kept).alias("kept_text"))

@@ -20,9 +20,12 @@ CHUNK = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests), a temporary one is made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one is made if
+    the driver runs all tasks itself (tests); on a cluster that is an error, as executors elsewhere could not read it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: set it to a folder that driver and executors share")
         path = _own.get("dir")
         if not path:
             path = _own["dir"] = "file://" + tempfile.mkdtemp(prefix="attestra-")
@@ -71,6 +74,17 @@ def met(left: DataFrame, right: DataFrame, on: str, most_rows: int = 1_000_000)
     return left.join(F.broadcast(right) if right.count() <= most_rows else right.hint("shuffle_hash"), on)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches sent to Python by bytes too, so long texts cannot add up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
