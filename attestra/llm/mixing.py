@@ -7,13 +7,14 @@ of cells is the only thing that is fitted; it stays a distributed table, whateve
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import WS, written
+from .shared import WS, unused, written
 
 #: Cells up to which their table is broadcast; beyond, documents meet it in a join with salted keys.
 FEW_CELLS = 50_000
@@ -33,7 +34,8 @@ def genre(text: Column, tokens: Column) -> Column:
 
 def rake(cells: DataFrame, margins: Mapping[str, float], rounds: int = 40, tolerance: float = 1e-6) -> DataFrame:
     """cells (the margins' columns, tokens) with `factor`: after weighting by it, each margin's shares are proportional to its own
-    token shares to the given power (1: as they are; 0: all alike), and the total stays."""
+    token shares to the given power (1: as they are; 0: all alike), and the total stays. Where the targets cannot all hold (cells that
+    are empty forbid it) or `rounds` do not suffice, the last margin's hold and a warning says by how much others are off."""
     state = cells.withColumn("factor", F.lit(1.0))
     for name, power in margins.items():
         own = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("_own")).where("_own > 0")
@@ -58,6 +60,8 @@ def rake(cells: DataFrame, margins: Mapping[str, float], rounds: int = 40, toler
         state = step
         if worst is None or worst < tolerance:
             break
+    else:
+        warnings.warn(f"the margins' targets are off by {worst:.2%} at most after {rounds} rounds", stacklevel=2)
     return state.select(*margins, "tokens", "factor")
 
 
@@ -68,8 +72,8 @@ def mix_to_targets(docs: DataFrame, margins: Mapping[str, tuple[Column, float]],
     probability is the raked factor of the row's cell, scaled so that the largest is 1 and the expected tokens are `budget` of
     all at most: kept documents then have the target shares in every margin. Null and empty texts have no tokens: they weigh nothing
     and share the probability of their cell (scaled 1 if all of it is empty). Rows that repeat an id are kept or
-    dropped together; rows with a null id draw by their text. Columns with the names of added ones are replaced. Empty
-    tables give no rows.
+    dropped together; rows with a null id draw by their text. Columns with the names of added ones are replaced, any others are free (a
+    margin may use `tokens`, the count of words). Very long texts are counted whole. Empty tables give no rows.
     """
     added = ["tokens", "probability", "kept", *(f"mix_{m}" for m in margins)]
     docs = docs.drop(*(c for c in docs.columns if c.lower() in added))
@@ -86,8 +90,9 @@ def mix_to_targets(docs: DataFrame, margins: Mapping[str, tuple[Column, float]],
     if fitted.count() <= FEW_CELLS:
         met = rows.join(F.broadcast(chances), names)
     else:
-        salted = chances.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")).join(salted, [*names, "_salt"]).drop("_salt")
+        salt, = unused(rows, "salt")
+        salted = chances.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = rows.withColumn(salt, F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")).join(salted, [*names, salt])
     what = F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit(""))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), what)), 1, 13), 16, 10).cast("double") / float(1 << 52)
     return met.withColumn("kept", draw < F.col("probability")).select(*docs.columns, *added)

@@ -28,10 +28,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import genre, mix_to_targets, words
+    from .mixing import genre, mix_to_targets
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    margins = {"source": (F.col("source"), 0.7), "lang": (F.col("lang"), 0.9), "topic": (genre(F.col("text"), words(F.col("text"))), 1.0)}
+    margins = {"source": (F.col("source"), 0.7), "lang": (F.col("lang"), 0.9), "topic": (genre(F.col("text"), F.col("tokens")), 1.0)}
     return mix_to_targets(docs, margins).select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), "tokens", F.round("probability", 9).alias("probability"), "kept")
 
 

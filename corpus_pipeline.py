@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from attestra.llm.jaccard import jaccard_components
 from attestra.llm.langid import fit, identify
 from attestra.llm.lines import dedup_lines
-from attestra.llm.mixing import genre, mix_to_targets, words
+from attestra.llm.mixing import genre, mix_to_targets
 from attestra.llm.packing import pack_documents
 from attestra.llm.shared import written
 from attestra.llm.tokens import vocabulary
@@ -43,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that token shares of sources, languages and topics have their targets."""
-    margins = {"source": (F.col("source"), 0.7), "lang": (F.col("lang"), 0.9), "topic": (genre(F.col("text"), words(F.col("text"))), 1.0)}
+    margins = {"source": (F.col("source"), 0.7), "lang": (F.col("lang"), 0.9), "topic": (genre(F.col("text"), F.col("tokens")), 1.0)}
     return mix_to_targets(docs, margins).where("kept").select(*docs.columns)
 
 

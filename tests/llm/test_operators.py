@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.llm import jaccard, langid, lines, mixing, packing, quality, secrets, substrings, tokens, topk, warc
+from attestra.llm import jaccard, langid, lines, mixing, packing, quality, queries, secrets, substrings, tokens, topk, warc
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -72,42 +73,156 @@ def test_quality(docs, plain, empty):
     assert quality.repetition_quality(empty).count() == 0
 
 
-def test_secrets(spark, empty):
+def _tail(z):
+    z = max(-12.0, min(12.0, z))
+    return 1 / (1 + math.exp(1.5976 * z + 0.07056 * z**3))
+
+
+def _randomness(token):
+    bare = token.rstrip("=").translate(str.maketrans("-_=", "+/+"))
+    alphabet = next((chars for pattern, chars in secrets.ENCODINGS if re.match(pattern, bare)), secrets._BASE64)
+    x = np.array([alphabet.index(c) for c in bare], float)
+    n, k = len(x), len(alphabet)
+    chi = k / n * sum(c * c for c in Counter(bare).values()) - n
+    z1 = (np.cbrt(max(chi, 0.0) / (k - 1)) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    high = x * 2 >= k
+    ab, runs = 2 * high.sum() * (n - high.sum()), 1 + (high[1:] != high[:-1]).sum()
+    z2 = 12.0 if ab <= n else abs(runs - ab / n - 1) / math.sqrt(max(ab * (ab - n) / (n * n * (n - 1)), 1e-9))
+    d = x - x.mean()
+    z3 = 12.0 if (d * d).sum() <= 0 else abs((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * math.sqrt(n)
+    logs = math.log(_tail(z1)) + math.log(min(1.0, 2 * _tail(z2))) + math.log(min(1.0, 2 * _tail(z3)))
+    return math.exp(logs) * (1 - logs + logs * logs / 2)
+
+
+def _secret_spans(bodies, fdr=0.05, floor=1e-3):
+    """Every text's (start, kind, end), worked out plainly."""
+    assign = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    base, tokens = [], []
+    for i, t in enumerate(bodies):
+        t = t or ""
+        own = [(m.start(), "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 6] + [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        base.append(own)
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t):
+            if not any(a < m.end() and z > m.start() for a, _, z in own):
+                digit, letter = re.search("[0-9]", m[0]), re.search("[A-Za-z]", m[0])
+                candidate = bool((digit and letter) or len(m[0]) >= 48)
+                if candidate or not digit:
+                    x = math.log(max(-math.log(max(_randomness(m[0]), 1e-300)), 0.01))
+                    tokens.append((i, m.start(), m.end(), sum(len(m[0]) > b for b in secrets.BANDS), candidate, x))
+    out = [list(own) for own in base]
+    for band in range(4):
+        words = [x for *_, b, c, x in tokens if b == band and not c]
+        mean, dev = (np.mean(words), np.std(words, ddof=1)) if len(set(words)) >= secrets.ENOUGH else secrets.DEFAULT[band]
+        bins = [math.ceil(x * secrets.BINS) for *_, b, c, x in tokens if b == band and c]
+        cut = max((k for k in bins if _tail((mean - k / secrets.BINS) / dev) <= fdr * sum(o <= k for o in bins) / len(bins)), default=-(10**9))
+        for i, start, end, b, c, x in tokens:
+            if b == band and c and math.ceil(x * secrets.BINS) <= cut and x <= math.log(-math.log(floor)):
+                out[i].append((start, "random", end))
+    return [sorted(own, key=lambda m: (m[0], secrets.KINDS.index(m[1]))) for own in out]
+
+
+def _secret_texts():
     rng = random.Random(5)
-    key = "".join(rng.choice(secrets._BASE64[:62]) for _ in range(40))
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    key = draw(secrets._BASE64[:62], 40)
     body = [None, "", "é password = 'abcDEF12' and secret=token:abcdefgh", "AKIA" + "A" * 10 + " AKIA" + "B2" * 9, "x" + "0a" * 14 + "g", f"the value {key} is there", "the-quick-brown-fox-jumps-over-lazy-dogs-1", "thntionblethorreoundernttheandofthe", "pw token:" + "a" * 9 + "\n" + "0123456789abcdef" * 2, "secret=" + "ab/" * 3000]
-    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(body)] + [(2, body[2], 0), (None, body[8], 0)], "doc_id long, text string, spans int")
+    for _ in range(60):
+        body.append(" ".join([draw("etaoinshrdlu", rng.randint(20, 60)), draw("etaoinshrdlu-", rng.randint(20, 30)) + "7", draw(secrets._BASE64, rng.randint(20, 150)), "x" * rng.randint(0, 30), "token=" + draw(secrets._UP, 12) + draw("etao/", 25) + "9"]))
+        body.append(" ".join(draw("etaoinshrdlu", rng.randint(20, 31)) for _ in range(3)) + " AKIA" + draw(secrets._UP, 16) + draw("0123456789abcdef", 30) + draw(secrets._BASE64, 9))
+    return body
+
+
+def test_secrets(spark, empty):
+    body = _secret_texts()
+    df = spark.createDataFrame([(i, t, 0, 0, 0) for i, t in enumerate(body)], "doc_id long, text string, spans int, base int, f int")
     got = secrets.scan_secrets(df).collect()
-    assert len(got) == len(body) + 2
-    assign = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
-    by = {}
-    for r in got:
-        by.setdefault(r["doc_id"], []).append([(s["start"], s["kind"], s["end"]) for s in r["spans"]])
-    for i, t in enumerate(body):
-        t = t or ""
-        want = [(m.start(), "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 6] + [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
-        want.sort(key=lambda s: (s[0], secrets.KINDS.index(s[1])))
-        assert all([s for s in one if s[1] != "random"] == want for one in by[i]), i
-    assert [s[1] for s in by[5][0]] == ["random"] and not by[6][0] and not by[7][0]
+    by = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in got}
+    want = _secret_spans(body)
+    assert len(got) == len(body) and all(by[i] == w for i, w in enumerate(want))
+    assert [s[1] for s in by[5]] == ["random"] and not by[6] and not by[7]
+    random_ = sum(s[1] == "random" for own in want for s in own)
+    assert random_ >= 50
+    again = secrets.scan_secrets(df.unionByName(df).withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id")))).collect()
+    assert Counter(tuple(map(tuple, r["spans"])) for r in again) == Counter({k: 2 * n for k, n in Counter(tuple(map(tuple, r["spans"])) for r in got).items()})
     assert secrets.scan_secrets(empty).count() == 0
 
 
-def test_mixing(docs, empty):
+def test_secret_query_on_whole_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    want = dict(zip([r["doc_id"] for r in docs], _secret_spans([r["text"] for r in docs]), strict=True))
+    say = lambda spans: ",".join(f"{k}:{a}:{z}" for a, k, z in spans)
+    for r in queries.op2_secret_scans(spark, "/root/testdata/sf0.001").collect():
+        base = [s for s in want[r["doc_id"]] if s[1] != "random"]
+        assert (r["spans"], r["base_sha256"]) == (say(want[r["doc_id"]]), hashlib.sha256(say(base).encode()).hexdigest())
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[1] == k for s in base) for k in ("assign", "access", "hex")]
+
+
+def test_secrets_in_very_long_texts(spark):
+    """Over 1 and 4 MiB, with thousands of spans and tokens, in time that grows with the text."""
+    rng = random.Random(2)
+    keys = ["".join(rng.choice(secrets._BASE64[:62]) for _ in range(32)) for _ in range(400)]
+    texts_ = [" ".join(f"secret={k[:12]} {k}" for k in keys) * 60, "plain words and more " * 210_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(df).collect()}
+    kinds = Counter(s["kind"] for s in got[0])
+    assert kinds["assign"] == 24_000 and kinds["random"] > 20_000 and not got[1] and len(texts_[0]) > 1 << 20
+
+
+def _raked(cells, powers, rounds=400):
+    """Factors of {(category, ...): tokens}, by plain iterative proportional fitting."""
+    factor, all_ = dict.fromkeys(cells, 1.0), sum(cells.values())
+    targets = []
+    for k, power in enumerate(powers):
+        own = Counter()
+        for c, n in cells.items():
+            own[c[k]] += n
+        norm = sum(n**power for n in own.values() if n)
+        targets.append({x: n**power / norm * all_ for x, n in own.items() if n})
+    for _ in range(rounds):
+        for k, target in enumerate(targets):
+            now = Counter()
+            for c, n in cells.items():
+                now[c[k]] += n * factor[c]
+            for c in cells:
+                if now[c[k]] > 0:
+                    factor[c] *= target[c[k]] / now[c[k]]
+    return factor
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_mixing(docs, empty, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_CELLS", few)  # 0: the salted way
+    docs = docs.withColumn("_salt", F.lit("mine")).withColumn("tokens", F.lit("old"))
     margins = {"source": (F.col("source"), 0.5), "lang": (F.col("lang"), 1.0)}
-    out = mixing.mix_to_targets(docs, margins)
-    assert out.count() == docs.count() and set(docs.columns) - {"kept"} <= set(out.columns)
-    cells = [(r["mix_source"], r["mix_lang"], r["tokens"], r["probability"]) for r in out.collect()]
-    own, after = Counter(), Counter()
-    for s, _, n, p in cells:
-        own[s] += n
-        after[s] += n * p
-    total = sum(x**0.5 for x in own.values())
-    for s in own:
-        assert after[s] / sum(after.values()) == pytest.approx(own[s] ** 0.5 / total, abs=0.05)
-    assert max(p for *_, p in cells) == pytest.approx(1)
+    out = mixing.mix_to_targets(docs, margins, seed=23)
+    assert out.count() == docs.count() and set(docs.columns) - {"kept", "tokens"} <= set(out.columns) and out.where("_salt = 'mine'").count() == docs.count()
+    rows = out.collect()
+    cells = Counter()
+    for r in rows:
+        assert r["tokens"] == len(words(r["text"])) and r["mix_source"] == (r["source"] or "\0null")
+        cells[r["mix_source"], r["mix_lang"]] += r["tokens"]
+    factor = _raked(cells, (0.5, 1.0))
+    most = max(f for c, f in factor.items() if cells[c])
+    scale = min(1 / most, sum(cells.values()) / sum(n * factor[c] for c, n in cells.items()))
+    for r in rows:
+        p = min(1.0, factor[r["mix_source"], r["mix_lang"]] * scale)
+        assert r["probability"] == pytest.approx(p, abs=1e-5)
+        drawn = int(hashlib.md5(f"23:{r['doc_id'] if r['doc_id'] is not None else r['text'] or ''}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        assert r["kept"] == (drawn < r["probability"])
+    after, own = Counter(), Counter()  # of the last margin, which holds even where one source and language meet no other
+    for c, n in cells.items():
+        after[c[1]] += n * factor[c]
+        own[c[1]] += n
+    assert all(after[k] / sum(after.values()) == pytest.approx(own[k] / sum(own.values()), abs=1e-6) for k in own)
     assert mixing.mix_to_targets(empty, margins).count() == 0
 
 
+def test_mixing_says_when_targets_cannot_all_hold(spark):
+    cells = spark.createDataFrame([("a", "x", 10), ("b", "y", 1000)], "s string, t string, tokens long")
+    with pytest.warns(UserWarning, match="off by"):
+        assert mixing.rake(cells, {"s": 0.0, "t": 1.0}).count() == 2
+
+
 def test_language_id(spark):
     rng = random.Random(3)
     vocab = {"aa": "the and of to in is".split(), "bb": "der die und das ist nicht".split()}
@@ -219,10 +334,7 @@ def test_topk_prunes_blocks():
     assert seen["visited"] < 0.5 * seen["blocks"]
 
 
-def test_lines(docs, plain, empty):
-    out = lines.dedup_lines(docs)
-    assert set(docs.columns) <= set(out.columns)
-    got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in out.collect())
+def _lines(plain):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda x: x.strip(WS).translate(low)
     held = {}
@@ -235,10 +347,25 @@ def test_lines(docs, plain, empty):
         own = (t or "").split("\n")
         kept = [x for x in own if i is None or len(held.get(key(x), ())) < 3 or i == max(held[key(x)])]
         want[(i, len(own), len(own) - len(kept), "\n".join(kept))] += 1
-    assert got == want
+    return want
+
+
+def test_lines(docs, plain, empty):
+    odd = docs.withColumns({c: F.lit("mine") for c in ("_doc", "_lost", "doc", "th", "lost", "_k", "pos", "a")})
+    out = lines.dedup_lines(odd)
+    assert set(odd.columns) <= set(out.columns) and out.where("_lost = 'mine' AND doc = 'mine'").count() == docs.count()
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in out.collect()) == _lines(plain)
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_very_long_texts(spark):
+    """Tens of thousands of lines that are lost, some twice, over 1 and 4 MiB; rows that repeat an id with other texts."""
+    shared = [f"line number {i} that several documents hold" for i in range(40_000)]
+    body = [(1, "\n".join(shared)), (2, "\n".join(shared[::-1] + ["mine alone, and of some length"] + shared[:50])), (2, "\n".join(["own", *shared[:9]])), (3, "\n".join(shared + shared + shared)), (4, "x" * 5_000_000), (None, shared[0])]
+    got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in lines.dedup_lines(spark.createDataFrame(body, "doc_id long, text string")).collect())
+    assert got == _lines(body)
+
+
 def test_packing(docs, plain, empty):
     got = packing.pack_documents(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), tokens.vocabulary(), capacity=64).collect()
     bpe = tokens.Tokenizer(tokens.vocabulary()).bpe
