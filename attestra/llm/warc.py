@@ -1,7 +1,7 @@
 """WARC archives: a writer and a PySpark Python data source.
 
-Reading: option `paths` is a JSON list of [uri, bytes] pairs; files are planned into partitions of about
-`partition_bytes`. Predicates on record_type, target_uri and record_id are pushed down and decided on the WARC header
+Reading: option `files` names a JSON file of [uri, bytes] pairs; only planning reads it, and plans partitions of about
+`partition_bytes`, so a task knows its own files alone. Predicates on record_type, target_uri and record_id are pushed down and decided on the WARC header
 alone, which is parsed first. The payload of a record is only inflated when the read schema asks for it or `verify`
 is set; members that carry their compressed size in the gzip extra field `sl` are skipped by a seek.
 """
@@ -102,7 +102,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Of rows whose payloads are equal and have min_bytes or more, those of the smallest id are `response` records, all others
     `revisit` records that name it and hold no payload. Null bodies are empty payloads; null urls empty addresses. Rows that
     repeat an id with the same payload get the same type; rows with a null id are always responses and never referred to.
-    Other columns are ignored. Empty tables give no archive.
+    Very long bodies are written whole: a task holds a few copies of its longest one. Other columns are ignored, whatever their names. Empty
+    tables give no archive.
 
     Equal payloads are found by SHA-1 and length: hashes alone are shuffled, with partial minima, so a payload that a third of
     all rows share costs no task more than others. Rows then meet their reference by (id, hash).
@@ -286,7 +287,7 @@ def records(file, wanted, payloads: bool, verify: bool) -> Iterator[dict]:
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
-        self.files = json.loads(options.get("paths", "[]"))
+        self.files = options.get("files")
         self.most = int(options.get("partition_bytes", 64 << 20))
         self.verify = options.get("verify", "false").lower() == "true"
         self.schema = schema
@@ -307,7 +308,9 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         groups: list[list[str]] = []
         size = self.most
-        for uri, n in self.files:
+        with open_input(self.files) as file:
+            files = json.loads(file.read())
+        for uri, n in files:
             if size + n > self.most:
                 groups.append([])
                 size = 0
@@ -355,9 +358,12 @@ class WarcSource(DataSource):
 
 def read_archives(spark: SparkSession, files: list[list], columns: str = SCHEMA, verify: bool = False, partition_bytes: int = 64 << 20) -> DataFrame:
     """The records of archives given as [uri, bytes]; columns is a DDL list out of SCHEMA."""
+    listed = _Output(f"{fresh_path(spark, 'warc-files')}/files.json")
+    listed.write(json.dumps(files).encode())
+    listed.close()
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").schema(columns).option("paths", json.dumps(files)).option("verify", str(verify).lower()).option("partition_bytes", str(partition_bytes)).load()
+    return spark.read.format("warc").schema(columns).option("files", listed.uri).option("verify", str(verify).lower()).option("partition_bytes", str(partition_bytes)).load()
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
