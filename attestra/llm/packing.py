@@ -187,8 +187,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every document's ids and an end id, in sequences of at most `capacity` ids.
 
     Only documents of more than capacity ids are cut, into full pieces after a first, perhaps shorter one. Null and empty texts
-    are the end id alone. Repeated rows and null ids are packed row by row. Empty tables give no rows. Columns other than the
-    id and the text are ignored. sequence_id is any number; a sequence's offsets are gapless from 0.
+    are the end id alone. Repeated rows and null ids are packed row by row. Very long texts are tokenised whole, at about 60 bytes of memory
+    a character. Empty tables give no rows. Columns other than the id and the text are ignored, whatever their names. sequence_id is any
+    number; a sequence's offsets are gapless from 0. Ids are those of the tokenizer, its added tokens' strings in a text included.
 
     Pieces are written once to the shared folder, so ranks stay what they are when executors are lost.
     """

@@ -1,12 +1,12 @@
 """Byte-level BPE ids at numpy speed, equal to those of the vocabulary's own tokenizer.
 
 Texts are cut into the vocabulary's pre-tokens by a few vector passes over their code points. Most pre-tokens of a corpus
-have been seen before: their ids come out of a cache by 128-bit hash, and only new ones go through BPE.
+have been seen before: their ids come out of a cache by 128-bit hash, and only new ones go through the tokenizer. Texts that
+hold one of its added tokens go through it whole.
 """
 
 from __future__ import annotations
 
-import base64
 import functools
 import os
 import unicodedata
@@ -20,7 +20,7 @@ _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 CACHE_ENTRIES = 1_000_000
 
 
-def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Where a public vocabulary lies on this machine."""
     import public_tokenizers
 
@@ -29,12 +29,10 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 @functools.cache
 def _encoder(path: str):
-    import public_tokenizers
-    import tiktoken
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    import tokenizers
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f)}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tokenizers.Tokenizer.from_file(path)
 
 
 @functools.cache
@@ -87,11 +85,16 @@ class Tokenizer:
     def __init__(self, path: str):
         self.bpe = _encoder(path)
         self.one, self.two = Rolling(21), Rolling(22)
-        self.width = np.zeros(self.bpe.n_vocab, np.int64)
-        for token in self.bpe.token_byte_values():
-            self.width[self.bpe.encode_single_token(token)] = len(token)
+        self.added = [t.content for t in self.bpe.get_added_tokens_decoder().values()]
+        self.width = np.zeros(self.bpe.get_vocab_size(), np.int64)
+        for token, i in self.bpe.get_vocab().items():
+            self.width[i] = len(token)  # a character a byte
         self.clear()
 
+    def plain(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text by the tokenizer alone."""
+        return [e.ids for e in self.bpe.encode_batch(texts, add_special_tokens=False)]
+
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted
         self.check = np.zeros(0, np.uint64)
@@ -105,10 +108,10 @@ class Tokenizer:
         # Words that begin with the only space in them and hold letters alone are cut the same way when joined: one call for all.
         plain = np.fromiter((w[0] == " " and w[1:].isalpha() for w in words), bool, len(words))
         text = "".join(w for w, p in zip(words, plain.tolist(), strict=True) if p)
-        flat = np.asarray(self.bpe.encode_ordinary(text), np.uint32)
+        flat = np.asarray(self.plain([text])[0], np.uint32)
         size = np.fromiter((len(w.encode()) for w, p in zip(words, plain.tolist(), strict=True) if p), np.int64, int(plain.sum()))
         cuts = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(size), "left") + 1
-        rest = [self.bpe.encode_ordinary(w) for w, p in zip(words, plain.tolist(), strict=True) if not p]
+        rest = self.plain([w for w, p in zip(words, plain.tolist(), strict=True) if not p])
         count = np.empty(len(words), np.int64)
         count[plain] = np.diff(cuts, prepend=0)
         count[~plain] = np.fromiter(map(len, rest), np.int64, len(rest))
@@ -121,6 +124,15 @@ class Tokenizer:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text in them)."""
+        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        ids, bounds = self._encode([t if i not in whole else "" for i, t in enumerate(texts)])
+        if whole:
+            own = dict(zip(sorted(whole), self.plain([texts[i] for i in sorted(whole)]), strict=True))
+            lists = [own.get(i, ids[bounds[i] : bounds[i + 1]]) for i in range(len(texts))]
+            return np.concatenate([np.asarray(x, np.uint32) for x in lists]), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        return ids, bounds
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "".join(texts)
         chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -146,7 +158,7 @@ class Tokenizer:
         entry = known[back]
         wrong = np.flatnonzero(self.check[entry] != check)
         if len(wrong):  # two pre-tokens of one key: these texts take the plain way
-            lists = [self.bpe.encode_ordinary(t) for t in texts]
+            lists = self.plain(texts)
             count = np.fromiter(map(len, lists), np.int64, len(lists))
             return np.fromiter((i for x in lists for i in x), np.uint32, int(count.sum())), np.concatenate([[0], np.cumsum(count)])
         count = self.count[entry]

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from attestra.llm import jaccard, langid, lines, mixing, packing, quality, queries, secrets, substrings, tokens, topk, warc
@@ -366,20 +367,16 @@ def test_lines_of_very_long_texts(spark):
     assert got == _lines(body)
 
 
-def test_packing(docs, plain, empty):
-    got = packing.pack_documents(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), tokens.vocabulary(), capacity=64).collect()
-    bpe = tokens.Tokenizer(tokens.vocabulary()).bpe
-    want = {}
-    body = dict(plain)
-    by = {}
-    for r in got:
-        by.setdefault(r["doc_id"], []).append(r)
-    for i in {i for i, _ in plain if i is not None} - {3}:
-        ids = [*bpe.encode_ordinary(body[i] or ""), 2]
-        first = len(ids) % 64 or 64
-        cuts = [0, *range(first, len(ids) + 1, 64)]
-        want = [(k, a, z - a, zlib.crc32(np.array(ids[a:z], "<u4").tobytes())) for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))]
-        assert sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in by[i]) == want
+def _check_packing(got, rows, capacity):
+    """Pieces of every (id, text) are right by the tokenizer alone, and sequences are gapless and within capacity."""
+    bpe = tokenizers.Tokenizer.from_file(tokens.vocabulary())
+    want = Counter()
+    for i, t in rows:
+        ids = [*bpe.encode(t or "", add_special_tokens=False).ids, 2]
+        first = len(ids) % capacity or capacity
+        cuts = [0, *range(first, len(ids) + 1, capacity)]
+        want.update((i, k, a, z - a, zlib.crc32(np.array(ids[a:z], "<u4").tobytes())) for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
     placed = {}
     for r in got:
         placed.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -388,10 +385,24 @@ def test_packing(docs, plain, empty):
         for o, n in sorted(own):
             assert o == at
             at += n
-        assert at <= 64
+        assert at <= capacity
+    return len(placed), sum(r["length"] for r in got)
+
+
+def test_packing(spark, docs, plain, empty):
+    """Repeated and null ids row by row, added tokens, texts of over 1 and 4 MiB."""
+    more = [(50, "before <|endoftext|> after"), (51, "<|endoftext|>"), (52, "word " * 250_000), (53, "éx y" * 1_100_000), (None, "null again")]
+    odd = spark.createDataFrame([(i, t, 7, 7) for i, t in plain + more], "doc_id long, text string, length int, k int")
+    _check_packing(packing.pack_documents(odd, tokens.vocabulary(), capacity=64).collect(), plain + more, 64)
     assert packing.pack_documents(empty, tokens.vocabulary()).count() == 0
 
 
+def test_packing_query_on_whole_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    n, total = _check_packing(queries.op9_packing(spark, "/root/testdata/sf0.001").collect(), [(r["doc_id"], r["text"]) for r in docs], 1024)
+    assert n <= -(-total // 1024) + max(5, total // 1024 // 100)  # near what no packing can be below
+
+
 def test_packing_plan_is_near_the_bound():
     rng = np.random.default_rng(3)
     size = np.clip(rng.lognormal(5.9, 0.8, 300_000).astype(int), 1, 1023)
@@ -416,10 +427,11 @@ def test_tokens_equal_the_vocabulary():
     rng = random.Random(2)
     t = tokens.Tokenizer(tokens.vocabulary())
     chars = "''' ab stmdrevl \n\t 1²é́　.,-中𝔘١"
+    plain = tokenizers.Tokenizer.from_file(tokens.vocabulary())
     for _ in range(300):
-        own = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 14))) for _ in range(4)]
+        own = ["".join(rng.choice([*chars, "<|endoftext|>"]) for _ in range(rng.randint(0, 14))) for _ in range(4)]
         ids, at = t.encode(own)
-        assert [ids[a:z].tolist() for a, z in zip(at, at[1:], strict=False)] == [t.bpe.encode_ordinary(x) for x in own]
+        assert [ids[a:z].tolist() for a, z in zip(at, at[1:], strict=False)] == [plain.encode(x, add_special_tokens=False).ids for x in own]
 
 
 def _components(plain, n=5, percent=80):
