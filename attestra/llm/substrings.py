@@ -3,7 +3,8 @@
 Every window of `length` bytes names, by content alone, one gram in it (the smallest hash, leftmost on ties): its anchor. Equal
 windows have equal anchors, so windows only need to be compared within an anchor. Consecutive windows with one anchor
 travel as one context. Anchors at one place in the whole corpus end there; contexts that occur as a whole elsewhere are
-settled by their hash. What is left is sorted per anchor by the suffix that starts at the anchor: a mergesort in
+settled by 128 bits of hash (of the anchor and of the context). Where many contexts are left of one anchor, they are cut into halves by how far before it
+their windows begin, again and again, and each part is named by all the bytes that its windows share. What is left is sorted per anchor by the suffix that starts at the anchor: a mergesort in
 which two suffixes meet by the binary search of their common extension on prefix polynomial hashes, so a comparison
 takes logarithmic time. Neighbours' extensions are then checked byte by byte. Windows are equal if their suffixes share enough,
 by the sorted order, and the bytes before the anchor are equal.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import Rolling, chunks, drop_written, met, mix, release, small_batches, utf8, written
 
 GRAM = 50
-#: Distinct contexts of one anchor up to which one task sorts them; beyond, its windows are counted one by one.
+#: Distinct contexts of one anchor up to which one task sorts them; beyond, they are cut into parts with more bytes in common.
 SORTED = 8192
 #: Contexts that one task sorts, about.
 BUCKET = 6000
@@ -174,13 +175,47 @@ def runs(flags: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 _CONTEXT = "anchor long, k long, lo long, n int, off int, body binary"
 
 
+def narrower(length: int, gram: int, width: int):
+    """Cuts contexts by how far before the anchor their windows begin, in ranges of `width`. A part's anchor is the hash of all bytes that any
+    window of its range covers; ctx that of the whole part."""
+    most = length - gram
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "k", "lo", "n", "off", "body", "ctx"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+        for batch in batches:
+            out, held = [], 0
+            for _, k, lo, n, off, body in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                for r in range(max(0, off - n + 1) // width, off // width + 1):
+                    near, far = r * width, min(r * width + width - 1, most)
+                    first, last = max(0, off - far), min(n - 1, off - near)
+                    if first > last:
+                        continue
+                    part = body[first : last + length]
+                    anchor = xxhash.xxh3_64_intdigest(body[off - near : off - far + length], seed=width << 16 | r)
+                    out.append((_signed(anchor), k, lo + first, last - first + 1, off - first, part, _signed(xxhash.xxh3_64_intdigest(part, seed=1))))
+                    held += len(part) + 64
+                if held > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    return run
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = GRAM) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans and kept (binary): each text's UTF-8 without the bytes covered by any string of `length` bytes that
-    starts anywhere else too, in its own or another row. Strings are judged on the input; overlaps count.
+    starts anywhere else too, in its own or another row. Strings are judged on the input; overlaps count. Very long texts are cut into
+    segments of SEGMENT bytes that overlap by length - 1, so their windows are all there and memory stays bounded.
 
     Null and empty texts have no bytes; texts shorter than `length` lose none. Rows with equal texts, repeated ids or null ids are
     rows like others: a text of `length` bytes or more with a copy goes as a whole. Empty tables give no rows.
-    Columns other than these two are ignored.
+    Columns other than these two are ignored, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -216,7 +251,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(p.view(np.int64)), pa.array(k), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32))], names=["anchor", "ctx", "p", "k", "lo", "n", "off"])
 
     every = written(long.select("k", "text").mapInArrow(contexts, "anchor long, ctx long, p long, k long, lo long, n int, off int"), "contexts")
-    again = every.groupBy("anchor").agg(F.min("p").alias("x"), F.max("p").alias("y")).where("x <> y").select("anchor")
+    # Written, as an aggregation in the join's own stage would keep Spark from splitting a frequent anchor's rows.
+    again = written(every.groupBy("anchor").agg(F.min("p").alias("x"), F.max("p").alias("y")).where("x <> y").select("anchor"), "again")
     some = written(every.join(again, "anchor"), "repeated-anchors")
     drop_written(every)
     release(spark)
@@ -227,7 +263,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settled = some.join(one.where("whole").select("anchor", "ctx"), ["anchor", "ctx"]).select("k", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + (length - 1)).alias("e"))
     copied = long.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.max(F.octet_length("text")).cast("long").alias("e")).where("c > 1").select("k", F.lit(0).cast("long").alias("s"), "e")
 
-    count = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    count = written(one.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
     open_ = one.join(count, "anchor")
     sizes = count.agg(F.sum("c").alias("all"), F.max("c").alias("most")).first()
     ranges = settled.unionByName(copied)
@@ -275,22 +311,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             who, first, last = runs(flags, np.concatenate([[0], np.cumsum(n.astype(np.int64))])[:-1])
             return pa.table({"k": k[who], "s": lo[who] + first, "e": lo[who] + last + length - 1})
 
-        small = found.where("NOT hot").withColumn("bucket", F.pmod("anchor", F.lit(buckets))).groupBy("bucket").applyInArrow(compare, "k long, s long, e long")
-        ranges = ranges.unionByName(small)
-        if sizes["most"] > SORTED:
-
-            def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    for k, lo, n, body in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 5)), strict=True):
-                        data = np.frombuffer(body, np.uint8)
-                        a = np.arange(n)
-                        h, g = (r.of(r.prefix(data), a, a + length) for r in (_one, _two))
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(np.full(n, k)), pa.array(lo + a)], names=["h", "g", "k", "s"])
+        def compared(some: DataFrame, contexts: int) -> DataFrame:
+            bucket = F.pmod("anchor", F.lit(max(24, -(-contexts // BUCKET))))
+            return some.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(compare, "k long, s long, e long")
 
+        ranges = ranges.unionByName(compared(found.where("NOT hot").drop("hot"), sizes["all"]))
+        hot, level = (found.where("hot").drop("hot"), 1) if sizes["most"] > SORTED else (None, 0)
+        while hot is not None:
             release(spark)
-            each = written(found.where("hot").mapInArrow(windows, "h long, g long, k long, s long"), "frequent-windows")
-            twice = each.groupBy("h", "g").agg(F.min(F.struct("k", "s")).alias("x"), F.max(F.struct("k", "s")).alias("y")).where("x <> y").select("h", "g")
-            ranges = ranges.unionByName(each.join(twice, ["h", "g"]).select("k", "s", (F.col("s") + length).alias("e")))
+            width = -(-(length - gram + 1) >> level)
+            parts = written(hot.mapInArrow(narrower(length, gram, max(1, width)), _CONTEXT + ", ctx long"), f"parts-{level}")
+            same = written(parts.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "lo")).alias("one")).where("c > 1"), f"same-{level}")
+            ranges = ranges.unionByName(parts.join(same, ["anchor", "ctx"]).select("k", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + (length - 1)).alias("e")))
+            if width <= 1:
+                break  # a part is one window by now, and equal parts are equal windows
+            parts = parts.join(same, ["anchor", "ctx"], "left").where(F.col("c").isNull() | (F.struct("k", "lo") == F.col("one"))).drop("c", "one", "ctx")
+            count = written(parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), f"counts-{level}")
+            sizes = count.agg(F.sum("c").alias("all"), F.max("c").alias("most")).first()
+            if sizes["all"]:
+                parts = parts.join(count, "anchor")
+                ranges = ranges.unionByName(compared(parts.where(F.col("c") <= SORTED).drop("c"), sizes["all"]))
+            hot, level = (parts.where(F.col("c") > SORTED).drop("c"), level + 1) if (sizes["most"] or 0) > SORTED else (None, 0)
 
     lists = ranges.groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 

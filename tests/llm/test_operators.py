@@ -284,9 +284,15 @@ def test_warc_members_without_skip_lengths(tmp_path):
 
 
 @pytest.mark.parametrize("frequent", [8192, 2])
-def test_substrings(docs, plain, empty, monkeypatch, frequent):
+def test_substrings(spark, docs, plain, empty, monkeypatch, frequent):
+    """2: all frequent anchors are cut into parts, down to single windows."""
     monkeypatch.setattr(substrings, "SORTED", frequent)
     n = 60
+    rng = random.Random(4)
+    say = lambda k: "".join(rng.choice("abc é") for _ in range(k))
+    shared = [say(k) for k in (25, 45, 61, 75, 200)]
+    plain = plain + [(100 + i, say(rng.randint(0, 90)) + rng.choice(shared) + say(rng.randint(0, 90)) + rng.choice(shared)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, 0, 0) for i, t in plain], "doc_id long, text string, k int, anchor int").repartition(3)
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.remove_repeats(docs, length=n, gram=20).collect())
     every = Counter(b[a : a + n] for _, t in plain for b in [(t or "").encode()] for a in range(len(b) - n + 1))
     want = Counter()
@@ -302,6 +308,16 @@ def test_substrings(docs, plain, empty, monkeypatch, frequent):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_substrings_of_very_long_texts(spark):
+    """Over 4 MiB: repeats across the places where a text is cut into segments, and with another text."""
+    rng = random.Random(6)
+    long = bytes(rng.choices(b"abcdefgh", k=9_500_000)).decode()
+    at = substrings.SEGMENT
+    body = [long[: at - 300] + long[1000:1500] + long[at - 300 :], long[2_000_000:2_000_400] + "x", "y" + long[at + 5_000 : at + 5_210]]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in substrings.remove_repeats(spark.createDataFrame([(i, t) for i, t in enumerate(body)], "doc_id long, text string")).collect()}
+    assert got == {0: (2 * 500 + 400 + 210, 4), 1: (400, 1), 2: (210, 1)}
+
+
 def test_suffix_order_and_extensions():
     rng = np.random.default_rng(4)
     parts = [rng.integers(97, 99, rng.integers(1, 12)).astype(np.uint8) for _ in range(60)]
