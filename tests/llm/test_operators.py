@@ -331,23 +331,29 @@ def test_suffix_order_and_extensions():
 def test_topk(spark):
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(x) for x in rng.normal(size=4)], "z") for i in range(300)]
-    rows += [(400 + i, [0.5, 0.5, 0.5, 0.5], "z") for i in range(20)] + [(900, None, "z"), (901, [1.0, None, 0.0, 0.0], "z"), (902, [float("nan"), 0.0, 0.0, 0.0], "z"), (903, [float("inf"), 0.0, 0.0, 0.0], "z"), (1000, [1.0, 2.0], "z"), (1001, [3.0, 2.0], "z"), (None, [0.0] * 4, "z")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    got = {}
+    rows += [(400 + i, [0.5, 0.5, 0.5, 0.5], "z") for i in range(20)] + [(900, None, "z"), (901, [1.0, None, 0.0, 0.0], "z"), (902, [float("nan"), 0.0, 0.0, 0.0], "z"), (903, [float("inf"), 0.0, 0.0, 0.0], "z"), (1000, [1.0, 2.0], "z"), (1001, [3.0, 2.0], "z"), (None, [0.0] * 4, "z"), (200, [0.5, 0.5, 0.5, 0.5], "z"), (17, [0.1, 0.1, 0.1, 0.1], "z")]
+    rows += [(2000, [1e300, 1.0, -1e300], "z"), (2001, [1.0, 2.0, 3.0], "z"), (2002, [-1e300, 0.0, 0.0], "z"), (2100, [4e12, 4e12, 0.0], "z"), (2003, [1e300, 1.0, 0.0], "z")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").withColumn("shard", F.lit("mine")).withColumn("v", F.lit(1))
+    got = Counter()
     for r in topk.exact_topk(df, df.where("vec_id % 100 = 0"), k=10, shard_rows=64, query_rows=2).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    ok = {i: [int(np.floor(1024 * x)) for x in v] for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    for q in [i for i in ok if i % 100 == 0]:
-        best = sorted((-sum(a * b for a, b in zip(ok[q], v, strict=True)), i) for i, v in ok.items() if i != q and len(v) == len(ok[q]))[:10]
-        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert topk.exact_topk(df.where("false"), df.where("false")).count() == 0
+        got[r["query_id"], r["rank"], r["vec_id"], r["score"]] += 1
+    most = (1 << 63) - 1
+    clip = lambda x: max(-most, min(most, x))
+    ok = [(i, [max(-most - 1, min(most, math.floor(1024 * x))) if abs(x) < 1e290 else (most if x > 0 else -most - 1) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = Counter()
+    for q in {i for i, _ in ok if i % 100 == 0}:
+        mine = [v for i, v in ok if i == q]
+        best = sorted((-clip(sum(a * b for a, b in zip(own, v, strict=True))), i) for own in mine for i, v in ok if i != q and len(v) == len(own))
+        want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best[:10]))
+    assert got == want
+    assert topk.exact_topk(df.where("false"), df.where("false")).count() == 0 and topk.exact_topk(df, df.where("false")).count() == 0
 
 
 def test_topk_prunes_blocks():
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(20, 8)) * 1000
     x = (centres[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 8)) * 20).astype(np.int64)
-    _, _, seen = topk.search(np.arange(4000), x, np.arange(10), x[:10], 10, block=100)
+    _, _, seen = topk.search(topk.Shard(np.arange(4000), x, block=100), np.arange(10), x[:10], 10)
     assert seen["visited"] < 0.5 * seen["blocks"]
 
 
