@@ -4,7 +4,9 @@ Subwords are the byte n-grams (n = 2, 3, 4) of a text with A-Z in lower case and
 into buckets. A text is the mean of its buckets' embeddings; embeddings and softmax are trained together by stochastic
 gradient descent in numpy on a bounded sample. As both layers are linear, a bucket's share of every
 language's logit is one table row, and prediction is a mean of rows over the whole text. A temperature fitted on a
-part of the sample that is kept apart calibrates scores, and the rejection threshold comes from the same part.
+part of the sample that is kept apart calibrates scores. A softmax alone is sure of texts in no language it knows, so the row also holds how
+familiar the bucket is, the logarithm of its share in training. Both limits for rejection, of the score and of the mean familiarity, come from the
+part kept apart: they lie below all its rightly predicted texts, by half of the distance from the lowest of them to their median.
 """
 
 from __future__ import annotations
@@ -17,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import chunks, small_batches, utf8
+from .shared import chunks, small_batches, unused, utf8
 
 GRAMS = (2, 3, 4)
 BITS = 15
 #: The sample that a model is fitted on: rows in all, characters of a row.
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
-#: No text scoring at least this is rejected, however the sample scores.
-MOST_REJECTED = 0.4
+#: How far below the lowest rightly predicted text of the calibration part the limits lie, in distances from it to the median.
+BELOW = 0.5
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
@@ -50,15 +52,18 @@ def _features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """langs, rows: a bucket's part of every logit, bias, temperature, threshold."""
+    """langs, rows: a bucket's part of every logit and its familiarity, bias, temperature; threshold and least: the limits of score and familiarity.
+    false_rejections and caught: of the calibration part, the shares of right predictions and of wrong ones that these reject."""
 
     def __init__(self, langs: list[str], rows: np.ndarray, bias: np.ndarray):
         self.langs, self.rows, self.bias = langs, rows, bias
-        self.temperature, self.threshold = 1.0, 0.0
+        self.temperature, self.threshold, self.least = 1.0, 0.0, -np.inf
+        self.false_rejections, self.caught = 0.0, 0.0
 
-    def logits(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    def logits(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The logits of each text, and its mean familiarity (-inf without any n-gram)."""
         n = len(offs) - 1
-        total, count = np.zeros((n, len(self.langs)), np.float64), np.zeros(n, np.int64)
+        total, count = np.zeros((n, len(self.langs) + 1), np.float64), np.zeros(n, np.int64)
         for k, found in zip(GRAMS, buckets(data), strict=True):
             own = np.maximum(np.diff(offs) - k + 1, 0)
             some = np.flatnonzero(own)
@@ -70,12 +75,18 @@ class Model:
             values = np.concatenate([values, np.zeros((1, values.shape[1]), values.dtype)])
             total[some] += np.add.reduceat(values, cuts, axis=0, dtype=np.float64)[::2]
             count += own
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        mean = total / np.maximum(count, 1)[:, None]
+        return mean[:, :-1] + self.bias, np.where(count > 0, mean[:, -1], -np.inf)
 
-    def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        z = self.logits(data, offs) / self.temperature
-        z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
+    def scores(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The calibrated probabilities of each text, and whether it is rejected."""
+        z, familiar = self.logits(data, offs)
+        z = np.exp((z - z.max(1, keepdims=True)) / self.temperature)
+        z /= z.sum(1, keepdims=True)
+        return z, self.rejects(z.max(1), familiar)
+
+    def rejects(self, score: np.ndarray, familiar: np.ndarray) -> np.ndarray:
+        return (score < self.threshold) | (familiar < self.least)
 
 
 def train(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 8, rate: float = 4.0, batch: int = 64, seed: int = 7) -> Model:
@@ -117,9 +128,13 @@ def train(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 8, ra
             bias -= step / len(own) * z.mean(0)
             np.subtract.at(embed, ids, step * weight * np.repeat(back, size, axis=0) * 4)
             done += 1
-    model = Model(names, np.ascontiguousarray(embed @ out), bias.astype(np.float64))
+    share = np.zeros(1 << BITS)
+    for ids, weight, _ in examples:
+        share[ids] += weight
+    familiar = np.log((share + 0.1 * len(examples) / len(share)) / max(1, len(examples)) * len(share))
+    model = Model(names, np.column_stack([embed @ out, familiar.astype(np.float32)]), bias.astype(np.float64))
     offs = np.concatenate([[0], np.cumsum([len(data[i]) for i in held])]).astype(np.int64)
-    z = model.logits(np.frombuffer(b"".join(data[i] for i in held), np.uint8), offs)
+    z, familiar = model.logits(np.frombuffer(b"".join(data[i] for i in held), np.uint8), offs)
     truth = y[held]
 
     def loss(t: float) -> float:
@@ -129,8 +144,12 @@ def train(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 8, ra
     model.temperature = min((0.1 * 1.15**k for k in range(40)), key=loss)
     p = np.exp((z - z.max(1, keepdims=True)) / model.temperature)
     top = p.max(1) / p.sum(1)
-    right = top[p.argmax(1) == truth]
-    model.threshold = float(min(MOST_REJECTED, np.quantile(right, 0.0005))) if len(right) else 0.0
+    right = (p.argmax(1) == truth) & np.isfinite(familiar)
+    if right.any():
+        below = lambda x: float(x.min() - BELOW * (np.median(x) - x.min()))
+        model.threshold, model.least = below(top[right]), below(familiar[right])
+        gone = model.rejects(top, familiar)
+        model.false_rejections, model.caught = float(gone[right].mean()), float(gone[~right].mean()) if (~right).any() else 0.0
     return model
 
 
@@ -168,29 +187,30 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     """Every row of docs and its columns, with lang_pred, lang_score and lang_rejected.
 
     lang_pred is `und` (score 0, rejected) where the text is null or has no letter, and everywhere without a model; else the
-    most probable of the model's languages. lang_rejected: the calibrated score is below the model's threshold. Columns of
-    docs with these three names are replaced. Empty tables give no rows; repeated rows are scored alike.
+    most probable of the model's languages. lang_rejected: the calibrated score or the text's familiarity is below the model's limit. Columns of
+    docs with these three names are replaced, any others are free. Very long texts are scored whole: a task holds a row of the model a byte of its
+    longest one. Empty tables give no rows; repeated rows are scored alike.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("lang_pred", "lang_score", "lang_rejected", "_letter")))
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("lang_pred", "lang_score", "lang_rejected")))
     names = docs.columns
     at = names.index(text_col)
+    letter_, = unused(docs, "letter")
     most = max(1 << 16, (1 << 20) // max(1, len(model.langs) // 8)) if model else 1 << 20
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            pred, score = np.full(n, "und", object), np.zeros(n)
+            pred, score, low = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
             letter = batch.column(len(names)).to_numpy(zero_copy_only=False)
             if model is not None and n:
                 data, offs = utf8(batch.column(at))
                 langs = np.array(model.langs, object)
                 for i, j in chunks(offs, most):
-                    p = model.scores(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                    p, low[i:j] = model.scores(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                     pred[i:j], score[i:j] = langs[p.argmax(1)], p.max(1)
                 pred[~letter], score[~letter] = "und", 0.0
-            low = (score < model.threshold) if model is not None else np.ones(n, bool)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(pred, pa.string()), pa.array(score), pa.array(low | ~letter)], names=[*names, "lang_pred", "lang_score", "lang_rejected"])
 
     schema = docs.schema.add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
-    return docs.withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
+    return docs.withColumn(letter_, F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)

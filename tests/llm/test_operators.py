@@ -228,17 +228,51 @@ def test_language_id(spark):
     rng = random.Random(3)
     vocab = {"aa": "the and of to in is".split(), "bb": "der die und das ist nicht".split()}
     rows = [(i, " ".join(rng.choice(vocab[k]) for _ in range(rng.randint(5, 60))), k, 1.0) for i, k in enumerate(["aa", "bb"] * 150)]
-    df = spark.createDataFrame(rows + [(900, None, "aa", 1.0), (901, "123 !!", "aa", 1.0), (902, "the of", None, 1.0), (None, "die und", "bb", 1.0)], "doc_id long, text string, lang string, lang_score double")
+    df = spark.createDataFrame(rows + [(900, None, "aa", 1.0), (901, "123 !!", "aa", 1.0), (902, "the of", None, 1.0), (None, "die und", "bb", 1.0), (903, "", "aa", 1.0), (904, "the and of " * 150_000, None, 1.0), (905, "die und das " * 450_000, None, 1.0)], "doc_id long, text string, lang string, lang_score double")
+    df = df.withColumn("_letter", F.lit("mine")).withColumn("letter", F.lit("mine"))
     model = langid.fit(df)
-    got = langid.identify(df.drop("lang"), model).collect()
-    assert len(got) == len(rows) + 4
+    out = langid.identify(df.drop("lang"), model)
+    assert {"_letter", "letter"} <= set(out.columns)
+    got = out.collect()
+    assert len(got) == len(rows) + 7
     by = {r["doc_id"]: r for r in got}
     assert np.mean([by[i]["lang_pred"] == k for i, _, k, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1]) > 0.97
-    assert [(by[i]["lang_pred"], by[i]["lang_score"], by[i]["lang_rejected"]) for i in (900, 901)] == [("und", 0.0, True)] * 2
-    assert by[902]["lang_pred"] == "aa" and by[None]["lang_pred"] == "bb" and all(0 <= r["lang_score"] <= 1 for r in got)
+    assert [(by[i]["lang_pred"], by[i]["lang_score"], by[i]["lang_rejected"]) for i in (900, 901, 903)] == [("und", 0.0, True)] * 3
+    assert by[902]["lang_pred"] == by[904]["lang_pred"] == "aa" and by[None]["lang_pred"] == by[905]["lang_pred"] == "bb" and all(0 <= r["lang_score"] <= 1 for r in got)
     assert langid.fit(df.where("lang IS NULL")) is None
     assert {r["lang_pred"] for r in langid.identify(df, None).collect()} == {"und"}
     assert langid.identify(df.where("false"), model).count() == 0
+    # The logits are means of rows over all n-grams, the score a softmax of them, and a rejection as the limits say.
+    for i, text, *_ in rows[:20]:
+        b = bytes(langid._FOLD[np.frombuffer(text.encode(), np.uint8)])
+        mean = np.mean([model.rows[(int.from_bytes(b[a : a + n], "little") ^ n * 0x9E3779B1 & 0xFFFFFFFF) * 2654435761 % (1 << 32) >> 32 - langid.BITS] for n in langid.GRAMS for a in range(len(b) - n + 1)], axis=0, dtype=np.float64)
+        p = np.exp((mean[:-1] + model.bias) / model.temperature)
+        assert by[i]["lang_score"] == pytest.approx(p.max() / p.sum(), abs=1e-6) and by[i]["lang_pred"] == model.langs[p.argmax()]
+        assert by[i]["lang_rejected"] == (p.max() / p.sum() < model.threshold or mean[-1] < model.least)
+
+
+def test_language_rejection(spark):
+    """On the tables' held-out documents: hardly any is rejected; texts of no language learned are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    assert model.false_rejections <= 0.005
+    held = langid.identify(docs.where("lang IS NOT NULL AND pmod(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)), 3) = 1 AND length(text) > 20"), model)
+    told = held.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int")), F.avg(F.col("lang_rejected").cast("int"))).first()
+    assert told[0] > 0.95 and told[1] < 0.01
+    rng = random.Random(1)
+    noise = ["".join(rng.choice(chars) for _ in range(rng.randint(60, 400))) for chars in ("абвгдежзиклмнопрст ", "漢字仮名交文書", "qxzjkvwq  ", "ΑΒΓΔΕΖαβγδεζ ") for _ in range(25)]
+    assert np.mean([r["lang_rejected"] for r in langid.identify(spark.createDataFrame([(i, t) for i, t in enumerate(noise)], "doc_id long, text string"), model).collect()]) > 0.95
+
+
+def test_language_query(spark):
+    docs = {r["doc_id"]: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = queries.op4_language_id(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in docs[r["doc_id"]]["text"] or ""))
+    told = [r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in got if r["held_out"] and docs[r["doc_id"]]["lang"] and r["lang_pred"] != "und"]
+    assert np.mean(told) > 0.9
 
 
 def test_language_sample_keeps_rare_languages(spark, monkeypatch):
