@@ -439,9 +439,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     they reach, null if there is none. Very long texts are taken whole: a task holds about 100 bytes a word of the longest pair. Empty
     tables give no rows. Columns other than these two are ignored, whatever their names.
     """
+    return text_components(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), n, percent).drop("th").withColumnRenamed("doc_id", id_col)
+
+
+def text_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, th (xxhash64 of the text, which tells rows that repeat an id apart), n_shingles, component_id of columns doc_id and text."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+    docs = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
     bands = Bands(percent)
     known = written(classes(docs, n), "sets")
     # One class a digest: its smallest id, and one row's id and text hash, by which its text is found again.
@@ -520,5 +525,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = group.select("cid", "d1", "d2", "n_shingles", "rep").join(label.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of = named.join(smallest, "label").select("d1", "d2", "n_shingles", "component_id")
-    out = known.select("doc_id", "n_shingles", "d1", "d2").join(of, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumnRenamed("doc_id", id_col)
+    out = known.select("doc_id", "th", "n_shingles", "d1", "d2").join(of, ["d1", "d2", "n_shingles"], "left")
+    return out.select("doc_id", "th", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

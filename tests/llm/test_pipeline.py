@@ -1,8 +1,13 @@
 """The corpus pipeline, stage by stage, against brute force on the smallest documents."""
 
+import hashlib
+import re
+from collections import Counter
+
 import corpus_pipeline
 import pytest
-from test_operators import WS, _components
+from pyspark.sql import functions as F
+from test_operators import WS, _components, _raked
 
 from attestra.llm.shared import written
 
@@ -55,8 +60,42 @@ def test_near_duplicates(stages):
 
 
 def test_mix_and_packing(stages):
-    kept = rows(stages[4])
-    assert kept and all(r == rows(stages[3])[i] for i, r in list(kept.items())[:5]) and set(kept) <= set(rows(stages[3]))
+    kept, before = rows(stages[4]), rows(stages[3])
+    cell = {}
+    for i, r in before.items():
+        n = len(re.split(f"[{WS}]+", r["text"].strip(WS))) if r["text"].strip(WS) else 0
+        topic = "table" if " | " in r["text"] else "list" if "\n- " in r["text"] or "\n* " in r["text"] else "short" if n < 50 else "long" if n > 2000 else "prose"
+        cell[i] = (r["source"], r["lang"], topic), n
+    tokens = Counter()
+    for c, n in cell.values():
+        tokens[c] += n
+    factor = _raked(tokens, (0.7, 0.9, 1.0), 2000)
+    most = max(f for c, f in factor.items() if tokens[c])
+    scale = min(1 / most, sum(tokens.values()) / sum(n * factor[c] for c, n in tokens.items()))
+    drawn = {i: int(hashlib.md5(f"23:{i}".encode()).hexdigest()[:13], 16) / (1 << 52) for i in before}
+    wrong = [i for i in before if (drawn[i] < factor[cell[i][0]] * scale) != (i in kept)]
+    assert all(abs(drawn[i] - factor[cell[i][0]] * scale) < 1e-3 for i in wrong) and len(wrong) <= 1
+    assert kept and all(r == before[i] for i, r in kept.items())
     pieces = stages[5].collect()
     assert {r["doc_id"] for r in pieces} == set(kept)
     assert max(r["offset"] + r["length"] for r in pieces) <= 1024
+
+
+def test_stages_take_empty_tables_repeats_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = ["lang_pred", "kept", "n_lines", "kept_text", "tokens", "mix_topic", "doc", "th", "_salt", "letter", "hash", "hash_text"]
+    odd = docs.unionByName(docs.where("doc_id < 30")).withColumns({c: F.concat(F.lit(f"{c}:"), "doc_id") for c in extra})
+    odd = odd.unionByName(odd.where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(odd.where("doc_id = 5").withColumn("text", F.lit(None).cast("string")))
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, odd, SF), f"odd-{name}")
+        none = stage(spark, odd.where("false"), SF)
+        assert none.count() == 0 and none.columns == out.columns
+        if name == "packing":
+            assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in odd.collect()}
+            continue
+        assert out.columns == odd.columns and out.where("doc_id IS NOT NULL").where(" OR ".join(f"`{c}` <> concat('{c}:', doc_id)" for c in extra)).isEmpty()
+        if name == "near_duplicates":
+            assert out.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+            assert out.where("doc_id IS NULL").isEmpty() and out.where("doc_id = 5 AND text IS NULL").count() == 1
+        if name == "source_mix":
+            assert out.groupBy("doc_id").count().join(odd.groupBy("doc_id").count().withColumnRenamed("count", "n"), "doc_id").where("count <> n").isEmpty()
