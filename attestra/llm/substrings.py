@@ -124,8 +124,8 @@ class _Suffixes:
         out = np.zeros(len(order), np.int64)
         i = np.flatnonzero(inner)
         out[i] = self.common(order[i - 1], order[i])
-        for a in range(0, len(i), 20_000):
-            own = i[a : a + 20_000]
+        for a in range(0, len(i), 1000):
+            own = i[a : a + 1000]
             n = out[own]
             step = np.arange(int(n.max(initial=0)))
             x, y = self.at[order[own - 1]], self.at[order[own]]
@@ -305,11 +305,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if len(k):  # a text that came twice
                 table = table.filter(pa.array(np.append(True, (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (anchor[1:] != anchor[:-1]))))
             k, lo, anchor, n, off = (table.column(c).to_numpy() for c in ("k", "lo", "anchor", "n", "off"))
-            joined = b"".join(table.column("body").to_pylist())
-            bounds = np.concatenate([[0], np.cumsum(n.astype(np.int64) + length - 1)])
-            flags = repeats(anchor, off.astype(np.int64), n.astype(np.int64), np.frombuffer(joined, np.uint8), bounds, length)
-            who, first, last = runs(flags, np.concatenate([[0], np.cumsum(n.astype(np.int64))])[:-1])
-            return pa.table({"k": k[who], "s": lo[who] + first, "e": lo[who] + last + length - 1})
+            ends = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor))
+            found, begin = [], 0
+            while begin < len(anchor):  # whole anchors, a bounded number of contexts at once
+                end = int(ends[max(np.searchsorted(ends, begin, "right"), np.searchsorted(ends, begin + BUCKET, "right") - 1)])
+                own = n[begin:end].astype(np.int64)
+                joined = b"".join(table.column("body").slice(begin, end - begin).to_pylist())
+                flags = repeats(anchor[begin:end], off[begin:end].astype(np.int64), own, np.frombuffer(joined, np.uint8), np.concatenate([[0], np.cumsum(own + length - 1)]), length)
+                who, first, last = runs(flags, np.cumsum(own) - own)
+                found.append((k[begin + who], lo[begin + who] + first, lo[begin + who] + last + length - 1))
+                begin = end
+            return pa.table([np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ()))], names=["k", "s", "e"])
 
         def compared(some: DataFrame, contexts: int) -> DataFrame:
             bucket = F.pmod("anchor", F.lit(max(24, -(-contexts // BUCKET))))
