@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WS, unused
+from .shared import WS, unused, written
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -44,8 +44,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Rows are known by id and text, as rows that repeat an id may differ in text.
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     held = rows.where(F.col("doc").isNotNull() & (F.length("text") >= min_chars)).select("doc", "th", F.explode(hashed).alias("x")).select("doc", "th", F.col("x.pos").alias("pos"), F.col("x.h.a").alias("a"), F.col("x.h.b").alias("b"), F.col("x.h.n").alias("n"))
-    held = held.repartition("doc", "a", "b", "n")  # one shuffle for the count of distinct documents and for the join
+    # Both written: the join then reads two tables, and Spark may split a frequent line's rows.
+    held = written(held, "lines")
     common = held.select("doc", "a", "b", "n").distinct().groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last")).where(F.col("docs") >= min_docs).drop("docs")
+    common = written(common, "common-lines")
     mine, its, lost_at = unused(docs, "doc", "th", "lost")
     lost = held.join(common, ["a", "b", "n"]).where(F.col("doc") < F.col("last")).groupBy(F.col("doc").alias(mine), F.col("th").alias(its)).agg(F.collect_list("pos").alias(lost_at))
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")]
