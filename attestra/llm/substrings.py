@@ -27,8 +27,8 @@ GRAM = 50
 SORTED = 8192
 #: Contexts that one task sorts, about.
 BUCKET = 6000
-#: Bytes of a long text handled at once.
-SEGMENT = 4 << 20
+#: Bytes of texts handled at once, and of a longer text's segments; about 100 bytes of memory go with each.
+PART, SEGMENT = 1 << 18, 1 << 20
 _one, _two = Rolling(41), Rolling(42)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -227,7 +227,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             key = batch.column(0).to_numpy()
             data, offs = utf8(batch.column(1))
-            for i, j in chunks(offs):
+            for i, j in chunks(offs, PART):
                 own = []
                 for x in range(i, j):
                     if int(key[x]) not in seen:
@@ -237,7 +237,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     seen.clear()
                 if not own:
                     continue
-                parts = [own] if own[-1][2] - own[0][1] <= SEGMENT else [[o] for o in own]
+                parts = [own] if own[-1][2] - own[0][1] <= SEGMENT else [[o] for o in own]  # one long text alone
                 for part in parts:
                     body = np.concatenate([data[a:z] for _, a, z in part])
                     ends = np.concatenate([[0], np.cumsum([z - a for _, a, z in part])])
