@@ -17,13 +17,13 @@ def plain(text: Column) -> Column:
 
 
 #: Words of a file name that tell copies, not contents.
-NOISE = ("copy", "draft", "final", "new", "old", "student", "teacher", "answers", "version")
+NOISE = ("copy", "draft", "final", "revised", "revision", "version")
 
 
 def file_base(name: Column) -> Column:
     """A file name's telling words: no extension, no copy words, no version numbers."""
     words = F.split(plain(F.regexp_replace(name, r"\.[^.]*$", "")), " ")
-    return F.array_join(F.filter(words, lambda w: ~w.isin(*NOISE) & ~w.rlike(r"^v\d+$")), " ")
+    return F.array_join(F.filter(words, lambda w: ~w.isin(*NOISE) & ~w.rlike(r"^(v|ver|rev|r)\d+$")), " ")
 
 
 def char_ngrams(text: Column, n: int) -> Column:
@@ -43,21 +43,23 @@ def fingerprint(text: Column, n: int = 3) -> Column:
 
 
 def keyword_grams(text: Column, lengths: tuple[int, ...] = (4, 3, 2), alphabet: str = "一-鿿") -> Column:
-    """Distinct n-grams of the runs of one alphabet, longer first."""
-    runs = F.regexp_extract_all(text, F.lit(f"[{alphabet}]+"), F.lit(0))
+    """Distinct n-grams of the text without all characters of other alphabets, longer first."""
+    named = F.array(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{alphabet}]", ""))
 
-    def of(n: int) -> Column:
-        return F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) >= n), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, F.lit(n)))))
+    def of(r: Column, n: int) -> Column:
+        return F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - n + 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*(of(n) for n in lengths)))
+    return F.array_distinct(F.flatten(F.transform(named, lambda r: F.concat(*(of(r, n) for n in lengths)))))
 
 
-def ngram_f1(stem_grams: Column, name_grams: Column, stem: Column, name: Column) -> Column:
-    """Precision and recall of shared grams as one score; a name inside the stem scores 1."""
-    both = F.size(F.array_intersect(stem_grams, name_grams))
-    p, r = both / F.size(stem_grams), both / F.size(name_grams)
-    f1 = F.when((F.size(stem_grams) == 0) | (F.size(name_grams) == 0) | (both == 0), F.lit(0.0)).otherwise(2 * p * r / (p + r))
-    return F.when((F.length(name) > 0) & F.contains(stem, name), F.lit(1.0)).otherwise(f1)
+def keyword_f1(stem: Column, name: Column, stem_grams: Column, name_grams: Column) -> Column:
+    """The share of the stem's keywords found in the name and of the name's in the stem, as one score; a name of two characters or more that
+    the stem holds, white space aside, scores 1."""
+    p = F.size(F.filter(stem_grams, lambda g: F.contains(name, g))) / F.size(stem_grams)
+    r = F.size(F.filter(name_grams, lambda g: F.contains(stem, g))) / F.size(name_grams)
+    f1 = F.element_at(F.transform(F.array(F.struct(p.alias("p"), r.alias("r"))), lambda s: F.when(s["p"] + s["r"] > 0, 2 * s["p"] * s["r"] / (s["p"] + s["r"])).otherwise(0.0)), 1)
+    whole = (F.length(strip_space(name)) >= 2) & F.contains(strip_space(stem), strip_space(name))
+    return F.when(whole, F.lit(1.0)).when((F.size(stem_grams) == 0) | (F.size(name_grams) == 0), F.lit(0.0)).otherwise(f1)
 
 
 def signal_groups(text: Column, groups: list[list[str]]) -> Column:
@@ -81,47 +83,65 @@ def in_scope(point: Column, scope: Column, blocked: list[str] = []) -> Column:
 
 
 #: Fixed values, applied in this order: unit words to signs. 克 comes before 千克, so 千克 becomes 千g.
-UNITS = (("度", "°"), ("厘米", "cm"), ("毫米", "mm"), ("千米", "km"), ("米", "m"), ("克", "g"), ("千克", "kg"), ("×", "*"), ("·", "*"), ("÷", "/"), ("，", ","), ("；", ";"), ("＝", "="))
-#: Count words without a dimension.
-COUNTERS = "条个只次种人张"
+UNITS = (("度", "°"), ("厘米", "cm"), ("毫米", "mm"), ("千米", "km"), ("克", "g"), ("千克", "kg"), ("吨", "t"), ("升", "L"), ("×", "x"), ("·", "x"))
+#: Count words without a dimension, characters of units, and what ends an answer without a meaning.
+COUNTERS = "条个名位次人本支只棵车辆天周月年页题"
+CJK_UNITS = "平方厘米分毫千克升吨元"
+LAST = ";；.。,，、！!"
+_BETWEEN = "或|；|;|,|，|、|和"
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 
 
 def normal_answer(answer: Column) -> Column:
-    out = F.regexp_replace(answer, "(?U)\\s+", "")
+    """Full-width forms as plain ones, unit words as signs, no white space, no punctuation at the end."""
+    out = F.translate(F.coalesce(answer, F.lit("")), _WIDE + "\u3000", "".join(chr(ord(c) - 0xFEE0) for c in _WIDE) + " ")
     for word, sign in UNITS:
         out = F.replace(out, F.lit(word), F.lit(sign))
-    return F.regexp_replace(out, "[。.;,；，]+$", "")
+    return F.rtrim(strip_space(out), F.lit(LAST))
 
 
 def number(text: Column) -> Column:
-    """An integer, decimal, fraction or percentage as a double; else null."""
-    fraction = F.regexp_extract(text, r"^(-?\d+(?:\.\d+)?)/(\d+(?:\.\d+)?)$", 1)
-    below = F.regexp_extract(text, r"^(-?\d+(?:\.\d+)?)/(\d+(?:\.\d+)?)$", 2)
-    percent = F.regexp_extract(text, r"^(-?\d+(?:\.\d+)?)%$", 1)
-    plain_ = text.rlike(r"^-?\d+(?:\.\d+)?$")
-    return F.when(plain_, F.when(plain_, text).otherwise("0").cast("double")).when(F.length(fraction) > 0, F.try_divide(F.when(F.length(fraction) > 0, fraction).otherwise("0").cast("double"), F.when(F.length(below) > 0, below).otherwise("1").cast("double"))).when(F.length(percent) > 0, F.when(F.length(percent) > 0, percent).otherwise("0").cast("double") / 100)
+    """An integer, decimal, fraction, percentage or radical (√12, 3√2, 3√(2)) as a double; else null."""
+    part = lambda pattern, i=1: F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).try_cast("double")
+    plain_, fraction, percent, radical = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)$", r"^([+-]?\d+)/([+-]?\d+)$", r"^([+-]?\d+(?:\.\d+)?)%$", r"^(\d*)√\(?(\d+)\)?$"
+    return F.coalesce(part(plain_), F.try_divide(part(fraction), part(fraction, 2)), part(percent) / 100, F.coalesce(part(radical), F.lit(1.0)) * F.sqrt(part(radical, 2)))
+
+
+def _close(a: Column, b: Column) -> Column:
+    return F.abs(a - b) <= F.greatest(F.greatest(F.abs(a), F.abs(b)) * 1e-9, F.lit(1e-9))
 
 
 def equivalent(computed: Column, stored: Column) -> Column:
-    """Three-valued: null if either side is empty or only one is a choice of letters. Letters compare as sets; alternatives as sets; numbers
-    at 1e-9, with equal units, where count words have no dimension; else the normal forms."""
-    a, b = normal_answer(computed), normal_answer(stored)
-    letters = "^[A-Za-z]+$"
-    la, lb = a.rlike(letters), b.rlike(letters)
-    chars = lambda x: F.array_sort(F.array_distinct(F.split(F.upper(x), "")))
-    parts = lambda x: F.array_sort(F.array_distinct(F.split(x, "或|,|;")))
-    unit = lambda x: F.regexp_replace(F.regexp_replace(x, r"^-?[\d./]+%?", ""), f"^[{COUNTERS}]$", "")
-    value = lambda x: number(F.regexp_extract(x, r"^(-?[\d./]+%?)", 1))
-    numeric = value(a).isNotNull() & value(b).isNotNull()
-    many = (F.size(F.split(a, "或|,|;")) > 1) | (F.size(F.split(b, "或|,|;")) > 1)
-    return (
-        F.when((F.coalesce(F.length(a), F.lit(0)) == 0) | (F.coalesce(F.length(b), F.lit(0)) == 0), F.lit(None).cast("boolean"))
-        .when(la & lb, chars(a) == chars(b))
-        .when(la | lb, F.lit(None).cast("boolean"))
-        .when(many, parts(a) == parts(b))
-        .when(numeric, (unit(a) == unit(b)) & (F.abs(value(a) - value(b)) <= 1e-9))
-        .otherwise(a == b)
-    )
+    """True: the same; false: surely different; null: cannot be told, so nothing may fail by it.
+
+    Null if a side is empty. Equal normal forms are the same. Single letters A-F are choices. Alternatives are the same as sets of equal
+    number. Two numbers compare at 1e-9; so do values of one unit, or with a count word, which has no dimension, on one side. All else is null."""
+    pattern = f"^([+-]?\\d+(?:\\.\\d+)?)([A-Za-z°%]+|[{CJK_UNITS}]{{1,3}}|[一-鿿]{{1,2}})$"
+
+    def side(x: Column) -> Column:
+        parts = F.filter(F.transform(F.split(x, _BETWEEN), normal_answer), lambda p: p != "")
+        unit = F.nullif(F.regexp_extract(x, pattern, 2), F.lit(""))
+        return F.struct(x.alias("t"), parts.alias("parts"), number(x).alias("n"), F.nullif(F.regexp_extract(x, pattern, 1), F.lit("")).try_cast("double").alias("v"), unit.alias("u"), F.coalesce(unit.rlike(f"^[{COUNTERS}]$"), F.lit(False)).alias("counts"))
+
+    # Named once, so that no normal form is worked out again for each rule.
+    named = F.transform(F.array(normal_answer(computed), normal_answer(stored)), side)
+
+    def told(a: Column, b: Column) -> Column:
+        letter = lambda x: x["t"].rlike("^[A-Fa-f]$")
+        same = (F.size(a["parts"]) == F.size(b["parts"])) & (F.size(a["parts"]) >= 2) & (F.array_sort(F.array_distinct(a["parts"])) == F.array_sort(F.array_distinct(b["parts"])))
+        return (
+            F.when((a["t"] == "") | (b["t"] == ""), F.lit(None).cast("boolean"))
+            .when(a["t"] == b["t"], F.lit(True))
+            .when(letter(a) & letter(b), F.upper(a["t"]) == F.upper(b["t"]))
+            .when(same, F.lit(True))
+            .when(a["n"].isNotNull() & b["n"].isNotNull(), _close(a["n"], b["n"]))
+            .when(a["u"].isNotNull() & b["u"].isNotNull() & ((a["u"] == b["u"]) | a["counts"] | b["counts"]), _close(a["v"], b["v"]))
+            .when(a["u"].isNull() & a["n"].isNotNull() & b["counts"], _close(a["n"], b["v"]))
+            .when(b["u"].isNull() & b["n"].isNotNull() & a["counts"], _close(b["n"], a["v"]))
+        )
+
+    both = F.transform(F.array(named), lambda s: told(F.element_at(s, 1), F.element_at(s, 2)))
+    return F.element_at(both, 1)
 
 
 def answer_form(answer: Column) -> Column:

@@ -80,3 +80,21 @@ def fold_by_precedence(rows: DataFrame, key: str, outcome: str, order: Sequence[
     rank = F.coalesce(F.element_at(F.create_map(*(x for i, o in enumerate(order) for x in (F.lit(o), F.lit(i)))), F.col(outcome)), F.lit(-1))
     worst = rows.groupBy(key).agg(F.min(rank).alias("_r"))
     return worst.select(key, F.when(F.col("_r") < 0, F.lit("unknown")).otherwise(F.element_at(F.array(*(F.lit(o) for o in order)), F.greatest(F.col("_r"), F.lit(0)) + 1)).alias(outcome))
+
+
+def fold_outcomes(rows: DataFrame, key: str, outcome: str, loss: str, acceptable: str, not_comparable: str, equal: str) -> DataFrame:
+    """key, outcome of its checks: loss if there is any; not_comparable if all are; else acceptable, then not_comparable, if there is any; else equal."""
+    is_ = lambda x: F.coalesce(F.col(outcome) == x, F.lit(False))
+    told = F.when(F.bool_or(is_(loss)), loss).when(F.bool_and(is_(not_comparable)), not_comparable).when(F.bool_or(is_(acceptable)), acceptable).when(F.bool_or(is_(not_comparable)), not_comparable).otherwise(equal)
+    return rows.groupBy(key).agg(told.alias(outcome))
+
+
+def status_sets(rows: DataFrame, item: str, kind: str, status: str, required: Sequence[str]) -> DataFrame:
+    """item, kind, verdict, conflicting for each required kind: missing without rows, pass if all pass, unsupported before fail before nonpass."""
+    per = rows.groupBy(item, kind).agg(F.collect_set(status).alias("_set"))
+    wanted = rows.select(item).distinct().select(item, F.explode(F.array(*(F.lit(k) for k in required))).alias(kind))
+    out = wanted.join(per, [item, kind], "left")
+    has = lambda x: F.array_contains(F.col("_set"), x)
+    n = F.coalesce(F.size("_set"), F.lit(0))
+    verdict = F.when(n < 1, "missing").when((n == 1) & has("pass"), "pass").when(has("unsupported"), "unsupported").when(has("fail"), "fail").otherwise("nonpass")
+    return out.select(item, kind, verdict.alias("verdict"), (n > 1).alias("conflicting"))

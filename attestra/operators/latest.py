@@ -24,9 +24,11 @@ def current(rows: DataFrame, heads: DataFrame, keys: Sequence[str], version: str
     return rows.join(heads.select(*keys, version), [*keys, version], "left_semi")
 
 
-def append_new(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Insert-if-absent: incoming rows whose key is new; one row of each new key."""
-    return incoming.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+def append_new(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Insert-if-absent: incoming rows whose key is new; of several rows of a new key the first by `order` and then by all values."""
+    values = [c for c in incoming.columns if c not in keys]
+    first = first_per_key(incoming, keys, [*order, *(v for v in values if v not in order)], values) if values else incoming.distinct()
+    return first.select(*incoming.columns).join(existing.select(*keys), list(keys), "left_anti")
 
 
 def collisions(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -39,9 +41,11 @@ def collisions(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], va
     return e.join(i, on).where(differ).select(*(F.col(f"e.{k}").alias(k) for k in keys))
 
 
-def replace_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Insert-or-replace: incoming rows win over existing ones of their key."""
-    return existing.join(incoming.select(*keys), list(keys), "left_anti").unionByName(incoming)
+def replace_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Insert-or-replace: incoming rows win over existing ones of their key; of several, the last by `order` and then by all values."""
+    values = [c for c in incoming.columns if c not in keys]
+    last = latest_per_key(incoming, keys, [*order, *(v for v in values if v not in order)], values) if values else incoming.distinct()
+    return existing.join(incoming.select(*keys), list(keys), "left_anti").unionByName(last)
 
 
 def reasons(**codes: Column) -> Column:

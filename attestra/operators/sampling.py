@@ -19,21 +19,27 @@ def per_stratum(df: DataFrame, stratum: Column | str, key: str, n: Column | int,
     return df.withColumn("pick", F.row_number().over(w).cast("long")).where(F.col("pick") <= n)
 
 
-def priority_strata(df: DataFrame, strata: Sequence[tuple[str, Column]], key: str, n: int, seed: str) -> DataFrame:
-    """n rows of each stratum, of rows that no earlier stratum holds."""
+def priority_strata(df: DataFrame, strata: Sequence[tuple[str, Column]], key: str, n: int, seed: str, total: int | None = None) -> DataFrame:
+    """n rows of each stratum, of rows that no earlier stratum holds; then, up to `total` rows, any that are left (stratum fill), in drawing order."""
     which = F.lit(None).cast("string")
     for name, cond in reversed(strata):
         which = F.when(F.coalesce(cond, F.lit(False)), F.lit(name)).otherwise(which)
-    return per_stratum(df.withColumn("stratum", which).where("stratum IS NOT NULL"), "stratum", key, n, seed)
+    named = df.withColumn("stratum", which)
+    picked = per_stratum(named.where("stratum IS NOT NULL"), "stratum", key, n, seed)
+    if total is None:
+        return picked
+    room = max(0, total - picked.count())
+    left = df.join(picked.select(key), key, "left_anti").orderBy(draw(F.col(key), seed), key).limit(room).withColumn("stratum", F.lit("fill"))
+    return picked.unionByName(per_stratum(left, "stratum", key, room, seed))
 
 
 def allocation(df: DataFrame, stratum: str, total: int) -> DataFrame:
-    """stratum, n, quota: proportional shares of `total`, largest remainders first, none above its stratum's size."""
+    """stratum, n, quota: proportional shares of `total` (of all rows, if it is more), largest remainders first; none is above its stratum's size."""
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
     all_ = sizes.agg(F.sum("n").alias("_all"))
     # In whole numbers: the remainder of total * n by the total of all rows.
-    exact = sizes.crossJoin(F.broadcast(all_)).withColumns({"_floor": F.expr(f"(n * {total}L) div _all"), "_rest": F.expr(f"(n * {total}L) % _all")})  # one row
-    left = F.lit(total) - F.sum("_floor").over(Window.partitionBy(F.lit(1)))
+    exact = sizes.crossJoin(F.broadcast(all_)).withColumns({"_total": F.least(F.lit(total).cast("long"), "_all")}).withColumns({"_floor": F.expr("(n * _total) div _all"), "_rest": F.expr("(n * _total) % _all")})  # one row
+    left = F.col("_total") - F.sum("_floor").over(Window.partitionBy(F.lit(1)))
     place = F.row_number().over(Window.orderBy(F.desc("_rest"), stratum))  # a row a stratum
     return exact.withColumns({"_left": left, "_place": place}).select(stratum, "n", F.least(F.col("n"), F.col("_floor") + (F.col("_place") <= F.col("_left")).cast("long")).alias("quota"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import char_ngrams, file_base, jaccard, ngram_f1, plain
+from ..functions.text import char_ngrams, file_base, jaccard, keyword_f1, keyword_grams, plain, strip_space
 
 #: Least scores for sources of one family, compared after rounding to four places.
 FILE_SCORE, STEM_SCORE = 0.72, 0.74
@@ -37,21 +37,52 @@ def relationship(pairs: DataFrame, hash_a: str, hash_b: str, file_a: str, file_b
     return out.withColumns({"uncertainty": look(0), "action": look(1)})
 
 
-def blocked_pairs(df: DataFrame, key: str, block: Column, keep: list[str], where: Column | None = None) -> DataFrame:
-    """Pairs of rows with the same block, a < b by key or as `where` says, with the columns kept as <name>_a and <name>_b."""
-    side = lambda s: df.select(block.alias("_block"), *(F.col(c).alias(f"{c}_{s}") for c in [key, *keep])).where("_block IS NOT NULL")
-    return side("a").join(side("b"), "_block").where(F.col(f"{key}_a") < F.col(f"{key}_b") if where is None else where)
+def similar_pairs(texts: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """a, b (keys, a < b), score: the pairs of texts (one row a text) whose similarity is at least `least`.
 
-
-def classify(items: DataFrame, nodes: DataFrame, item: str, stem: str, node: str, name: str, grams: int = 3, k: int = 3, least: float = 0.35) -> DataFrame:
-    """item, node, score, rank: each item's k best nodes by n-gram F1, of at least `least`. Items meet the nodes they share a gram with
-    through an inverted index; nodes without one would score 0."""
-    i = items.select(F.col(item).alias("_i"), plain(F.col(stem)).alias("_s")).withColumn("_g", char_ngrams(F.col("_s"), grams))
-    n = nodes.select(F.col(node).alias("_n"), plain(F.col(name)).alias("_m")).withColumn("_h", char_ngrams(F.col("_m"), grams))
-    met = i.select("_i", F.explode("_g").alias("_x")).join(n.select("_n", F.explode("_h").alias("_x")), "_x").select("_i", "_n").distinct()
-    scored = met.join(i, "_i").join(n, "_n").select("_i", "_n", F.round(ngram_f1(F.col("_g"), F.col("_h"), F.col("_s"), F.col("_m")), 4).alias("score"))
-    place = F.row_number().over(Window.partitionBy("_i").orderBy(F.desc("score"), "_n"))
-    return scored.withColumn("rank", place).where((F.col("rank") <= k) & (F.col("score") >= least)).select(F.col("_i").alias(item), F.col("_n").alias(node), "score", F.col("rank").cast("long").alias("rank"))
+    Exact, without comparing all pairs: sets as similar as that share one of each other's rarest words (or trigrams), as many as may differ and one more.
+    """
+    bound = least - 0.00005  # scores are rounded
+    words = F.filter(F.array_distinct(F.split(F.col(text), " ")), lambda w: w != "")
+    both = F.array(F.struct(F.lit("w").alias("kind"), words.alias("s")), F.struct(F.lit("g").alias("kind"), char_ngrams(F.replace(text, F.lit(" "), F.lit("")), 3).alias("s")))
+    sets = texts.select(F.col(key).alias("_k"), F.explode(both).alias("x")).select("_k", "x.kind", F.size("x.s").alias("n"), F.explode("x.s").alias("t"))
+    often = sets.groupBy("kind", "t").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("_k", "kind").orderBy("often", "t"))
+    rare = sets.join(often, ["kind", "t"]).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * bound) + 1)
+    side = lambda s: rare.select("kind", "t", F.col("_k").alias(s), F.col("n").alias(f"n{s}"))
+    near = side("a").join(side("b"), ["kind", "t"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= bound * F.greatest("na", "nb"))).select("a", "b").distinct()
+    told = near.join(texts.select(F.col(key).alias("a"), F.col(text).alias("_ta")), "a").join(texts.select(F.col(key).alias("b"), F.col(text).alias("_tb")), "b")
+    return told.select("a", "b", similarity(F.col("_ta"), F.col("_tb")).alias("score")).where(F.col("score") >= least)
+
+
+def find_similar(items: DataFrame, key: str, text: str, scope: str, ratio, least: float = 0.9) -> DataFrame:
+    """key, similar_to, ratio: for each item the first earlier item (by key) of its scope whose text is as similar; those without one are left out.
+
+    Equal texts are compared once; lengths that rule the ratio out are not compared."""
+    t = items.groupBy(F.col(scope).alias("_s"), F.col(text).alias("_t")).agg(F.min(key).alias("_first"))
+    n = lambda c: F.length(c)
+    pairs = t.select("_s", F.col("_t").alias("_a")).join(t.select("_s", F.col("_t").alias("_b"), "_first"), "_s").where(2 * F.least(n("_a"), n("_b")) >= least * (n("_a") + n("_b")))
+    good = pairs.withColumn("_r", F.when(F.col("_a") == F.col("_b"), F.lit(1.0)).otherwise(ratio("_a", "_b"))).where(F.col("_r") >= least)
+    met = items.select(key, F.col(scope).alias("_s"), F.col(text).alias("_a")).join(good, ["_s", "_a"]).where(F.col("_first") < F.col(key))
+    return met.groupBy(key).agg(F.min("_first").alias("similar_to"), F.min_by("_r", "_first").alias("ratio"))
+
+
+def classify(items: DataFrame, nodes: DataFrame, item: str, stem: str, node: str, name: str, alphabet: str = "一-鿿", k: int = 3, least: float = 0.35) -> DataFrame:
+    """item, node, score, rank: each item's k best nodes by keyword F1, of at least `least`. Items meet the nodes they share two characters in a row
+    with, as they are or among those of the alphabet; others would score 0. Equal stems are scored once."""
+
+    def keyed(df: DataFrame, own: str) -> DataFrame:
+        pairs = F.array_union(keyword_grams(F.col(own), (2,), alphabet), char_ngrams(strip_space(F.col(own)), 2))
+        return df.select(own, F.explode(pairs).alias("_x"))
+
+    i = items.select(F.coalesce(stem, F.lit("")).alias("_s")).distinct().withColumn("_g", keyword_grams(F.col("_s"), alphabet=alphabet))
+    n = nodes.select(F.col(node).alias("_n"), F.coalesce(name, F.lit("")).alias("_m")).withColumn("_h", keyword_grams(F.col("_m"), alphabet=alphabet))
+    met = keyed(i, "_s").join(keyed(n.select("_m").distinct(), "_m"), "_x").select("_s", "_m").distinct()
+    scored = met.join(i, "_s").join(n, "_m").select("_s", "_n", F.round(keyword_f1(F.col("_s"), F.col("_m"), F.col("_g"), F.col("_h")), 4).alias("score"))
+    place = F.row_number().over(Window.partitionBy("_s").orderBy(F.desc("score"), "_n"))
+    top = scored.withColumn("rank", place).where((F.col("rank") <= k) & (F.col("score") >= least))
+    own = items.select(F.col(item).alias("_i"), F.coalesce(stem, F.lit("")).alias("_s"))
+    return own.join(top, "_s").select(F.col("_i").alias(item), F.col("_n").alias(node), "score", F.col("rank").cast("long").alias("rank"))
 
 
 def scope_decision(matches: DataFrame, item: str, node: str, longest: str, allowed: Column, least: float = 0.75, margin: float = 0.15) -> DataFrame:

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def paths(nodes: DataFrame, key: str, parent: str, sequence: str, most_levels: int = 64) -> DataFrame:
-    """key, level, path of every node that a root reaches; paths sort in preorder (sequence, then key). One join a level."""
-    step = F.concat(F.lpad(F.col(sequence).cast("string"), 12, "0"), F.lit("~"), F.col(key).cast("string"), F.lit("/"))
-    own = nodes.select(F.col(key), F.col(parent).alias("_p"), step.alias("_s"))
-    level = own.where("_p IS NULL").select(key, F.lit(0).alias("level"), F.col("_s").alias("path"))
-    out = level
-    for depth in range(1, most_levels):
-        level = own.join(level.select(F.col(key).alias("_p"), F.col("path").alias("_path")), "_p").select(key, F.lit(depth).alias("level"), F.concat("_path", "_s").alias("path"))
-        if level.isEmpty():
-            break
+from .tables import written
+
+
+def paths(nodes: DataFrame, key: str, parent: str, sequence: str) -> DataFrame:
+    """key, level, path of every node that a root reaches, however deep; paths sort in preorder (sequence, then key). One join a level, each
+    level written once. A node that would be its own ancestor (an id given twice) is not followed again."""
+    own_id = F.concat(F.lit("~"), F.col(key).cast("string"), F.lit("/"))
+    own = nodes.select(F.col(key), F.col(parent).alias("_p"), F.concat(F.lpad(F.col(sequence).cast("string"), 12, "0"), own_id).alias("_s"), own_id.alias("_id"))
+    level = written(own.where("_p IS NULL").select(key, F.lit(0).alias("level"), F.col("_s").alias("path")), "level")
+    out, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        step = own.join(level.select(F.col(key).alias("_p"), F.col("path").alias("_path")), "_p").where(~F.contains("_path", "_id"))
+        level = written(step.select(key, F.lit(depth).alias("level"), F.concat("_path", "_s").alias("path")), "level")
         out = out.unionByName(level)
     return out
 

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import items as it
 from ..functions import text as tx
-from ..operators import gates, integrity, latest, reports, sampling, segment, selection, similarity, tree
+from ..operators import candidates, gates, integrity, latest, reports, sampling, segment, selection, similarity, snapshots, tree
 
 KINDS = ("click", "error", "purchase", "signup", "view")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,32 +103,44 @@ def universal_quantifier(spark, sf_dir):
     return gates.all_and_complete(orders, lines, "o_orderkey", F.col("l_discount") <= 0.07, "n_lines")
 
 
-@query("""SELECT d.source AS source, CASE min(CASE WHEN toxic = 1 THEN 0 WHEN quality IS NULL THEN 1 WHEN quality = 0 THEN 2 ELSE 3 END) WHEN 0 THEN 'suspected_loss' WHEN 1 THEN 'not_comparable' WHEN 2 THEN 'acceptable' ELSE 'equal' END AS outcome
-    FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.source""")
+@query("""SELECT source, CASE WHEN bool_or(o = 'loss') THEN 'suspected_loss' WHEN bool_and(o = 'nc') THEN 'not_comparable' WHEN bool_or(o = 'acc') THEN 'acceptable' WHEN bool_or(o = 'nc') THEN 'not_comparable' ELSE 'equal' END AS outcome
+    FROM (SELECT d.source || '/' || (d.doc_id % 50) AS source, CASE WHEN toxic = 1 THEN 'loss' WHEN quality IS NULL THEN 'nc' WHEN quality = 0 THEN 'acc' ELSE 'eq' END AS o FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY source""")
 def outcome_precedence_fold(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    """Checks of one sample: a loss decides; only if all are not comparable is the sample; an acceptable difference decides over some that are not."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", (F.col("doc_id") % 50).cast("string")).alias("source")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     outcome = F.when(F.col("toxic") == 1, "suspected_loss").when(F.col("quality").isNull(), "not_comparable").when(F.col("quality") == 0, "acceptable").otherwise("equal")
-    return gates.fold_by_precedence(rows.withColumn("outcome", outcome), "source", "outcome", ["suspected_loss", "not_comparable", "acceptable", "equal"])
+    return gates.fold_outcomes(rows.withColumn("outcome", outcome), "source", "outcome", "suspected_loss", "acceptable", "not_comparable", "equal")
+
+
+@query(f"""SELECT u.user_id, k AS event_type, CASE WHEN s IS NULL THEN 'missing' WHEN s = ['pass'] THEN 'pass' WHEN list_contains(s, 'unsupported') THEN 'unsupported' WHEN list_contains(s, 'fail') THEN 'fail' ELSE 'nonpass' END AS verdict, coalesce(len(s), 0) > 1 AS conflicting
+    FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT unnest(['click','error','purchase','signup','view']) AS k) LEFT JOIN (SELECT user_id, event_type, list_distinct(list(status)) AS s FROM {_LOG} WHERE value > 40 GROUP BY ALL) x ON x.user_id = u.user_id AND x.event_type = k""")
+def status_set_verdicts(spark, sf_dir):
+    rows = log(spark, sf_dir).join(table(spark, sf_dir, "events").where("value > 40").select("event_id"), "event_id", "left_semi")
+    everyone = log(spark, sf_dir).select("user_id").distinct()
+    told = gates.status_sets(rows.select("user_id", "event_type", "status"), "user_id", "event_type", "status", KINDS)
+    return everyone.withColumn("event_type", F.explode(F.array(*(F.lit(k) for k in KINDS)))).join(told, ["user_id", "event_type"], "left").select("user_id", "event_type", F.coalesce("verdict", F.lit("missing")).alias("verdict"), F.coalesce("conflicting", F.lit(False)).alias("conflicting"))
 
 
 # --- selection -----------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH ok AS (SELECT user_id FROM {_LAST} GROUP BY 1 HAVING count(*) FILTER (status = 'pass') >= 1 AND count(*) FILTER (status = 'fail') <= 3),
-    c AS (SELECT c_custkey, c_mktsegment, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey IN (0, 1, 2) AND c_acctbal >= 0 AND c_custkey IN (SELECT user_id FROM ok)),
-    f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM orders u WHERE u.o_custkey = c_custkey AND u.o_orderstatus = 'F' AND u.o_totalprice > 400000 AND NOT EXISTS (SELECT 1 FROM orders a WHERE a.o_custkey = u.o_custkey AND a.o_orderpriority = '1-URGENT')))
-    SELECT c_custkey, c_mktsegment, position FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS position FROM f) WHERE position <= 25""")
+@query("""WITH l AS (SELECT user_id, event_type, value <= 100 AS good FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1),
+    ok AS (SELECT user_id FROM l GROUP BY 1 HAVING count(*) = 5 AND bool_and(good)),
+    c AS (SELECT c_custkey, c_acctbal, audience FROM customer JOIN nation ON c_nationkey = n_nationkey CROSS JOIN (SELECT DISTINCT o_orderpriority AS audience FROM orders) WHERE n_regionkey IN (0, 1, 2) AND c_acctbal >= 0 AND c_custkey IN (SELECT user_id FROM ok)),
+    f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM orders u WHERE u.o_custkey = c_custkey AND u.o_orderpriority = audience AND u.o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM orders a WHERE a.o_custkey = u.o_custkey AND a.o_orderpriority = audience AND a.o_orderstatus = 'P')))
+    SELECT audience, c_custkey, position FROM (SELECT *, row_number() OVER (PARTITION BY audience ORDER BY c_acctbal, c_custkey) AS position FROM f) WHERE position <= 25""")
 def select_with_history(spark, sf_dir):
-    """Flagship: per segment (class), approved items of allowed nodes that are verified and not delivered before, unless authorised."""
-    now = latest.latest_per_key(log(spark, sf_dir), ["user_id", "event_type"], ["event_id"], ["status"])
-    verified = now.groupBy("user_id").agg(F.count_if(F.col("status") == "pass").alias("p"), F.count_if(F.col("status") == "fail").alias("f")).where("p >= 1 AND f <= 3")
+    """Flagship: per class, items of allowed nodes whose latest checks pass in all five kinds and that this class was not given before, unless
+    an authorisation lets it have them again."""
+    checks = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.when(F.col("value") <= 100, "pass").otherwise("fail").alias("status"))
+    verified = gates.quorum(checks, "user_id", "event_type", "status", KINDS, ["event_id"]).where("quorum")
     nodes = table(spark, sf_dir, "nation").where(F.col("n_regionkey").isin(0, 1, 2))
     items = selection.matching(table(spark, sf_dir, "customer"), [F.col("c_acctbal") >= 0]).join(nodes, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").join(verified, F.col("c_custkey") == F.col("user_id"), "left_semi")
-    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey").withColumn("audience", F.lit("all"))
-    given, allowed = orders.where("o_orderstatus = 'F' AND o_totalprice > 400000"), orders.where("o_orderpriority = '1-URGENT'")
-    free = selection.not_delivered(items.withColumn("audience", F.lit("all")), given, allowed, "c_custkey", "audience")
-    place = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_acctbal", "c_custkey")).cast("long")
-    return free.withColumn("position", place).where("position <= 25").select("c_custkey", "c_mktsegment", "position")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("audience"), "o_orderstatus")
+    classes = orders.select("audience").distinct()  # a few classes
+    free = selection.not_delivered(items.crossJoin(F.broadcast(classes)), orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'P'"), "c_custkey", "audience")
+    place = F.row_number().over(Window.partitionBy("audience").orderBy("c_acctbal", "c_custkey")).cast("long")
+    return free.withColumn("position", place).where("position <= 25").select("audience", "c_custkey", "position")
 
 
 @query("""SELECT b.seg AS seg, b.prio AS prio, wanted, coalesce(found, 0) AS found, greatest(wanted - coalesce(found, 0), 0) AS shortage, CASE WHEN coalesce(found, 0) >= wanted THEN 'ready' ELSE 'blocked' END AS status
@@ -281,36 +294,37 @@ def trigram_profile(spark, sf_dir):
 _SCORE = "round(greatest(CASE WHEN len(wa) + len(wb) = 0 THEN 0 ELSE len(list_intersect(wa, wb)) / (len(wa) + len(wb) - len(list_intersect(wa, wb))) END, CASE WHEN len(ga) + len(gb) = 0 THEN 0 ELSE len(list_intersect(ga, gb)) / (len(ga) + len(gb) - len(list_intersect(ga, gb))) END), 4)"
 
 
-@query(f"""WITH t AS (SELECT p_partkey, p_name, p_brand, {_PLAIN.format("p_name || ' ' || p_type")} AS s FROM part), u AS (SELECT *, list_distinct(list_filter(string_split(s, ' '), lambda x: x <> '')) AS w, {_GRAMS.format("replace(s, ' ', '')")} AS g FROM t),
-    p AS (SELECT a.p_partkey AS part_a, b.p_partkey AS part_b, a.p_name = b.p_name AS same, a.w AS wa, b.w AS wb, a.g AS ga, b.g AS gb FROM u a JOIN u b ON a.p_brand = b.p_brand AND a.s[1:4] = b.s[1:4] AND a.p_partkey < b.p_partkey AND a.p_partkey // 40 = b.p_partkey // 40)
-    SELECT part_a, part_b, CASE WHEN same THEN 'exact_duplicate' WHEN {_SCORE} >= 0.74 THEN 'suspected_same_family' ELSE 'no_match' END AS decision, {_SCORE} AS score FROM p""")
+@query(f"""WITH t AS (SELECT p_partkey, {_PLAIN.format("p_name || ' ' || p_type")} AS s FROM part), c AS (SELECT s, min(p_partkey) AS first FROM t GROUP BY s),
+    u AS (SELECT *, list_distinct(list_filter(string_split(s, ' '), lambda x: x <> '')) AS w, {_GRAMS.format("replace(s, ' ', '')")} AS g FROM c),
+    p AS (SELECT a.first AS part_a, b.first AS part_b, a.w AS wa, b.w AS wb, a.g AS ga, b.g AS gb FROM u a JOIN u b ON a.first < b.first)
+    SELECT first AS part_a, p_partkey AS part_b, 'exact_duplicate' AS decision, CAST(1.0 AS DOUBLE) AS score FROM t JOIN c USING (s) WHERE p_partkey <> first
+    UNION ALL SELECT part_a, part_b, 'suspected_same_family', CAST({_SCORE} AS DOUBLE) FROM p WHERE {_SCORE} >= 0.74""")
 def near_duplicate_families(spark, sf_dir):
-    """Every pair of parts of one brand. Each pair of texts is scored once, and met by the parts that have them; a part's text stands for
-    both file and stem, whole words only, so the higher threshold decides."""
-    s = tx.plain(F.concat_ws(" ", "p_name", "p_type"))
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", s.alias("s"), F.xxhash64("p_name", s).alias("text"))
-    kinds = similarity.blocked_pairs(parts.drop("p_partkey").distinct(), "text", F.col("p_brand"), ["p_name", "s"], F.col("text_a") <= F.col("text_b"))
-    score = similarity.similarity(F.col("s_a"), F.col("s_b"))
-    scored = kinds.drop("_block").distinct().withColumn("score", score)
-    decision = F.when(F.col("p_name_a") == F.col("p_name_b"), "exact_duplicate").when(F.col("score") >= similarity.STEM_SCORE, "suspected_same_family").otherwise("no_match")
-    told = scored.select(F.col("text_a").alias("t1"), F.col("text_b").alias("t2"), decision.alias("decision"), "score")
-    pairs = similarity.blocked_pairs(parts, "p_partkey", F.col("p_brand"), ["text"])
-    pairs = pairs.select(F.col("p_partkey_a").alias("part_a"), F.col("p_partkey_b").alias("part_b"), F.least("text_a", "text_b").alias("t1"), F.greatest("text_a", "text_b").alias("t2"))
-    return pairs.join(told, ["t1", "t2"]).select("part_a", "part_b", "decision", "score")
-
-
-@query(f"""WITH i AS (SELECT p_partkey, {_PLAIN.format("p_name || ' ' || p_type")} AS s FROM part WHERE p_size <= 5), n AS (SELECT DISTINCT p_name AS node, {_PLAIN.format("p_name")} AS m FROM part),
-    x AS (SELECT p_partkey, node, s, m, {_GRAMS.format('s')} AS g, {_GRAMS.format('m')} AS h FROM i CROSS JOIN n), y AS (SELECT *, len(list_intersect(g, h)) AS b FROM x),
-    z AS (SELECT p_partkey, node, round(CASE WHEN contains(s, m) THEN 1.0 WHEN b = 0 THEN 0 ELSE 2 * (b / len(g)) * (b / len(h)) / (b / len(g) + b / len(h)) END, 4) AS score FROM y),
-    r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, node) AS rank FROM z) SELECT p_partkey, node, score, rank FROM r WHERE rank <= 3 AND score >= 0.35""")
+    """Over all parts: each copy of a text with the first part that has it, and the pairs of such first parts whose texts are of one family. A
+    part's text stands for both file and stem, so the higher threshold decides."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", tx.plain(F.concat_ws(" ", "p_name", "p_type")).alias("s"))
+    firsts = parts.groupBy("s").agg(F.min("p_partkey").alias("first"))
+    copies = parts.join(firsts, "s").where("p_partkey <> first").select(F.col("first").alias("part_a"), F.col("p_partkey").alias("part_b"), F.lit("exact_duplicate").alias("decision"), F.lit(1.0).alias("score"))
+    family = similarity.similar_pairs(firsts, "first", "s", similarity.STEM_SCORE)
+    return copies.unionByName(family.select(F.col("a").alias("part_a"), F.col("b").alias("part_b"), F.lit("suspected_same_family").alias("decision"), "score"))
+
+
+_KEYWORDS = "list_distinct(list_concat(list_concat(list_transform(range(1, length({0}) - 2), lambda i: substr({0}, i, 4)), list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3))), list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))))"
+
+
+@query(f"""WITH i AS (SELECT DISTINCT p_name || ' ' || p_type AS s, regexp_replace(p_name || ' ' || p_type, '[^A-Za-z]', '', 'g') AS c FROM part), n AS (SELECT DISTINCT p_name AS node, regexp_replace(p_name, '[^A-Za-z]', '', 'g') AS d FROM part),
+    k AS (SELECT *, {_KEYWORDS.format('c')} AS g FROM i), m AS (SELECT *, {_KEYWORDS.format('d')} AS h FROM n),
+    x AS (SELECT s, node, length(node) >= 2 AND contains(replace(s, ' ', ''), replace(node, ' ', '')) AS whole, len(list_filter(g, lambda y: contains(node, y))) / len(g) AS p, len(list_filter(h, lambda y: contains(s, y))) / len(h) AS r FROM k CROSS JOIN m),
+    z AS (SELECT s, node, round(CASE WHEN whole THEN 1.0 WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS score FROM x), o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, node) AS rank FROM z)
+    SELECT p_partkey, node, score, rank FROM part JOIN o ON s = p_name || ' ' || p_type WHERE rank <= 3 AND score >= 0.35""")
 def topk_classify(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     items = part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("stem"))
     nodes = part.select(F.col("p_name").alias("node"), F.col("p_name").alias("name")).distinct()
-    return similarity.classify(items, nodes, "p_partkey", "stem", "node", "name")
+    return similarity.classify(items, nodes, "p_partkey", "stem", "node", "name", alphabet="A-Za-z")
 
 
-@query("""WITH a AS (SELECT item_id, unnest(list_distinct(list_filter(string_split(text, ' '), lambda w: length(w) >= 4))) AS anchor FROM benchmark WHERE item_id < 20), d AS (SELECT doc_id, unnest(list_distinct(string_split(text, ' '))) AS w FROM documents WHERE text IS NOT NULL),
+@query("""WITH a AS (SELECT item_id, unnest(list_distinct(list_filter(string_split(text, ' '), lambda w: length(w) >= 4))) AS anchor FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct(string_split(text, ' '))) AS w FROM documents WHERE text IS NOT NULL),
     m AS (SELECT doc_id, item_id, max(length(anchor)) AS longest FROM d JOIN a ON w = anchor GROUP BY ALL), c AS (SELECT *, least(1.0, longest / 5) AS c, item_id % 2 = 0 AS inside FROM m WHERE least(1.0, longest / 5) >= 0.75),
     k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, inside ORDER BY c DESC, item_id) AS r FROM c),
     b AS (SELECT doc_id, max(CASE WHEN inside AND r = 1 THEN c END) AS one, max(CASE WHEN inside AND r = 2 THEN c END) AS two, max(CASE WHEN inside AND r = 1 THEN item_id END) AS node, bool_or(NOT inside) AS outside FROM k GROUP BY 1),
@@ -364,11 +378,139 @@ def answer_form_classes(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(tx.answer_form(F.expr(_ANSWER.replace("VARCHAR", "STRING"))).alias("form")).groupBy("form").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN abs(l_partkey / 100.0 - l_suppkey / 100.0) <= 1e-9 WHEN 1 THEN true WHEN 2 THEN list_sort(list_distinct([l_partkey, l_suppkey])) = list_sort(list_distinct([l_suppkey, l_partkey + l_linenumber % 2])) ELSE NULL END AS same FROM lineitem""")
+#: Pairs of answers by line: with units, fractions, percentages, radicals, alternatives, choices, count words and forms that cannot be told.
+_PAIRS = (
+    ("concat(l_partkey, '%')", "concat(l_suppkey, '/100')"), ("concat(l_partkey, '厘米')", "concat(l_suppkey, ' cm。')"), ("concat(l_partkey, '或', l_suppkey)", "concat(l_suppkey, '；', l_partkey + l_linenumber % 2)"), ("'A'", "'b'"),
+    ("concat('x+', l_partkey)", "concat(l_partkey, '+x')"), ("concat(l_partkey, 'cm')", "concat(l_partkey, 'm')"), ("concat('√', l_suppkey * l_suppkey)", "concat('', l_suppkey + l_linenumber % 2)"), ("concat(l_partkey, '.0或2')", "concat(l_partkey, '或2')"),
+    ("'ABC'", "'CBA'"), ("concat(l_partkey, '条')", "concat('', l_partkey + l_linenumber % 3)"), ("concat('2√(', l_suppkey, ')')", "concat('√', 4 * l_suppkey)"), ("concat(l_partkey, '个')", "concat(l_partkey, ' km')"),
+    ("concat('３', l_suppkey, '度')", "concat('3', l_suppkey, '°')"), ("'F'", "concat('', l_partkey)"), ("concat(l_partkey, '×', l_suppkey)", "concat(l_partkey, 'x', l_suppkey, '。')"), ("''", "concat('', l_partkey)"),
+)
+_LEFT, _RIGHT = (f"CASE (l_partkey + l_linenumber) % {len(_PAIRS)} " + " ".join(f"WHEN {k} THEN {pair[i]}" for k, pair in enumerate(_PAIRS)) + " END" for i in (0, 1))
+
+
+def _equivalent_sql() -> str:
+    def norm(x: str) -> str:
+        out = f"replace({x}, '３', '3')"
+        out = f"replace({out}, '；', ';')"
+        for word, sign in tx.UNITS:
+            out = f"replace({out}, '{word}', '{sign}')"
+        return f"rtrim(regexp_replace({out}, '\\s+', '', 'g'), '{tx.LAST}')"
+
+    num = lambda x: f"coalesce(TRY_CAST(nullif(regexp_extract({x}, '^([+-]?(?:\\d+\\.?\\d*|\\.\\d+))$', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract({x}, '^([+-]?\\d+)/([+-]?\\d+)$', 1), '') AS DOUBLE) / TRY_CAST(nullif(regexp_extract({x}, '^([+-]?\\d+)/([+-]?\\d+)$', 2), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract({x}, '^([+-]?\\d+)%$', 1), '') AS DOUBLE) / 100, coalesce(TRY_CAST(nullif(regexp_extract({x}, '^(\\d*)√', 1), '') AS DOUBLE), 1) * sqrt(TRY_CAST(nullif(regexp_extract({x}, '^\\d*√\\(?(\\d+)\\)?$', 1), '') AS DOUBLE)))"
+    unit = lambda x: f"nullif(regexp_extract({x}, '^[+-]?\\d+(?:\\.\\d+)?([A-Za-z°%]+|[{tx.CJK_UNITS}]{{1,3}}|[一-鿿]{{1,2}})$', 1), '')"
+    value = lambda x: f"TRY_CAST(nullif(regexp_extract({x}, '^([+-]?\\d+(?:\\.\\d+)?)(?:[A-Za-z°%]+|[一-鿿]{{1,3}})$', 1), '') AS DOUBLE)"
+    parts = lambda x: f"list_filter(string_split(regexp_replace({x}, '或|；|;|,|，|、|和', '|', 'g'), '|'), lambda p: p <> '')"
+    close = lambda a, b: f"abs({a} - {b}) <= greatest(1e-9 * greatest(abs({a}), abs({b})), 1e-9)"
+    counts = lambda u: f"coalesce(contains('{tx.COUNTERS}', {u}) AND length({u}) = 1, false)"
+    return f"""WITH a AS (SELECT l_orderkey, l_linenumber, {norm(_LEFT)} AS l, {norm(_RIGHT)} AS r FROM lineitem),
+        b AS (SELECT *, {num('l')} AS nl, {num('r')} AS nr, {unit('l')} AS ul, {unit('r')} AS ur, {value('l')} AS vl, {value('r')} AS vr, {parts('l')} AS pl, {parts('r')} AS pr FROM a)
+        SELECT l_orderkey, l_linenumber, CASE WHEN l = '' OR r = '' THEN NULL WHEN l = r THEN true WHEN regexp_full_match(l, '[A-Fa-f]') AND regexp_full_match(r, '[A-Fa-f]') THEN upper(l) = upper(r)
+            WHEN len(pl) >= 2 AND len(pl) = len(pr) AND list_sort(list_distinct(pl)) = list_sort(list_distinct(pr)) THEN true WHEN nl IS NOT NULL AND nr IS NOT NULL THEN {close('nl', 'nr')}
+            WHEN ul IS NOT NULL AND ur IS NOT NULL AND (ul = ur OR {counts('ul')} OR {counts('ur')}) THEN {close('vl', 'vr')} WHEN ul IS NULL AND nl IS NOT NULL AND {counts('ur')} THEN {close('nl', 'vr')} WHEN ur IS NULL AND nr IS NOT NULL AND {counts('ul')} THEN {close('nr', 'vl')} END AS same FROM b"""
+
+
+@query(_equivalent_sql())
 def answer_equivalence(spark, sf_dir):
-    left = "CASE l_linenumber % 4 WHEN 0 THEN concat(l_partkey, '%') WHEN 1 THEN concat(l_partkey, '厘米') WHEN 2 THEN concat(l_partkey, '或', l_suppkey) ELSE 'A' END"
-    right = "CASE l_linenumber % 4 WHEN 0 THEN concat(l_suppkey, '/100') WHEN 1 THEN concat(l_partkey, ' cm。') WHEN 2 THEN concat(l_suppkey, ',', l_partkey + l_linenumber % 2) ELSE '' END"
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", tx.equivalent(F.expr(left), F.expr(right)).alias("same"))
+    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_LEFT).alias("a"), F.expr(_RIGHT).alias("b"))
+    return pairs.select("l_orderkey", "l_linenumber", tx.equivalent(F.col("a"), F.col("b")).alias("same"))
+
+
+# --- item texts, candidates ----------------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name || chr(10) || 'A. ' || p_brand ELSE p_name END AS stem, CASE WHEN p_size % 3 = 0 THEN '' ELSE 'A. ' || p_brand || '|B. ' || p_type END AS options, CASE WHEN p_size % 3 <> 0 THEN '选择题' WHEN contains(p_name, '____') THEN '填空题' ELSE '待分类' END AS kind FROM part""")
+def option_split(spark, sf_dir):
+    stem = F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit("\n A. "), "p_brand")).otherwise(F.concat("p_name", F.lit("\n\n A. "), "p_brand", F.lit("\tB、"), "p_type", F.lit(" ")))
+    out = table(spark, sf_dir, "part").select("p_partkey", "p_name", it.split_options(stem).alias("x"))
+    return out.select("p_partkey", "x.stem", joined(F.col("x.options")).alias("options"), it.question_type(F.col("x.stem"), F.col("x.options")).alias("kind")).withColumn("options", F.regexp_replace("options", ",B", "|B"))
+
+
+@query("SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS n, CASE WHEN contains(text, 'the') THEN strpos(text, 'the') - 1 END AS first FROM documents WHERE text IS NOT NULL")
+def fragment_occurrences(spark, sf_dir):
+    """Non-overlapping places of a fragment in every text."""
+    at = it.occurrences(F.col("text"), F.lit("the"))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", at.alias("at")).select("doc_id", F.size("at").cast("long").alias("n"), F.get("at", F.lit(0)).cast("long").alias("first"))
+
+
+@query("SELECT l_orderkey, l_linenumber, sha256(l_partkey || chr(0) || l_suppkey || chr(0) || '' || chr(0) || l_returnflag) AS id, lower(substr(upper(sha256(l_partkey || chr(0) || l_suppkey || chr(0) || '' || chr(0) || l_returnflag)), 1, 12)) AS prefix FROM lineitem")
+def composite_ids(spark, sf_dir):
+    out = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", it.composite_id(F.col("l_partkey"), F.col("l_suppkey"), F.lit(None), F.col("l_returnflag")).alias("id"))
+    return out.withColumn("prefix", it.hash_prefix(F.upper("id")))
+
+
+@query("""SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderstatus = 'F' THEN 'missing stem' END, CASE WHEN o_totalprice < 50000 THEN 'missing answer' END, CASE WHEN o_orderkey % 30 > 20 THEN 'outside first objective-question batch' END) AS reasons FROM orders""")
+def candidate_reasons(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    fields = {"stem": F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")), "answer": F.when(F.col("o_totalprice") < 50000, " ").otherwise("x")}
+    return o.select("o_orderkey", joined(candidates.review_reasons(fields, F.col("o_orderkey") % 30)).alias("reasons"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity % 2 = 0 THEN 'choice_options:false' WHEN l_returnflag = 'N' THEN 'choice_answer_matches_option:false' ELSE 'choice_answer_matches_option:true' END AS finding FROM lineitem WHERE l_linenumber % 2 = 1
+    UNION ALL SELECT l_orderkey, l_linenumber, 'non_choice_options:' || (CASE WHEN l_quantity % 2 = 0 THEN 'true' ELSE 'false' END) FROM lineitem WHERE l_linenumber % 2 = 0""")
+def consistency_findings(spark, sf_dir):
+    """Choices have options A and R; every answer is the return flag, A, N or R."""
+    even = F.col("l_quantity") % 2 == 0
+    choice = F.col("l_linenumber") % 2 == 1
+    options = F.when(even & choice, F.array(F.lit("A. one"))).when(even, F.array().cast("array<string>")).otherwise(F.array(F.lit("A. one"), F.lit(" B、two")))
+    flag = F.when(F.col("l_returnflag") == "R", "B").otherwise(F.col("l_returnflag"))
+    found = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(candidates.consistency(F.when(choice, "选择题").otherwise("填空题"), options, flag), 2).alias("f"))
+    return found.select("l_orderkey", "l_linenumber", F.concat_ws(":", "f.check", F.col("f.passed").cast("string")).alias("finding"))
+
+
+@query("SELECT o_orderkey, 'no_current_customer' AS reason FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) UNION ALL SELECT o_orderkey, 'no_line' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def insert_guards(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    good = table(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"))
+    return candidates.insert_guard(o, "o_orderkey", [("no_current_customer", good, ["o_custkey"]), ("no_line", table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])])
+
+
+@query("""SELECT l_orderkey AS k, count(*) * 2 AS expected, count(*) + count(*) FILTER (l_linenumber % 3 <> 0) AS found, count(*) FILTER (l_linenumber % 3 = 0) = 0 AS agree FROM lineitem GROUP BY 1""")
+def key_multisets(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber")
+    return candidates.keys_agree(rows.unionByName(rows), rows.unionByName(rows.where("l_linenumber % 3 <> 0")), "k", "l_linenumber")
+
+
+# --- snapshots -----------------------------------------------------------------------------------------------------------
+
+
+def _inputs(spark: SparkSession, sf_dir: str, status: Column) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumn("o_orderstatus", status).select("o_orderkey", "o_custkey", "o_orderstatus")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_returnflag")
+    customer = o.select("o_orderkey", "o_custkey").join(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey", "c_mktsegment")
+    return snapshots.input_hashes(o, "o_orderkey", {"lines": (lines, ["l_linenumber", "l_partkey"]), "customers": (customer, ["c_custkey"])})
+
+
+_INPUTS = """(SELECT o.o_orderkey, sha256('{"customers":' || coalesce('[' || c || ']', '[]') || ',"item":{"o_custkey":' || o_custkey || ',"o_orderkey":' || o.o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"},"lines":' || coalesce('[' || l || ']', '[]') || ',"schema":"input-v1"}') AS input_hash
+    FROM orders o LEFT JOIN (SELECT l_orderkey, string_agg('{"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || ',"l_returnflag":"' || l_returnflag || '"}', ',' ORDER BY l_linenumber, l_partkey, l_returnflag) AS l FROM lineitem GROUP BY 1) x ON l_orderkey = o.o_orderkey
+    LEFT JOIN (SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}' AS c FROM customer) y ON c_custkey = o_custkey)"""
+
+
+@query(f"SELECT o_orderkey, input_hash FROM {_INPUTS}")
+def input_snapshots(spark, sf_dir):
+    """One hash of an order, its lines and its customer: what evidence on it rests on."""
+    return _inputs(spark, sf_dir, F.col("o_orderstatus"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'snapshot_missing' WHEN o_orderkey % 11 = 0 THEN 'snapshot_invalidated' ELSE 'input_changed' END AS reason FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 OR (o_totalprice > 300000 AND o_orderstatus <> 'O')")
+def snapshot_staleness(spark, sf_dir):
+    """Snapshots taken while dear orders were open, some of them never, some invalidated since."""
+    taken = _inputs(spark, sf_dir, F.when(F.col("o_totalprice") > 300000, "O").otherwise(F.col("o_orderstatus"))).where("o_orderkey % 7 <> 0")
+    return snapshots.stale(taken.withColumn("invalidated", F.col("o_orderkey") % 11 == 0), _inputs(spark, sf_dir, F.col("o_orderstatus")), "o_orderkey")
+
+
+@query("SELECT 'orders' AS \"table\", CAST(o_orderkey AS VARCHAR) AS id FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0 UNION ALL SELECT DISTINCT 'lines', CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0")
+def invalidation_cascade(spark, sf_dir):
+    voided = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.concat(F.lit("c"), "c_custkey").alias("k"))
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.concat(F.lit("c"), "o_custkey").alias("on"))
+    lines = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.concat(F.lit("o"), "l_orderkey").alias("on"))
+    out = snapshots.cascade(voided, "k", [("orders", o, "id", "on"), ("lines", lines, "id", "on")])
+    return out.withColumn("id", F.regexp_replace("id", "^o", ""))
+
+
+@query(f"SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey NOT IN (SELECT user_id FROM {_LAST} GROUP BY user_id HAVING count(*) FILTER (status = 'pass') = 5 AND count(*) = 5)")
+def approval_locks(spark, sf_dir):
+    quorum = gates.quorum(log(spark, sf_dir), "user_id", "event_type", "status", KINDS, ["ts", "event_id"]).withColumnRenamed("user_id", "c_custkey")
+    return snapshots.approval_lock(table(spark, sf_dir, "customer").withColumn("approved", F.col("c_mktsegment") == "BUILDING"), "c_custkey", "approved", quorum)
 
 
 # --- trees, integrity ----------------------------------------------------------------------------------------------------
@@ -448,14 +590,14 @@ def ratio_review_sample(spark, sf_dir):
 # --- beyond SQL ----------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("SELECT doc_id, sha256(regexp_replace(nfc_normalize(text), '[\\s\\x0B]+', '', 'g')) AS nfkc_sha256 FROM documents")
 def nfkc_normalise(spark, sf_dir):
     from ..functions.udfs import nfkc
 
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(nfkc("text"), 256).alias("nfkc_sha256"))
 
 
-@query()
+@query("""SELECT event_id, sha256('{"k":' || json_extract_string(props, '$.k') || '}') AS props_sha256 FROM events""")
 def canonical_json_hash(spark, sf_dir):
     from ..functions.udfs import canonical_hash
 
@@ -464,14 +606,14 @@ def canonical_json_hash(spark, sf_dir):
 
 @query()
 def difflib_similar(spark, sf_dir):
+    """For each part the first earlier one of its brand whose name, type and price are as similar as 0.9."""
     from ..functions.udfs import similar
 
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("s"), "p_size", "p_brand")
-    pairs = similarity.blocked_pairs(parts, "p_partkey", F.concat_ws("|", "p_brand", "p_size"), ["s"])
-    return pairs.select("p_partkey_a", "p_partkey_b", F.round(similar("s_a", "s_b"), 6).alias("ratio")).where("ratio >= 0.9")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string")).alias("s"), "p_brand")
+    return similarity.find_similar(parts, "p_partkey", "s", "p_brand", similar).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 1 THEN 'pass' ELSE 'fail' END AS status FROM lineitem WHERE l_linenumber < 3")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN CAST(l_partkey * (l_suppkey + l_linenumber) + (1 - l_linenumber % 2) AS VARCHAR) = CAST(l_partkey * l_suppkey + l_partkey * l_linenumber AS VARCHAR) THEN 'pass' ELSE 'fail' END AS status FROM lineitem")
 def math_validate(spark, sf_dir):
     from ..functions.udfs import validate
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import io
-import json
 import posixpath
 import re
 import zipfile
@@ -180,7 +179,8 @@ def export_json(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def write_manifest(df: DataFrame, path: str) -> str:
-    """A report of few rows as one JSON file's text; returns its hash."""
-    body = json.dumps([r.asDict(True) for r in df.limit(100_000).collect()], ensure_ascii=False, sort_keys=True, default=str)
-    df.sparkSession.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(path)
-    return hashlib.sha256(body.encode()).hexdigest()
+    """A report as JSON lines in order, in one folder; returns the number of rows and an order-free hash of all of them."""
+    lines = df.select(F.to_json(F.struct(*(F.col(c) for c in sorted(df.columns))), {"ignoreNullFields": "false"}).alias("value"))
+    lines.orderBy("value").write.mode("overwrite").text(path)
+    n, total = df.sparkSession.read.text(path).agg(F.count(F.lit(1)), F.sum(F.conv(F.substring(F.sha2("value", 256), 1, 15), 16, 10).cast("decimal(38,0)"))).first()
+    return f"{n}:{hashlib.sha256(str(total or 0).encode()).hexdigest()}"

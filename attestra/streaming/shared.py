@@ -1,19 +1,5 @@
 """Where streams keep their state: the folder that driver and executors share."""
 
-from __future__ import annotations
+from ..operators.tables import work_folder
 
-import tempfile
-
-from pyspark.sql import SparkSession
-
-_own: list[str] = []
-
-
-def work_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder of this driver where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="attestra-streams-"))
-        path = _own[0]
-    return path.rstrip("/")
+__all__ = ["work_folder"]

@@ -6,9 +6,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from attestra.functions import items as it
 from attestra.functions import text as tx
 from attestra.functions import udfs
-from attestra.operators import gates, integrity, latest, reports, sampling, segment, selection, similarity, tree
+from attestra.operators import candidates, gates, integrity, latest, reports, sampling, segment, selection, similarity, snapshots, tables, tree
 from attestra.sources import documents
 
 KINDS = ["asset_semantics", "mathematical_independent", "source_fidelity", "structural_consistency", "textbook_scope"]
@@ -62,7 +63,7 @@ def test_source_relationship(spark):
     assert got == ["exact_duplicate", "suspected_same_family", "no_match", "insufficient_input"]
 
 
-@pytest.mark.parametrize("a,b,want", [("26或22", "22或26", True), ("1/2", "0.5", True), ("50%", "0.5", True), ("40cm", "40厘米", True), ("2条", "2", True), ("A", "b", False), ("A", "3", None), ("", "3", None), (None, "3", None), ("AB", "ba", True), ("40cm", "40kg", False)])
+@pytest.mark.parametrize("a,b,want", [("26或22", "22或26", True), ("1/2", "0.5", True), ("50%", "0.5", True), ("40cm", "40厘米", True), ("2条", "2", True), ("A", "b", False), ("A", "3", None), ("", "3", None), (None, "3", None), ("AB", "ba", None), ("40cm", "40kg", None), ("x+1", "1+x", None), ("40cm", "40m", None), ("√4", "2", True), ("3√2", "√18", True), ("√5", "2", False), ("1.0或2", "1或2", None), ("ABC", "CBA", None), ("A", "a", True), ("f", "F", True), ("40度", "40°", True), ("５０％", "0.5", True), ("2条", "3", False), ("2×3", "2·3", True), ("10吨", "10t", True), ("3，4", "4、3", True), ("130元", "130", None), ("2个", "2名", True)])
 def test_equivalence(spark, a, b, want):
     assert spark.createDataFrame([(a, b)], "a string, b string").select(tx.equivalent(F.col("a"), F.col("b"))).first()[0] is want
 
@@ -76,11 +77,32 @@ def test_keyword_grams_and_scope(spark):
     df = spark.createDataFrame([("等腰三角形abc", "角形")], "s string, p string")
     got = df.select(tx.keyword_grams(F.col("s")).alias("g"), tx.in_scope(F.col("p"), F.array(F.lit("三角形"))).alias("i"), tx.in_scope(F.lit(""), F.array(F.lit("*"))).alias("e"), tx.in_scope(F.col("p"), F.array().cast("array<string>")).alias("n")).first()
     assert got["g"][:2] == ["等腰三角", "腰三角形"] and "角形" in got["g"] and (got["i"], got["e"], got["n"]) == (True, False, True)
+    gaps = spark.createDataFrame([("等腰，三角", "x")], "s string, p string").select(tx.keyword_grams(F.col("s"))).first()[0]
+    assert gaps == ["等腰三角", "等腰三", "腰三角", "等腰", "腰三", "三角"]
+    names = spark.createDataFrame([("Unit ver2 rev3 r1 final Revised.docx",)], "f string").select(tx.file_base(F.col("f"))).first()[0]
+    assert names == "unit"
 
 
 def test_classify_and_scope_decision(spark):
-    items, nodes = spark.createDataFrame([(1, "isosceles triangle area"), (2, "zzz")], "q int, stem string"), spark.createDataFrame([("n1", "triangle"), ("n2", "circle")], "n string, name string")
-    assert rows(similarity.classify(items, nodes, "q", "stem", "n", "name")) == [(1, "n1", 1.0, 1)]
+    items = spark.createDataFrame([(1, "已知等腰 三角形的面积"), (2, "求函数值"), (3, None), (4, "圆的周长公式"), (5, "x3y")], "q int, stem string")
+    nodes = spark.createDataFrame([("n1", "等腰三角形"), ("n2", "圆周长"), ("n3", "函数"), ("n4", "圆"), ("n5", "x3")], "n string, name string")
+
+    def score(stem, name):
+        stem = stem or ""
+        if len(name) >= 2 and name in stem.replace(" ", ""):
+            return 1.0
+        grams = lambda t: list(dict.fromkeys(c[i : i + n] for c in ["".join(x for x in t if "一" <= x <= "鿿")] for n in (4, 3, 2) for i in range(len(c) - n + 1)))
+        g, h = grams(stem), grams(name)
+        if not g or not h:
+            return 0.0
+        p_, r_ = sum(k in name for k in g) / len(g), sum(k in stem for k in h) / len(h)
+        return 2 * p_ * r_ / (p_ + r_) if p_ + r_ else 0.0
+
+    want = []
+    for q, stem in items.collect():
+        ranked = sorted(((-round(score(stem, name), 4), n) for n, name in nodes.collect()))
+        want += [(q, n, -x, k + 1) for k, (x, n) in enumerate(ranked[:3]) if -x >= 0.35]
+    assert rows(similarity.classify(items, nodes, "q", "stem", "n", "name")) == sorted(want) and len(want) >= 3
     m = spark.createDataFrame([(1, "a", 5), (2, "a", 5), (2, "b", 5), (3, "x", 5), (4, "a", 5), (4, "x", 4)], "q int, n string, longest int")
     got = {r["q"]: (r["status"], r["reason"]) for r in similarity.scope_decision(m, "q", "n", "longest", F.col("n").isin("a", "b")).collect()}
     assert got == {1: ("candidate", "unique_evidence_chain"), 2: ("rejected", "ambiguous_top_candidate"), 3: ("rejected", "candidate_node_outside_allowed_progress"), 4: ("rejected", "candidate_node_outside_allowed_progress")}
@@ -107,6 +129,9 @@ def test_tree_scope_and_problems(spark):
     nodes = spark.createDataFrame([("r", None, 1), ("a", "r", 1), ("a1", "a", 1), ("b", "r", 2), ("b1", "b", 1), ("c", "r", 3)], "n string, p string, s int")
     placed = tree.paths(nodes, "n", "p", "s")
     assert {r["n"] for r in tree.allowed_prefix(placed, "n", F.lit("b")).collect()} == {"r", "a", "a1", "b", "b1"}
+    chain = spark.createDataFrame([(i, i - 1 if i else None, 1) for i in range(70)] + [(3, 69, 1)], "n int, p int, s int")
+    deep = tree.paths(chain, "n", "p", "s")
+    assert deep.agg(F.max("level"), F.count(F.lit(1))).first() == (69, 70)
     bad = spark.createDataFrame([("r", None, 1), ("x", "y", 1), ("y", "x", 1), ("s", "s", 2), ("o", "gone", 1), ("k", "r", 0), ("l", "r", 5), ("m", "r", 5)], "n string, p string, s int")
     got = set(rows(tree.forest_problems(bad, "n", "p", "s")))
     assert {("self_referencing_node", "s"), ("missing_parent", "o"), ("unordered_sequence", "k"), ("not_reached_from_a_root", "x"), ("not_reached_from_a_root", "y"), ("ambiguous_sibling_sequence", "l")} <= got
@@ -124,6 +149,9 @@ def test_integrity_and_transitions(spark):
 def test_append_replace_and_checkpoints(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "x"), (3, "c"), (3, "c")], "k int, v string")
     assert rows(latest.append_new(old, new, ["k"])) == [(3, "c")]
+    several = spark.createDataFrame([(3, "d"), (3, "c"), (4, None), (1, "z")], "k int, v string")
+    assert sorted(map(tuple, latest.append_new(old, several, ["k"]).collect()), key=str) == [(3, "c"), (4, None)]
+    assert sorted(map(tuple, latest.replace_rows(old, several, ["k"]).collect()), key=str) == [(1, "z"), (2, "b"), (3, "d"), (4, None)]
     assert rows(latest.collisions(old, new, ["k"], ["v"])) == [(2,)]
     assert rows(latest.replace_rows(old, new.distinct(), ["k"])) == [(1, "a"), (2, "x"), (3, "c")]
     assert rows(documents.todo(new.distinct(), old, ["k"])) == [(3, "c")]
@@ -136,6 +164,9 @@ def test_samples_are_stable_and_allocation_adds_up(spark):
     quota = sampling.allocation(df, "s", 17).collect()
     assert sum(r["quota"] for r in quota) == 17
     assert sampling.at_least_ratio(df, "s", "i", 1, "x").count() == 3
+    assert {r["s"]: r["quota"] for r in sampling.allocation(df, "s", 5000).collect()} == {r["s"]: r["n"] for r in quota}
+    filled = sampling.priority_strata(df, [("first", F.col("i") < 10), ("b", F.col("s") == "b")], "i", 4, "z", total=20)
+    assert filled.count() == 20 and filled.select("i").distinct().count() == 20 and filled.where("stratum = 'fill'").count() == 12
 
 
 def test_coverage_verdicts(spark):
@@ -172,3 +203,100 @@ def test_docx_reading_and_intake(spark, tmp_path):
     assert documents.json_manifest(spark, str(tmp_path / "m.json")).first()["body"] == "{}"
     (tmp_path / "l.jsonl").write_text('{"a": 1}\nbroken\n{"a": 2}\n')
     assert documents.json_lines(spark, str(tmp_path / "l.jsonl"), "a int").count() == 2
+
+
+def test_outcomes_fold(spark):
+    cases = {"a": ["equal", "loss"], "b": ["nc", "nc"], "c": ["nc", "acc"], "d": ["nc", "equal"], "e": ["equal"], "f": ["acc", "equal"]}
+    df = spark.createDataFrame([(k, o) for k, v in cases.items() for o in v], "k string, o string")
+    assert rows(gates.fold_outcomes(df, "k", "o", "loss", "acc", "nc", "equal")) == [("a", "loss"), ("b", "nc"), ("c", "acc"), ("d", "nc"), ("e", "equal"), ("f", "acc")]
+    log = spark.createDataFrame([("i", "x", "pass"), ("i", "x", "fail"), ("i", "y", "pass"), ("i", "z", "unsupported"), ("i", "z", "fail"), ("i", "w", "odd")], "i string, k string, s string")
+    assert rows(gates.status_sets(log, "i", "k", "s", ["x", "y", "z", "w", "v"])) == [("i", "v", "missing", False), ("i", "w", "nonpass", False), ("i", "x", "fail", True), ("i", "y", "pass", False), ("i", "z", "unsupported", True)]
+
+
+def test_similar_pairs_and_first_similar(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(2, 6))) for _ in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    texts += [t + " zz" for t in texts[:15]] + ["", "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    every = df.alias("a").join(df.alias("b"), F.col("a.k") < F.col("b.k")).select(F.col("a.k"), F.col("b.k"), similarity.similarity(F.col("a.t"), F.col("b.t")).alias("s")).where("s >= 0.72")
+    assert rows(similarity.similar_pairs(df, "k", "t", 0.72)) == rows(every) and every.count() >= 5
+
+
+def test_item_texts(spark):
+    one = lambda c, *v: spark.createDataFrame([v], ", ".join(f"c{i} string" for i in range(len(v)))).select(c(*(F.col(f"c{i}") for i in range(len(v))))).first()[0]
+    split = lambda t: (lambda r: (r["stem"], r["options"]))(one(it.split_options, t))
+    assert split(" stem\n\nA. one\tB、two\n C．three") == ("stem", ["A. one", "B. two", "C. three"])
+    assert split("stem B. one C. two") == ("stem B. one C. two", []) and split("s A. one B. ") == ("s A. one B.", []) and split(None) == ("", []) and split("A. x A.y") == ("", ["A. x", "A. y"])
+    assert [one(it.strip_option_prefix, x) for x in (" A. x", "B、y", "G. z", None)] == ["x", "y", "G. z", ""]
+    assert [one(lambda c: it.question_type(c, F.array().cast("array<string>")), x) for x in ("a ____ b", "a")] == ["填空题", "待分类"]
+    assert [one(it.prefilter_reason, x) for x in ("若，，则", "x：/", "∴ a", "ok")] == ["prefilter_missing_condition", "prefilter_stem_content_missing", "prefilter_solution_residual", None]
+    assert [one(it.difficulty_or_basic, x) for x in ("高", "hard", "", None)] == ["高", "基础", "", None]
+    assert one(it.image_refs, "a [图片1: x.png] [图片: y] [图片2:  x.png ] [图: z]") == ["x.png", "y"]
+    assert one(it.numbered_blocks, "head\r\n1. a\n b\n\n 2. c\n3.d") == ["1. a\n b", "2. c", "3.d"] and one(it.numbered_blocks, " only 1. one ") == ["only 1. one"] and one(it.numbered_blocks, None) == []
+    assert one(it.occurrences, "aaaa.b.aa", "aa") == [0, 2, 7] and one(it.occurrences, "a.b", ".") == [1] and one(it.occurrences, "abc", "x") == []
+    assert one(it.label_anchors, "第1章 全等三角形") == ["全等三角形", "全等三角", "等三角形"]
+    anchors = {(a["kind"], a["anchor"], a["start"], a["end"]) for a in one(it.scope_anchors, "已知 △ABC，求角")}
+    assert anchors == {("condition", "已知", 0, 2), ("symbol", "△", 2, 3), ("condition", "求", 7, 8), ("term", "角", 8, 9)}
+    label = lambda t: tuple(one(it.progress_label, t))
+    assert label("第 二 章") == ("chapter", "二") and label("第12单元") == ("unit", "12") and label("第二章节") == (None, None)
+    request = lambda t: tuple(one(it.progress_request, t))
+    assert request("人教版八上，进度第 十二 章") == ("人教版八上", "chapter", "十二") and request("a，b，进度第一章") == (None,) * 3 == request("进度第一章")
+    assert one(it.composite_id, "a", None, "b") == __import__("hashlib").sha256("a\0\0b".encode()).hexdigest() and one(it.hash_prefix, "ABCDEF0123456789") == "abcdef012345"
+
+
+def test_snapshots_void_what_rests_on_them(spark):
+    items = spark.createDataFrame([(1, "a", None), (2, "b", "x")], "k int, stem string, answer string")
+    parts = spark.createDataFrame([(1, 2, "q"), (1, 1, "p")], "k int, pos int, h string")
+    hashes = {r["k"]: r["input_hash"] for r in snapshots.input_hashes(items, "k", {"parts": (parts, ["pos"])}).collect()}
+    import hashlib
+    assert hashes[1] == hashlib.sha256(b'{"item":{"answer":null,"k":1,"stem":"a"},"parts":[{"h":"p","pos":1},{"h":"q","pos":2}],"schema":"input-v1"}').hexdigest()
+    assert hashes[2] == hashlib.sha256(b'{"item":{"answer":"x","k":2,"stem":"b"},"parts":[],"schema":"input-v1"}').hexdigest()
+    fresh = snapshots.input_hashes(items, "k", {"parts": (parts, ["pos"])})
+    old = spark.createDataFrame([(1, hashes[1].upper(), False, 3), (2, "other", False, 1), (9, "h", False, 1)], "k int, input_hash string, invalidated boolean, revision int")
+    assert rows(snapshots.stale(old, fresh, "k")) == [(2, "input_changed"), (9, "input_missing")]
+    assert [(r["k"], r["revision"], r["invalidated"]) for r in snapshots.refreshed(old.where("k < 2"), fresh, "k").orderBy("k").collect()] == [(1, 3, False), (2, 1, False)]
+    plans, docs = spark.createDataFrame([("p1", "1"), ("p2", "2")], "id string, item string"), spark.createDataFrame([("d1", "p1"), ("d2", "p2")], "id string, plan string")
+    gone = snapshots.cascade(spark.createDataFrame([("1",)], "k string"), "k", [("plans", plans, "id", "item"), ("documents", docs, "id", "plan")])
+    assert rows(gone) == [("documents", "d1"), ("plans", "p1")]
+    quorum = spark.createDataFrame([(1, True), (2, False)], "k int, quorum boolean")
+    assert rows(snapshots.approval_lock(items.withColumn("ok", F.lit(True)), "k", "ok", quorum)) == [(2,)]
+
+
+def test_candidates(spark):
+    df = spark.createDataFrame([("s", " ", "25"), ("", "a", "3")], "stem string, answer string, n string")
+    assert [r[0] for r in df.select(candidates.review_reasons({"stem": F.col("stem"), "answer": F.col("answer")}, F.col("n"))).collect()] == [["missing answer", "outside first objective-question batch"], ["missing stem"]]
+    rows_ = [("选择题", ["A. x", "B. y"], "B", True, True), ("选择题", ["A. x"], "A", True, False), ("选择题", ["A. x", "B. y"], "", False, False), ("填空题", [], "3", True, True), ("填空题", ["A. x"], "3", True, False), ("other", [], "1", True, False), ("选择题", None, "A", True, False)]
+    got = spark.createDataFrame(rows_, "k string, o array<string>, a string, x boolean, y boolean").select(candidates.consistency(F.col("k"), F.col("o"), F.col("a")).alias("f"), "x", "y").collect()
+    assert all([f["passed"] for f in r["f"]] == [r["x"], r["y"]] for r in got)
+    grade = spark.createDataFrame([("初中", "七上"), ("小学", "六下"), ("初中", "七下")], "stage string, level string")
+    pick = lambda g: [r["level"] for r in grade.where(candidates.grade_matches(g, {"初中全": "初中", "六升七": ["六下", "七上"]}, F.col("stage"), F.col("level"))).collect()]
+    assert pick("初中全") == ["七上", "七下"] and pick("六升七") == ["七上", "六下"] and pick("七下") == ["七下"]
+    q = spark.createDataFrame([("pass", "pass"), ("pass", None)], "a string, b string").select(candidates.quality_status(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in q] == ["passed", "blocked"]
+    with pytest.raises(ValueError, match="items lacks x, y"):
+        tables.require_columns(df, ["stem", "y", "x"], "items")
+    assert df.select(tables.column_or_null(df, "nope").alias("c")).first()[0] is None
+
+
+def test_reports_and_text_layers(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "k int, v string")
+    assert rows(reports.blockers([("some", df, "k > 1"), ("none", df, "k > 9")])) == [("some", 2)]
+    pages = spark.createDataFrame([("d", 1, "x" * 60), ("d", 2, None), ("e", 1, "y" * 200), ("e", 4, "")], "d string, p int, t string")
+    assert [(r["d"], r["kind"]) for r in documents.is_text_layer(pages, "d", "p", "t").orderBy("d").collect()] == [("d", "scanned"), ("e", "text")]
+    items = spark.createDataFrame([("d", 2, "two", []), ("d", 1, "one", ["A. x", "B. y"])], "d string, o int, s string, c array<string>")
+    assert documents.markdown(items, "d", "o", "s", "c").first()["markdown"] == "1. one\n   - A. x\n   - B. y\n\n2. two"
+    kept = spark.createDataFrame([("a b", "x ab y"), ("q", "x"), (" ", "x")], "v string, p string")
+    assert [r[0] for r in kept.select(tx.source_fields_kept(F.col("v"), F.col("p"))).collect()] == [True, False, None]
+    documents.export_json({"t": df}, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "t")).count() == 3
+    first, again = (documents.write_manifest(d, str(tmp_path / "m")) for d in (df, df.orderBy(F.desc("k"))))
+    assert first == again and first.startswith("3:") and documents.write_manifest(df.where("k < 3"), str(tmp_path / "m")) != first
+    big = spark.range(100_050).withColumnRenamed("id", "k")
+    assert documents.write_manifest(big, str(tmp_path / "b")).startswith("100050:")
+    from attestra.streaming.ledger import windowed_counts
+
+    at = spark.createDataFrame([("2024-01-01 00:00:10", "x"), ("2024-01-01 00:00:50", "x"), ("2024-01-01 00:01:05", "y")], "t string, k string").withColumn("t", F.to_timestamp("t"))
+    assert sorted((r["k"], r["n"]) for r in windowed_counts(at, "t", "1 minute", "k").collect()) == [("x", 2), ("y", 1)]
