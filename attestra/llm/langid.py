@@ -134,7 +134,9 @@ def train(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 8, ra
     familiar = np.log((share + 0.1 * len(examples) / len(share)) / max(1, len(examples)) * len(share))
     model = Model(names, np.column_stack([embed @ out, familiar.astype(np.float32)]), bias.astype(np.float64))
     offs = np.concatenate([[0], np.cumsum([len(data[i]) for i in held])]).astype(np.int64)
-    z, familiar = model.logits(np.frombuffer(b"".join(data[i] for i in held), np.uint8), offs)
+    joined = np.frombuffer(b"".join(data[i] for i in held), np.uint8)
+    parts = [model.logits(joined[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in chunks(offs, 1 << 18)]  # a row of the model a byte
+    z, familiar = (np.concatenate(x) for x in zip(*parts, strict=True))
     truth = y[held]
 
     def loss(t: float) -> float:
