@@ -29,8 +29,9 @@ CAPACITY = 1024
 GAP = 1e-3
 
 
-def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
-    """The multiset (as counts) of greatest value whose lengths sum to capacity at most. lengths ascend."""
+def price(lengths: np.ndarray, values: np.ndarray, capacity: int, slack: float = 0.005, most: int = 16) -> list[np.ndarray]:
+    """The multiset (as counts) of greatest value whose lengths sum to capacity at most, and up to most - 1 others that are worth no less than
+    1 - slack of it: best ones that hold a given length. lengths ascend."""
     best = np.zeros(capacity + 1)
     take = np.full(capacity + 1, -1)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
@@ -41,19 +42,26 @@ def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
             i = int(got.argmax())
             if got[i] > best[c]:
                 best[c], take[c] = got[i], i
-    counts, c = np.zeros(len(lengths), np.int64), capacity
-    while c > 0:
-        if take[c] < 0:
-            c -= 1
-        else:
-            counts[take[c]] += 1
-            c -= lengths[take[c]]
-    return counts
+    worth = values + best[capacity - lengths]
+    out: dict[bytes, np.ndarray] = {}
+    for i in np.argsort(-worth, kind="stable").tolist():
+        if worth[i] < (1 - slack) * best[capacity] or len(out) == most:
+            break
+        counts, c = np.zeros(len(lengths), np.int64), int(capacity - lengths[i])
+        counts[i] = 1
+        while c > 0:
+            if take[c] < 0:
+                c -= 1
+            else:
+                counts[take[c]] += 1
+                c -= lengths[take[c]]
+        out.setdefault(counts.tobytes(), counts)
+    return list(out.values())
 
 
 def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP, eta: float = 1.0) -> list[tuple[np.ndarray, float]]:
-    """(configuration, multiplicity) pairs that cover all but `gap` of the counts' tokens. Each round covers a length or halves one, so
-    there are at most about 31 rounds a length (2.5 to 5 in practice)."""
+    """(configuration, multiplicity) pairs that cover all but `gap` of the counts' tokens. Each configuration covers a length or halves one, so
+    there are at most about 31 a length (2.5 to 5 in practice); one pricing finds several of about the same worth."""
     left, out = counts.astype(float), []
     while left @ lengths > gap * (counts @ lengths):
         live = np.flatnonzero(left > 1e-9 * counts)
@@ -61,14 +69,16 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: floa
             break
         share = left[live] / counts[live]
         values = lengths[live] * np.exp(eta * (share - share.max()))
-        own = price(lengths[live], values, capacity)
-        used = np.flatnonzero(own)
-        times = (left[live[used]] / own[used]).min()
-        times = max(times * 0.5, min(times, 1.0))
-        config = np.zeros(len(lengths), np.int64)
-        config[live] = own
-        out.append((config, float(times)))
-        left -= config * times
+        for k, own in enumerate(price(lengths[live], values, capacity)):
+            used = np.flatnonzero(own)
+            times = (left[live[used]] / own[used]).min()
+            if k and times < 0.5 * min(1.0, (counts[live[used]] / own[used]).min()):
+                continue  # others of this pricing took most of it
+            times = max(times * 0.5, min(times, 1.0))
+            config = np.zeros(len(lengths), np.int64)
+            config[live] = own
+            out.append((config, float(times)))
+            left -= config * times
     return out
 
 

@@ -93,7 +93,7 @@ class Tokenizer:
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text by the tokenizer alone."""
-        return [e.ids for e in self.bpe.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.bpe.encode_batch_fast(texts, add_special_tokens=False)]
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted
@@ -105,20 +105,22 @@ class Tokenizer:
     def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[str]) -> None:
         if len(self.keys) > CACHE_ENTRIES:
             self.clear()
-        # Words that begin with the only space in them and hold letters alone are cut the same way when joined: one call for all.
-        plain = np.fromiter((w[0] == " " and w[1:].isalpha() for w in words), bool, len(words))
-        text = "".join(w for w, p in zip(words, plain.tolist(), strict=True) if p)
-        flat = np.asarray(self.plain([text])[0], np.uint32)
-        size = np.fromiter((len(w.encode()) for w, p in zip(words, plain.tolist(), strict=True) if p), np.int64, int(plain.sum()))
-        cuts = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(size), "left") + 1
-        rest = self.plain([w for w, p in zip(words, plain.tolist(), strict=True) if not p])
-        count = np.empty(len(words), np.int64)
-        count[plain] = np.diff(cuts, prepend=0)
-        count[~plain] = np.fromiter(map(len, rest), np.int64, len(rest))
-        first = np.empty(len(words), np.int64)
-        first[plain] = len(self.ids) + np.cumsum(count[plain]) - count[plain]
-        first[~plain] = len(self.ids) + len(flat) + np.cumsum(count[~plain]) - count[~plain]
-        self.ids = np.concatenate([self.ids, flat, np.fromiter((i for x in rest for i in x), np.uint32, int(count[~plain].sum()))])
+        # Pre-tokens without white space, but for a space before them, are cut the same way when joined, those without that space behind a
+        # line feed, which is a pre-token and an id of its own: one call for all.
+        spaced = np.fromiter((w[0] == " " for w in words), bool, len(words))
+        joins = np.fromiter((not w[w[0] == " " :].isspace() and len(w) > (w[0] == " ") for w in words), bool, len(words))
+        parts = [w if s_ else "\n" + w for w, s_, j in zip(words, spaced.tolist(), joins.tolist(), strict=True) if j]
+        flat = np.asarray(self.plain(["".join(parts)])[0], np.uint32)
+        size = np.fromiter((len(w.encode()) for w in parts), np.int64, len(parts))
+        ends = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(size), "left") + 1
+        skip = ~spaced[joins]  # the line feed
+        rest = self.plain([w for w, j in zip(words, joins.tolist(), strict=True) if not j])
+        count, first = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        count[joins] = np.diff(ends, prepend=0) - skip
+        first[joins] = len(self.ids) + ends - count[joins]
+        count[~joins] = np.fromiter(map(len, rest), np.int64, len(rest))
+        first[~joins] = len(self.ids) + len(flat) + np.cumsum(count[~joins]) - count[~joins]
+        self.ids = np.concatenate([self.ids, flat, np.fromiter((i for x in rest for i in x), np.uint32, int(count[~joins].sum()))])
         at = np.searchsorted(self.keys, keys)  # keys are sorted
         self.keys, self.check, self.first, self.count = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.check, checks), (self.first, first), (self.count, count)))
 
