@@ -33,6 +33,8 @@ from .shared import Rolling, chunks, drop_written, met, mix, release, small_batc
 FEW = 8
 #: Index entries in one bucket, about. A set's 40 bits are sent once a bucket, so fewer buckets take less room.
 BUCKET = 3 << 20
+#: Index entries that a task packs at once, about.
+PACK = 1 << 19
 #: Classes in a block of those that frequent keys bring together.
 BLOCK = 8192
 #: Shingles in such a block, about.
@@ -238,7 +240,7 @@ def _index(docs: DataFrame, n: int, bands: Bands, buckets: int) -> DataFrame:
                     ids.append(d[0] & REF)
                     sizes.append(bands.of(len(s)))
                     many += len(keys)
-                if many >= 1 << 20:
+                if many >= PACK:
                     yield pack()
                     held, ids, sizes, many = [], [], [], 0
         if held:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: ASCII white space in the sense of the contracts: [\x20\x09-\x0D].
 WS = " \t\n\x0b\x0c\r"
 #: Text bytes handled at once by the vectorised code; one longer text is handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
