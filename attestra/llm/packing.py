@@ -72,8 +72,8 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: floa
         for k, own in enumerate(price(lengths[live], values, capacity)):
             used = np.flatnonzero(own)
             times = (left[live[used]] / own[used]).min()
-            if k and times < 0.5 * min(1.0, (counts[live[used]] / own[used]).min()):
-                continue  # others of this pricing took most of it
+            if k and times < 2.0:
+                continue  # hardly once: what is left has its own prices
             times = max(times * 0.5, min(times, 1.0))
             config = np.zeros(len(lengths), np.int64)
             config[live] = own
@@ -165,7 +165,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         part, tokenizer, seen = task.partitionId() if task else 0, Tokenizer(vocabulary), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             _, offs = utf8(batch.column(1))
-            for i, j in chunks(offs):
+            for i, j in chunks(offs, 1 << 20):  # few calls, as each sorts new words into the cache
                 texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
                 ids, bounds = tokenizer.encode(texts)
                 rows, docs_of = [], []
