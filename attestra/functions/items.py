@@ -122,3 +122,23 @@ def progress_request(text: Column) -> Column:
     book, rest = _strip(F.get(pieces, 0)), F.regexp_replace(F.get(pieces, 1), r"\s+", "")
     label = progress_label(F.when((F.size(pieces) == 2) & (book != "") & F.startswith(rest, F.lit("进度")), F.substring(rest, F.lit(3), F.length(rest))))
     return F.struct(F.when(label["type"].isNotNull(), book).alias("textbook"), label["type"].alias("type"), label["numeral"].alias("numeral"))
+
+
+def text_batches(blocks: Column, most_chars: int, most_images: int) -> Column:
+    """array<struct<content, images>>: the blocks in order, joined by empty lines, as many to a batch as fit; a block that is too large is one alone.
+    Images are the marks' names, each once a batch."""
+    batch = lambda s: F.struct(F.array_join(s["held"], "\n\n").alias("content"), s["images"].alias("images"))
+    none = F.array().cast("array<struct<content:string,images:array<string>>>")
+    start = F.struct(none.alias("done"), _empty().alias("held"), _empty().alias("images"), F.lit(0).alias("chars"))
+
+    def step(s: Column, b: Column) -> Column:
+        images, some = F.array_union(s["images"], image_refs(b)), F.size(s["held"]) > 0
+        full = some & ((s["chars"] + F.length(b) + 2 > most_chars) | (F.size(images) > most_images))
+        return F.struct(
+            F.when(full, F.concat(s["done"], F.array(batch(s)))).otherwise(s["done"]).alias("done"),
+            F.when(full, F.array(b)).otherwise(F.concat(s["held"], F.array(b))).alias("held"),
+            F.when(full, image_refs(b)).otherwise(images).alias("images"),
+            F.when(full, F.length(b)).otherwise(s["chars"] + F.length(b)).alias("chars"),
+        )
+
+    return F.aggregate(blocks, start, step, lambda s: F.when(F.size(s["held"]) > 0, F.concat(s["done"], F.array(batch(s)))).otherwise(s["done"]))

@@ -98,3 +98,9 @@ def status_sets(rows: DataFrame, item: str, kind: str, status: str, required: Se
     n = F.coalesce(F.size("_set"), F.lit(0))
     verdict = F.when(n < 1, "missing").when((n == 1) & has("pass"), "pass").when(has("unsupported"), "unsupported").when(has("fail"), "fail").otherwise("nonpass")
     return out.select(item, kind, verdict.alias("verdict"), (n > 1).alias("conflicting"))
+
+
+def applied(eligible: Column) -> Column:
+    """struct<quality_status, review_status> that an admission gives: anything but eligible is isolated."""
+    sure = F.coalesce(eligible, F.lit(False))
+    return F.struct(F.when(sure, "approved").otherwise("blocked").alias("quality_status"), F.when(sure, "approved").otherwise("pending").alias("review_status"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,3 +49,16 @@ def at_least_ratio(df: DataFrame, stratum: str, key: str, ratio_percent: int, se
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     wanted = F.greatest(F.lit(1), F.ceil(F.col("_n") * ratio_percent / 100))
     return per_stratum(df.join(sizes, stratum), stratum, key, wanted, seed).drop("_n")
+
+
+def two_level(df: DataFrame, stratum: str, reason: str, key: str, targets: Mapping[str, int], seed: str) -> DataFrame:
+    """Rows of each named stratum, as many as its target, shared over its reasons in proportion to their rows (largest remainders first, ties by
+    reason), with pick (1-based within stratum and reason). A stratum of fewer rows is taken whole; one without a target not at all."""
+    wanted = F.create_map(*(F.lit(x) for pair in targets.items() for x in pair))
+    w = Window.partitionBy(stratum)  # a row a reason
+    sizes = df.where(F.col(stratum).isin(*targets)).groupBy(stratum, reason).agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.sum("_n").over(w))
+    shared = sizes.withColumn("_total", F.least(wanted[F.col(stratum)].cast("long"), "_all")).withColumns({"_floor": F.expr("(_n * _total) div _all"), "_rest": F.expr("(_n * _total) % _all")})
+    place = F.row_number().over(w.orderBy(F.desc("_rest"), reason))
+    quota = shared.withColumns({"_left": F.col("_total") - F.sum("_floor").over(w), "_place": place}).select(F.col(stratum).alias("_s"), F.col(reason).alias("_r"), (F.col("_floor") + (F.col("_place") <= F.col("_left")).cast("long")).alias("_quota"))
+    met = df.join(quota, (F.col(stratum) == F.col("_s")) & F.col(reason).eqNullSafe(F.col("_r"))).drop("_s", "_r")
+    return per_stratum(met, F.struct(stratum, reason), key, F.col("_quota"), seed).drop("_quota")

@@ -1,0 +1,3 @@
+"""Plans: the registered queries."""
+
+from . import catalogue, evidence  # noqa: F401  (evidence adds its queries to the catalogue)
