@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .quality import words_of
-from .shared import Rolling, chunks, drop_written, met, mix, release, small_batches, utf8, written
+from .shared import Rolling, chunks, drop_written, met, mix, release, small_batches, utf8, word_hashes, written
 
 #: Classes on a key up to which all pairs are candidates at once.
 FEW = 8
@@ -43,7 +43,7 @@ _BAND = 1.5
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_bytes, _words = Rolling(31), Rolling(32)
+_words = Rolling(32)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of a digest that the index carries.
 REF = (1 << 40) - 1
@@ -53,8 +53,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]
     """The sorted distinct shingle hashes of each text."""
     data = _LOWER[data]
     starts, ends = words_of(data, offs)
-    hashes = _bytes.of(_bytes.prefix(data), starts, ends)
-    rolled = _words.prefix(hashes)
+    rolled = _words.prefix(word_hashes(data, starts, ends, 31))
     first = np.searchsorted(starts, offs)
     k = len(starts)
     grams = _words.of(rolled, np.arange(max(0, k - n + 1)), np.arange(n, k + 1) if k >= n else np.zeros(0, np.int64))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WS, Rolling, chunks, mix, small_batches, utf8
+from .shared import WS, Rolling, chunks, mix, small_batches, utf8, word_hashes
 
 #: Largest share of a text's word characters inside repeated n-grams (first occurrence included), by n.
 COVERAGE = {5: 0.50, 6: 0.48, 7: 0.46, 8: 0.44, 9: 0.42, 10: 0.40}
@@ -28,7 +28,7 @@ _IS_WS = np.zeros(256, bool)
 _IS_WS[[ord(c) for c in WS]] = True
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-_bytes, _words = Rolling(11), Rolling(12)
+_words = Rolling(12)
 
 
 def _prefixed(x: np.ndarray) -> np.ndarray:
@@ -71,8 +71,7 @@ def measure(data: np.ndarray, offs: np.ndarray, texts: list[str | None], lengths
     by_doc = lambda w: np.bincount(doc, w, n).astype(np.int64)
     out = {"n_words": np.bincount(doc, minlength=n).astype(np.int64), "word_chars": by_doc(chars), "n_symbols": symbols[offs[1:]] - symbols[offs[:-1]]}
 
-    hashes = _bytes.of(_bytes.prefix(data), starts, ends)
-    rolled = _words.prefix(hashes)
+    rolled = _words.prefix(word_hashes(data, starts, ends))
     salt = mix(np.arange(1, n + 1, dtype=np.uint64))
 
     def windows(at: np.ndarray, k: int) -> np.ndarray:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,14 +124,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_P = np.uint64((1 << 61) - 1)
+_S, _LOW31, _LOW30 = np.uint64(31), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, of numbers below it, in halves of 31 bits."""
+    a1, a0, b1, b0 = a >> _S, a & _LOW31, b >> _S, b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced(a1 * b1 * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & _LOW30) << _S) + a0 * b0)
+
+
 class Rolling:
-    """Prefix polynomial hashes modulo 2**64 over mapped symbols: the hash of any [start, end) is one subtraction and product."""
+    """Prefix polynomial hashes modulo the prime 2**61 - 1: the hash of any [start, end) is one subtraction and product. (Modulo 2**64 some
+    strings of 1,024 symbols would meet for every base.)"""
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(1 << 32, 1 << 63)) * 8 + 5 & (1 << 64) - 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.byte = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base = int(rng.integers(1 << 40, int(_P)))
+        self.inverse = pow(self.base, -1, int(_P))
         self.up = np.ones(1, np.uint64)
         self.down = np.ones(1, np.uint64)
 
@@ -143,17 +161,53 @@ class Rolling:
                 done = 1
                 while done < size:  # doubling
                     more = min(done, size - done)
-                    a[done : done + more] = a[:more] * np.uint64(pow(b, done, 1 << 64))
+                    a[done : done + more] = _product(a[:more], np.uint64(pow(b, done, int(_P))))
                     done += more
                 setattr(self, name, a)
 
     def prefix(self, symbols: np.ndarray) -> np.ndarray:
-        """symbols: uint8 (mapped by a table) or uint64 words."""
-        self.powers(len(symbols))
-        values = self.byte[symbols] if symbols.dtype == np.uint8 else symbols
-        out = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(values * self.up[: len(symbols)], out=out[1:])
+        """symbols: uint8, or uint64 words (taken modulo the prime). Halves are summed apart, so that sums stay below 2**64."""
+        n = len(symbols)
+        self.powers(n)
+        out = np.zeros(n + 1, np.uint64)
+        if symbols.dtype == np.uint8:
+            value, up = symbols.astype(np.uint64) + np.uint64(1), self.up[:n]
+            high, low = np.cumsum(value * (up >> _S)), np.cumsum(value * (up & _LOW31))
+        else:
+            terms = _product(_reduced(symbols), self.up[:n])
+            high, low = np.cumsum(terms >> _S), np.cumsum(terms & _LOW31)
+        high = _reduced(high)
+        out[1:] = _reduced((high >> np.uint64(30)) + ((high & _LOW30) << _S) + _reduced(low))
         return out
 
+    def between(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A number below the prime for what lies in [start, end)."""
+        a, z = prefix[start], prefix[end]
+        return _product(np.where(z >= a, z - a, z + _P - a), self.down[start])
+
     def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((prefix[end] - prefix[start]) * self.down[start] + (end - start).astype(np.uint64))
+        return mix(self.between(prefix, start, end) + (end - start).astype(np.uint64))
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: What a word's last eight bytes keep, by how many there are.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes of a word from which one call hashes it whole.
+_LONG_WORD = 256
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each [start, end): eight bytes at a time are mixed into it, for all words at once."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1), writeable=False)
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(seed * int(_ODD) & (1 << 64) - 1))
+    live, done = np.flatnonzero(size < _LONG_WORD), 0
+    while len(live):
+        block = eight[starts[live] + done].view("<u8")[:, 0] & _KEEP[np.minimum(size[live] - done, 8)]
+        out[live] = mix((out[live] ^ block) * _ODD)
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size >= _LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
+    return out

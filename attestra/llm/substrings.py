@@ -7,7 +7,7 @@ settled by 128 bits of hash (of the anchor and of the context). Where many conte
 their windows begin, again and again, and each part is named by all the bytes that its windows share. What is left is sorted per anchor by the suffix that starts at the anchor: a mergesort in
 which two suffixes meet by the binary search of their common extension on prefix polynomial hashes, so a comparison
 takes logarithmic time. Neighbours' extensions are then checked byte by byte. Windows are equal if their suffixes share enough,
-by the sorted order, and the bytes before the anchor are equal.
+by the sorted order, and the bytes before the anchor are equal, which is checked byte by byte too.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ SORTED = 8192
 BUCKET = 6000
 #: Bytes of texts handled at once, and of a longer text's segments; about 100 bytes of memory go with each.
 PART, SEGMENT = 1 << 18, 1 << 20
-_one, _two = Rolling(41), Rolling(42)
+_one = Rolling(41)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -41,9 +41,8 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     long = np.flatnonzero(size >= length)
     if not len(long) or len(data) < length:
         return none
-    prefix = _one.prefix(data)
     at = np.arange(len(data) - gram + 1)
-    grams = mix((prefix[gram:] - prefix[: len(prefix) - gram]) * _one.down[at])
+    grams = mix(_one.between(_one.prefix(data), at, at + gram))
     least, k, w = grams & ~_PLACE | at.astype(np.uint64), 1, length - gram + 1
     while 2 * k <= w:
         least = np.minimum(least[:-k], least[k:])
@@ -69,10 +68,10 @@ class _Suffixes:
 
     def __init__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray):
         self.data, self.begin, self.end, self.at = data, begin, end, at
-        self.hashed, self.again = _one.prefix(data), _two.prefix(data)
+        self.hashed = _one.prefix(data)
 
     def same(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (self.hashed[a + n] - self.hashed[a]) * _one.down[a] == (self.hashed[b + n] - self.hashed[b]) * _one.down[b]
+        return _one.between(self.hashed, a, a + n) == _one.between(self.hashed, b, b + n)
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """How far the suffixes of contexts i and j agree: a binary search over hashes."""
@@ -136,6 +135,14 @@ class _Suffixes:
         return out
 
 
+def _equal(data: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> bool:
+    """Whether the n bytes from each x on are those from its y on."""
+    if not n:
+        return True
+    every = np.lib.stride_tricks.sliding_window_view(data, n)
+    return all((every[x[i : i + 4096]] == every[y[i : i + 4096]]).all() for i in range(0, len(x), 4096))
+
+
 def repeats(anchor: np.ndarray, off: np.ndarray, starts: np.ndarray, data: np.ndarray, bounds: np.ndarray, length: int) -> np.ndarray:
     """Which windows occur twice or more: a flag per window, contexts side by side. Contexts are sorted by anchor; bounds are theirs in data;
     starts: windows of each; off: where its anchor lies in it."""
@@ -154,9 +161,14 @@ def repeats(anchor: np.ndarray, off: np.ndarray, starts: np.ndarray, data: np.nd
             continue
         group = np.cumsum(head | (shared < length - back))[own]
         a, z = at_[own] - back, at_[own]
-        key = mix((s.hashed[z] - s.hashed[a]) * _one.down[a] + group.astype(np.uint64) * _ODD) ^ mix((s.again[z] - s.again[a]) * _two.down[a] + group.astype(np.uint64))
+        key = mix(_one.between(s.hashed, a, z) + group.astype(np.uint64) * _ODD)
         by = np.argsort(key, kind="stable")
         same = key[by][1:] == key[by][:-1]
+        if not _equal(data, a[by[1:][same]], a[by[:-1][same]], back) or (group[by[1:][same]] != group[by[:-1][same]]).any():
+            named: dict[tuple[int, bytes], int] = {}  # a collision: by the bytes themselves
+            key = np.array([named.setdefault((int(g), data[x : x + back].tobytes()), len(named)) for g, x in zip(group, a, strict=True)])
+            by = np.argsort(key, kind="stable")
+            same = key[by][1:] == key[by][:-1]
         hit = np.unique(np.concatenate([own[by[1:][same]], own[by[:-1][same]]]))
         flags[flag_at[order[hit]] + off_[hit] - back] = True
     return flags

@@ -1,7 +1,7 @@
 """Byte-level BPE ids at numpy speed, equal to those of the vocabulary's own tokenizer.
 
 Texts are cut into the vocabulary's pre-tokens by a few vector passes over their code points. Most pre-tokens of a corpus
-have been seen before: their ids come out of a cache by 128-bit hash, and only new ones go through the tokenizer. Texts that
+have been seen before: their ids come out of a cache by hash, compared letter by letter with what is cached, and only new ones go through the tokenizer. Texts that
 hold one of its added tokens go through it whole.
 """
 
@@ -13,7 +13,7 @@ import unicodedata
 
 import numpy as np
 
-from .shared import Rolling, mix
+from .shared import word_hashes
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 #: Pre-tokens that a worker's cache holds before it starts anew.
@@ -84,7 +84,6 @@ class Tokenizer:
 
     def __init__(self, path: str):
         self.bpe = _encoder(path)
-        self.one, self.two = Rolling(21), Rolling(22)
         self.added = [t.content for t in self.bpe.get_added_tokens_decoder().values()]
         self.width = np.zeros(self.bpe.get_vocab_size(), np.int64)
         for token, i in self.bpe.get_vocab().items():
@@ -95,14 +94,18 @@ class Tokenizer:
         """Ids of each text by the tokenizer alone."""
         return [e.ids for e in self.bpe.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def hashes(self, chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return word_hashes(chars.view(np.uint8), 4 * start, 4 * end, 21)
+
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted
-        self.check = np.zeros(0, np.uint64)
+        self.chars = np.zeros(0, np.uint32)  # of all cached pre-tokens
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # where each one's lie there
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         if len(self.keys) > CACHE_ENTRIES:
             self.clear()
         # Pre-tokens without white space, but for a space before them, are cut the same way when joined, those without that space behind a
@@ -121,8 +124,11 @@ class Tokenizer:
         count[~joins] = np.fromiter(map(len, rest), np.int64, len(rest))
         first[~joins] = len(self.ids) + len(flat) + np.cumsum(count[~joins]) - count[~joins]
         self.ids = np.concatenate([self.ids, flat, np.fromiter((i for x in rest for i in x), np.uint32, int(count[~joins].sum()))])
+        own = np.fromiter(map(len, words), np.int64, len(words))
+        own_at = len(self.chars) + np.cumsum(own) - own
+        self.chars = np.concatenate([self.chars, np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)])
         at = np.searchsorted(self.keys, keys)  # keys are sorted
-        self.keys, self.check, self.first, self.count = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.check, checks), (self.first, first), (self.count, count)))
+        self.keys, self.at, self.size, self.first, self.count = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.at, own_at), (self.size, own), (self.first, first), (self.count, count)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text in them)."""
@@ -143,23 +149,21 @@ class Tokenizer:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         start = cut(chars, ends[sizes > 0])
         end = np.append(start[1:], len(chars))
-        symbols = mix(chars.astype(np.uint64) + np.uint64(1))
-        key = self.one.of(self.one.prefix(symbols), start, end)
-        check = self.two.of(self.two.prefix(symbols), start, end)
+        key = self.hashes(chars, start, end)
         seen, which, back = np.unique(key, return_index=True, return_inverse=True)
         known = self._find(seen)
         new = np.flatnonzero(known < 0)
         if len(new):
             at = which[new]
-            self._learn(seen[new], check[at], [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            self._learn(seen[new], [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
             known = self._find(seen)
             if (known < 0).any():  # the cache was started anew
                 at = which[known < 0]
-                self._learn(seen[known < 0], check[at], [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+                self._learn(seen[known < 0], [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
                 known = self._find(seen)
         entry = known[back]
-        wrong = np.flatnonzero(self.check[entry] != check)
-        if len(wrong):  # two pre-tokens of one key: these texts take the plain way
+        size = end - start
+        if (self.size[entry] != size).any() or (self.chars[np.repeat(self.at[entry] - start, size) + np.arange(len(chars))] != chars).any():  # two pre-tokens of one key: these texts take the plain way
             lists = self.plain(texts)
             count = np.fromiter(map(len, lists), np.int64, len(lists))
             return np.fromiter((i for x in lists for i in x), np.uint32, int(count.sum())), np.concatenate([[0], np.cumsum(count)])

@@ -13,7 +13,7 @@ import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
-from attestra.llm import jaccard, langid, lines, mixing, packing, quality, queries, secrets, substrings, tokens, topk, warc
+from attestra.llm import jaccard, langid, lines, mixing, packing, quality, queries, secrets, shared, substrings, tokens, topk, warc
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -74,6 +74,48 @@ def test_quality(docs, plain, empty):
     assert quality.repetition_quality(empty).count() == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    """A string and its complement, which polynomial hashes modulo 2**64 cannot tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+def test_structured_strings_do_not_meet(spark, monkeypatch):
+    """Words of 1,024 letters, texts of 4,096 and sequences of 1,024 words, each beside its complement."""
+    x, y = thue_morse(1024)
+    rows = spark.createDataFrame([(0, f"{x} p q r s"), (1, f"{y} p q r s"), (2, f"{x} q w {y} q w")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(rows).collect()} == {0: 0, 1: 1, 2: 2}
+    assert {r["doc_id"]: r["n_repeat_words"] for r in quality.repetition_quality(rows).collect()} == {0: 0, 1: 0, 2: 0}
+    t, plain = tokens.Tokenizer(tokens.vocabulary()), tokenizers.Tokenizer.from_file(tokens.vocabulary())
+    own = [x, y, f"{x} {y}"]
+    ids, at = t.encode(own)
+    assert [ids[a:z].tolist() for a, z in zip(at, at[1:], strict=False)] == [plain.encode(w, add_special_tokens=False).ids for w in own]
+    monkeypatch.setattr(tokens.Tokenizer, "hashes", lambda self, chars, start, end: np.full(len(start), 7, np.uint64))  # all pre-tokens meet
+    t.clear()
+    ids, at = t.encode(["one two", "two one one"])
+    assert [ids[a:z].tolist() for a, z in zip(at, at[1:], strict=False)] == [plain.encode(w, add_special_tokens=False).ids for w in ("one two", "two one one")]
+    long, other = thue_morse(4096)
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(spark.createDataFrame([(0, long[:1024] + "0" * 60), (1, other[:1024] + "1" * 60)], "doc_id long, text string"), length=900).collect()}
+    assert got == {0: 0, 1: 0}
+
+
+def test_rolling_hashes_are_those_of_the_polynomial():
+    p, rng = (1 << 61) - 1, np.random.default_rng(3)
+    r = shared.Rolling(5)
+    for symbols in (rng.integers(0, 256, 3000).astype(np.uint8), rng.integers(0, 1 << 64, 3000, dtype=np.uint64)):
+        prefix = r.prefix(symbols)
+        values = [int(v) + 1 if symbols.dtype == np.uint8 else int(v) % p for v in symbols]
+        start, end = rng.integers(0, 1500, 50), rng.integers(1500, 3001, 50)
+        assert r.between(prefix, start, end).tolist() == [sum(values[i] * pow(r.base, i - a, p) for i in range(a, z)) % p for a, z in zip(start.tolist(), end.tolist(), strict=True)]
+
+
+def test_windows_before_an_anchor_are_compared_on_their_bytes(monkeypatch):
+    monkeypatch.setattr(substrings._one, "between", lambda prefix, start, end: np.zeros(len(start), np.uint64))  # all hashes meet
+    data = np.frombuffer(b"abXXcdXXabXX", np.uint8)
+    flags = substrings.repeats(np.zeros(3, np.int64), np.full(3, 2), np.ones(3, np.int64), data, np.array([0, 4, 8, 12]), 4)
+    assert flags.tolist() == [True, False, True]
+
+
 def _tail(z):
     z = max(-12.0, min(12.0, z))
     return 1 / (1 + math.exp(1.5976 * z + 0.07056 * z**3))
