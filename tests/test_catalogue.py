@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import bench
 from attestra.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -43,6 +44,11 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_bench_takes_numbered_queries_alone():
+    assert bench.numbered(["option_split", "op10_b", "op2_a", "pipeline", "open"]) == ["op2_a", "op10_b"]
+    assert set(bench.HEADLINE) <= set(catalogue.QUERIES)
+
+
 def test_copies_and_families_are_found_over_all_parts(spark):
     data = catalogue.near_duplicate_families(spark, SF).collect()
     assert {r["decision"] for r in data} == {"exact_duplicate", "suspected_same_family"} and any(r["part_b"] - r["part_a"] > 100 for r in data)
