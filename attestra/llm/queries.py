@@ -84,6 +84,25 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=5, percent=80)
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"), most=3, least=10, first=2000, share=50)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import merkle_manifest
+
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    return merkle_manifest(_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], tampered)
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_components
+
+    return simhash_components(_table(spark, sf_dir, "documents"), n=3, most=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scans": op2_secret_scans,
@@ -95,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_phrase_mining": op11_phrase_mining,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_simhash_dedup": op13_simhash_dedup,
 }
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -171,4 +193,57 @@ ORACLE: dict[str, str] = {
         r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON r.v = e.a),
         m AS (SELECT v, min(c) AS component_id FROM r GROUP BY v)
         SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, m.component_id FROM n JOIN m ON n.doc_id = m.v""",
+    "op11_phrase_mining": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k),
+        f AS (SELECT lang, k, phrase, lang || chr(1) || phrase AS key, count(*) AS a FROM g GROUP BY ALL),
+        t AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+        x AS (SELECT c.*, cut FROM c, (SELECT unnest([1, 2]) AS cut) WHERE cut < k),
+        s AS (
+            SELECT x.lang, x.k, x.phrase, x.a, x.ws, cut, l.a AS l, r.a AS r, CAST((1000000::HUGEINT * x.a * x.a) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+            FROM x JOIN f l ON l.key = x.lang || chr(1) || array_to_string(ws[1 : cut], ' ') JOIN f r ON r.key = x.lang || chr(1) || array_to_string(ws[cut + 1 :], ' ')
+            QUALIFY row_number() OVER (PARTITION BY x.lang, x.phrase ORDER BY score, cut) = 1),
+        m AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3),
+        o AS (SELECT lang, phrase, max(a) AS over FROM m GROUP BY ALL),
+        b AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank FROM s LEFT JOIN o USING (lang, phrase) WHERE over IS NULL OR 100 * over < 50 * a)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM b JOIN t USING (lang) WHERE rank <= 2000""",
+    "op12_merkle_manifest": """
+        WITH RECURSIVE f AS (
+            SELECT *, coalesce('=' || lang, '-') AS tree, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+                   coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail,
+                   xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INTEGER, 1))::BIGINT)),
+                       lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) AS crc
+            FROM documents),
+        l AS (
+            SELECT doc_id, tree, sha256(head || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+                   sha256(head || coalesce(octet_length(encode((n_chars + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END)::VARCHAR)) || ':' || (n_chars + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END), '-') || tail) AS seen
+            FROM f),
+        o AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM l),
+        t AS (
+            SELECT tree, 0 AS level, i, n, leaf AS h FROM o
+            UNION ALL
+            SELECT tree, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY tree, level, i // 2, n),
+        s AS (SELECT tree, h, level AS depth, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+        u AS (
+            SELECT 0 AS level, i, n, h FROM s
+            UNION ALL
+            SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY level, i // 2, n),
+        nodes AS (
+            SELECT tree, level, i, n, h FROM t WHERE n > 1
+            UNION ALL
+            SELECT s.tree, s.depth + u.level, u.i, u.n, u.h FROM s, u WHERE u.n > 1),
+        steps AS (SELECT s.tree, s.depth, s.i AS top FROM s),
+        w AS (
+            SELECT o.doc_id, o.tree, o.i AS leaf_at, 0 AS level, CASE WHEN depth = 0 THEN top ELSE o.i END AS i, depth, top, o.seen AS h, '' AS proof FROM o JOIN steps USING (tree)
+            UNION ALL
+            SELECT w.doc_id, w.tree, leaf_at, w.level + 1, CASE WHEN w.level + 1 = depth THEN top ELSE w.i // 2 END, depth, top,
+                   sha256(CASE WHEN b.h IS NULL THEN w.h WHEN w.i % 2 = 1 THEN b.h || w.h ELSE w.h || b.h END), proof || coalesce(b.h, '')
+            FROM w JOIN nodes a ON a.tree = w.tree AND a.level = w.level AND a.i = w.i LEFT JOIN nodes b ON b.tree = w.tree AND b.level = w.level AND b.i = xor(w.i, 1)),
+        done AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY tree, leaf_at ORDER BY level DESC) = 1)
+        SELECT o.doc_id, o.leaf, s.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, done.h AS folded_root, done.h = root.h AS verified
+        FROM o JOIN done ON done.tree = o.tree AND done.leaf_at = o.i JOIN s ON s.tree = o.tree, (SELECT h FROM u WHERE n = 1) AS root""",
 }
