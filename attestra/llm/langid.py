@@ -6,7 +6,8 @@ gradient descent in numpy on a bounded sample. As both layers are linear, a buck
 language's logit is one table row, and prediction is a mean of rows over the whole text. A temperature fitted on a
 part of the sample that is kept apart calibrates scores. A softmax alone is sure of texts in no language it knows, so the row also holds how
 familiar the bucket is, the logarithm of its share in training. Both limits for rejection, of the score and of the mean familiarity, come from the
-part kept apart: they lie below all its rightly predicted texts, by half of the distance from the lowest of them to their median.
+part kept apart: each lies below all its rightly predicted texts, by half of the distance from the lowest of them to their median, or higher, where
+that rejects so many wrongly predicted texts that it outweighs the right ones it costs (RIGHT wrong ones for each).
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from .shared import chunks, small_batches, unused, utf8
 
 GRAMS = (2, 3, 4)
 BITS = 15
-#: The sample that a model is fitted on: rows in all, characters of a row.
+#: The sample that a model is fitted on: rows in all, characters of a row (of a longer text one piece, at a place by its id's hash).
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
 #: How far below the lowest rightly predicted text of the calibration part the limits lie, in distances from it to the median.
 BELOW = 0.5
+#: As how many wrong answers let through a right one that is rejected counts.
+RIGHT = 5.0
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
@@ -90,13 +93,18 @@ class Model:
 
 
 def train(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 8, rate: float = 4.0, batch: int = 64, seed: int = 7) -> Model:
-    """A model of the languages given; every fifth text is kept apart for calibration."""
+    """A model of the languages given; every fifth text is kept apart for calibration, but for those whose language has no other text. Without any
+    left, the temperature is 1 and nothing is rejected by score or familiarity: texts in training never calibrate."""
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs], np.int64)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
-    held = order[::5] if len(texts) >= 50 else order
-    used = np.setdiff1d(order, held) if len(texts) >= 50 else order
+    held = np.zeros(len(texts), bool)
+    held[order[::5]] = True
+    known = np.zeros(len(names), bool)
+    known[y[~held]] = True
+    held &= known[y]
+    held, used = np.flatnonzero(held), np.flatnonzero(~held)
     embed = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (dim, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
     data = [t.encode() for t in texts]
@@ -133,6 +141,8 @@ def train(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 8, ra
         share[ids] += weight
     familiar = np.log((share + 0.1 * len(examples) / len(share)) / max(1, len(examples)) * len(share))
     model = Model(names, np.column_stack([embed @ out, familiar.astype(np.float32)]), bias.astype(np.float64))
+    if not len(held):
+        return model
     offs = np.concatenate([[0], np.cumsum([len(data[i]) for i in held])]).astype(np.int64)
     joined = np.frombuffer(b"".join(data[i] for i in held), np.uint8)
     parts = [model.logits(joined[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in chunks(offs, 1 << 18)]  # a row of the model a byte
@@ -148,13 +158,23 @@ def train(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 8, ra
     top = p.max(1) / p.sum(1)
     right = (p.argmax(1) == truth) & np.isfinite(familiar)
     if right.any():
-        below = lambda x: float(x.min() - BELOW * (np.median(x) - x.min()))
-        model.threshold, model.least = below(top[right]), below(familiar[right])
+        finite = np.where(np.isfinite(familiar), familiar, -1e9)
+        model.threshold, model.least = limit(top, right), limit(finite, right)
         gone = model.rejects(top, familiar)
         model.false_rejections, model.caught = float(gone[right].mean()), float(gone[~right].mean()) if (~right).any() else 0.0
     return model
 
 
+def limit(x: np.ndarray, right: np.ndarray) -> float:
+    """The limit below which an answer of measure x is rejected: of the one below all right answers and those just above each wrong one, that of least
+    cost (wrong answers let through, and RIGHT for each right one rejected), the lowest on ties."""
+    low = float(x[right].min() - BELOW * (np.median(x[right]) - x[right].min()))
+    wrong = np.sort(x[~right])
+    at = np.concatenate([[low], np.nextafter(wrong[wrong >= low], np.inf)])
+    cost = RIGHT * np.searchsorted(np.sort(x[right]), at, "left") - np.searchsorted(wrong, at, "left")
+    return float(at[int(cost.argmin())])
+
+
 def shares(counts: dict[str, int], rows: int) -> dict[str, int]:
     """How many of each language's rows fit into `rows` when all get alike, none more than it has, and each at least one."""
     out, room = {}, rows
@@ -165,10 +185,10 @@ def shares(counts: dict[str, int], rows: int) -> dict[str, int]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
-    """A model from at most `rows` texts (of at most `chars` characters each) of the rows of docs whose crc32(id as text) mod 3 is not 1
-    and whose text and language are not null. Room is shared evenly over languages, what a rare one leaves goes to the others, and each
+    """A model from at most `rows` texts (of at most `chars` characters each: of a longer text a piece, at a place by its id's hash) of the rows of docs whose
+    crc32(id as text) mod 3 is not 1 and whose text and language are not null. Room is shared evenly over languages, what a rare one leaves goes to the others, and each
     gets its first rows by a hash of the id; one text a language where there are more languages than rows. None without such rows."""
-    pool = docs.where((F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= chars))
+    pool = docs.where((F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in pool.groupBy(F.col(lang_col)).count().collect()}
     if not counts:
         return None
@@ -178,7 +198,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # A language's first rows lie below this bound but for a tiny chance; ranks need not be worked out beyond.
     bounds = [(lang, int(min(1.0, (n + 6 * n**0.5 + 20) / counts[lang]) * (1 << 30)), n) for lang, n in wanted.items()]
     to = F.broadcast(docs.sparkSession.createDataFrame(bounds, f"_l {dict(docs.dtypes)[lang_col]}, _to long, _n long"))
-    drawn = pool.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), draw.alias("d"), F.col(id_col).cast("string").alias("i")).join(to, F.col("l") == F.col("_l")).where("d < _to")
+    begin = F.pmod(F.xxhash64(F.lit(29), F.col(id_col)), F.greatest(F.length(text_col) - chars, F.lit(0)) + 1).cast("int") + 1
+    drawn = pool.select(F.when(F.length(text_col) > chars, F.substring(F.col(text_col), begin, F.lit(chars))).otherwise(F.col(text_col)).alias("t"), F.col(lang_col).alias("l"), draw.alias("d"), F.col(id_col).cast("string").alias("i")).join(to, F.col("l") == F.col("_l")).where("d < _to")
     rank = F.row_number().over(Window.partitionBy("l").orderBy("d", "i", "t"))
     sample = drawn.withColumn("_r", rank).where((F.col("_r") <= most) & (F.col("_r") <= F.col("_n"))).select("d", "i", "t", "l").collect()
     sample = sorted((r["d"], str(r["i"]), r["t"], r["l"]) for r in sample)

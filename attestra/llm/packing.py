@@ -4,7 +4,7 @@ Only the histogram of piece lengths (below the capacity: full pieces fill a sequ
 configuration is a multiset of lengths that fits into one sequence. The program "fewest configurations that cover every
 length's count" is solved by multiplicative weights: lengths that are covered least weigh most, and a knapsack dynamic program
 prices the best configuration under the weights, until all but a thousandth of the tokens is covered. Multiplicities are
-rounded down, then up by their fractions where the counts allow; what is left over goes best-fit decreasing into remaining room. Every piece then finds its place from its
+rounded down, then up by their fractions where the counts allow; what is left over goes best-fit decreasing into the room that configurations leave. Every piece then finds its place from its
 length and its rank within that length alone.
 """
 
@@ -83,13 +83,13 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: floa
 
 
 def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP) -> list[tuple[np.ndarray, int]]:
-    """Full configurations and how often each is used, within the counts: the program's, rounded."""
+    """The program's configurations and how often each is used, rounded within the counts."""
     merged: dict[bytes, float] = {}
     for config, times in fractional(lengths, counts, capacity, gap):
-        if config @ lengths == capacity:  # best fit does no worse with what others hold
-            merged[config.tobytes()] = merged.get(config.tobytes(), 0.0) + times
+        merged[config.tobytes()] = merged.get(config.tobytes(), 0.0) + times
     down = [(key, int(times)) for key, times in merged.items()]
-    up = [(key, 1) for key, times in sorted(merged.items(), key=lambda x: int(x[1]) - x[1]) if times > int(times)]  # largest fractions first
+    full = lambda key: np.frombuffer(key, np.int64) @ lengths == capacity
+    up = [(key, 1) for key, times in sorted(merged.items(), key=lambda x: int(x[1]) - x[1]) if times > int(times) and full(key)]  # largest fractions first
     left, out = counts.copy(), []
     for key, times in down + up:
         config = np.frombuffer(key, np.int64)
@@ -111,6 +111,14 @@ def plan(histogram: dict[int, int], capacity: int, gap: float = GAP) -> tuple[np
     counts = np.array([histogram[n] for n in lengths], np.int64)
     done, slots, sequences = np.zeros(len(lengths), np.int64), [], 0
     rooms: dict[int, list[list[int]]] = {}  # free tokens: [first sequence, how many sequences]
+    order: list[int] = []
+
+    def room_left(room: int, first: int, many: int) -> None:
+        if room > 0 and many > 0:
+            if not rooms.get(room):
+                insort(order, room)
+            rooms.setdefault(room, []).append([first, many])
+
     for config, times in configurations(lengths, counts, capacity, gap):
         offset = 0
         for i in np.flatnonzero(config)[::-1].tolist():
@@ -118,14 +126,8 @@ def plan(histogram: dict[int, int], capacity: int, gap: float = GAP) -> tuple[np
                 slots.append((lengths[i], done[i], done[i] + times, sequences, offset))
                 done[i] += times
                 offset += int(lengths[i])
+        room_left(capacity - offset, sequences, times)
         sequences += times
-    order: list[int] = []
-
-    def room_left(room: int, first: int, many: int) -> None:
-        if room > 0 and many > 0:
-            if not rooms.get(room):
-                insort(order, room)
-            rooms.setdefault(room, []).append([first, many])
 
     for i in range(len(lengths) - 1, -1, -1):
         size = int(lengths[i])

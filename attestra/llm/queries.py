@@ -32,7 +32,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     margins = {"source": (F.col("source"), 0.7), "lang": (F.col("lang"), 0.9), "topic": (genre(F.col("text"), F.col("tokens")), 1.0)}
-    return mix_to_targets(docs, margins).select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), "tokens", F.round("probability", 9).alias("probability"), "kept")
+    return mix_to_targets(docs, margins).select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), "tokens", F.round("probability", 9).alias("probability"), "kept", "targets", F.round("targets_off", 6).alias("targets_off"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

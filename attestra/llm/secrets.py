@@ -5,7 +5,8 @@ that it was drawn uniformly from that alphabet, three tests give p-values: chi-s
 and below its middle, and serial correlation; Fisher's method combines them. Words and paths fail them, random keys do not.
 
 Reported are the tokens for which "this is a word-like token" is rejected. What word-like tokens score is estimated from the corpus:
-long tokens without any digit, by bands of length, have a log-normal -ln p, whose lower tail is a token's p-value of not being one. The
+long tokens without any digit, by bands of length, have a log-normal -ln p, whose lower tail is a token's p-value of not being one. A band's estimate is
+shrunk towards the one of all bands together, by how few tokens it has. The
 Benjamini-Hochberg rule within each band then bounds the expected share of word-like tokens among those reported by `fdr`.
 """
 
@@ -40,9 +41,9 @@ ENCODINGS = (
 _BASE64 = _UP + _LOW + _DIGITS + "+/"
 #: Bins per unit of ln(-ln p).
 BINS = 50
-#: Word-like tokens of different scores in a band from which its distribution is estimated; of fewer, the band takes DEFAULT: mean and deviation
-#: of ln(-ln p), which for random tokens are -0.7 and 1.4 at any length.
-ENOUGH = 100
+#: Mean and deviation of ln(-ln p) of word-like tokens by band, before any is seen (random tokens have -0.7 and 1.4 at any length), and as how many
+#: tokens that counts: bands are shrunk towards what all bands together say, and that towards DEFAULT.
+PRIOR = 20.0
 DEFAULT = ((2.2, 0.6), (2.8, 0.6), (3.4, 0.6), (4.0, 0.6))
 
 
@@ -148,9 +149,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = written(rows.select("doc_id", F.element_at(found, 1).alias("f")).select("doc_id", "f.base", "f.tokens"), "spans")
 
     tokens = rows.select(F.explode("tokens").alias("t")).select("t.*")
-    words = tokens.where("NOT candidate").groupBy("band").agg(F.count_distinct("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("dev")).where((F.col("n") >= ENOUGH) & (F.col("dev") > 0))
-    wordlike = rows.sparkSession.createDataFrame([(i, *d) for i, d in enumerate(DEFAULT)], "band int, m0 double, d0 double").join(words, "band", "left")
-    wordlike = wordlike.select("band", F.coalesce("mean", "m0").alias("mean"), F.coalesce("dev", "d0").alias("dev"))
+    words = tokens.where("NOT candidate").groupBy("band", "x").agg(F.lit(1)).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("own"), F.var_pop("x").alias("var"))  # copies count once
+    wordlike = rows.sparkSession.createDataFrame([(i, *d) for i, d in enumerate(DEFAULT)], "band int, m0 double, d0 double").join(words, "band", "left").fillna(0)
+    every = wordlike.agg((F.sum(F.col("n") * (F.col("own") - F.col("m0"))) / (F.sum("n") + PRIOR)).alias("shift"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("var")).alias("squares"))
+    n, prior = F.col("n"), F.col("m0") + F.col("shift")
+    spread = (F.col("squares") + PRIOR * F.col("d0") * F.col("d0")) / (F.col("all") + PRIOR)
+    mean = (n * F.col("own") + PRIOR * prior) / (n + PRIOR)
+    dev = F.sqrt((n * F.col("var") + PRIOR * spread) / (n + PRIOR))
+    wordlike = wordlike.crossJoin(F.broadcast(every)).select("band", mean.alias("mean"), dev.alias("dev"))  # one row beside one a band
     counts = tokens.where("candidate").groupBy("band", F.ceil(F.col("x") * BINS).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     ranked = counts.withColumn("rank", F.sum("c").over(Window.partitionBy("band").orderBy("bin"))).withColumn("all", F.sum("c").over(Window.partitionBy("band"))).join(F.broadcast(wordlike), "band")
     p = _tail((F.col("mean") - F.col("bin") / BINS) / F.col("dev"))
