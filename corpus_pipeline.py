@@ -59,7 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that token shares of sources, languages and topics have their targets. Null categories are one category of their
     own; null and empty texts weigh nothing; rows that repeat an id stay or go together."""
-    added = ["tokens", "probability", "kept", "mix_source", "mix_lang", "mix_topic"]
+    added = ["tokens", "probability", "kept", "mix_source", "mix_lang", "mix_topic", "targets", "targets_off"]
     if _clash(docs, added):
         return _renamed(spark, docs, added, sf_dir, source_mix)
     margins = {"source": (F.col("source"), 0.7), "lang": (F.col("lang"), 0.9), "topic": (genre(F.col("text"), F.col("tokens")), 1.0)}
