@@ -1,11 +1,12 @@
 """Merkle manifest of a dataset by Pregel-style supersteps over RDDs.
 
-Leaves are the digests of rows, in order within their tree (a language). A node is a vertex under (tree, block, place): children
-send their digests to their parent, a parent that has all of them hashes them and sends its own on. 2**BLOCK_BITS leaves that lie side by side, and all
-nodes over them, share a block, and blocks are what partitions hold: supersteps inside blocks send messages within a partition, without
-any shuffle. The blocks' own roots are then the leaves of the next tier, dealt to blocks anew, until each tree has one node. The trees' roots, in
-order, are the leaves of one more tree of the same kind. On the way back each node sends its children the path of siblings from them up to the
-root, and leaves check themselves by it. Partitions depend on places alone, so no tree, however large, gathers in one task.
+Leaves are the digests of rows, in order within their tree (a language). Nodes are vertices: children send their digests to their parent, and a
+parent that has all of them hashes them and sends its own on. 2**BLOCK_BITS leaves that lie side by side, and all nodes over them, are a block, and
+blocks are what partitions hold. A superstep delivers the messages of the one before it, which a shuffle brings, then those within each block until
+none is left there; what goes beyond, the digest of the block's top, is for the next superstep, where tops are the leaves of blocks of their own. When
+each tree has one node, the trees' roots, in order, are the leaves of one more tree. Reverse supersteps then send each node's path of
+siblings up to the root down to its children, and leaves check themselves by it. Partitions depend on places alone, so no tree, however large, gathers
+in one task, and there are as many supersteps as the logarithm of the leaves by BLOCK_BITS.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD, StorageLevel, TaskContext
+from pyspark import RDD, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +25,7 @@ from pyspark.sql.window import Window
 from .shared import fresh_path, written
 
 #: Leaves of a block: 2 to this power.
-BLOCK_BITS = 12
+BLOCK_BITS = 10
 #: Rows up to which a table of short columns is broadcast.
 FEW_ROWS = 1_000_000
 
@@ -80,107 +81,88 @@ def placed(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def _where(key: tuple) -> int:
-    """The block of a node's key (tree, block, place) as a number."""
+    """A block (tree, number) as a number."""
     return zlib.crc32(f"{key[0]}\0{key[1]}".encode())
 
 
-def _up(nodes: Iterator[tuple]) -> Iterator[tuple]:
-    for (tree, block, index), (n, digest, *_) in nodes:
-        if n > 1:
-            yield (tree, block, index >> 1), (index, n, digest)
+def _levels(leaves: list[tuple], bits: int) -> tuple[list[list[str]], int]:
+    """The digests of a block's nodes, level by level, and how many nodes of its tree the last level has. leaves: (index, n, digest, ...) in order."""
+    first, n = leaves[0][:2]
+    if len(leaves) != min(1 << bits, n - first) or first % (1 << bits) or leaves[-1][0] != first + len(leaves) - 1:
+        raise ValueError(f"the block from leaf {first} on has {len(leaves)} of its leaves")
+    levels = [[x[2] for x in leaves]]
+    while n > 1 and len(levels) <= bits:
+        inbox: dict[int, list[str]] = {}
+        for k, digest in enumerate(levels[-1]):
+            inbox.setdefault(k >> 1, []).append(digest)
+        levels.append([join_digests(inbox[k]) for k in range(len(inbox))])
+        n = (n + 1) >> 1
+    return levels, n
 
 
-def _complete(parents: Iterator[tuple]) -> Iterator[tuple]:
-    for key, got in parents:
-        children = sorted(got)
-        n = children[0][1]
-        if len(children) != min(2, n - 2 * key[2]):
-            raise ValueError(f"node {key} has {len(children)} of its children")
-        yield key, ((n + 1) // 2, join_digests(c[2] for c in children))
-
-
-def _children(nodes: Iterator[tuple]) -> Iterator[tuple]:
-    for (tree, block, index), (n, digest, *_) in nodes:
-        if n > 1:
-            yield (tree, block, index >> 1), (index, digest)
-
-
-def _forward(parents: Iterator[tuple]) -> Iterator[tuple]:
-    """Each child's path: its sibling, if any, then its parent's path."""
-    for (tree, block, _), got in parents:
-        got = list(got)
-        path = next(x for x in got if len(x) == 1)[0]
-        children = sorted(x for x in got if len(x) == 2)
-        for k, (index, _) in enumerate(children):
-            sibling = "" if len(children) == 1 else "<" + children[0][1] if k else ">" + children[1][1]
-            yield (tree, block, index), ((sibling, *path),)
+def _paths(levels: list[list[str]], top: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """The path of each leaf of a block, from its top's one."""
+    paths = [top]
+    for nodes in reversed(levels[:-1]):
+        sibling = [("<" + nodes[k ^ 1] if k & 1 else ">" + nodes[k ^ 1]) if k ^ 1 < len(nodes) else "" for k in range(len(nodes))]
+        paths = [(x, *paths[k >> 1]) for k, x in enumerate(sibling)]
+    return paths
 
 
 class Forest:
     """Trees over leaves (tree, index, n, digest and further columns), built by up(); down() then brings every leaf its path."""
 
     def __init__(self, leaves: DataFrame, bits: int = BLOCK_BITS):
-        self.spark, self.leaves, self.bits = leaves.sparkSession, leaves, bits
+        self.spark, self.bits = leaves.sparkSession, bits
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.tiers: list[list[RDD]] = []
-
-    def _blocks(self, rows: RDD) -> RDD:
-        """((tree, block, index), value) by block."""
-        return rows.partitionBy(self.parts, _where)
+        first = ["tree", "index", "n", "digest"]
+        self.tiers = [leaves.select(*first, *(c for c in leaves.columns if c not in first))]
 
-    def _step(self, messages: RDD) -> RDD:
-        return messages.groupByKey(self.parts, _where)
+    def _blocks(self, tier: int) -> RDD:
+        """((tree, block), (index, n, digest, further columns)) of a tier's leaves."""
+        bits = self.bits
+        return self.tiers[tier].rdd.map(lambda r: ((r[0], r[1] >> bits), tuple(r[1:])))
 
     def up(self) -> DataFrame:
-        """tree, tier, level, block, index and digest of each tree's root."""
-        bits, columns = self.bits, self.leaves.columns
-        at = [columns.index(c) for c in ("tree", "index", "n", "digest")]
-        more = [i for i, c in enumerate(columns) if i not in at]
-        depth = max(1, (self.leaves.agg(F.max("n")).first()[0] or 1) - 1).bit_length()
-        base = self.leaves.rdd.map(lambda r: ((r[at[0]], r[at[1]] >> bits, r[at[1]]), (r[at[2]], r[at[3]], *(r[i] for i in more))))
-        roots, done = None, 0
+        """tree, tier and digest of each tree's root."""
+        bits, roots = self.bits, None
+
+        def tops(blocks: Iterator[tuple]) -> Iterator[tuple]:
+            for (tree, block), got in blocks:
+                levels, n = _levels(sorted(got, key=lambda x: x[0]), bits)
+                yield tree, block, n, levels[-1][0]
+
         while True:
-            levels = [self._blocks(base).persist(StorageLevel.MEMORY_AND_DISK)]
-            steps = min(bits, depth - done)
-            for _ in range(steps):
-                nodes = self._step(levels[-1].mapPartitions(_up, preservesPartitioning=True)).mapPartitions(_complete, preservesPartitioning=True)
-                levels.append(nodes.persist(StorageLevel.MEMORY_AND_DISK))
-            self.tiers.append(levels)
-            tier, done = len(self.tiers) - 1, done + steps
-            finished = [x.filter(lambda v: v[1][0] == 1).map(lambda v, level=level: (v[0][0], tier, level, v[0][1], v[0][2], v[1][1])) for level, x in enumerate(levels)]
-            rows = self.spark.sparkContext.union(finished)
-            found = written(self.spark.createDataFrame(rows, "tree string, tier int, level int, block long, index long, digest string", verifySchema=False), "roots")
-            roots = found if roots is None else roots.unionByName(found)
-            if done >= depth:
+            tier = len(self.tiers) - 1
+            done = self._blocks(tier).mapValues(lambda v: v[:3]).groupByKey(self.parts, _where).mapPartitions(tops)
+            done = written(self.spark.createDataFrame(done, "tree string, index long, n long, digest string", verifySchema=False), "block-tops")
+            own = done.where("n = 1").select("tree", F.lit(tier).alias("tier"), "digest")
+            roots = own if roots is None else roots.unionByName(own)
+            left = done.where("n > 1")
+            if left.isEmpty():
                 return roots
-            top = levels[-1].filter(lambda v: v[1][0] > 1).map(lambda v: (v[0][0], v[0][2], *v[1]))
-            top = written(self.spark.createDataFrame(top, "tree string, index long, n long, digest string", verifySchema=False), "block-roots")
-            base = top.rdd.map(lambda r: ((r[0], r[1] >> bits, r[1]), (r[2], r[3])))
+            self.tiers.append(left)
 
     def down(self, paths: DataFrame) -> RDD:
-        """((tree, block, index), (leaf's value, its path)) of every leaf; paths: tier, level, tree, block, index and path (array) of each root."""
-        bits, holders = self.bits, None
+        """(tree, leaf (index, n, digest, further columns), path) of every leaf; paths: tree, tier and path (array) of each root."""
+        bits, above = self.bits, None
+
+        def spread(blocks: Iterator[tuple]) -> Iterator[tuple]:
+            for (tree, _), got in blocks:
+                got = list(got)
+                top = next(x[0] for x in got if len(x) == 1)
+                leaves = sorted((x for x in got if len(x) > 1), key=lambda x: x[0])
+                for leaf, path in zip(leaves, _paths(_levels(leaves, bits)[0], top), strict=True):
+                    yield tree, leaf, path
+
         for tier in range(len(self.tiers) - 1, -1, -1):
-            levels = self.tiers[tier]
-            own = paths.where(F.col("tier") == tier).select("level", "tree", "block", "index", "path").rdd
-            own = self._blocks(own.map(lambda r: ((r[1], r[2], r[3]), (r[0], tuple(r[4])))))
-            if holders is not None:  # what the tier above calls its leaves
-                named = self.spark.createDataFrame(holders.map(lambda v: (v[0][0], v[0][2], list(v[1][0]))), "tree string, index long, path array<string>", verifySchema=False)
-                named = written(named, "block-paths")
-                holders = self._blocks(named.rdd.map(lambda r: ((r[0], r[1], r[1]), (tuple(r[2]),))))
-            for level in range(len(levels) - 1, -1, -1):
-                here = own.mapPartitions(lambda rows, level=level: ((k, (p,)) for k, (x, p) in rows if x == level), preservesPartitioning=True)
-                holders = here if holders is None else holders.union(here)
-                if level:
-                    children = levels[level - 1].mapPartitions(_children, preservesPartitioning=True)
-                    holders = self._step(children.union(holders)).mapPartitions(_forward, preservesPartitioning=True)
-        met = self._step(self.tiers[0][0].mapPartitions(lambda rows: ((k, (0, v)) for k, v in rows), preservesPartitioning=True).union(holders.mapPartitions(lambda rows: ((k, (1, v[0])) for k, v in rows), preservesPartitioning=True)))
-        return met.mapValues(lambda got: tuple(x for _, x in sorted(got, key=lambda x: x[0])))
-
-    def release(self) -> None:
-        for levels in self.tiers:
-            for x in levels:
-                x.unpersist()
+            told = paths.where(F.col("tier") == tier).select("tree", F.lit(0).cast("long").alias("block"), "path")
+            if above is not None:  # the leaves of the tier above are this one's tops
+                rows = above.map(lambda x: (x[0], x[1][0], list(x[2])))
+                told = told.unionByName(written(self.spark.createDataFrame(rows, "tree string, block long, path array<string>", verifySchema=False), "block-paths"))
+            told = told.rdd.map(lambda r: ((r[0], r[1]), (tuple(r[2]),)))
+            above = self._blocks(tier).union(told).groupByKey(self.parts, _where).mapPartitions(spread)
+        return above
 
 
 def merkle_manifest(docs: DataFrame, columns: list[str], tampered: Column, tree_col: str = "lang", id_col: str = "doc_id", count_col: str = "n_chars", bits: int = BLOCK_BITS) -> DataFrame:
@@ -209,21 +191,18 @@ def merkle_manifest(docs: DataFrame, columns: list[str], tampered: Column, tree_
     crown = Forest(placed(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), ["name"]), bits)
     top = written(crown.up(), "root")
     root = top.first()["digest"]
-    # The paths of the subroots to the root go down on their own trees.
-    above = crown.down(top.withColumn("path", F.array().cast("array<string>"))).map(lambda v: (v[1][0][2], list(v[1][1])))
+    # The paths of the subroots to the root go down on their own tree.
+    above = crown.down(top.withColumn("path", F.array().cast("array<string>"))).map(lambda x: (x[1][3], list(x[2])))
     above = written(spark.createDataFrame(above, "tree string, path array<string>"), "paths")
-    starts = written(subroots.join(above, "tree"), "starts")
-    size = crown.leaves.count()
 
     def told(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for (tree, *_), ((_, leaf, doc_id, seen), path) in rows:
+        for tree, (_, _, leaf, doc_id, seen), path in rows:
             yield tree, doc_id, leaf, join_digests(s[1:] for s in path), fold(seen or leaf, path)
 
     path = fresh_path(spark, "manifest")
-    spark.createDataFrame(forest.down(starts).mapPartitions(told), f"tree string, doc_id {kind}, leaf string, proof_sha256 string, folded_root string", verifySchema=False).write.parquet(path)
-    forest.release()
-    crown.release()
+    schema = f"tree string, doc_id {kind}, leaf string, proof_sha256 string, folded_root string"
+    spark.createDataFrame(forest.down(subroots.join(above, "tree")).mapPartitions(told), schema, verifySchema=False).write.parquet(path)
     out = spark.read.parquet(path)
     sub = subroots.select("tree", F.col("digest").alias("subroot"))
-    out = out.join(F.broadcast(sub) if size <= FEW_ROWS else sub.hint("shuffle_hash"), "tree").withColumn("root", F.lit(root))
+    out = out.join(F.broadcast(sub) if sub.count() <= FEW_ROWS else sub.hint("shuffle_hash"), "tree").withColumn("root", F.lit(root))
     return out.select(F.col("doc_id").alias(id_col), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))

@@ -149,7 +149,7 @@ def field(v):
     return "-" if v is None else f"{len(str(v).encode())}:{v}"
 
 
-@pytest.mark.parametrize("bits", [1, 2, 12])
+@pytest.mark.parametrize("bits", [1, 2, 10])
 def test_merkle(spark, docs, rows, bits):
     def leaf(r, change=0):
         i, t, lang, source, n = r
