@@ -3,30 +3,37 @@
 Texts are dealt to shards of about SHARD words. A shard holds, for each word of a language, the ascending list of its positions; behind
 a piece's last word a position stays free, so phrases never cross pieces. A phrase's list holds where it ends. It is extended by
 merging its positions, one on, with the postings of the words that are frequent: what meets is the longer phrase's list, and its length
-the exact frequency within the shard. Shards send each phrase once with its length; sums over shards say which phrases are frequent, and
-only those come back to the shards to be extended further. A phrase is extended only where the phrase of its last words
-and the new one is frequent too. Words travel as texts, once a shard, so nothing rests on hashes.
+the exact frequency within the shard. A phrase is extended only where the phrase of its last words and the new one may be frequent too.
+
+Which phrases may be frequent is found out length by length: shards send 40 bits of each phrase's hash with the list's length, packed by
+bucket, buckets add lengths up, and each shard gets back a bit a phrase. Hashes that meet only let more phrases through. What is left at the
+end is counted under its text, so results rest on no hash.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import chunks, met, small_batches, utf8, written
+from .shared import chunks, drop_written, met, mix, release, small_batches, utf8, word_hashes, written
 
 #: Words of a shard, about.
-SHARD = 1 << 19
+SHARD = 1 << 20
+#: Phrases that one bucket adds up, about.
+BUCKET = 3 << 20
 #: Parts of a language's candidates that are ranked before the language is.
 PARTS = 64
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _KIND = np.zeros(256, np.uint8)  # 0: of a word, 1: between words, 2: between pieces
@@ -53,11 +60,22 @@ def words_of_pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.
     return starts, ends, np.append(True, np.diff(piece[starts]) != 0)[: len(starts)]
 
 
-_SHARD = "shard long, lang string, words array<string>, counts array<int>, positions binary"
+_SHARD = "shard long, lang string, words binary, counts binary, positions binary"
+
+
+def _packed(positions: np.ndarray) -> bytes:
+    """Positions as differences, all first bytes before all second ones, compressed."""
+    steps = np.diff(positions, prepend=0).astype("<i4")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(steps.T).view("<i4").reshape(-1), dtype=np.int64)
 
 
 def _shards(docs: DataFrame) -> DataFrame:
-    """One row a shard and language: its words, how many positions each has, and the positions (32 bits each), word after word."""
+    """One row a shard and language: its words (a space between them), how many positions each has, and the positions, word after word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
@@ -73,13 +91,10 @@ def _shards(docs: DataFrame) -> DataFrame:
                 offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
                 every = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offs), pa.py_buffer(data)).dictionary_encode()
                 code = every.indices.to_numpy().astype(np.int64)
-                order = np.argsort(code, kind="stable")
-                position = (np.arange(len(code)) + np.cumsum(begins))[order].astype("<u4")
-                counts = np.bincount(code, minlength=len(every.dictionary)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([task << 32 | made], pa.int64()), pa.array([lang]), pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), every.dictionary.cast(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts)), pa.array([position.tobytes()], pa.binary())],
-                    names=["shard", "lang", "words", "counts", "positions"],
-                )
+                position = (np.arange(len(code)) + np.cumsum(begins))[np.argsort(code, kind="stable")]
+                counts = np.bincount(code, minlength=len(every.dictionary)).astype("<i4")
+                words = " ".join(every.dictionary.to_pylist()).encode()
+                yield pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), pa.array([lang]), *(pa.array([x], pa.binary()) for x in (words, counts.tobytes(), _packed(position)))], names=["shard", "lang", "words", "counts", "positions"])
                 made += 1
 
         for batch in batches:
@@ -111,64 +126,101 @@ def _pairs_of(ends: np.ndarray, phrase: np.ndarray, positions: np.ndarray, word:
     return phrase[by][hit], word[to][at[hit]], ends[by][hit] + 1
 
 
-class _Lists:
-    """A shard's postings, and its phrases' lists."""
-
-    def __init__(self, counts: np.ndarray, positions: bytes, frequent: np.ndarray):
-        of = np.repeat(np.arange(len(counts)), counts)
-        keep = np.zeros(len(counts), bool)
-        keep[frequent] = True
-        at = np.flatnonzero(keep[of])
-        self.position, self.word = np.frombuffer(positions, "<u4")[at].astype(np.int64), of[at]
-        self.ends, self.phrase = self.position, self.word
-        self.terms = np.arange(len(counts))[:, None]  # the words of each phrase
-
-    def extend(self, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Makes the lists one word longer; returns (words of each, how many positions each has). allowed: the ends where the phrase of as many
-        words as now, that ends there, is frequent."""
+class _Shard:
+    """A shard's postings and its phrases' lists, of one length after the other."""
+
+    def __init__(self, lang: str, words: bytes, counts: bytes, positions: bytes, buckets: int):
+        self.lang, self.buckets = lang, buckets
+        data = np.frombuffer(words, np.uint8)
+        ends = np.append(np.flatnonzero(data == 0x20), len(data))
+        starts = np.append(0, ends[:-1] + 1)
+        self.offs, self.data = np.append(starts, len(data) + 1), data
+        self.hashes = word_hashes(data, starts, ends, zlib.crc32(lang.encode()))
+        counts = np.frombuffer(counts, "<i4")
+        self.ends, self.phrase = _unpacked(positions), np.repeat(np.arange(len(counts)), counts)
+        self.position, self.word = self.ends, self.phrase
+        self.terms, self.n = np.arange(len(counts))[:, None], counts.astype(np.int64)  # the words of each phrase, and how many positions it has
+        self.known: list[tuple[np.ndarray, np.ndarray]] = []
+        self._order()
+
+    def _order(self) -> None:
+        h = np.zeros(len(self.terms), np.uint64)
+        for c in range(self.terms.shape[1]):
+            h = mix((h ^ self.hashes[self.terms[:, c]]) * _ODD)
+        bucket = (h % np.uint64(self.buckets)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        self.hash = (h >> np.uint64(24))[self.order]
+        at = bucket[self.order]
+        self.first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+        self.last, self.bucket = np.append(self.first, len(at))[1:], at[self.first]
+
+    def packs(self) -> list[tuple[int, bytes, bytes]]:
+        """(bucket, 40 bits of each phrase's hash there, how many positions each has)."""
+        short = np.ascontiguousarray(self.hash.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+        n = self.n[self.order].astype("<u4")
+        return [(b, short[a:z].tobytes(), n[a:z].tobytes()) for b, a, z in zip(self.bucket.tolist(), self.first.tolist(), self.last.tolist(), strict=True)]
+
+    def keep(self, marks: list[dict]) -> None:
+        """Leaves what the buckets let through: a bit a phrase, as packs() had them."""
+        good = np.zeros(len(self.terms), bool)
+        where = dict(zip(self.bucket.tolist(), zip(self.first.tolist(), self.last.tolist(), strict=True), strict=True))
+        for m in marks:
+            a, z = where[m["bucket"]]
+            good[self.order[a:z]] = np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=z - a).astype(bool)
+        own = good[self.phrase]
+        self.ends, self.phrase = self.ends[own], self.phrase[own]
+        if self.terms.shape[1] == 1:
+            self.position, self.word = self.ends, self.phrase
+        self.known.append((self.terms[good], self.n[good]))
+
+    def extend(self) -> None:
+        """Makes the lists one word longer. The phrase of the last words, as many as now, has to be left too."""
         phrase, word, at = _pairs_of(self.ends, self.phrase, self.position, self.word)
-        if allowed is not None:
-            ok = np.isin(at, allowed)
+        if self.terms.shape[1] > 1:
+            ok = np.isin(at, self.ends)
             phrase, word, at = phrase[ok], word[ok], at[ok]
-        code = phrase * (int(self.word.max(initial=0)) + 1) + word
-        found, back, n = np.unique(code, return_inverse=True, return_counts=True)
-        step = int(self.word.max(initial=0)) + 1
+        step = len(self.hashes)
+        found, back, self.n = np.unique(phrase * step + word, return_inverse=True, return_counts=True)
         self.terms = np.column_stack([self.terms[found // step], found % step])
         self.ends, self.phrase = at, back.reshape(-1)
-        return self.terms, n
-
-    def keep(self, frequent: np.ndarray) -> None:
-        ok = np.zeros(len(self.terms), bool)
-        ok[frequent] = True
-        at = np.flatnonzero(ok[self.phrase])
-        self.ends, self.phrase = self.ends[at], self.phrase[at]
-
-
-def _extended(shards: DataFrame, marks: DataFrame, words: int, positions: bool) -> DataFrame:
-    """lang, phrase and a of each shard's phrases of that many words, with shard and place (where it comes among the shard's) if `positions`.
-    marks: shard and, for each length below, the places of its frequent phrases."""
-    names = [f"m{k}" for k in range(1, words)]
-    # Marks are few beside the postings, but unbounded: a hash join by shard.
-    joined = shards.join(marks.hint("shuffle_hash"), "shard").select("shard", "lang", "words", "counts", "positions", *names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                texts = batch.column(2)[r].values
-                lists = _Lists(batch.column(3)[r].values.to_numpy(), batch.column(4)[r].as_py(), batch.column(5)[r].values.to_numpy())
-                terms, n = lists.extend(None)
-                for k in range(2, words):
-                    lists.keep(batch.column(4 + k)[r].values.to_numpy() if batch.column(4 + k)[r].is_valid else np.zeros(0, np.int64))
-                    terms, n = lists.extend(np.unique(lists.ends))
-                for a in range(0, len(terms), 50_000):
-                    own = terms[a : a + 50_000]
-                    phrase = pc.binary_join_element_wise(*(texts.take(pa.array(own[:, c])) for c in range(words)), " ")
-                    out = [pa.array([batch.column(1)[r].as_py()] * len(own), pa.string()), phrase.cast(pa.string()), pa.array(n[a : a + len(own)].astype(np.int64))]
-                    if positions:
-                        out += [pa.array(np.full(len(own), batch.column(0)[r].as_py())), pa.array(np.arange(a, a + len(own), dtype=np.int32))]
-                    yield pa.RecordBatch.from_arrays(out, names=["lang", "phrase", "a", "shard", "place"][: len(out)])
-
-    return joined.mapInArrow(run, "lang string, phrase string, a long" + (", shard long, place int" if positions else ""))
+        self._order()
+
+    def texts(self) -> Iterator[tuple[pa.Array, np.ndarray, int]]:
+        """(phrases, how many positions each has, words) of what was kept."""
+        words = pa.LargeStringArray.from_buffers(len(self.offs) - 1, pa.py_buffer(self.offs), pa.py_buffer(np.append(self.data, np.uint8(0x20))))
+        for terms, n in self.known:
+            for a in range(0, len(terms), 50_000):
+                own = terms[a : a + 50_000]
+                parts = [pc.utf8_rtrim(words.take(pa.array(own[:, c])), " ") for c in range(own.shape[1])]
+                yield pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())).cast(pa.string()), n[a : a + len(own)], own.shape[1]
+
+
+def _read(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[int, _Shard]]:
+    """Each shard of a batch, as far as its marks tell."""
+    for r in range(batch.num_rows):
+        shard = _Shard(batch.column(1)[r].as_py(), *(batch.column(c)[r].as_py() for c in (2, 3, 4)), buckets)
+        for c in range(5, batch.num_columns):
+            if c > 5:
+                shard.extend()
+            shard.keep(batch.column(c)[r].as_py() or [])
+        yield batch.column(0)[r].as_py(), shard
+
+
+def _summed(table: pa.Table, least: int) -> pa.Table:
+    """Of one bucket: for each shard with some phrase whose hash is found `least` times or more in all, a bit a phrase."""
+    shards, hashes, counts = (table.column(c).to_pylist() for c in ("shard", "hashes", "counts"))
+    size = np.array([len(h) // 5 for h in hashes])
+    wide = np.zeros((int(size.sum()), 8), np.uint8)
+    wide[:, :5] = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 5)
+    key, n = wide.view("<u8").reshape(-1), np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    good = np.zeros(len(key), bool)
+    good[order] = np.repeat(np.add.reduceat(n[order], first) >= least, np.diff(np.append(first, len(order))))
+    ends = np.cumsum(size)
+    out = [(s, np.packbits(good[z - k : z]).tobytes()) for s, k, z in zip(shards, size.tolist(), ends.tolist(), strict=True) if good[z - k : z].any()]
+    bucket = table.column("bucket")[0].as_py()
+    return pa.table([pa.array([s for s, _ in out], pa.int64()), pa.array([bucket] * len(out), pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["shard", "bucket", "bits"])
 
 
 def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = 3, least: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -176,24 +228,44 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     spark = docs.sparkSession
     small_batches(spark)
     shards = written(_shards(docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))), "postings")
-    vocabulary = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "v")).select("shard", "lang", "place", F.col("v.words").alias("phrase"), F.col("v.counts").cast("long").alias("a"))
-    totals = shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, c: x + c)).alias("n"))
-    found, marks, listed = [], None, vocabulary
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [int(np.frombuffer(x.as_py(), "<i4").sum(dtype=np.int64)) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["lang", "n"])
+
+    totals = written(shards.select("lang", "counts").mapInArrow(sizes, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    buckets = max(24, -(-(totals.agg(F.sum("n")).first()[0] or 0) // BUCKET))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, own in _read(batch, buckets):
+                if batch.num_columns > 5:
+                    own.extend()
+                rows = own.packs()
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in rows], pa.int32()), pa.array([shard] * len(rows), pa.int64()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2))], names=["bucket", "shard", "hashes", "counts"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, (_, own) in enumerate(_read(batch, buckets)):
+                for phrase, n, words in own.texts():
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(1)[r].as_py()] * len(n), pa.string()), phrase, pa.array(np.full(len(n), words, np.int32)), pa.array(n)], names=["lang", "phrase", "words", "a"])
+
+    read = shards
     for words in range(1, most + 1):
-        frequent = written(listed.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least), f"frequent-{words}")
-        found.append(frequent.withColumn("words", F.lit(words)))
-        if words == most:
-            break
-        # Which of a shard's phrases are frequent: at most as many as it has.
-        own = listed.join(frequent.select("lang", "phrase").hint("shuffle_hash"), ["lang", "phrase"]).groupBy("shard").agg(F.collect_list("place").alias(f"m{words}"))
-        marks = written(own if marks is None else marks.join(own, "shard", "left"), f"marks-{words}")
-        listed = _extended(shards, marks, words + 1, words + 1 < most)
-        if words + 1 < most:
-            listed = written(listed, f"phrases-{words + 1}")
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    return every.select("lang", "phrase", "words", "a"), totals
+        found = read.mapInArrow(packed, "bucket int, shard long, hashes binary, counts binary")
+        bits = found.groupBy("bucket").applyInArrow(lambda t: _summed(t, least), "shard long, bucket int, bits binary")
+        marks = bits.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits")).alias(f"m{words}"))  # a bit a phrase of the shard
+        # Shards without any word left have no longer phrases either.
+        known = written(marks if words == 1 else known.join(marks, "shard", "left"), f"marks-{words}")
+        del found, bits, marks
+        release(spark)
+        read = shards.join(known.hint("shuffle_hash"), "shard").select(*shards.columns, *(f"m{k}" for k in range(1, words + 1)))
+    every = read.mapInArrow(counted, "lang string, phrase string, words int, a long").groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    every = written(every, "frequent")
+    drop_written(shards)
+    release(spark)
+    return every, totals
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = 3, least: int = 10, first: int = 2000, share: int = 50) -> DataFrame:
@@ -230,4 +302,4 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*best)
     some = written(left.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= first).drop("_r"), "best-of-parts")
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= first)
-    return met(ranked, written(totals, "totals"), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return met(ranked, totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
