@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import intervals
+
 
 def segments(blocks: DataFrame, document: str, order: str, starts: Column, text: str) -> DataFrame:
     """document, segment (from 1; blocks before the first start are 0), first, last, n_blocks, body: from one start marker to the next."""
@@ -47,20 +49,17 @@ def line_states(lines: DataFrame, document: str, kinds: Sequence[tuple[str, str]
 
 
 def owners(marks: DataFrame, ranges: DataFrame, document: str, at: str, first: str, next_: str, owner: str) -> DataFrame:
-    """marks with owner and assignment: one range that holds the place: assigned; none: unassigned; several: ambiguous."""
-    met = marks.join(ranges.select(document, first, next_, owner), document, "left").where(F.col(owner).isNull() | ((F.col(first) <= F.col(at)) & (F.col(at) < F.col(next_))))
-    found = met.groupBy(document, at).agg(F.collect_set(owner).alias("_o"))
+    """marks with owner and assignment: one owner whose range holds the place: assigned; none: unassigned; several: ambiguous."""
+    met = intervals.places_in_ranges(marks.select(document, at).distinct(), ranges.select(document, first, next_, owner), [document], at, first, next_)
+    found = met.groupBy(document, at).agg(F.min(owner).alias("_least"), F.max(owner).alias("_most"))
     out = marks.join(found, [document, at], "left")
-    n = F.coalesce(F.size("_o"), F.lit(0))
-    return out.withColumns({owner: F.when(n == 1, F.element_at("_o", 1)), "assignment": F.when(n == 1, "assigned").when(n > 1, "ambiguous").otherwise("unassigned")}).drop("_o")
+    one = F.col("_least") == F.col("_most")
+    return out.withColumns({owner: F.when(one, F.col("_least")), "assignment": F.when(one, "assigned").when(F.col("_least").isNotNull(), "ambiguous").otherwise("unassigned")}).drop("_least", "_most")
 
 
 def overlapping_removed(spans: DataFrame, shown: DataFrame, keys: Sequence[str]) -> DataFrame:
     """spans (start, end) that overlap no span of `shown` with equal keys."""
-    s, e = spans.alias("s"), shown.alias("e")
-    on = [F.col(f"s.{k}") == F.col(f"e.{k}") for k in keys]
-    on += [F.col("e.start") < F.col("s.end"), F.col("e.end") > F.col("s.start")]
-    return s.join(e, on, "left_anti")
+    return intervals.not_overlapping(spans, shown, keys)
 
 
 def pair_answers(questions: DataFrame, answers: DataFrame, keys: Sequence[str]) -> DataFrame:
