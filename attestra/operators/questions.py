@@ -1,4 +1,8 @@
-"""Questions, notes and worked examples of source documents, from their ordered blocks. A document's blocks are handled together."""
+"""Questions, notes and worked examples of source documents, from their ordered blocks. A document's blocks are handled together.
+
+Every text that is given comes with its evidence: spans (block, start, end) whose substrings of the blocks' raw texts are that text, the parts of
+different blocks with a line feed between them.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.spans import SPACE, cut, matches, named, shown, shown_runs
+
 #: What begins a section, an item and an option (with text, or with a placed image alone); what begins answers.
-SECTION = r"^\s*[一-鿿]+[.．、]\s*(选择题|填空题|计算题|解答题)"
-NUMBER = r"^\s*(\d+)[.．、]"
-OPTION = r"(?:^|\s)([A-D])[.．、]\s*"
-PLACED_OPTION = r"(?:^|\s)([A-D])[^\s\x01]{1,4}\s*\x01"
+SECTION = rf"^[{SPACE}]*[一-鿿]+[.．、][{SPACE}]*(选择题|填空题|计算题|解答题)"
+NUMBER = rf"^[{SPACE}]*(\p{{Nd}}+)[.．、]"
+OPTION = rf"(?:^|[{SPACE}])([A-D])[.．、][{SPACE}]*"
+PLACED_OPTION = rf"(?:^|[{SPACE}])([A-D])[^{SPACE}\x01]{{1,4}}[{SPACE}]*\x01"
 HEADING, ANSWER, ANALYSIS = "【答案与解析】", "【答案】", "【解析】"
 #: What begins notes, types, examples and what only teachers see.
 TYPICAL, GOAL, VARIANT = "【典型例题】", "【学习目标】", "【变式】"
@@ -18,11 +24,6 @@ POINT, TYPE, EXAMPLE = "^要点[一-鿿]+、", "^类型[一-鿿]+[、。]", r"^\
 INTERNAL = ("【思路点拨】", "【答案", "【解析", "【总结升华】")
 
 
-def shown(text: Column) -> Column:
-    """The text without marks of placed objects and cells, and without white space around it."""
-    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\x01\x07", ""), r"\A\s+|\s+\z", "")
-
-
 def _running(document: str, *more: str):
     return Window.partitionBy(document, *more).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
 
@@ -35,23 +36,37 @@ def _ordered(*columns: Column) -> Column:
     return F.array_sort(F.collect_list(F.struct(F.col("ordinal"), *columns)))
 
 
-def _parts(text: Column) -> Column:
-    """struct<stem, options, problem> of a block."""
-    text = F.coalesce(text, F.lit(""))
-    labels = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    pieces = F.split(text, OPTION, -1)
-    values = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), shown)
-    placed, told = labels(PLACED_OPTION), labels(OPTION)
-    option = lambda label, value, alone: F.struct(label.alias("label"), value.alias("text"), F.lit(alone).alias("asset_only"))
-    alone = F.size(placed) > 0
-    bad = F.when(alone & ((F.size(placed) < 2) | (F.size(F.array_distinct(placed)) < F.size(placed))), "unreadable_option_assets").when(~alone & F.exists(values, lambda v: v == ""), "empty_option_text")
-    before = F.when(alone, F.get(F.split(text, PLACED_OPTION, -1), 0)).otherwise(F.get(pieces, 0))
-    options = F.when(alone, F.transform(placed, lambda k: option(k, F.lit(None).cast("string"), True))).otherwise(F.zip_with(told, values, lambda k, v: option(k, v, False)))
-    return F.struct(shown(before).alias("stem"), options.alias("options"), bad.alias("problem"))
+def _spans(ordinal: Column, runs: Column) -> Column:
+    return F.transform(runs, lambda r: F.struct(ordinal.alias("block"), r["start"].alias("start"), r["end"].alias("end")))
+
+
+def _parts(text: Column, ordinal: Column) -> Column:
+    """struct<stem, stem_spans, options, problem> of a block. An option reaches from its label to the next one (or the block's end), its text lies
+    behind its label; one of an image alone reaches to the image's mark."""
+    raw = F.coalesce(text, F.lit(""))
+
+    def of(x: Column) -> Column:
+        told, placed = x["told"], x["placed"]
+        alone = F.size(placed) > 0
+        end_of = lambda i: F.coalesce(F.get(told, i + 1)["start"], F.length(x["t"]))
+        # A match may begin with the white space before its label.
+        label_at = lambda m: m["start"] + F.when(cut(x["t"], m["start"], m["start"] + 1) == m["value"], 0).otherwise(1)
+        option = lambda m, end, value, spans, only: F.struct(m["value"].alias("label"), value.alias("text"), F.lit(only).alias("asset_only"), ordinal.alias("block"), label_at(m).cast("int").alias("start"), end.cast("int").alias("end"), spans.alias("text_spans"))
+        written = F.transform(told, lambda m, i: option(m, end_of(i), shown(cut(x["t"], m["end"], end_of(i))), _spans(ordinal, shown_runs(x["t"], m["end"], end_of(i))), False))
+        images = F.transform(placed, lambda m: option(m, m["end"], F.lit(None).cast("string"), F.filter(_spans(ordinal, shown_runs(x["t"], m["end"], m["end"])), lambda r: F.lit(False)), True))
+        labels = F.transform(placed, lambda m: m["value"])
+        bad = F.when(alone & ((F.size(labels) < 2) | (F.size(F.array_distinct(labels)) < F.size(labels))), "unreadable_option_assets").when(~alone & F.exists(written, lambda o: o["text"] == ""), "empty_option_text")
+        options = F.when(alone, images).otherwise(written)
+        until = F.coalesce(F.get(options, 0)["start"], F.length(x["t"]))
+        return F.struct(shown(cut(x["t"], F.lit(0), until)).alias("stem"), _spans(ordinal, shown_runs(x["t"], F.lit(0), until)).alias("stem_spans"), options.alias("options"), bad.alias("problem"))
+
+    return named(F.struct(raw.alias("t"), matches(raw, OPTION).alias("told"), matches(raw, PLACED_OPTION).alias("placed")), of)
 
 
 def segment_questions(blocks: DataFrame, document: str) -> DataFrame:
-    """document, section (from 1), item (from 1), number, question_type, stem, options, answer, analysis, first, last, problem.
+    """document, section (from 1), item (from 1), number, question_type, stem, stem_spans, options, answer, answer_spans, analysis, analysis_spans, first, last, problem.
+
+    An option has label, text, asset_only, its place (block, start, end), and text_spans. answer and analysis are arrays of texts, with a span each.
 
     blocks: document, ordinal, raw_text. Questions stand in sections before the first answer heading or numbered block with an answer mark;
     answers behind it belong to the question of their number, the last entry of a number if there are several. What cannot be read for sure has
@@ -63,49 +78,54 @@ def segment_questions(blocks: DataFrame, document: str) -> DataFrame:
     cut = blocks.withColumns({"_at": answers_at, "_number": F.when(numbered, F.regexp_extract(raw, NUMBER, 1)), "_type": F.nullif(F.regexp_extract(raw, SECTION, 1), F.lit(""))})
     asked = cut.where("_at IS NULL OR ordinal < _at").withColumns({"section": _count(F.col("_type").isNotNull(), _running(document)), "question_type": F.last("_type", ignorenulls=True).over(_running(document))})
     asked = asked.where("section > 0").withColumn("item", _count(F.col("_number").isNotNull(), _running(document, "section"))).where("item > 0")
-    parts = _parts(F.col("raw_text"))
+    parts = _parts(F.col("raw_text"), F.col("ordinal"))
     per = asked.groupBy(document, "section", "item").agg(
         F.min_by("_number", "ordinal").alias("number"), F.min("question_type").alias("question_type"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), _ordered(parts.alias("p")).alias("_p")
     )
     stems = F.filter(F.transform("_p", lambda x: x["p"]["stem"]), lambda x: x != "")
-    per = per.withColumns({"stem": F.array_join(stems, "\n"), "options": F.flatten(F.transform("_p", lambda x: x["p"]["options"]))})
+    per = per.withColumns({"stem": F.array_join(stems, "\n"), "stem_spans": F.flatten(F.transform("_p", lambda x: x["p"]["stem_spans"])), "options": F.flatten(F.transform("_p", lambda x: x["p"]["options"]))})
     labels = F.transform("options", lambda o: o["label"])
     problem = F.coalesce(
         F.get(F.filter(F.transform("_p", lambda x: x["p"]["problem"]), lambda x: x.isNotNull()), 0),
         F.when(F.size(stems) == 0, "question_stem_missing"),
         F.when(F.size(F.array_distinct(labels)) < F.size(labels), "duplicate_option_label"),
     )
-    return per.withColumn("problem", problem).join(_answers(cut, document), [document, "number"], "left").select(document, "section", "item", "number", "question_type", "stem", "options", "answer", "analysis", "first", "last", "problem")
+    return per.withColumn("problem", problem).join(_answers(cut, document), [document, "number"], "left").select(document, "section", "item", "number", "question_type", "stem", "stem_spans", "options", "answer", "answer_spans", "analysis", "analysis_spans", "first", "last", "problem")
 
 
-def _answers(cut: DataFrame, document: str) -> DataFrame:
-    """document, number, answer, analysis: the marked texts of each number's last entry."""
+def _answers(cut_: DataFrame, document: str) -> DataFrame:
+    """document, number, answer, answer_spans, analysis, analysis_spans: the marked texts of each number's last entry, from their marks on."""
     raw = F.coalesce(F.col("raw_text"), F.lit(""))
-    behind = cut.where((F.col("ordinal") > F.col("_at")) | ((F.col("ordinal") == F.col("_at")) & ~F.contains(raw, F.lit(HEADING))))
+    behind = cut_.where((F.col("ordinal") > F.col("_at")) | ((F.col("ordinal") == F.col("_at")) & ~F.contains(raw, F.lit(HEADING))))
     behind = behind.withColumn("_entry", _count(F.col("_number").isNotNull(), _running(document))).where("_entry > 0")
-    a, b = F.locate(ANSWER, raw), F.locate(ANALYSIS, raw)
-    stop = F.when(b > a + len(ANSWER), b).otherwise(F.length(raw) + 1)
-    kept = lambda text, mark: F.when(shown(F.substring(text, F.lit(len(mark) + 1), F.length(text))) != "", text)
-    answer = F.when(a > 0, kept(F.substring(raw, a, stop - a), ANSWER))
-    analysis = F.when(b > 0, kept(F.substring(raw, b, F.length(raw)), ANALYSIS)).when(F.col("_number").isNull() & (shown(raw) != ""), raw)
+    a, b, whole = F.locate(ANSWER, raw) - 1, F.locate(ANALYSIS, raw) - 1, F.length(raw)
+    stop = F.when(b > a + len(ANSWER), b).otherwise(whole)
+    span = lambda start, end: F.struct(F.col("ordinal").alias("block"), start.cast("int").alias("start"), end.cast("int").alias("end"), cut(raw, start, end).alias("text"))
+    filled = lambda start, end: shown(cut(raw, start, end)) != ""
+    answer = F.when((a >= 0) & filled(a + len(ANSWER), stop), span(a, stop))
+    analysis = F.when(b >= 0, F.when(filled(b + len(ANALYSIS), whole), span(b, whole))).when(F.col("_number").isNull() & (shown(raw) != ""), span(F.lit(0), whole))
     entries = behind.groupBy(document, "_entry").agg(F.min_by("_number", "ordinal").alias("number"), _ordered(answer.alias("a"), analysis.alias("b")).alias("_x"))
     of = lambda k: F.filter(F.transform("_x", lambda x: x[k]), lambda x: x.isNotNull())
-    return entries.groupBy(document, "number").agg(F.max_by(F.struct(of("a").alias("answer"), of("b").alias("analysis")), "_entry").alias("_e")).select(document, "number", "_e.answer", "_e.analysis")
+    last = entries.groupBy(document, "number").agg(F.max_by(F.struct(of("a").alias("a"), of("b").alias("b")), "_entry").alias("_e"))
+    texts = lambda k: F.transform(F.col("_e")[k], lambda x: x["text"])
+    places = lambda k: F.transform(F.col("_e")[k], lambda x: F.struct(x["block"].alias("block"), x["start"].alias("start"), x["end"].alias("end")))
+    return last.select(document, "number", texts("a").alias("answer"), places("a").alias("answer_spans"), texts("b").alias("analysis"), places("b").alias("analysis_spans"))
 
 
 def segment_notes(blocks: DataFrame, document: str) -> DataFrame:
-    """document, item_kind (knowledge_note or worked_example), title, student_text, internal_text, first, last.
+    """document, item_kind (knowledge_note or worked_example), title, student_text, student_spans, internal_text, internal_spans, first, last.
 
     Notes begin at the learning goals or a point, before the typical examples (or the first type); examples stand under a type, and what
     follows the first mark of hints, answers or summaries in one is internal. Items without a text for students go.
     """
     text = shown(F.col("raw_text"))
     whole = Window.partitionBy(document)
-    cut = blocks.select(document, "ordinal", text.alias("_t")).withColumn("_is_type", F.col("_t").rlike(TYPE))
+    runs = _spans(F.col("ordinal"), shown_runs(F.coalesce("raw_text", F.lit("")), F.lit(0), F.length(F.coalesce("raw_text", F.lit("")))))
+    cut = blocks.select(document, "ordinal", text.alias("_t"), runs.alias("_runs")).withColumn("_is_type", F.col("_t").rlike(TYPE))
     cut = cut.withColumns({"_typical": F.min(F.when(F.contains("_t", F.lit(TYPICAL)), F.col("ordinal"))).over(whole), "_types": F.min(F.when(F.col("_is_type"), F.col("ordinal"))).over(whole)})
     notes = cut.where(F.coalesce(F.col("ordinal") < F.coalesce("_typical", "_types"), F.lit(True)))
     notes = notes.withColumn("_item", _count((F.col("_t") == GOAL) | F.col("_t").rlike(POINT), _running(document))).where("_item > 0")
-    notes = notes.select(document, F.lit(0).cast("long").alias("_group"), "_item", "ordinal", "_t", F.lit(None).cast("string").alias("_name"), F.lit(False).alias("_inner"))
+    notes = notes.select(document, F.lit(0).cast("long").alias("_group"), "_item", "ordinal", "_t", "_runs", F.lit(None).cast("string").alias("_name"), F.lit(False).alias("_inner"))
     typed = cut.where("ordinal >= _types").withColumn("_group", _count(F.col("_is_type"), _running(document))).withColumn("_name", F.last(F.when(F.col("_is_type"), F.col("_t")), ignorenulls=True).over(_running(document)))
     variant = F.startswith("_t", F.lit(VARIANT))
     starts = ~F.col("_is_type") & (F.col("_t").rlike(EXAMPLE) | variant)
@@ -116,7 +136,8 @@ def segment_notes(blocks: DataFrame, document: str) -> DataFrame:
     typed = typed.withColumn("_inner", _count(mark, _running(document, "_group", "_item")) > 0)
     every = notes.unionByName(typed.select(*notes.columns))
     said = lambda inner: F.array_join(F.transform(F.filter("_x", lambda x: (x["inner"] == inner) & (x["t"] != "")), lambda x: x["t"]), "\n")
-    out = every.groupBy(document, "_group", "_item").agg(F.min_by("_t", "ordinal").alias("_t"), F.min("_name").alias("_name"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), _ordered(F.col("_inner").alias("inner"), F.col("_t").alias("t")).alias("_x"))
+    spans = lambda inner: F.flatten(F.transform(F.filter("_x", lambda x: x["inner"] == inner), lambda x: x["r"]))
+    out = every.groupBy(document, "_group", "_item").agg(F.min_by("_t", "ordinal").alias("_t"), F.min("_name").alias("_name"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), _ordered(F.col("_inner").alias("inner"), F.col("_t").alias("t"), F.col("_runs").alias("r")).alias("_x"))
     title = F.when(F.col("_group") == 0, F.col("_t")).otherwise(F.concat("_name", F.when(variant, " / variant").otherwise("")))
     kind = F.when(F.col("_group") == 0, "knowledge_note").otherwise("worked_example")
-    return out.withColumns({"student_text": said(F.lit(False)), "internal_text": said(F.lit(True))}).where("student_text <> ''").select(document, kind.alias("item_kind"), title.alias("title"), "student_text", "internal_text", "first", "last")
+    return out.withColumns({"student_text": said(F.lit(False)), "internal_text": said(F.lit(True)), "student_spans": spans(F.lit(False)), "internal_spans": spans(F.lit(True))}).where("student_text <> ''").select(document, kind.alias("item_kind"), title.alias("title"), "student_text", "student_spans", "internal_text", "internal_spans", "first", "last")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bindings, intervals, segment
+from ..operators import bindings, intervals, questions, segment
 from .catalogue import query, table
 from .evidence import _LINES, INPUTS, made, twin
 
@@ -59,3 +59,80 @@ def range_owners(spark, sf_dir):
 def option_assets(spark, sf_dir):
     choices, blocks, assets = made(spark, sf_dir, "choices", "blocks", "assets")
     return bindings.bind_assets(choices.withColumnRenamed("z", "end"), blocks, assets)
+
+
+_PARTS = f"{_LINES} JOIN {{part}} ON p_partkey = l_partkey"
+_N = "CAST(l_linenumber AS STRING)"
+#: An order as a paper: a section, two blocks a line (a stem, then options by part number: with texts, of images alone, none, or with one label twice),
+#: and answers, behind a heading or not, some of them empty. And as notes: a goal or points, then types with examples and what only teachers see.
+INPUTS |= {
+    "paper": f"""SELECT o_orderkey AS document, 0 AS ordinal, ' 一、选择题' AS raw_text FROM {{orders}} WHERE o_orderkey % 9 <> 8
+        UNION ALL SELECT l_orderkey, CAST(l_linenumber * 2 - 1 AS INT), '　' || {_N} || '. ' || p_name || chr(7) || ' ' FROM {_PARTS}
+        UNION ALL SELECT l_orderkey, CAST(l_linenumber * 2 AS INT), CASE l_partkey % 4 WHEN 0 THEN '(' || p_brand || ') A. ' || p_type || '  B．' || p_name || chr(7) WHEN 1 THEN 'A．' || chr(1) || ' B．' || chr(1) WHEN 2 THEN ' ' || p_type ELSE 'A、' || p_brand || ' A. ' || p_type END FROM {_PARTS}
+        UNION ALL SELECT o_orderkey, 100, '【答案与解析】' FROM {{orders}} WHERE o_orderkey % 4 <> 3
+        UNION ALL SELECT l_orderkey, CAST(100 + l_linenumber * 2 AS INT), {_N} || '．【答案】 ' || CASE WHEN l_partkey % 5 = 0 THEN '' ELSE p_brand END || ' 【解析】' || p_type || ' ' FROM {_PARTS}
+        UNION ALL SELECT l_orderkey, CAST(101 + l_linenumber * 2 AS INT), p_name FROM {_PARTS} WHERE l_partkey % 3 = 0""",
+    "notes": f"""SELECT o_orderkey AS document, 0 AS ordinal, CASE WHEN o_orderkey % 2 = 0 THEN ' 【学习目标】' ELSE '序' END AS raw_text FROM {{orders}}
+        UNION ALL SELECT l_orderkey, CAST(l_linenumber AS INT), CASE WHEN l_partkey % 3 = 0 THEN '要点一、' || p_name ELSE '　' || p_type || chr(7) || ' ' END FROM {_PARTS}
+        UNION ALL SELECT o_orderkey, 50, '【典型例题】' FROM {{orders}} WHERE o_orderkey % 3 <> 0
+        UNION ALL SELECT o_orderkey, 51, '类型一、' || o_orderstatus FROM {{orders}} WHERE o_orderkey % 5 <> 0
+        UNION ALL SELECT l_orderkey, CAST(50 + l_linenumber * 2 AS INT), CASE l_partkey % 3 WHEN 0 THEN {_N} || '. ' || p_name WHEN 1 THEN '【变式】' || p_brand ELSE p_type END FROM {_PARTS}
+        UNION ALL SELECT l_orderkey, CAST(51 + l_linenumber * 2 AS INT), CASE WHEN l_partkey % 2 = 0 THEN '【思路点拨】' || p_type ELSE p_brand || ' ' END FROM {_PARTS} WHERE l_linenumber > 0""",
+}
+_W = r"[\s　]"
+_SHOWN = "regexp_replace(translate({0}, chr(1) || chr(7), ''), '^" + _W + "+|" + _W + "+$', '', 'g')"
+_OPT = f"(?:^|{_W})([A-D])[.．、]{_W}*"
+_IMG = f"(?:^|{_W})([A-D])[^\\s　\\x01]{{1,4}}{_W}*\\x01"
+
+
+def spans_text(spans: str):
+    """block:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["block"].cast("string"), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+@query(
+    twin(
+        ("paper",),
+        rf"""b AS (SELECT *, regexp_matches(raw_text, '^{_W}*[0-9]+[.．、]') AS numbered, regexp_extract(raw_text, '^{_W}*([0-9]+)[.．、]', 1) AS num, nullif(regexp_extract(raw_text, '^{_W}*[一-鿿]+[.．、]{_W}*(选择题|填空题|计算题|解答题)', 1), '') AS kind FROM paper)""",
+        "h AS (SELECT document, min(ordinal) AS at_ FROM b WHERE contains(raw_text, '【答案与解析】') OR (numbered AND contains(raw_text, '【答案】')) GROUP BY document)",
+        "q AS (SELECT *, sum(CASE WHEN numbered THEN 1 ELSE 0 END) OVER (PARTITION BY document ORDER BY ordinal) AS item FROM (SELECT b.*, count(kind) OVER (PARTITION BY document ORDER BY ordinal) AS section FROM b LEFT JOIN h USING (document) WHERE at_ IS NULL OR ordinal < at_) WHERE section > 0)",
+        rf"p AS (SELECT *, regexp_extract_all(raw_text, '{_OPT}', 1) AS told, regexp_extract_all(raw_text, '{_IMG}', 1) AS placed, regexp_split_to_array(raw_text, '{_OPT}') AS pieces FROM q WHERE item > 0)",
+        f"s AS (SELECT *, CASE WHEN len(placed) > 0 THEN '' ELSE {_SHOWN.format('pieces[1]')} END AS stem, CASE WHEN len(placed) > 0 THEN list_transform(placed, lambda x: x || '|') ELSE list_transform(list_zip(told, pieces[2:]), lambda x: x[1] || '|' || {_SHOWN.format('x[2]')}) END AS options FROM p)",
+        "o AS (SELECT document, item, min(ordinal) AS first, max(ordinal) AS last, min_by(num, ordinal) AS number, string_agg(stem, chr(10) ORDER BY ordinal) FILTER (WHERE stem <> '') AS stem, string_agg(ordinal || ':' || (strpos(raw_text, stem) - 1) || ':' || (strpos(raw_text, stem) - 1 + length(stem)), ',' ORDER BY ordinal) FILTER (WHERE stem <> '') AS stem_spans, flatten(list(options ORDER BY ordinal)) AS options, flatten(list(CASE WHEN len(placed) > 0 THEN [] ELSE list_transform(options, lambda x: ordinal || ':' || (strpos(raw_text, x[3:]) - 1) || ':' || (strpos(raw_text, x[3:]) - 1 + length(x[3:]))) END ORDER BY ordinal)) AS option_spans FROM s GROUP BY document, item)",
+        "e AS (SELECT *, sum(CASE WHEN numbered THEN 1 ELSE 0 END) OVER (PARTITION BY document ORDER BY ordinal) AS entry FROM b JOIN h USING (document) WHERE ordinal > at_ OR (ordinal = at_ AND NOT contains(raw_text, '【答案与解析】'))) ",
+        f"f AS (SELECT *, strpos(raw_text, '【答案】') - 1 AS a, strpos(raw_text, '【解析】') - 1 AS z FROM e WHERE entry > 0)",
+        f"g AS (SELECT *, CASE WHEN a >= 0 AND {_SHOWN.format('raw_text[a + 5 : CASE WHEN z >= 0 THEN z ELSE length(raw_text) END]')} <> '' THEN raw_text[a + 1 : CASE WHEN z >= 0 THEN z ELSE length(raw_text) END] END AS answer, CASE WHEN z >= 0 THEN raw_text[z + 1 :] WHEN NOT numbered THEN raw_text END AS analysis FROM f)",
+        "x AS (SELECT document, entry, min_by(num, ordinal) AS number, string_agg(answer, chr(10) ORDER BY ordinal) AS answer, string_agg(ordinal || ':' || a || ':' || (a + length(answer)), ',' ORDER BY ordinal) AS answer_spans, string_agg(analysis, chr(10) ORDER BY ordinal) AS analysis, string_agg(ordinal || ':' || greatest(z, 0) || ':' || (greatest(z, 0) + length(analysis)), ',' ORDER BY ordinal) AS analysis_spans FROM g GROUP BY document, entry QUALIFY row_number() OVER (PARTITION BY document, min_by(num, ordinal) ORDER BY entry DESC) = 1)",
+        "SELECT o.document, o.number, o.stem, o.stem_spans, array_to_string(o.options, ' ') AS options, array_to_string(option_spans, ',') AS option_spans, coalesce(x.answer, '') AS answer, coalesce(answer_spans, '') AS answer_spans, coalesce(analysis, '') AS analysis, coalesce(analysis_spans, '') AS analysis_spans, first, last, CASE WHEN len(list_distinct(list_transform(o.options, lambda y: y[1]))) < len(o.options) THEN 'duplicate_option_label' END AS problem FROM o LEFT JOIN x USING (document, number)",
+    )
+)
+def question_spans(spark, sf_dir):
+    """Questions of papers with their options and answers, and where each of their texts lies."""
+    out = questions.segment_questions(*made(spark, sf_dir, "paper"), "document")
+    none = F.lit("")
+    options = F.array_join(F.transform("options", lambda o: F.concat(o["label"], F.lit("|"), F.coalesce(o["text"], none))), " ")
+    places = out.withColumn("_o", F.flatten(F.transform("options", lambda o: o["text_spans"])))
+    joined = lambda c: F.coalesce(F.array_join(c, "\n"), none).alias(c)
+    told = lambda c: F.coalesce(spans_text(c), none).alias(c)
+    return places.select("document", "number", "stem", told("stem_spans"), options.alias("options"), spans_text("_o").alias("option_spans"), joined("answer"), told("answer_spans"), joined("analysis"), told("analysis_spans"), "first", "last", "problem")
+
+
+@query(
+    twin(
+        ("notes",),
+        f"b AS (SELECT *, {_SHOWN.format('raw_text')} AS t, strpos(raw_text, {_SHOWN.format('raw_text')}) - 1 AS a FROM notes)",
+        "k AS (SELECT *, regexp_matches(t, '^类型[一-鿿]+[、。]') AS is_type, min(CASE WHEN t = '【典型例题】' THEN ordinal END) OVER (PARTITION BY document) AS typical, min(CASE WHEN regexp_matches(t, '^类型[一-鿿]+[、。]') THEN ordinal END) OVER (PARTITION BY document) AS types FROM b)",
+        "n AS (SELECT *, sum(CASE WHEN t = '【学习目标】' OR regexp_matches(t, '^要点[一-鿿]+、') THEN 1 ELSE 0 END) OVER (PARTITION BY document ORDER BY ordinal) AS item FROM k WHERE coalesce(ordinal < coalesce(typical, types), true))",
+        r"e AS (SELECT *, sum(CASE WHEN NOT is_type AND (regexp_matches(t, '^\s*[0-9]+[,、.．]') OR starts_with(t, '【变式】')) THEN 1 ELSE 0 END) OVER (PARTITION BY document ORDER BY ordinal) AS item, last_value(CASE WHEN is_type THEN t END IGNORE NULLS) OVER (PARTITION BY document ORDER BY ordinal) AS name FROM k WHERE ordinal >= types)",
+        "i AS (SELECT *, sum(CASE WHEN starts_with(t, '【思路点拨】') THEN 1 ELSE 0 END) OVER (PARTITION BY document, item ORDER BY ordinal) > 0 AS hidden FROM e WHERE item > 0)",
+        "u AS (SELECT document, 'knowledge_note' AS item_kind, item, ordinal, t, a, false AS hidden, NULL AS name FROM n WHERE item > 0 UNION ALL SELECT document, 'worked_example', item, ordinal, t, a, hidden, name FROM i)",
+        """SELECT document, item_kind, CASE WHEN item_kind = 'knowledge_note' THEN min_by(t, ordinal) ELSE min(name) || CASE WHEN starts_with(min_by(t, ordinal), '【变式】') THEN ' / variant' ELSE '' END END AS title,
+           string_agg(t, chr(10) ORDER BY ordinal) FILTER (WHERE NOT hidden AND t <> '') AS student_text, string_agg(ordinal || ':' || a || ':' || (a + length(t)), ',' ORDER BY ordinal) FILTER (WHERE NOT hidden AND t <> '') AS student_spans,
+           coalesce(string_agg(t, chr(10) ORDER BY ordinal) FILTER (WHERE hidden), '') AS internal_text, coalesce(string_agg(ordinal || ':' || a || ':' || (a + length(t)), ',' ORDER BY ordinal) FILTER (WHERE hidden), '') AS internal_spans, min(ordinal) AS first, max(ordinal) AS last
+           FROM u GROUP BY document, item_kind, item""",
+    )
+)
+def note_spans(spark, sf_dir):
+    """Notes and worked examples, what students and what only teachers see, and where it lies."""
+    out = questions.segment_notes(*made(spark, sf_dir, "notes"), "document")
+    return out.select("document", "item_kind", "title", "student_text", spans_text("student_spans").alias("student_spans"), "internal_text", spans_text("internal_spans").alias("internal_spans"), "first", "last")

@@ -1,6 +1,7 @@
 """Segmentation of questions and notes, text batches, progress decisions and samples, on small fixtures."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,46 @@ def blocks(spark, *docs):
     return spark.createDataFrame([(d, i, t) for d, texts in docs for i, t in enumerate(texts)], "doc string, ordinal int, raw_text string")
 
 
+def told(texts, spans):
+    """The substrings at spans, a line a block."""
+    by = {}
+    for b, a, z in spans:
+        by[b] = by.get(b, "") + texts[b][a:z]
+    return "\n".join(by.values())
+
+
+def test_evidence_survives_strip_translate_and_split(spark):
+    """Random papers with marks and white space of all kinds anywhere: every text is the substrings at its spans, and shown as plain Python shows it."""
+    rng = random.Random(11)
+    noise = lambda: "".join(rng.choice(" \t\u3000\xa0\x01\x07\x1f\u2003") for _ in range(rng.choice([0, 0, 1, 3])))
+    word = lambda: noise() + "".join(rng.choice(["甲", "b", "\x07", "𝔘", " ", "é"]) for _ in range(rng.randint(1, 6))) + noise()
+    docs = []
+    for k in range(60):
+        texts = [f"{noise()}".replace("\x01", "").replace("\x07", "") + "一、选择题"]
+        for n in range(1, 5):
+            texts.append(f"{n}.{word()}")
+            texts.append(rng.choice([word(), f"{word()} A.{word()}x B．{word()}y\u3000C、z{word()}", f"A(图)\x01 B(图) \x01", ""]))
+        texts.append("【答案与解析】")
+        texts += [f"{n}. 【答案】{word()}{rng.choice(['', '【解析】' + word()])}" for n in range(1, 5)]
+        docs.append((f"d{k}", texts))
+    by = dict(docs)
+    clean = lambda t: t.replace("\x01", "").replace("\x07", "").strip()
+    got = questions.segment_questions(blocks(spark, *docs), "doc").collect()
+    assert len(got) == 240
+    for r in got:
+        texts = by[r["doc"]]
+        assert told(texts, r["stem_spans"]) == r["stem"]
+        for o in r["options"]:
+            assert texts[o["block"]][o["start"]] == o["label"]
+            assert o["asset_only"] or (told(texts, o["text_spans"]) == o["text"] == clean(texts[o["block"]][o["start"] : o["end"]][2:]))
+            assert not o["asset_only"] or texts[o["block"]][o["end"] - 1] == "\x01"
+        for k in ("answer", "analysis"):
+            assert [texts[b][a:z] for b, a, z in r[f"{k}_spans"] or []] == (r[k] or [])
+        plain = [clean(re.split(r"(?:^|\s)[A-D][.．、]\s*", texts[b])[0]) if not re.search(r"(?:^|\s)[A-D][^\s\x01]{1,4}\s*\x01", texts[b]) else clean(re.split(r"(?:^|\s)[A-D][^\s\x01]{1,4}\s*\x01", texts[b])[0]) for b in range(r["first"], r["last"] + 1)]
+        assert r["stem"] == "\n".join(x for x in plain if x)
+    assert sum(len(r["stem_spans"]) for r in got) > 260 and any(o["text"] for r in got for o in r["options"])
+
+
 def test_questions_have_their_options_and_answers(spark):
     paper = ["1. 不在任何部分里", "一、选择题", "1．下列正确的是\x07", "A. 甲 B. 乙", "C. 丙 D. 丁", "2. 图中", "A(图) \x01 B(图) \x01", "二、填空题", "3、填 ____", None, "【答案与解析】", "1. 【答案】A【解析】因为甲", "所以甲", "3. 【答案】 ", "3. 【答案】七"]
     out = {r["number"]: r for r in questions.segment_questions(blocks(spark, ("p", paper)), "doc").collect()}
@@ -33,7 +74,10 @@ def test_answers_without_a_heading_and_what_is_ambiguous(spark):
 
 def test_notes_and_examples(spark):
     text = ["序", "【学习目标】", "认识圆", "要点一、圆", "到定点", "", "【典型例题】", "类型一、计算", "引言", "1. 求", "【思路点拨】想", "【答案】3", "【变式】再求", "【解析】略", "2、 \x07", "类型二。证明", "3．证"]
-    out = [tuple(r) for r in questions.segment_notes(blocks(spark, ("d", text)), "doc").orderBy("first").collect()]
+    notes = questions.segment_notes(blocks(spark, ("d", text)), "doc").orderBy("first").collect()
+    out = [(*r[:4], r["internal_text"], *r[7:]) for r in notes]
+    for r in notes:
+        assert told(text, r["student_spans"]) == r["student_text"] and told(text, r["internal_spans"]) == r["internal_text"]
     assert out == [
         ("d", "knowledge_note", "【学习目标】", "【学习目标】\n认识圆", "", 1, 2),
         ("d", "knowledge_note", "要点一、圆", "要点一、圆\n到定点", "", 3, 5),
