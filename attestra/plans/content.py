@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bindings, intervals, questions, segment
+from ..operators import bindings, intervals, patterns, questions, segment
 from .catalogue import query, table
 from .evidence import _LINES, INPUTS, made, twin
 
@@ -136,3 +136,33 @@ def note_spans(spark, sf_dir):
     """Notes and worked examples, what students and what only teachers see, and where it lies."""
     out = questions.segment_notes(*made(spark, sf_dir, "notes"), "document")
     return out.select("document", "item_kind", "title", "student_text", spans_text("student_spans").alias("student_spans"), "internal_text", spans_text("internal_spans").alias("internal_spans"), "first", "last")
+
+
+_WORDS = "SELECT DISTINCT word FROM (SELECT unnest(string_split(regexp_replace(text, '[^\\p{L}]+', ' ', 'g'), ' ')) AS word FROM benchmark) WHERE length(word) >= 4"
+
+
+def _keywords(spark, sf_dir):
+    words = F.split(F.regexp_replace("text", r"[^\p{L}]+", " "), " ")
+    found = table(spark, sf_dir, "benchmark").select(F.explode(words).alias("pattern")).distinct().where(F.length("pattern") >= 4)
+    return found.select(F.xxhash64("pattern").alias("pattern_id"), "pattern")
+
+
+@query(f"SELECT word AS pattern, count(*) AS n_docs, CAST(sum(strpos(text, word) - 1) AS BIGINT) AS places FROM ({_WORDS}) JOIN documents ON contains(text, word) GROUP BY word")
+def keyword_hits(spark, sf_dir):
+    """In how many documents each word of the benchmark stands, and the sum of the places where it first does."""
+    words = _keywords(spark, sf_dir)
+    found = patterns.hits(table(spark, sf_dir, "documents"), words, "doc_id", "text")
+    return found.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("first").alias("places")).join(words, "pattern_id").select("pattern", "n_docs", "places")
+
+
+@query("""WITH w AS (SELECT item_id, string_split(regexp_replace(text, '[^\\p{L}]+', ' ', 'g'), ' ') AS ws FROM benchmark),
+    g AS (SELECT item_id AS rule, (i - 1) % 3 AS g, ws[i] AS word FROM w, (SELECT unnest(range(1, 13)) AS i) WHERE length(ws[i]) >= 4),
+    d AS (SELECT DISTINCT doc_id, rule, g FROM g JOIN documents ON contains(text, word)), n AS (SELECT rule, count(DISTINCT g) AS n FROM g GROUP BY rule)
+    SELECT doc_id, rule FROM d GROUP BY doc_id, rule HAVING count(*) = (SELECT n FROM n WHERE n.rule = d.rule)""")
+def signal_rules(spark, sf_dir):
+    """Documents that hold some word of every group of a benchmark item's words."""
+    words = F.split(F.regexp_replace("text", r"[^\p{L}]+", " "), " ")
+    rules = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rule"), F.posexplode(F.slice(words, 1, 12)).alias("i", "pattern")).where(F.length("pattern") >= 4)
+    rules = rules.select("rule", (F.col("i") % 3).alias("group"), F.xxhash64("pattern").alias("pattern_id"))
+    found = patterns.hits(table(spark, sf_dir, "documents"), _keywords(spark, sf_dir), "doc_id", "text")
+    return patterns.rules_met(found, rules, "doc_id")
