@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import closure
+
 
 def input_hashes(items: DataFrame, key: str, sets: Mapping[str, tuple[DataFrame, Sequence[str]]], schema: str = "input-v1") -> DataFrame:
     """key, input_hash: SHA-256 of the JSON of the item's row (`item`), its rows in each set (key, name -> (rows, order)) and the schema's name,
@@ -36,16 +38,15 @@ def stale(snapshots: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
 
 
 def cascade(voided: DataFrame, key: str, dependants: Sequence[tuple[str, DataFrame, str, str]]) -> DataFrame:
-    """table, id of every row that a voided item takes with it: each dependant is (table, rows, id, key of what it rests on), in order; rows of a
-    later one may rest on ids of an earlier one."""
-    gone = voided.select(F.col(key).cast("string").alias("_id"))
-    out = None
+    """table, id of every row that a voided item takes with it, however many steps away: each dependant is (table, rows, id, key of what it rests on), in
+    any order; rows may rest on the items or on rows of any dependant. Ids of all of them are one space of strings here; `closure.reached` keeps tables apart."""
+    text = lambda c: F.col(c).cast("string")
+    edges = None
     for name, rows, own, on in dependants:
-        hit = rows.join(gone, F.col(on).cast("string") == F.col("_id"), "left_semi").select(F.col(own).cast("string").alias("_id")).distinct()
-        gone = gone.unionByName(hit)
-        part = hit.select(F.lit(name).alias("table"), F.col("_id").alias("id"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        part = rows.select(F.lit("").alias("kind"), text(on).alias("id"), F.lit("").alias("to_kind"), text(own).alias("to_id"), F.lit(name).alias("table"))
+        edges = part if edges is None else edges.unionByName(part)
+    gone = closure.reached(voided.select(F.lit("").alias("kind"), text(key).alias("id"), text(key).alias("cause")), edges.drop("table")).select(F.col("id").alias("_gone"))
+    return edges.join(gone, F.col("id") == F.col("_gone")).select("table", F.col("to_id").alias("id")).distinct()
 
 
 def approval_lock(items: DataFrame, key: str, approved: str, quorum: DataFrame) -> DataFrame:

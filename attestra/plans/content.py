@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bindings, intervals, patterns, questions, segment
+from ..operators import bindings, closure, delivery, intervals, patterns, questions, scope, segment
 from .catalogue import query, table
 from .evidence import _LINES, INPUTS, made, twin
 
@@ -166,3 +166,96 @@ def signal_rules(spark, sf_dir):
     rules = rules.select("rule", (F.col("i") % 3).alias("group"), F.xxhash64("pattern").alias("pattern_id"))
     found = patterns.hits(table(spark, sf_dir, "documents"), _keywords(spark, sf_dir), "doc_id", "text")
     return patterns.rules_met(found, rules, "doc_id")
+
+
+#: Customers as questions, orders as their mappings to 25 textbooks of 4 nodes; by number each rule of the chain stops some.
+INPUTS |= {
+    "sq": "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'high' ELSE 'middle' END AS stage FROM {customer}",
+    "sm": "SELECT o_custkey AS question_id, o_orderkey % 25 AS textbook_id, CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE o_orderkey % 25 * 10 + o_custkey % 4 END AS curriculum_node_id, CASE WHEN o_orderkey % 41 = 0 THEN 'rejected' WHEN o_orderkey % 43 = 0 THEN NULL ELSE 'approved' END AS fit_status, CASE WHEN o_orderkey % 47 = 0 THEN 'candidate' END AS classification_method FROM {orders}",
+    "st": "SELECT n_nationkey AS id, 'v1' AS catalog_version FROM {nation}",
+    "sn": "SELECT n_nationkey * 10 + k AS id, CASE WHEN n_nationkey = 3 AND k = 1 THEN 4 ELSE n_nationkey END AS textbook_id, CASE WHEN n_nationkey = 5 THEN 'high' WHEN n_nationkey % 7 = 6 THEN NULL ELSE 'middle' END AS stage, CASE WHEN n_nationkey = 8 AND k = 2 THEN 'v0' ELSE 'v1' END AS catalog_version, CASE WHEN k = 3 AND n_nationkey % 2 = 0 THEN 'retired' ELSE 'active' END AS status FROM {nation} CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(k)",
+    "sr": "SELECT n_nationkey AS id, n_nationkey AS textbook_id, 'v1' AS catalog_version, CASE WHEN n_nationkey = 1 THEN 'draft' ELSE 'approved' END AS status, CASE WHEN n_nationkey = 2 THEN '' ELSE n_name END AS source_reference, md5(n_name) AS source_hash FROM {nation} WHERE n_nationkey <> 9",
+    "si": "SELECT n_nationkey AS catalog_release_id, n_nationkey + 100 AS import_run_id FROM {nation} WHERE n_nationkey <> 10",
+    "su": "SELECT n_nationkey + 100 AS id, CASE WHEN n_nationkey = 11 THEN 'failed' ELSE 'validated' END AS status FROM {nation} UNION ALL SELECT n_nationkey, CASE WHEN n_nationkey = 12 THEN 'failed' ELSE 'approved' END FROM {nation}",
+    "sa": "SELECT n_nationkey AS catalog_release_id, n_nationkey + 100 AS import_run_id, CASE WHEN n_nationkey = 14 THEN 'open' ELSE 'approved' END AS status FROM {nation}",
+    "sp": "SELECT DISTINCT o_custkey AS question_id, o_orderkey % 25 AS textbook_id, o_orderkey % 25 * 10 + o_custkey % 4 AS curriculum_node_id, CASE WHEN o_custkey % 19 = 0 THEN 12 ELSE o_custkey % 12 END AS import_run_id, CASE WHEN o_custkey % 29 = 0 THEN '' ELSE md5(CAST(o_custkey AS STRING)) END AS mapping_hash FROM {orders} WHERE o_custkey % 23 <> 0",
+    "sk": "SELECT DISTINCT o_custkey AS question_id, l_partkey AS knowledge_point_id, o_custkey % 12 AS import_run_id, md5(CAST(o_custkey AS STRING)) AS mapping_hash FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE o_custkey % 5 <> 0",
+    "sc": "SELECT p_partkey AS knowledge_point_id, n_nationkey * 10 + p_partkey % 4 AS curriculum_node_id FROM {part} CROSS JOIN {nation} WHERE (p_partkey + n_nationkey) % 3 = 0",
+    "sw": "SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN 'pending' ELSE 'approved' END AS review_status FROM {part}",
+    "sv": "SELECT o_custkey AS question_id, o_custkey AS id, max(o_orderkey % 25) AS textbook_id, max(o_orderkey % 25) * 10 + o_custkey % 4 AS curriculum_node_id, md5(CAST(o_custkey AS STRING)) AS mapping_hash FROM {orders} WHERE o_custkey % 4 = 1 GROUP BY o_custkey",
+    "ss": "SELECT c_custkey AS question_id, md5(CAST(c_custkey AS STRING)) AS input_hash, 1 AS revision, CASE WHEN c_custkey % 13 = 0 THEN 'now' END AS invalidated_at FROM {customer} WHERE c_custkey % 17 <> 0",
+    "sh": "SELECT c_custkey AS question_id, md5(CAST(c_custkey + CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END AS STRING)) AS input_hash FROM {customer} WHERE c_custkey % 31 <> 0",
+    "sd": "SELECT o_custkey AS source_revision_id, o_custkey AS question_id, max(o_orderkey % 25) AS textbook_id, max(o_orderkey % 25) * 10 + o_custkey % 4 AS curriculum_node_id, CASE WHEN o_custkey % 7 = 0 THEN 'open' ELSE 'approved' END AS status, md5(CAST(o_custkey AS STRING)) AS approval_input_hash, 1 AS approval_snapshot_revision FROM {orders} GROUP BY o_custkey",
+    "sx": "SELECT DISTINCT o_custkey AS source_revision_id, l_partkey AS knowledge_point_id FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE o_custkey % 9 <> 0",
+}
+_SCOPE = ("sq", "sm", "st", "sn", "sr", "si", "su", "sa", "sp", "sk", "sc", "sw", "sv", "ss", "sh", "sd", "sx")
+_JUDGED = (
+    "good AS (SELECT sc.curriculum_node_id, sc.knowledge_point_id FROM sc JOIN sw ON sw.id = sc.knowledge_point_id AND sw.review_status = 'approved')",
+    "r AS (SELECT sv.*, (SELECT count(*) FROM sx JOIN good g USING (knowledge_point_id) WHERE sx.source_revision_id = sv.id AND g.curriculum_node_id = sv.curriculum_node_id) AS n, ss.input_hash AS told, ss.invalidated_at AS gone, sh.input_hash AS now_, sd.status AS seen FROM sv LEFT JOIN ss USING (question_id) LEFT JOIN sh USING (question_id) LEFT JOIN sd ON sd.source_revision_id = sv.id AND sd.status = 'approved' AND sd.question_id = sv.question_id AND sd.textbook_id = sv.textbook_id AND sd.curriculum_node_id = sv.curriculum_node_id AND sd.approval_input_hash = ss.input_hash AND sd.approval_snapshot_revision = ss.revision)",
+    "v AS (SELECT question_id, textbook_id, curriculum_node_id, n, CASE WHEN told IS NULL OR gone IS NOT NULL THEN 'p1_3c_approval_snapshot_missing_or_invalidated' WHEN now_ IS NULL THEN 'p1_3c_approval_input_unavailable' WHEN told <> now_ THEN 'p1_3c_approval_snapshot_stale' WHEN seen IS NULL THEN 'p1_3c_current_revision_audit_missing' WHEN n = 0 THEN 'p1_3c_current_revision_knowledge_missing' ELSE '' END AS why FROM r)",
+    "k AS (SELECT sk.question_id, sk.import_run_id, sk.mapping_hash, g.curriculum_node_id, count(DISTINCT knowledge_point_id) AS n FROM sk JOIN good g USING (knowledge_point_id) GROUP BY ALL)",
+    """j AS (SELECT m.question_id, m.textbook_id, m.curriculum_node_id, CASE WHEN m.fit_status = 'rejected' THEN 'f教材映射已被拒绝' WHEN m.classification_method = 'candidate' THEN 'u分类器映射仅为候选建议，不能作为教材范围批准依据' WHEN m.fit_status IS NULL THEN 'u教材映射尚未获自动批准' WHEN m.curriculum_node_id IS NULL THEN 'u映射缺少课程节点'
+        WHEN n.textbook_id <> m.textbook_id OR n.catalog_version <> t.catalog_version THEN 'f教材与课程节点版本不一致' WHEN n.stage IS DISTINCT FROM q.stage THEN 'f题目学段与课程节点学段冲突' WHEN n.status <> 'active' THEN 'u课程节点未启用' WHEN r.id IS NULL OR r.status <> 'approved' OR r.source_reference = '' THEN 'u缺少已批准且可追溯的教材目录发布记录'
+        WHEN i.import_run_id IS NULL OR u.status <> 'validated' OR a.status IS NULL THEN 'u缺少已批准且可追溯的受控导入教材目录记录' WHEN v.why <> '' THEN 'u' || v.why WHEN v.why = '' THEN 'p' WHEN x.status IS NULL OR x.status <> 'approved' OR p.mapping_hash = '' THEN 'u缺少已批准且可追溯的受控导入教材目录记录' WHEN k.n IS NULL THEN 'u缺少与课程节点一致的已批准知识点映射' ELSE 'p' END AS d,
+        coalesce(v.n, k.n) AS points
+        FROM sm m JOIN sq q ON q.id = m.question_id JOIN st t ON t.id = m.textbook_id LEFT JOIN sn n ON n.id = m.curriculum_node_id LEFT JOIN sr r ON r.textbook_id = m.textbook_id AND r.catalog_version = t.catalog_version LEFT JOIN si i ON i.catalog_release_id = r.id LEFT JOIN su u ON u.id = i.import_run_id LEFT JOIN sa a ON a.catalog_release_id = r.id AND a.import_run_id = i.import_run_id AND a.status = 'approved'
+        LEFT JOIN sp p ON p.question_id = m.question_id AND p.textbook_id = m.textbook_id AND p.curriculum_node_id = m.curriculum_node_id LEFT JOIN su x ON x.id = p.import_run_id LEFT JOIN k ON k.question_id = m.question_id AND k.import_run_id = p.import_run_id AND k.mapping_hash = p.mapping_hash AND k.curriculum_node_id = m.curriculum_node_id
+        LEFT JOIN v ON v.question_id = m.question_id AND v.textbook_id = m.textbook_id AND v.curriculum_node_id = m.curriculum_node_id)""",
+)
+
+
+def _judged(spark, sf_dir):
+    t = dict(zip(_SCOPE, made(spark, sf_dir, *_SCOPE), strict=True))
+    revised = scope.revision_scope(t["sv"], t["ss"], t["sh"], t["sd"], t["sx"], t["sc"], t["sw"])
+    return t["sq"], scope.mapping_scope(t["sq"], t["sm"], t["st"], t["sn"], t["sr"], t["si"], t["su"], t["sa"], t["sp"], t["sk"], t["sc"], t["sw"], revised)
+
+
+@query(twin(_SCOPE, *_JUDGED, "SELECT question_id, textbook_id, curriculum_node_id, CASE substr(d, 1, 1) WHEN 'f' THEN 'fail' WHEN 'p' THEN 'pass' ELSE 'unsupported' END AS status, substr(d, 2) AS reason, CASE WHEN d = 'p' THEN points END AS points FROM j"))
+def textbook_scope(spark, sf_dir):
+    """Each mapping with the first rule that decides it."""
+    out = _judged(spark, sf_dir)[1]
+    return out.select("question_id", "textbook_id", "curriculum_node_id", "status", "reason", F.size("knowledge_points").alias("points"))
+
+
+@query(twin(_SCOPE, *_JUDGED, "SELECT q.id, CASE WHEN bool_or(d LIKE 'f%') THEN 'fail' WHEN bool_or(d = 'p') THEN 'pass' ELSE 'unsupported' END AS status, coalesce(string_agg(DISTINCT substr(d, 2), ';' ORDER BY substr(d, 2)) FILTER (WHERE d <> 'p'), CASE WHEN count(d) = 0 THEN '缺少受控教材课程映射' ELSE '' END) AS reasons FROM sq q LEFT JOIN j ON j.question_id = q.id GROUP BY q.id"))
+def textbook_scope_of_questions(spark, sf_dir):
+    questions_, judged = _judged(spark, sf_dir)
+    return scope.question_scope(questions_, judged).select("id", "status", F.array_join("reasons", ";").alias("reasons"))
+
+
+@query("""WITH RECURSIVE e AS (
+        SELECT 'q' AS kind, c_custkey AS id, 'm' AS to_kind, c_custkey AS to_id FROM customer
+        UNION ALL SELECT 'm', c_custkey, 'q', CASE WHEN c_custkey % 25 = 24 THEN c_custkey - 24 ELSE c_custkey + 1 END FROM customer
+        UNION ALL SELECT 'm', c_custkey, 'q', c_custkey + 2 FROM customer WHERE c_custkey % 10 = 0),
+    r AS (SELECT 'q' AS kind, c_custkey AS id, c_custkey AS cause, 0 AS depth FROM customer WHERE c_acctbal < -800
+        UNION SELECT e.to_kind, e.to_id, r.cause, r.depth + 1 FROM r JOIN e ON e.kind = r.kind AND e.id = r.id WHERE r.depth < 60)
+    SELECT kind, id, min(depth) AS depth, arg_min(cause, depth * 10000000 + cause) AS cause FROM r GROUP BY kind, id""")
+def invalidation_closure(spark, sf_dir):
+    """What customers in debt void: cycles of 25, each with diamonds, over two kinds of nodes, up to fifty steps deep."""
+    c = table(spark, sf_dir, "customer")
+    edge = lambda df, kind, to_kind, to: df.select(F.lit(kind).alias("kind"), F.col("c_custkey").alias("id"), F.lit(to_kind).alias("to_kind"), to.alias("to_id"))
+    k = F.col("c_custkey")
+    edges = edge(c, "q", "m", k).unionByName(edge(c, "m", "q", F.when(k % 25 == 24, k - 24).otherwise(k + 1))).unionByName(edge(c.where(k % 10 == 0), "m", "q", k + 2))
+    return closure.reached(c.where("c_acctbal < -800").select(F.lit("q").alias("kind"), k.alias("id"), k.alias("cause")), edges)
+
+
+_REQUESTS = """SELECT user_id AS document, event_id AS seq, event_type || CAST(event_id % 6 AS {text}) AS token, CASE event_type WHEN 'click' THEN 'plan' WHEN 'error' THEN 'generate' WHEN 'purchase' THEN 'bind' WHEN 'signup' THEN 'report' ELSE 'deliver' END AS kind,
+    CASE WHEN event_id % 7 = 0 THEN event_id % 4 END AS expected, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS shortage, event_id % 11 <> 0 AS progress, CASE WHEN event_id % 13 = 0 THEN ' ' ELSE 'h' || CAST(user_id % 2 AS {text}) END AS content, CASE WHEN event_id % 17 <> 0 THEN 'h' || CAST(user_id % 2 AS {text}) END AS evidence, event_id % 3 <> 0 AS gates, event_id % 4 <> 0 AS complete FROM {events}"""
+
+
+@query(f"""WITH RECURSIVE v AS ({_REQUESTS.format(text="VARCHAR", events="events")}), n AS (SELECT *, row_number() OVER (PARTITION BY document ORDER BY seq, token) AS i FROM v),
+    s AS (SELECT DISTINCT document, 0::BIGINT AS i, 'none' AS status, 0::BIGINT AS version, NULL::VARCHAR AS held, []::VARCHAR[] AS applied, NULL::BIGINT AS seq, ''::VARCHAR AS kind, ''::VARCHAR AS outcome, NULL::VARCHAR AS reason FROM v
+        UNION ALL SELECT document, i, CASE WHEN outcome = 'applied' THEN to_ ELSE status END, version + CASE WHEN outcome = 'applied' THEN 1 ELSE 0 END, CASE WHEN outcome = 'applied' AND kind = 'bind' THEN trim(content) ELSE held END, CASE WHEN outcome = 'applied' THEN list_append(applied, token) ELSE applied END, seq, kind, outcome, CASE WHEN outcome = 'conflict' THEN why END
+        FROM (SELECT *, CASE WHEN again THEN 'repeated' WHEN why IS NULL THEN 'applied' ELSE 'conflict' END AS outcome FROM (
+            SELECT n.*, s.status, s.version, s.held, s.applied, list_contains(s.applied, n.token) AS again,
+                CASE WHEN n.expected IS NOT NULL AND n.expected <> s.version THEN 'stale_version'
+                    WHEN NOT list_contains(CASE n.kind WHEN 'plan' THEN ['none', 'shortage'] WHEN 'generate' THEN ['selected'] WHEN 'bind' THEN ['draft', 'pending_review', 'passed', 'blocked'] WHEN 'report' THEN ['pending_review', 'passed', 'blocked'] ELSE ['passed'] END, s.status) THEN 'wrong_state'
+                    WHEN n.kind = 'report' AND n.evidence IS DISTINCT FROM s.held THEN 'evidence_mismatch' WHEN n.kind IN ('generate', 'bind', 'deliver') AND NOT n.progress THEN 'progress_changed'
+                    WHEN n.kind = 'bind' AND trim(n.content) = '' THEN 'content_hash_missing' WHEN n.kind = 'deliver' AND NOT n.complete THEN 'usage_incomplete' END AS why,
+                CASE n.kind WHEN 'plan' THEN CASE WHEN n.shortage > 0 THEN 'shortage' ELSE 'selected' END WHEN 'generate' THEN 'draft' WHEN 'bind' THEN 'pending_review' WHEN 'report' THEN CASE WHEN n.gates THEN 'passed' ELSE 'blocked' END ELSE 'delivered' END AS to_
+            FROM s JOIN n ON n.document = s.document AND n.i = s.i + 1)))
+    SELECT document, seq, kind, outcome, reason, status, version, held AS content FROM s WHERE i > 0""")
+def delivery_states(spark, sf_dir):
+    """A user's ledger as competing requests for one document: what became of each, and the document behind it."""
+    requests = spark.sql(_REQUESTS.replace("{text}", "STRING"), events=table(spark, sf_dir, "events"))
+    return delivery.fold(requests).select("document", "seq", "kind", "outcome", "reason", "status", "version", "content")
