@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spans import named, running
+
 _BLANK = " \t\n\r\x0b\x0c"
 
 #: Option letters and what follows them; blanks of a gap; reasons to leave an item to people; known difficulties.
@@ -85,10 +87,10 @@ def numbered_blocks(text: Column) -> Column:
 
 
 def occurrences(text: Column, fragment: Column) -> Column:
-    """Offsets of the fragment's occurrences that do not overlap, from the left."""
-    pieces = F.split(text, F.concat(F.lit(r"\Q"), fragment, F.lit(r"\E")), -1)
-    found = F.transform(F.array(pieces), lambda p: F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.length(F.array_join(F.slice(p, F.lit(1), i), "")) + (i - 1) * F.length(fragment))).otherwise(F.array().cast("array<int>")))
-    return F.element_at(found, 1)
+    """Offsets of the fragment's occurrences that do not overlap, from the left, by running lengths of what lies between; an empty fragment has none."""
+    quoted = F.regexp_replace(fragment, r"([^\p{L}\p{N}\s])", r"\\$1")
+    pieces = F.split(text, quoted, -1)
+    return F.when(fragment == "", F.array().cast("array<int>")).otherwise(named(F.struct(pieces.alias("p"), F.length(fragment).alias("n")), lambda x: F.transform(running(F.transform(F.slice(x["p"], 1, F.size(x["p"]) - 1), lambda p: F.length(p) + x["n"])), lambda end: end - x["n"])))
 
 
 def label_anchors(name: Column, least: int = 4) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bindings, closure, delivery, intervals, patterns, questions, scope, segment
+from ..operators import bindings, closure, delivery, intervals, patterns, questions, scope, segment, snapshots
 from .catalogue import query, table
 from .evidence import _LINES, INPUTS, made, twin
 
@@ -259,3 +259,27 @@ def delivery_states(spark, sf_dir):
     """A user's ledger as competing requests for one document: what became of each, and the document behind it."""
     requests = spark.sql(_REQUESTS.replace("{text}", "STRING"), events=table(spark, sf_dir, "events"))
     return delivery.fold(requests).select("document", "seq", "kind", "outcome", "reason", "status", "version", "content")
+
+
+_ITEM = """'{{"c_acct":' || CAST(floor(c_acctbal) AS BIGINT) || ',"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}}'"""
+_SETS = """o AS (SELECT o_custkey AS k, '[' || string_agg('{{"day":"' || strftime(o_orderdate, '%Y-%m-%d') || '","o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}}', ',' ORDER BY o_orderdate::DATE, o_orderkey) || ']' AS j FROM orders GROUP BY ALL),
+    n AS (SELECT n_nationkey, '[{{"n_name":"' || n_name || '","region":' || coalesce('"' || r_name || '"', 'null') || '}}]' AS j FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey > 0),
+    p AS (SELECT c.*, coalesce(o.j, '[]') AS oj, n.j AS nj, {item} AS ij, '{{"nations":' || n.j || ',"orders":' || coalesce(o.j, '[]') || ',"question":' || {item} || ',"snapshot_schema":"input-v1"}}' AS payload FROM customer c LEFT JOIN o ON o.k = c_custkey JOIN n ON n.n_nationkey = c.c_nationkey)"""
+
+
+def _inputs(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    customers, region = t("customer"), t("region").where("r_regionkey > 0").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region"))
+    items = customers.select("c_custkey", "c_name", "c_mktsegment", F.floor("c_acctbal").alias("c_acct"))
+    orders = t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    nations = t("nation").join(region, "n_regionkey", "left").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "region")
+    nations = customers.select("c_custkey", "c_nationkey").join(nations, "c_nationkey").select("c_custkey", "n_name", "region")
+    return items, {"orders": (orders, ["day", "o_orderkey"]), "nations": (nations, ["n_name"])}
+
+
+@query(f"WITH {_SETS.format(item=_ITEM.replace('{{', '{').replace('}}', '}'))} SELECT c_custkey, sha256(payload) AS input_hash, sha256(oj) AS orders_hash, sha256(nj) AS nations_hash, sha256(ij) AS question_hash FROM p".replace("{{", "{").replace("}}", "}"))
+def canonical_snapshots(spark, sf_dir):
+    """Each customer with orders and nation as one canonical document: its hash, and those of its parts."""
+    items, sets = _inputs(spark, sf_dir)
+    out = snapshots.snapshot(items, "c_custkey", "question", sets, "input-v1")
+    return out.select("c_custkey", "input_hash", *(F.col("set_hashes")[n].alias(f"{n}_hash") for n in ("orders", "nations", "question")))

@@ -237,6 +237,8 @@ def test_item_texts(spark):
     assert one(it.image_refs, "a [图片1: x.png] [图片: y] [图片2:  x.png ] [图: z]") == ["x.png", "y"]
     assert one(it.numbered_blocks, "head\r\n1. a\n b\n\n 2. c\n3.d") == ["1. a\n b", "2. c", "3.d"] and one(it.numbered_blocks, " only 1. one ") == ["only 1. one"] and one(it.numbered_blocks, None) == []
     assert one(it.occurrences, "aaaa.b.aa", "aa") == [0, 2, 7] and one(it.occurrences, "a.b", ".") == [1] and one(it.occurrences, "abc", "x") == []
+    assert one(it.occurrences, r"a\Eb\Ea\E", r"\E") == [1, 4, 7] and one(it.occurrences, "x[(é)]^$中 中", "[(é)]^$") == [1] and one(it.occurrences, "ab", "") == []
+    assert one(it.occurrences, "ab " * 20_000, "b ") == list(range(1, 60_000, 3))
     assert one(it.label_anchors, "第1章 全等三角形") == ["全等三角形", "全等三角", "等三角形"]
     anchors = {(a["kind"], a["anchor"], a["start"], a["end"]) for a in one(it.scope_anchors, "已知 △ABC，求角")}
     assert anchors == {("condition", "已知", 0, 2), ("symbol", "△", 2, 3), ("condition", "求", 7, 8), ("term", "角", 8, 9)}

@@ -1,8 +1,11 @@
 """Invalidation to a fixed point, delivery as transitions, and scope rules, on small fixtures."""
 
+import hashlib
+import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from attestra.operators import closure, delivery, scope, snapshots
 
@@ -106,3 +109,42 @@ def test_steps_never_skip_a_state(kind):
         after, reason = delivery.step(delivery.State(status, 3, "h"), kind, 0, True, "h", "h", True, True)
         assert (after is None) == (reason is not None)
         assert after is None or (after.version == 4 and order.index(after.status) <= at + 1)
+
+
+def test_snapshots_are_canonical_and_refresh_what_was_touched(spark):
+    odd = 'q"\\u001F \x1f\x0b\x1a\\\\\x0f é中\t/\n'
+    items = [("a", odd, 3), ("b", None, None), ("c", "", 1)]
+    parts = [("a", 2, "x\x0e"), ("a", 1, None), ("c", 5, odd)]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    one = lambda rows: {"parts": (df(rows, "id string, k int, v string"), ["k"]), "none": (df([], "id string, z int"), ["z"])}
+    schema = "id string, stem string, n int"
+    got = {r["id"]: r for r in snapshots.snapshot(df(items, schema), "id", "question", one(parts), "v1").collect()}
+
+    def plain(items, parts):
+        out = {}
+        for i, stem, n in items:
+            own = [{"k": k, "v": v} for j, k, v in sorted(parts, key=lambda x: x[1]) if j == i]
+            out[i] = hashlib.sha256(json.dumps({"question": {"id": i, "stem": stem, "n": n}, "parts": own, "none": [], "snapshot_schema": "v1"}, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        return out
+
+    assert {i: r["input_hash"] for i, r in got.items()} == plain(items, parts)
+    old = df([(i, r["input_hash"], r["set_hashes"], 4) for i, r in got.items()], "id string, input_hash string, set_hashes map<string,string>, revision int")
+    items2, parts2 = [("a", odd, 3), ("c", "new", 1), ("d", "d", 0)], [*parts[:2], ("c", 6, odd), ("d", 1, "v")]
+    touched = df([("a",), ("b",), ("d",)], "id string")
+    now = {r["id"]: r for r in snapshots.refreshed_snapshot(old, touched, df(items2, schema), "id", "question", one(parts2), "v1").collect()}
+    want = plain(items2, parts2)
+    assert sorted(now) == ["a", "c", "d"] and (now["a"]["revision"], now["a"]["changed"]) == (4, []) and (now["d"]["revision"], now["d"]["changed"]) == (1, ["none", "parts", "question"])
+    assert now["c"]["input_hash"] == got["c"]["input_hash"] and now["c"]["changed"] is None and now["d"]["input_hash"] == want["d"]
+    again = {r["id"]: r for r in snapshots.refreshed_snapshot(old, df([("c",)], "id string"), df(items2, schema), "id", "question", one(parts2), "v1").collect()}
+    assert (again["c"]["input_hash"], again["c"]["revision"], again["c"]["changed"]) == (want["c"], 5, ["parts", "question"])
+
+
+def test_files_count_if_their_bytes_are_the_declared_ones(spark, tmp_path):
+    for name, body in {"a": b"x", "b": b"y", "e": b"z"}.items():
+        (tmp_path / name).write_bytes(body)
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/*").select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
+    sha = lambda b: hashlib.sha256(b).hexdigest().upper()
+    ok = '{"hashes_match": true}'
+    rows = [("a", sha(b"x"), 1, ok), ("b", sha(b"x"), 1, ok), ("c", sha(b"x"), 1, ok), ("d", "", 0, ok), ("e", sha(b"z"), 1, "{}"), ("f", "", None, None)]
+    got = snapshots.file_reasons(spark.createDataFrame(rows, "relative_path string, file_hash string, trusted_source int, intake_manifest_json string"), files).collect()
+    assert {r["relative_path"]: r["reason"] for r in got} == {"a": None, "b": "question_source_hash_mismatch", "c": "question_source_missing", "d": "question_source_not_trusted", "e": "question_source_intake_hashes_not_matched", "f": "question_source_not_trusted"}
