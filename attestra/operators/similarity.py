@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import char_ngrams, file_base, jaccard, keyword_f1, keyword_grams, plain, strip_space
+from .patterns import hits
 
 #: Least scores for sources of one family, compared after rounding to four places.
 FILE_SCORE, STEM_SCORE = 0.72, 0.74
@@ -58,13 +59,27 @@ def similar_pairs(texts: DataFrame, key: str, text: str, least: float) -> DataFr
 def find_similar(items: DataFrame, key: str, text: str, scope: str, ratio, least: float = 0.9) -> DataFrame:
     """key, similar_to, ratio: for each item the first earlier item (by key) of its scope whose text is as similar; those without one are left out.
 
-    Equal texts are compared once; lengths that rule the ratio out are not compared."""
+    Equal texts are compared once. A ratio is at most twice the characters that two texts share (each as often as in both) by those of both; so
+    similar texts share one of each other's rarest characters, as many as may be lacking and one more, counting a text's first, second ... of a character as
+    different. Only pairs that meet there and whose shared characters suffice are compared."""
     t = items.groupBy(F.col(scope).alias("_s"), F.col(text).alias("_t")).agg(F.min(key).alias("_first"))
-    n = lambda c: F.length(c)
-    pairs = t.select("_s", F.col("_t").alias("_a")).join(t.select("_s", F.col("_t").alias("_b"), "_first"), "_s").where(2 * F.least(n("_a"), n("_b")) >= least * (n("_a") + n("_b")))
-    good = pairs.withColumn("_r", F.when(F.col("_a") == F.col("_b"), F.lit(1.0)).otherwise(ratio("_a", "_b"))).where(F.col("_r") >= least)
-    met = items.select(key, F.col(scope).alias("_s"), F.col(text).alias("_a")).join(good, ["_s", "_a"]).where(F.col("_first") < F.col(key))
-    return met.groupBy(key).agg(F.min("_first").alias("similar_to"), F.min_by("_r", "_first").alias("ratio"))
+    chars = F.array_sort(F.filter(F.split("_t", ""), lambda c: c != ""))
+    tagged = F.transform(F.array(chars), lambda cs: F.transform(cs, lambda c, i: F.concat(c, (i - F.array_position(cs, c)).cast("string"))))
+    bags = t.withColumns({"_bag": F.element_at(tagged, 1), "_n": F.length("_t")})
+    each = bags.select("_s", "_t", "_n", F.explode("_bag").alias("_c"))
+    often = each.groupBy("_s", "_c").agg(F.count(F.lit(1)).alias("_often"))
+    place = F.row_number().over(Window.partitionBy("_s", "_t").orderBy("_often", "_c"))
+    rare = each.join(often, ["_s", "_c"]).withColumn("_p", place).where(F.col("_p") <= F.col("_n") - F.ceil(F.col("_n") * (least / (2 - least)) - 1e-9) + 1)
+    side = lambda x: rare.select("_s", "_c", F.col("_t").alias(x), F.col("_n").alias(f"{x}n"))
+    met = side("_a").join(side("_b"), ["_s", "_c"]).where((F.col("_a") <= F.col("_b")) & (2 * F.least("_an", "_bn") >= least * (F.col("_an") + F.col("_bn")))).select("_s", "_a", "_b").distinct()
+    bag = lambda x: bags.select("_s", F.col("_t").alias(x), F.col("_bag").alias(f"{x}s"), F.col("_first").alias(f"{x}f"))
+    near = met.join(bag("_a"), ["_s", "_a"]).join(bag("_b"), ["_s", "_b"]).where(2 * F.size(F.array_intersect("_as", "_bs")) >= least * (F.size("_as") + F.size("_bs")) - 1e-9)
+    # The ratio may depend on which text comes first.
+    both = near.select("_s", "_a", F.col("_b").alias("_o"), F.col("_bf").alias("_first")).unionByName(near.where("_a <> _b").select("_s", F.col("_b").alias("_a"), F.col("_a").alias("_o"), F.col("_af").alias("_first")))
+    good = both.withColumn("_r", F.when(F.col("_a") == F.col("_o"), F.lit(1.0)).otherwise(ratio("_a", "_o"))).where(F.col("_r") >= least).select("_s", "_a", "_first", "_r")
+    empty = t.where("_t = ''").select("_s", F.col("_t").alias("_a"), "_first", F.lit(1.0).alias("_r"))
+    found = items.select(key, F.col(scope).alias("_s"), F.col(text).alias("_a")).join(good.unionByName(empty), ["_s", "_a"]).where(F.col("_first") < F.col(key))
+    return found.groupBy(key).agg(F.min("_first").alias("similar_to"), F.min_by("_r", "_first").alias("ratio"))
 
 
 def classify(items: DataFrame, nodes: DataFrame, item: str, stem: str, node: str, name: str, alphabet: str = "一-鿿", k: int = 3, least: float = 0.35) -> DataFrame:
@@ -85,6 +100,14 @@ def classify(items: DataFrame, nodes: DataFrame, item: str, stem: str, node: str
     return own.join(top, "_s").select(F.col("_i").alias(item), F.col("_n").alias(node), "score", F.col("rank").cast("long").alias("rank"))
 
 
+def deciding_anchors(anchors: DataFrame, word: str, node: str, allowed: Column) -> DataFrame:
+    """anchors (word, node) without those that no scope decision needs: of the nodes that a word stands for, the two smallest allowed ones and the
+    smallest other one. An item that holds the word is as sure of each of its nodes, and only two of the allowed ones and whether there is another count."""
+    place = F.row_number().over(Window.partitionBy(word, "_in").orderBy(node))
+    ranked = anchors.select(word, node).distinct().withColumn("_in", F.coalesce(allowed, F.lit(False))).withColumn("_r", place)
+    return ranked.where(F.col("_r") <= F.when(F.col("_in"), 2).otherwise(1)).select(word, node)
+
+
 def scope_decision(matches: DataFrame, item: str, node: str, longest: str, allowed: Column, least: float = 0.75, margin: float = 0.15) -> DataFrame:
     """item, status, reason, node of items with anchors found in them. matches: item, node, longest (anchor length).
 
@@ -106,7 +129,7 @@ def scope_decision(matches: DataFrame, item: str, node: str, longest: str, allow
 
 def contained(haystack: DataFrame, needles: DataFrame, key: str, text: str, needle: str, passage: str, words: int = 5) -> DataFrame:
     """key, needle of all pairs whose passage lies in the text. Texts and passages meet at the passage's rarest inner run of `words` words,
-    as hashes; whole texts are compared for those pairs only. Passages too short for an inner run are looked for in every text."""
+    as hashes; whole texts are compared for those pairs only. Empty passages lie in no text. Passages too short for an inner run are looked for all at once in one pass over the texts."""
     cut = lambda c: F.split(c, " ")
 
     def runs(c: Column) -> Column:
@@ -122,4 +145,6 @@ def contained(haystack: DataFrame, needles: DataFrame, key: str, text: str, need
     grams = haystack.where(F.size(cut(F.col(text))) >= words).select(key, F.explode(runs(cut(F.col(text)))).alias("_g"))
     met = grams.join(one, "_g").select(key, needle).distinct()
     found = met.join(needles, needle).join(haystack, key).where(F.contains(F.col(text), F.col(passage))).select(key, needle)
-    return found.unionByName(haystack.join(short, F.contains(F.col(text), F.col(passage))).select(key, needle))
+    numbered = short.select(F.xxhash64(passage).alias("pattern_id"), F.col(passage).alias("pattern")).where("pattern <> ''").distinct()
+    told = hits(haystack, numbered, key, text).join(short.select(needle, F.xxhash64(passage).alias("pattern_id")), "pattern_id").select(key, needle)
+    return found.unionByName(told)

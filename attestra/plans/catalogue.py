@@ -333,6 +333,7 @@ def topk_classify(spark, sf_dir):
 def anchor_scope_decision(spark, sf_dir):
     anchors = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.filter(F.split("text", " "), lambda w: F.length(w) >= 4))).alias("w"))
     words = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
+    anchors = similarity.deciding_anchors(anchors, "w", "item_id", F.col("item_id") % 2 == 0)
     found = words.join(anchors, "w").groupBy("doc_id", "item_id").agg(F.max(F.length("w")).alias("longest"))
     return similarity.scope_decision(found, "doc_id", "item_id", "longest", F.col("item_id") % 2 == 0)
 

@@ -108,6 +108,43 @@ def test_classify_and_scope_decision(spark):
     assert got == {1: ("candidate", "unique_evidence_chain"), 2: ("rejected", "ambiguous_top_candidate"), 3: ("rejected", "candidate_node_outside_allowed_progress"), 4: ("rejected", "candidate_node_outside_allowed_progress")}
 
 
+def test_decisions_need_few_anchors(spark):
+    """The same decisions with and without the anchors that none needs."""
+    import random
+
+    rng = random.Random(6)
+    anchors = spark.createDataFrame([(rng.choice(["four", "fiver", "sixsix", "that", "with", "seven77"]), rng.randrange(30)) for _ in range(40)] + [("lone", 3), ("outer", 1), ("five5", 6)], "w string, n int")
+    words = spark.createDataFrame([(d, w) for d in range(60) for w in rng.sample(["four", "fiver", "sixsix", "that", "with", "lone", "outer", "five5", "none"], rng.randint(1, 2))], "d int, w string")
+    inside = F.col("n") % 3 == 0
+    told = lambda a: rows(similarity.scope_decision(words.join(a, "w").groupBy("d", "n").agg(F.max(F.length("w")).alias("longest")), "d", "n", "longest", inside))
+    few = similarity.deciding_anchors(anchors, "w", "n", inside)
+    assert told(few) == told(anchors) and few.count() <= 27 and few.count() < anchors.distinct().count() and len({r[2] for r in told(few)}) >= 3
+
+
+def test_first_similar_is_that_of_all_pairs(spark):
+    import difflib
+    import random
+
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def ratio(a, b):
+        return __import__("pandas").Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randint(3, 30))) for _ in range(25)]
+    texts = [rng.choice(base) for _ in range(50)] + ["".join(c for c in t if rng.random() > 0.06) for t in base * 2] + ["", "", "a"]
+    items = [(k, "s" if k % 3 else "t", t) for k, t in enumerate(texts)]
+    want = {}
+    for k, s, t in items:
+        for j, z, o in items[:k]:
+            if z == s and (r := 1.0 if t == o else difflib.SequenceMatcher(None, t, o).ratio()) >= 0.9:
+                want[k] = (j, round(r, 9))
+                break
+    got = similarity.find_similar(spark.createDataFrame(items, "k int, s string, t string"), "k", "t", "s", ratio).collect()
+    assert {r["k"]: (r["similar_to"], round(r["ratio"], 9)) for r in got} == want and 30 < len(want) < len(items)
+
+
 def test_passages_of_any_length_are_found(spark):
     texts = [(1, "a b c d e f g h i"), (2, "x one two y"), (3, None), (4, "zone twofold")]
     passages = [(10, "b c d e f g h"), (11, "one two"), (12, "two y"), (13, "nowhere"), (14, "i"), (15, None)]
