@@ -283,3 +283,30 @@ def canonical_snapshots(spark, sf_dir):
     items, sets = _inputs(spark, sf_dir)
     out = snapshots.snapshot(items, "c_custkey", "question", sets, "input-v1")
     return out.select("c_custkey", "input_hash", *(F.col("set_hashes")[n].alias(f"{n}_hash") for n in ("orders", "nations", "question")))
+
+
+@query("""WITH RECURSIVE c AS (SELECT c_custkey AS id, c_nationkey AS nation, CASE WHEN c_custkey % 8 = 0 THEN NULL WHEN c_custkey % 41 = 0 THEN -1 WHEN c_custkey % 43 = 0 THEN c_custkey ELSE c_custkey - 1 END AS parent FROM customer),
+    t AS (SELECT id FROM c WHERE parent IS NULL OR parent NOT IN (SELECT id FROM c) UNION SELECT c.id FROM t JOIN c ON c.parent = t.id)
+    SELECT 'nations' AS "table", CAST(n_nationkey AS VARCHAR) AS key, 'region' AS "column", CAST(n_regionkey AS VARCHAR) AS value, 'orphan' AS problem FROM nation WHERE n_regionkey = 2 AND n_nationkey % 5 <> 4
+    UNION ALL SELECT 'customers', CAST(id AS VARCHAR), 'nation', CAST(nation AS VARCHAR), 'orphan' FROM c WHERE nation % 5 = 4
+    UNION ALL SELECT 'customers', CAST(id AS VARCHAR), 'parent', CAST(parent AS VARCHAR), 'orphan' FROM c WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM c)
+    UNION ALL SELECT 'customers', CAST(id AS VARCHAR), 'parent', CAST(parent AS VARCHAR), 'row_cycle' FROM c WHERE id NOT IN (SELECT id FROM t)
+    UNION ALL SELECT 'customers', NULL, 'best', NULL, 'table_cycle' UNION ALL SELECT 'orders', NULL, 'customer', NULL, 'table_cycle'""")
+def dump_problems(spark, sf_dir):
+    """Dumps of a thousand customers each, with their nations and regions, written and loaded again: rows whose parents are missing or that are their own."""
+    import uuid
+
+    from ..operators.tables import work_folder
+    from ..sources import dump
+
+    path = f"{work_folder(spark)}/attestra-engine/dump-{uuid.uuid4().hex}"
+    k = F.col("c_custkey")
+    parent = F.when(k % 8 == 0, None).when(k % 41 == 0, F.lit(-1).cast("long")).when(k % 43 == 0, k).otherwise(k - 1)
+    customers = table(spark, sf_dir, "customer").select(F.floor(k / 1000).alias("d"), F.struct(k.alias("id"), F.col("c_nationkey").alias("nation"), parent.alias("parent")).alias("x"))
+    documents = customers.groupBy("d").agg(F.collect_list("x").alias("customers")).select("customers")
+    nations = table(spark, sf_dir, "nation").where("n_nationkey % 5 <> 4").select(F.struct(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("region"), F.col("n_name").alias("name")).alias("x")).agg(F.collect_list("x").alias("nations"))  # 25 rows
+    regions = table(spark, sf_dir, "region").where("r_regionkey <> 2").select(F.struct(F.col("r_regionkey").alias("id")).alias("x")).agg(F.collect_list("x").alias("regions"))  # 5 rows
+    documents.unionByName(nations, allowMissingColumns=True).unionByName(regions, allowMissingColumns=True).write.json(path)
+    tables = {"regions": dump.Table("id long", "id"), "nations": dump.Table("id long, region long, name string", "id", "first"), "customers": dump.Table("id long, nation long, parent long, best long", "id"), "orders": dump.Table("id long, customer long", "id")}
+    references = [dump.Reference("nations", "region", "regions"), dump.Reference("customers", "nation", "nations"), dump.Reference("customers", "parent", "customers"), dump.Reference("customers", "best", "orders"), dump.Reference("orders", "customer", "customers")]
+    return dump.problems(dump.read_dump(spark, path, tables), tables, references)

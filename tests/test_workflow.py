@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestra.operators import closure, delivery, scope, snapshots
+from attestra.sources import dump
 
 
 def test_what_is_reached_carries_its_first_cause(spark, monkeypatch):
@@ -148,3 +149,17 @@ def test_files_count_if_their_bytes_are_the_declared_ones(spark, tmp_path):
     rows = [("a", sha(b"x"), 1, ok), ("b", sha(b"x"), 1, ok), ("c", sha(b"x"), 1, ok), ("d", "", 0, ok), ("e", sha(b"z"), 1, "{}"), ("f", "", None, None)]
     got = snapshots.file_reasons(spark.createDataFrame(rows, "relative_path string, file_hash string, trusted_source int, intake_manifest_json string"), files).collect()
     assert {r["relative_path"]: r["reason"] for r in got} == {"a": None, "b": "question_source_hash_mismatch", "c": "question_source_missing", "d": "question_source_not_trusted", "e": "question_source_intake_hashes_not_matched", "f": "question_source_not_trusted"}
+
+
+def test_dumps_are_loaded_parents_first(spark, tmp_path):
+    tables = {"tags": dump.Table("id int, name string, parent_id int", "id", "first"), "questions": dump.Table("id string, tag int, used int", "id"), "images": dump.Table("id string, question string", "id")}
+    references = [dump.Reference("images", "question", "questions"), dump.Reference("questions", "tag", "tags"), dump.Reference("tags", "parent_id", "tags")]
+    assert dump.order_of(list(tables), references) == (["tags", "questions", "images"], [])
+    assert dump.order_of(["a", "b", "c", "d"], [dump.Reference("a", "x", "b"), dump.Reference("b", "x", "a"), dump.Reference("c", "x", "a")]) == (["d"], ["a", "b", "c"])
+    one = {"tags": [{"id": 1, "name": "x"}, {"id": 1, "name": "again"}, {"id": 2, "parent_id": 1}, {"id": 3, "parent_id": 4}, {"id": 4, "parent_id": 3}, {"id": 5, "parent_id": 9}, {"id": 6, "parent_id": 5}, {"name": "no key"}], "questions": [{"id": "q", "tag": 1, "used": 1}, {"id": "q", "tag": 2, "used": 2, "more": True}, {"id": "r", "tag": 77}], "other": [1]}
+    (tmp_path / "dump.json").write_text(json.dumps(one, indent=1))
+    loaded = dump.read_dump(spark, str(tmp_path / "dump.json"), tables, one_document=True)
+    assert {r["id"]: r["name"] for r in loaded["tags"].collect()} == {1: "x", 2: None, 3: None, 4: None, 5: None, 6: None}
+    assert sorted(map(tuple, loaded["questions"].collect())) == [("q", 2, 2), ("r", 77, None)] and loaded["images"].count() == 0
+    got = sorted(tuple(r) for r in dump.problems(loaded, tables, references).collect())
+    assert got == [("questions", "r", "tag", "77", "orphan"), ("tags", "3", "parent_id", "4", "row_cycle"), ("tags", "4", "parent_id", "3", "row_cycle"), ("tags", "5", "parent_id", "9", "orphan")]
