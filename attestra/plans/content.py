@@ -310,3 +310,19 @@ def dump_problems(spark, sf_dir):
     tables = {"regions": dump.Table("id long", "id"), "nations": dump.Table("id long, region long, name string", "id", "first"), "customers": dump.Table("id long, nation long, parent long, best long", "id"), "orders": dump.Table("id long, customer long", "id")}
     references = [dump.Reference("nations", "region", "regions"), dump.Reference("customers", "nation", "nations"), dump.Reference("customers", "parent", "customers"), dump.Reference("customers", "best", "orders"), dump.Reference("orders", "customer", "customers")]
     return dump.problems(dump.read_dump(spark, path, tables), tables, references)
+
+
+@query("""WITH e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx, max(ts) OVER () AS most FROM events)
+    SELECT CAST(user_id AS VARCHAR) AS run, count(*) AS stalls, max(ts) AS last, CAST(sum(n) AS BIGINT) AS beats FROM e WHERE nx - ts > INTERVAL 20 HOUR OR (nx IS NULL AND ts + INTERVAL 20 HOUR < most) GROUP BY user_id""")
+def stalled_runs(spark, sf_dir):
+    """Structured Streaming with timers: users who were silent for longer than twenty hours, how often, and when last."""
+    import uuid
+    from datetime import timedelta
+
+    from ..streaming.shared import work_folder
+    from ..streaming.stalls import record
+
+    base = f"{work_folder(spark)}/stalls-{uuid.uuid4().hex}"
+    beats = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("user_id").alias("run"), F.col("ts").alias("at"), F.lit("alive").alias("event"))
+    record(beats, timedelta(hours=20), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").groupBy("run").agg(F.count(F.lit(1)).alias("stalls"), F.max("last").alias("last"), F.sum("beats").alias("beats"))
