@@ -4,6 +4,7 @@ then work the answers out in their own words."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import bindings, closure, delivery, intervals, patterns, questions, scope, segment, snapshots
 from .catalogue import query, table
@@ -326,3 +327,39 @@ def stalled_runs(spark, sf_dir):
     beats = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("user_id").alias("run"), F.col("ts").alias("at"), F.lit("alive").alias("event"))
     record(beats, timedelta(hours=20), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").groupBy("run").agg(F.count(F.lit(1)).alias("stalls"), F.max("last").alias("last"), F.sum("beats").alias("beats"))
+
+
+@query(f"""WITH w AS (SELECT word FROM ({_WORDS}) WHERE length(word) >= 8)
+    SELECT conv_id, turn FROM conversations c WHERE conv_id % 3 <> 0 AND (regexp_matches(text, '^[A-Z][a-z]+ of ') OR EXISTS (SELECT 1 FROM w WHERE contains(c.text, word)))""")
+def answer_leaks(spark, sf_dir):
+    """Turns of students' conversations that hold a long word of the benchmark or begin as answers do."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.when(F.col("conv_id") % 3 == 0, "teacher").otherwise("student").alias("audience"), F.col("turn").alias("index"), "text")
+    told = patterns.leaks(turns, _keywords(spark, sf_dir).where(F.length("pattern") >= 8), "conv_id", answer_line="^[A-Z][a-z]+ of ")
+    return told.select("conv_id", F.col("index").alias("turn"))
+
+
+_THEMES = "SELECT n_nationkey AS rule, ws, ws[1] AS theme FROM (SELECT n_nationkey, (SELECT list(word ORDER BY md5(word || n_nationkey)) FROM w WHERE length(word) = 4) AS ws FROM nation)"
+
+
+@query(f"""WITH w AS ({_WORDS}), r AS ({_THEMES}), g AS (SELECT rule, i % 2 AS g, ws[i + 2] AS word FROM r, (SELECT unnest(range(4)) AS i)),
+    d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE split_part(text, ' ', 1) END AS theme, list_transform(range(3), lambda k: split_part(text, ' ', 2 + k)) AS names, doc_id % 3 AS unsure, text FROM documents WHERE text IS NOT NULL),
+    a AS (SELECT d.doc_id, r.rule FROM d JOIN r ON (d.theme = '' OR contains(d.theme, r.theme)) WHERE (SELECT count(DISTINCT g) FROM g WHERE g.rule = r.rule AND contains(d.text, word)) = 2),
+    m AS (SELECT a.doc_id, a.rule, g.g, string_agg(DISTINCT word, '/' ORDER BY word) AS label FROM a JOIN g USING (rule) JOIN d USING (doc_id) GROUP BY a.doc_id, a.rule, g.g, d.names, d.unsure HAVING NOT bool_or(len(list_filter(list_zip(names, range(3)), lambda x: contains(x[1], word) AND x[2] <> unsure)) > 0))
+    SELECT doc_id, rule, string_agg(label, ',' ORDER BY g) AS missing FROM m GROUP BY doc_id, rule""")
+def mapping_signals(spark, sf_dir):
+    """Documents as mappings: their first word is the theme (of every other one), the next three the knowledge, of which one is not supported. Rules stand for nations, by words in an
+    order of their own."""
+    own = _keywords(spark, sf_dir).where(F.length("pattern") == 4)
+    nations = table(spark, sf_dir, "nation").select("n_nationkey")  # 25 rows
+    place = F.row_number().over(Window.partitionBy("n_nationkey").orderBy(F.md5(F.concat("pattern", F.col("n_nationkey").cast("string")))))
+    ranked = nations.crossJoin(own).select("n_nationkey", "pattern", place.alias("i")).where("i <= 5")
+    part = lambda cond, name, group: ranked.where(cond).select(F.col("n_nationkey").alias("rule"), F.lit(name).alias("part"), group.cast("int").alias("group"), "pattern")
+    rules = part("i = 1", "theme", F.lit(0)).unionByName(part("i > 1", "signal", F.col("i") % 2)).unionByName(part("i > 1", "required", F.col("i") % 2))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    word = lambda k: F.coalesce(F.get(F.split(F.col("text"), " ", -1), k), F.lit(""))
+    evidence = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("question_id"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(word(0)).alias("core_theme"), F.array(*(F.struct(word(1 + k).alias("name"), (F.col("doc_id") % 3 != k).alias("supported")) for k in range(3))).alias("knowledge"))
+    found = patterns.signal_findings(evidence, docs.select(F.col("doc_id").alias("question_id"), "text"), rules)
+    # Three findings a rule: that something is missing, the rule, and what.
+    each = found.select("id", F.explode(F.sequence(F.lit(0), F.size("findings") - 1, F.lit(3))).alias("k"), "findings")
+    told = lambda k, mark: F.replace(F.get("findings", F.col("k") + k), F.lit(mark), F.lit(""))
+    return each.select(F.col("id").alias("doc_id"), told(1, "question_signal_rule:").cast("int").alias("rule"), told(2, "question_signal_missing_required:").alias("missing"))
