@@ -219,7 +219,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     names = docs.columns
     at = names.index(text_col)
     letter_, = unused(docs, "letter")
-    most = max(1 << 16, (1 << 20) // max(1, len(model.langs) // 8)) if model else 1 << 20
+    most = max(1 << 16, (1 << 18) // max(1, len(model.langs) // 8)) if model else 1 << 18
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
