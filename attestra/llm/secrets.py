@@ -150,7 +150,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     tokens = rows.select(F.explode("tokens").alias("t")).select("t.*")
     words = tokens.where("NOT candidate").groupBy("band", "x").agg(F.lit(1)).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("own"), F.var_pop("x").alias("var"))  # copies count once
-    wordlike = rows.sparkSession.createDataFrame([(i, *d) for i, d in enumerate(DEFAULT)], "band int, m0 double, d0 double").join(words, "band", "left").fillna(0)
+    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.lit(m).alias("m0"), F.lit(d).alias("d0")) for i, (m, d) in enumerate(DEFAULT)))
+    wordlike = rows.sparkSession.range(1).select(F.explode(bands).alias("x")).select("x.*").join(words, "band", "left").fillna(0)
     every = wordlike.agg((F.sum(F.col("n") * (F.col("own") - F.col("m0"))) / (F.sum("n") + PRIOR)).alias("shift"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("var")).alias("squares"))
     n, prior = F.col("n"), F.col("m0") + F.col("shift")
     spread = (F.col("squares") + PRIOR * F.col("d0") * F.col("d0")) / (F.col("all") + PRIOR)
