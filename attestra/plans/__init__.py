@@ -1,3 +1,3 @@
 """Plans: the registered queries."""
 
-from . import catalogue, content, evidence  # noqa: F401  (the latter two add their queries to the catalogue)
+from . import catalogue, content, evidence, stores  # noqa: F401  (the latter three add their queries to the catalogue)
