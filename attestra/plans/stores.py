@@ -11,9 +11,12 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators.tables import work_folder
+from ..operators import deltas
+from ..operators.deltas import Ledger, Must, View
+from ..operators.tables import work_folder, written
 from ..sources import documents, packages
 from .catalogue import query, table
+from .evidence import _LINES, INPUTS, made, twin
 
 _NAMES = 'xmlns:w="{}" xmlns:r="{}" xmlns:a="{}"'.format(*(x[1:-1] for x in (documents.W, documents.R, documents.A)))
 _IMAGE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/image"
@@ -93,3 +96,50 @@ def package_inventory(spark, sf_dir):
     shown = rows.where("kind = 'image' AND media_path IS NOT NULL").select("path", "media_path")
     unused = rows.where("kind = 'media'").join(shown, ["path", "media_path"], "left_anti")
     return rows.where("kind IN ('paragraph', 'problem')").unionByName(unused.select(rows.columns)).select(_key(), "kind", "text", "media_path", "media_bytes", "problem")
+
+
+#: Ledgers of revisions (an order's lines in turn), parts, brands and suppliers' blocks, and which of their rows came last.
+INPUTS |= {
+    "line_ledger": f"SELECT l_orderkey AS item, CAST(l_linenumber AS INT) AS version, l_partkey AS part, l_suppkey AS supplier, l_returnflag AS flag FROM {_LINES}",
+    "part_ledger": "SELECT p_partkey AS part, 0 AS version, p_brand AS brand, CASE WHEN p_size > 40 THEN 'dead' ELSE 'live' END AS status FROM {part} UNION ALL SELECT p_partkey, 1, p_brand, CASE WHEN p_size > 40 THEN 'live' ELSE 'dead' END FROM {part} WHERE p_partkey % 50 = 0",
+    "brand_ledger": "SELECT p_brand AS brand, 0 AS version, p_brand NOT LIKE '%1' AS open FROM {part} GROUP BY p_brand UNION ALL SELECT p_brand, 1, p_brand LIKE '%11' FROM {part} WHERE p_brand LIKE '%11' OR p_brand LIKE '%32' GROUP BY p_brand",
+    "block_ledger": "SELECT l_suppkey AS supplier, 0 AS version, l_suppkey % 5 = 0 AS holds FROM {lineitem} GROUP BY l_suppkey UNION ALL SELECT l_suppkey, 1, l_suppkey % 4 = 0 FROM {lineitem} WHERE l_suppkey % 10 < 2 GROUP BY l_suppkey",
+}
+_LEDGERS = ("line_ledger", "part_ledger", "brand_ledger", "block_ledger")
+_CAME = {n: "version > 5 AND item % 10 = 0" if n == "line_ledger" else "version = 1" for n in _LEDGERS}
+_LINES_VIEW = View(
+    Ledger("line_ledger", ("item",), ("version",)),
+    "flag <> 'R'",
+    (
+        Must(View(Ledger("part_ledger", ("part",), ("version",)), "status = 'live'", (Must(View(Ledger("brand_ledger", ("brand",), ("version",)), "open"), {"brand": "brand"}),)), {"part": "part"}),
+        Must(View(Ledger("block_ledger", ("supplier",), ("version",)), "holds"), {"supplier": "supplier"}, absent=True),
+    ),
+)
+
+
+def _stands(name: str, but: bool) -> str:
+    """What stands, of all rows or of all but those that came last."""
+    last = lambda n, key: f"(SELECT * FROM {n} WHERE {f'NOT ({_CAME[n]})' if but else 'true'} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY version DESC) = 1)"
+    parts, brands, blocks = last("part_ledger", "part"), last("brand_ledger", "brand"), last("block_ledger", "supplier")
+    return f"{name} AS (SELECT i.* FROM {last('line_ledger', 'item')} i JOIN {parts} p ON p.part = i.part AND p.status = 'live' JOIN {brands} b ON b.brand = p.brand AND b.open WHERE i.flag <> 'R' AND i.supplier NOT IN (SELECT supplier FROM {blocks} WHERE holds))"
+
+
+def _ledger_changes(spark, sf_dir):
+    """(what stood, what the batch changes)"""
+    whole = dict(zip(_LEDGERS, made(spark, sf_dir, *_LEDGERS), strict=True))
+    before, batch = {n: t.where(f"NOT ({_CAME[n]})") for n, t in whole.items()}, {n: t.where(_CAME[n]) for n, t in whole.items()}
+    state = written(deltas.standing(_LINES_VIEW, before), "state")
+    return state, deltas.changes(_LINES_VIEW, state, before, batch)
+
+
+@query(twin(_LEDGERS, _stands("was", True), _stands("is_now", False), "SELECT *, 1 AS sign FROM (SELECT * FROM is_now EXCEPT SELECT * FROM was) UNION ALL SELECT *, -1 FROM (SELECT * FROM was EXCEPT SELECT * FROM is_now)"))
+def ledger_changes(spark, sf_dir):
+    """What a batch of new rows in four ledgers changes in a view over them: signed rows, from the touched keys alone."""
+    return _ledger_changes(spark, sf_dir)[1]
+
+
+@query(twin(_LEDGERS, _stands("is_now", False), "SELECT * FROM is_now"))
+def ledger_view(spark, sf_dir):
+    """The view after that batch: what stood and what changed, summed."""
+    state, changed = _ledger_changes(spark, sf_dir)
+    return deltas.current(state.withColumn("sign", F.lit(1)).unionByName(changed))
