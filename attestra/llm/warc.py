@@ -357,7 +357,10 @@ class WarcSource(DataSource):
 
 
 def read_archives(spark: SparkSession, files: list[list], columns: str = SCHEMA, verify: bool = False, partition_bytes: int = 64 << 20) -> DataFrame:
-    """The records of archives given as [uri, bytes]; columns is a DDL list out of SCHEMA."""
+    """The records of archives given as [uri, bytes]; columns is a DDL list out of SCHEMA.
+
+    Use the result with one filter only, and call again for another: Spark keeps what a filter pushed into a Python source for all uses of the
+    same DataFrame, so that a second use would lose rows."""
     listed = _Output(f"{fresh_path(spark, 'warc-files')}/files.json")
     listed.write(json.dumps(files).encode())
     listed.close()
