@@ -74,8 +74,10 @@ def find_similar(items: DataFrame, key: str, text: str, scope: str, ratio, least
     met = side("_a").join(side("_b"), ["_s", "_c"]).where((F.col("_a") <= F.col("_b")) & (2 * F.least("_an", "_bn") >= least * (F.col("_an") + F.col("_bn")))).select("_s", "_a", "_b").distinct()
     bag = lambda x: bags.select("_s", F.col("_t").alias(x), F.col("_bag").alias(f"{x}s"), F.col("_first").alias(f"{x}f"))
     near = met.join(bag("_a"), ["_s", "_a"]).join(bag("_b"), ["_s", "_b"]).where(2 * F.size(F.array_intersect("_as", "_bs")) >= least * (F.size("_as") + F.size("_bs")) - 1e-9)
-    # The ratio may depend on which text comes first.
-    both = near.select("_s", "_a", F.col("_b").alias("_o"), F.col("_bf").alias("_first")).unionByName(near.where("_a <> _b").select("_s", F.col("_b").alias("_a"), F.col("_a").alias("_o"), F.col("_af").alias("_first")))
+    # The ratio may depend on which text comes first. Texts come out of one explode, so that Spark cannot move the ratio before the joins, where all pairs that met would be compared.
+    way = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("o"), F.col(f"{y}f").alias("first"))
+    ways = F.explode(F.when(F.col("_a") == F.col("_b"), F.array(way("_a", "_b"))).otherwise(F.array(way("_a", "_b"), way("_b", "_a"))))
+    both = near.select("_s", ways.alias("_w")).select("_s", F.col("_w.a").alias("_a"), F.col("_w.o").alias("_o"), F.col("_w.first").alias("_first"))
     good = both.withColumn("_r", F.when(F.col("_a") == F.col("_o"), F.lit(1.0)).otherwise(ratio("_a", "_o"))).where(F.col("_r") >= least).select("_s", "_a", "_first", "_r")
     empty = t.where("_t = ''").select("_s", F.col("_t").alias("_a"), "_first", F.lit(1.0).alias("_r"))
     found = items.select(key, F.col(scope).alias("_s"), F.col(text).alias("_a")).join(good.unionByName(empty), ["_s", "_a"]).where(F.col("_first") < F.col(key))
