@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.items import label_anchors
 from .latest import reasons
@@ -15,18 +16,29 @@ def _blank(name: str):
     return F.length(F.trim(F.coalesce(F.col(name).cast("string"), F.lit("")))) == 0
 
 
-def anchor_matches(questions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """question_id, node_id, longest: the length of the longest anchor of the node's name that the question's text has.
+def best_anchors(questions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """question_id, _best (node_id and its confidence c) and _top (the highest two confidences, the higher first), of questions whose text has an
+    anchor of a node's name. Confidence is the longest such anchor of a node over five, one at most; of equal ones the smallest node_id is best.
 
     Questions and nodes share `catalog`. Texts and anchors meet at an anchor's first four characters, so that only pairs with those in common
-    are compared; a text goes into the shuffle as its distinct runs of four Chinese characters, and is met again by its id to check the rest.
+    are compared; a text goes into the shuffle as its distinct runs of four Chinese characters, and is met again by its hash to check the rest.
+    Equal texts are looked at once, and each anchor stands for its two smallest nodes alone: any other is behind these two wherever it is found.
+    So rows are linear in texts and names, however many questions share a text or nodes a name.
     """
     grams = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - _LEAST + 1, F.lit(1))), lambda i: F.substring("text", i, _LEAST)), lambda g: g.rlike(f"^[一-鿿]{{{_LEAST}}}$")))
-    runs = questions.select("question_id", "catalog", F.explode(grams).alias("gram"))
-    anchors = nodes.select("catalog", "node_id", F.explode(label_anchors(F.col("name"), _LEAST)).alias("anchor")).withColumn("gram", F.substring("anchor", 1, _LEAST))
-    met = runs.join(anchors, ["catalog", "gram"]).select("question_id", "node_id", "anchor").distinct()
-    found = met.join(questions.select("question_id", "text"), "question_id").where(F.contains("text", F.col("anchor")))
-    return found.groupBy("question_id", "node_id").agg(F.max(F.length("anchor")).alias("longest"))
+    hashed = questions.select("question_id", "catalog", "text", F.sha2("text", 256).alias("_h"))
+    texts = hashed.select("catalog", "_h", "text").distinct()
+    runs = texts.select("catalog", "_h", F.explode(grams).alias("gram"))
+    every = nodes.select("catalog", "node_id", F.explode(label_anchors(F.col("name"), _LEAST)).alias("anchor")).distinct()
+    place = F.row_number().over(Window.partitionBy("catalog", "anchor").orderBy("node_id"))
+    anchors = every.withColumn("_p", place).where("_p <= 2").select("catalog", "node_id", "anchor", F.substring("anchor", 1, _LEAST).alias("gram"))
+    met = runs.join(anchors, ["catalog", "gram"]).select("catalog", "_h", "node_id", "anchor")
+    found = met.join(texts, ["catalog", "_h"]).where(F.contains("text", F.col("anchor")))
+    scored = found.groupBy("catalog", "_h", "node_id").agg(F.least(F.lit(1.0), F.max(F.length("anchor")) / 5).alias("c"))
+    first = F.row_number().over(Window.partitionBy("catalog", "_h").orderBy(F.desc("c"), "node_id"))
+    two = scored.withColumn("_p", first).where("_p <= 2").drop("_p")
+    each = hashed.select("question_id", "catalog", "_h").join(two, ["catalog", "_h"]).groupBy("question_id", "node_id").agg(F.max("c").alias("c"))
+    return each.groupBy("question_id").agg(F.min_by(F.struct("node_id", "c"), F.struct(-F.col("c"), "node_id")).alias("_best"), F.slice(F.sort_array(F.collect_list("c"), asc=False), 1, 2).alias("_top"))
 
 
 def suggest_mapping(questions: DataFrame, nodes: DataFrame, least: float = 0.75, margin: float = 0.15) -> DataFrame:
@@ -36,19 +48,18 @@ def suggest_mapping(questions: DataFrame, nodes: DataFrame, least: float = 0.75,
     anchor over five, one at most. A question is isolated if a field is missing, its catalog is empty, incomplete or of another textbook, no
     anchor is found, or the best node is not sure enough or too near the next. Nulls count as missing.
     """
-    catalogs = nodes.groupBy("catalog").agg(F.collect_set("textbook_id").alias("_books"), F.bool_or(_blank("node_id") | _blank("name") | _blank("catalog_version")).alias("_holes"), F.bool_or(F.col("textbook_id").isNull()).alias("_nameless"))
+    catalogs = nodes.groupBy("catalog").agg(F.min("textbook_id").alias("_low"), F.max("textbook_id").alias("_high"), F.bool_or(_blank("node_id") | _blank("name") | _blank("catalog_version")).alias("_holes"), F.bool_or(F.col("textbook_id").isNull()).alias("_nameless"))
     named = questions.join(catalogs, "catalog", "left")
-    none = F.col("_books").isNull()
+    none = F.col("_holes").isNull()
     faults = reasons(
         missing_question_id=_blank("question_id"),
         missing_question_text=_blank("text"),
         missing_textbook_id=_blank("textbook_id"),
         no_catalog_nodes=none,
         incomplete_catalog_node=F.col("_holes"),
-        cross_textbook_catalog_node=F.col("_nameless") | F.exists("_books", lambda b: ~b.eqNullSafe(F.col("textbook_id"))),
+        cross_textbook_catalog_node=F.col("_nameless") | (~none & ~(F.col("_low").eqNullSafe(F.col("textbook_id")) & F.col("_high").eqNullSafe(F.col("textbook_id")))),
     )
-    confidence = F.least(F.lit(1.0), F.col("longest") / 5)
-    best = anchor_matches(questions, nodes).groupBy("question_id").agg(F.min_by(F.struct("node_id", confidence.alias("c")), F.struct(-confidence, "node_id")).alias("_best"), F.slice(F.sort_array(F.collect_list(confidence), asc=False), 1, 2).alias("_top"))
+    best = best_anchors(questions, nodes)
     out = named.withColumn("_faults", faults).join(best, "question_id", "left")
     c = F.col("_best.c")
     doubt = F.when(c.isNull(), "no_exact_catalog_anchor").when(c < least, "low_confidence").when(F.get("_top", 0) - F.get("_top", 1) < margin, "ambiguous_top_candidate")

@@ -5,7 +5,20 @@ import difflib
 import pandas as pd
 from pyspark.sql import functions as F
 
-from attestra.operators import similarity
+from attestra.operators import progress, similarity
+
+
+def shuffled(spark, df):
+    """The rows of df, and how many records its stages wrote into shuffles."""
+    sc, jvm = spark.sparkContext, spark._jvm
+
+    def stages():
+        found = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    got = df.collect()
+    return got, sum(n for k, n in stages().items() if k not in before)
 
 
 def test_only_pairs_that_suffice_are_compared(spark):
@@ -23,3 +36,19 @@ def test_only_pairs_that_suffice_are_compared(spark):
     got = {r["k"]: r["similar_to"] for r in similarity.find_similar(items, "k", "t", "s", ratio).collect()}
     first = lambda k: next((j for j in range(k) if difflib.SequenceMatcher(None, texts[k], texts[j]).ratio() >= 0.9), None)
     assert got == {k: j for k in range(len(texts)) if (j := first(k)) is not None} and got
+
+
+def test_suggestions_do_not_list_questions_by_nodes(spark):
+    """Questions of one text meet nodes of one name: as many rows as there are of both, not their product."""
+    texts, names = ["一二三四五", "甲乙丙丁", "一二三四甲乙丙丁", "子丑寅卯"], ["一二三四", "甲乙丙丁", "二三四五", "一二三四五"]
+    asked = [(q, texts[q % 4], "t", "k" if q % 8 < 6 else "m") for q in range(400)]
+    nodes = [("k" if n % 3 else "m", n, names[n % 4], "t", "v") for n in range(400)]
+    out = progress.suggest_mapping(spark.createDataFrame(asked, "question_id int, text string, textbook_id string, catalog string"), spark.createDataFrame(nodes, "catalog string, node_id int, name string, textbook_id string, catalog_version string"))
+    got, records = shuffled(spark, out)
+    want = {}
+    for q, text, _, catalog in asked:
+        anchors = lambda name: [name[i:j] for i in range(len(name)) for j in range(i + 4, len(name) + 1)]
+        found = sorted((-min(1.0, max(map(len, hits)) / 5), n) for c, n, name, _, _ in nodes if c == catalog and (hits := [a for a in anchors(name) if a in text]))
+        sure = found and (len(found) < 2 or found[1][0] - found[0][0] >= 0.15)
+        want[q] = ("no_exact_catalog_anchor",) if not found else () if sure else ("ambiguous_top_candidate",), found[0][1] if sure else None
+    assert {r["question_id"]: (tuple(r["reasons"]), r["node_id"]) for r in got} == want and records < 10_000
