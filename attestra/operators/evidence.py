@@ -98,9 +98,10 @@ def _ranged(df: DataFrame) -> DataFrame:
 
 def answer_evidence(evidence: DataFrame, runs: DataFrame, segments: DataFrame) -> DataFrame:
     """Evidence of validated runs at a place with current segments, none of which its characters overlap."""
+    place = ["controlled_source_id", *_PLACE]
     shown = _ranged(segments).select(F.col("source_id").alias("controlled_source_id"), *_PLACE, "start", "end")
-    now = backed(backed(evidence, runs, {"import_run_id": "id"}, F.col("status") == "validated"), shown, ["controlled_source_id", *_PLACE])
-    return overlapping_removed(_ranged(now), shown, ["controlled_source_id", *_PLACE]).select(*evidence.columns)
+    now = backed(evidence, runs, {"import_run_id": "id"}, F.col("status") == "validated")
+    return backed(overlapping_removed(_ranged(now), shown, place), shown, place).select(*evidence.columns)
 
 
 def source_derivations(derivations: DataFrame, runs: DataFrame, documents: DataFrame, sources: DataFrame, segments: DataFrame, answers: DataFrame) -> DataFrame:

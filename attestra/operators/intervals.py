@@ -9,9 +9,11 @@ overlap where one begins inside the other, or both begin at one place. Work is l
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _LEVELS = "array<int>"
 
@@ -87,14 +89,34 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], start:
     return l_.join(r_, [*keys, *_ON]).select(*left.columns, *(prefix + c for c in more))
 
 
-def overlapping(spans: DataFrame, others: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """The different (keys, start, end) of spans that overlap some range of others; the pairs are not listed."""
-    own = [*keys, start, end]
-    l_, r_ = _sides(spans.select(*own).distinct(), others.select(*own).distinct(), start, end)
-    return l_.join(r_.select(*keys, *_ON).distinct(), [*keys, *_ON], "left_semi").select(*own).distinct()
+#: Fixed value: positions of one key are swept in chunks of 2^20.
+_CHUNK = 20
 
 
 def not_overlapping(spans: DataFrame, others: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """The rows of spans that overlap no range of others."""
-    own = [*keys, start, end]
-    return spans.join(overlapping(spans, others, keys, start, end), own, "left_anti").select(*spans.columns)
+    """The rows of spans that overlap no range of others, as `overlap_pairs` has it; no pair and no bin is listed.
+
+    A span overlaps some range if, of those that begin before its end, the one that ends last ends behind its start: one running maximum over both, by where ranges
+    begin and spans end. A key's positions are swept chunk by chunk, each chunk knowing the maximum of those before it, so that no key is one task's work.
+    """
+    held = lambda df: df.where(F.col(start) <= F.col(end))
+    chunk = F.shiftright("_at", _CHUNK).alias("_chunk")
+    known = [F.col(k).isNotNull() for k in keys]
+    ranges = held(others).where(reduce(lambda a, b: a & b, known)).groupBy(*keys, F.col(start).cast("long").alias("_at")).agg(F.max(F.col(end).cast("long")).alias("_to")).select(*keys, "_at", chunk, "_to")
+    none = F.lit(None).cast("long").alias("_to")
+    at = spans.select(*keys, F.col(end).cast("long").alias("_at"), F.struct(*spans.columns).alias("_row"))
+    swept = at.select(*keys, "_at", chunk, none, "_row")
+    chunks = ranges.select(*keys, "_chunk", "_to").unionByName(swept.select(*keys, "_chunk", "_to")).groupBy(*keys, "_chunk").agg(F.max("_to").alias("_to"))
+    before = F.max("_to").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    carried = chunks.withColumn("_to", before).where("_to IS NOT NULL").select(*keys, (F.shiftleft("_chunk", _CHUNK) - 1).alias("_at"), "_chunk", "_to")
+    every = ranges.unionByName(carried).unionByName(swept, allowMissingColumns=True)
+    furthest = F.max("_to").over(Window.partitionBy(*keys, "_chunk").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1))
+    own = lambda c: F.col("_row")[c]
+    met = F.coalesce((own(start) <= own(end)) & (furthest > own(start)), F.lit(False))
+    return every.withColumn("_met", met).where("_row IS NOT NULL AND NOT _met").select("_row.*")
+
+
+def overlapping(spans: DataFrame, others: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
+    """The different (keys, start, end) of spans that overlap some range of others; the pairs are not listed."""
+    own = spans.select(*keys, start, end).distinct()
+    return own.exceptAll(not_overlapping(own, others, keys, start, end))

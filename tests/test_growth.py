@@ -1,11 +1,12 @@
 """Steps whose work must not grow faster than their input: what they may compare, join or hold."""
 
 import difflib
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from attestra.operators import progress, similarity
+from attestra.operators import intervals, progress, similarity
 
 
 def shuffled(spark, df):
@@ -52,3 +53,29 @@ def test_suggestions_do_not_list_questions_by_nodes(spark):
         sure = found and (len(found) < 2 or found[1][0] - found[0][0] >= 0.15)
         want[q] = ("no_exact_catalog_anchor",) if not found else () if sure else ("ambiguous_top_candidate",), found[0][1] if sure else None
     assert {r["question_id"]: (tuple(r["reasons"]), r["node_id"]) for r in got} == want and records < 10_000
+
+
+def test_overlaps_are_swept_chunk_by_chunk(spark):
+    """Ranges over many chunks of positions: right results, and a few records a range, not one a bin."""
+    rng = random.Random(4)
+    size = lambda: rng.choice([-5, 0, 1, 60, 3 << 20, 50 << 20])
+    some = lambda n, keys: [(i, rng.choice(keys), a, a + size()) for i in range(n) for a in [rng.choice([rng.randrange(200), rng.randrange(64 << 20), (5 << 20) - 1, -(3 << 20)])]]
+    spans, others = some(300, ["a", "b", "c", None]) + [(900, "a", None, 5), (901, "a", 5, None)], some(40, ["a", "b", None]) + [(900, "a", None, 5)]
+    frame = lambda rows: spark.createDataFrame(rows, "id int, k string, start long, end long")
+    meets = lambda x, y: None not in (*x, *y) and x[1] == y[1] and x[2] <= x[3] and y[2] <= y[3] and x[2] < y[3] and y[2] < x[3]
+    hit = {x[0] for x in spans if any(meets(x, y) for y in others)}
+    got, records = shuffled(spark, intervals.not_overlapping(frame(spans), frame(others), ["k"]))
+    assert sorted(r["id"] for r in got) == sorted(x[0] for x in spans if x[0] not in hit) and len(hit) > 50
+    assert records < 5 * (len(spans) + len(others))
+    told = {tuple(r) for r in intervals.overlapping(frame(spans), frame(others), ["k"]).collect()}
+    assert told == {x[1:] for x in spans if x[0] in hit}
+
+
+def test_shared_inputs_are_worked_out_once(spark):
+    """What several inputs are built from is not read and grouped again for each."""
+    from attestra.plans import content, evidence  # noqa: F401
+
+    sf = "/root/testdata/sf0.001"
+    for names in (("content_parts", "content_revs", "answers"), ("paper",), ("choices", "assets")):
+        for df in evidence.made(spark, sf, *names):
+            assert not any(f.endswith("lineitem.parquet") for f in df.inputFiles())
