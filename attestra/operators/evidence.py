@@ -110,9 +110,9 @@ def source_derivations(derivations: DataFrame, runs: DataFrame, documents: DataF
     out = backed(out, segments, {"student_segment_row_id": "id", "controlled_source_id": "source_id"} | {c: c for c in _PLACE})
     bytes_of = documents.where("file_type = 'docx' AND parse_status = 'parsed'").select(F.col("id").alias("_d"), F.col("file_hash").alias("_h")).join(sources.select(F.col("id").alias("_s"), F.col("converted_sha256").alias("_h")), "_h")
     out = backed(out, bytes_of, {"source_document_id": "_d", "controlled_source_id": "_s"})
-    for field in ("answer", "analysis"):
-        out = backed(out, answers, ["import_run_id", "controlled_source_id", *_PLACE, "source_question_no"], F.col("field_name") == field)
-    return out
+    both = ["import_run_id", "controlled_source_id", *_PLACE, "source_question_no"]
+    has = lambda field: F.bool_or(F.col("field_name") == field)
+    return backed(out, answers.groupBy(*both).agg((has("answer") & has("analysis")).alias("_both")), both, F.col("_both"))
 
 
 def role_evidence(evidence: DataFrame, runs: DataFrame, questions: DataFrame, snapshots: DataFrame, mappings: DataFrame, documents: DataFrame, fragments: DataFrame) -> DataFrame:
