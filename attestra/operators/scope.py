@@ -57,11 +57,15 @@ def first_match(rules: Sequence[Rule]) -> Column:
     return out
 
 
-def approved_points(points: DataFrame, node_points: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, curriculum_node_id and knowledge_points: approved ones of rows (keys, knowledge_point_id) that belong to the node, in order."""
-    real = node_points.join(known.where("review_status = 'approved'").select(F.col("id").alias("knowledge_point_id")), "knowledge_point_id")
-    met = points.join(real, "knowledge_point_id").groupBy(*keys, "curriculum_node_id")
-    return met.agg(F.array_sort(F.collect_set("knowledge_point_id")).alias("knowledge_points"))
+def approved_points(points: DataFrame, node_points: DataFrame, known: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, curriculum_node_id and knowledge_points, for wanted (keys, curriculum_node_id): approved ones of rows (keys, knowledge_point_id) that belong to the node, in order.
+
+    A point goes through shuffles once with the few nodes that it belongs to, not once a node; the wanted node is picked where both meet, and they are grouped there.
+    """
+    real = known.where("review_status = 'approved'").select(F.col("id").alias("knowledge_point_id")).distinct()
+    nodes = node_points.groupBy("knowledge_point_id").agg(F.collect_set("curriculum_node_id").alias("_nodes")).join(real, "knowledge_point_id", "left_semi")
+    met = points.join(nodes, "knowledge_point_id").join(wanted.select(*keys, "curriculum_node_id").distinct().repartition(*keys), list(keys)).where(F.array_contains("_nodes", F.col("curriculum_node_id")))
+    return met.groupBy(*keys, "curriculum_node_id").agg(F.array_sort(F.collect_set("knowledge_point_id")).alias("knowledge_points"))
 
 
 def revision_scope(revisions: DataFrame, snapshots: DataFrame, current: DataFrame, audits: DataFrame, points: DataFrame, node_points: DataFrame, known: DataFrame) -> DataFrame:
@@ -76,7 +80,7 @@ def revision_scope(revisions: DataFrame, snapshots: DataFrame, current: DataFram
     out = out.join(current.select("question_id", F.col("input_hash").alias("current_hash")), "question_id", "left")
     approved = audits.where("status = 'approved'").select(F.col("source_revision_id").alias("id"), *place, F.col("approval_input_hash").alias("snapshot_hash"), F.col("approval_snapshot_revision").alias("snapshot_revision")).distinct()
     out = out.join(approved.withColumn("audited", F.lit(True)), ["id", *place, "snapshot_hash", "snapshot_revision"], "left").withColumn("audited", F.coalesce("audited", F.lit(False)))
-    held = approved_points(points.withColumnRenamed("source_revision_id", "id"), node_points, known, ["id"])
+    held = approved_points(points.withColumnRenamed("source_revision_id", "id"), node_points, known, revisions, ["id"])
     out = out.join(held, ["id", "curriculum_node_id"], "left").withColumn("_m", first_match(REVISION))
     return out.select(*place, F.col("_m.status").alias("status"), F.col("_m.reason").alias("reason"), "mapping_hash", "knowledge_points")
 
@@ -105,7 +109,7 @@ def mapping_scope(
         out = out.join(passed, ["release_id", "catalog_run"], "left").withColumn("catalog_approved", F.coalesce((F.col("catalog_status") == "validated") & F.col("_audited"), F.lit(False)))
     imports = mapping_imports.select(*place, F.col("import_run_id").alias("_import"), "mapping_hash").join(status("mapping").withColumnRenamed("mapping_run", "_import").withColumn("mapping_run", F.col("_import")), "_import", "left").drop("_import")
     out = out.join(imports, place, "left")
-    held = approved_points(points.select("question_id", "knowledge_point_id", F.col("import_run_id").alias("mapping_run"), "mapping_hash"), node_points, known, ["question_id", "mapping_run", "mapping_hash"])
+    held = approved_points(points.select("question_id", "knowledge_point_id", F.col("import_run_id").alias("mapping_run"), "mapping_hash"), node_points, known, imports, ["question_id", "mapping_run", "mapping_hash"])
     out = out.join(held, ["question_id", "mapping_run", "mapping_hash", "curriculum_node_id"], "left")
     if revised is None:
         out = out.withColumns({"revised_status": F.lit(None).cast("string"), "revised_reason": F.lit(None).cast("string")})

@@ -6,7 +6,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
-from attestra.operators import intervals, progress, similarity
+from attestra.operators import intervals, progress, scope, similarity
 
 
 def shuffled(spark, df):
@@ -79,3 +79,16 @@ def test_shared_inputs_are_worked_out_once(spark):
     for names in (("content_parts", "content_revs", "answers"), ("paper",), ("choices", "assets")):
         for df in evidence.made(spark, sf, *names):
             assert not any(f.endswith("lineitem.parquet") for f in df.inputFiles())
+
+
+def test_points_of_nodes_that_nobody_wants_are_not_shuffled(spark):
+    points = [(q, p) for q in range(40) for p in range(q % 7, 60, 2)]
+    places = [(p, n) for p in range(60) for n in range(p % 3, 40, 3)]
+    approved = [(p, "approved" if p % 5 else "pending") for p in range(60)]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    wanted = [(q, q % 40 + d) for q in range(40) for d in (0, 1)]
+    out = scope.approved_points(frame(points, "id int, knowledge_point_id int"), frame(places, "knowledge_point_id int, curriculum_node_id int"), frame(approved, "id int, review_status string"), frame(wanted, "id int, curriculum_node_id int"), ["id"])
+    got, records = shuffled(spark, out)
+    want = {(q, n): [p for i, p in points if i == q and (p, n) in set(places) and p % 5] for q, n in wanted}
+    assert {(r["id"], r["curriculum_node_id"]): r["knowledge_points"] for r in got} == {k: v for k, v in want.items() if v}
+    assert records < 3 * (len(points) + len(places) + len(wanted))
