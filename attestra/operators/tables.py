@@ -32,6 +32,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches sent to Python by bytes and by fewer rows, so that long texts cannot add up."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    except Exception:  # not in this version
+        pass
+
+
 def require_columns(df: DataFrame, columns: Sequence[str], table: str) -> DataFrame:
     """df itself; an error that names all columns it lacks."""
     if lacking := sorted(set(columns) - set(df.columns)):

@@ -92,3 +92,11 @@ def test_points_of_nodes_that_nobody_wants_are_not_shuffled(spark):
     want = {(q, n): [p for i, p in points if i == q and (p, n) in set(places) and p % 5] for q, n in wanted}
     assert {(r["id"], r["curriculum_node_id"]): r["knowledge_points"] for r in got} == {k: v for k, v in want.items() if v}
     assert records < 3 * (len(points) + len(places) + len(wanted))
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    from attestra.plans import catalogue
+
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(size)
+    assert catalogue.nfkc_normalise(spark, "/root/testdata/sf0.001").count() and 0 < int(spark.conf.get(size)) <= 16 << 20
