@@ -32,35 +32,30 @@ def _count(starts: Column, w) -> Column:
     return F.sum(F.coalesce(starts, F.lit(False)).cast("long")).over(w)
 
 
-def _ordered(*columns: Column) -> Column:
-    return F.array_sort(F.collect_list(F.struct(F.col("ordinal"), *columns)))
-
-
-def _spans(ordinal: Column, runs: Column) -> Column:
-    return F.transform(runs, lambda r: F.struct(ordinal.alias("block"), r["start"].alias("start"), r["end"].alias("end")))
-
-
-def _parts(text: Column, ordinal: Column) -> Column:
-    """struct<stem, stem_spans, options, problem> of a block. An option reaches from its label to the next one (or the block's end), its text lies
-    behind its label; one of an image alone reaches to the image's mark."""
-    raw = F.coalesce(text, F.lit(""))
-
-    def of(x: Column) -> Column:
-        told, placed = x["told"], x["placed"]
-        alone = F.size(placed) > 0
-        end_of = lambda i: F.coalesce(F.get(told, i + 1)["start"], F.length(x["t"]))
-        # A match may begin with the white space before its label.
-        label_at = lambda m: m["start"] + F.when(cut(x["t"], m["start"], m["start"] + 1) == m["value"], 0).otherwise(1)
-        option = lambda m, end, value, spans, only: F.struct(m["value"].alias("label"), value.alias("text"), F.lit(only).alias("asset_only"), ordinal.alias("block"), label_at(m).cast("int").alias("start"), end.cast("int").alias("end"), spans.alias("text_spans"))
-        written = F.transform(told, lambda m, i: option(m, end_of(i), shown(cut(x["t"], m["end"], end_of(i))), _spans(ordinal, shown_runs(x["t"], m["end"], end_of(i))), False))
-        images = F.transform(placed, lambda m: option(m, m["end"], F.lit(None).cast("string"), F.filter(_spans(ordinal, shown_runs(x["t"], m["end"], m["end"])), lambda r: F.lit(False)), True))
-        labels = F.transform(placed, lambda m: m["value"])
-        bad = F.when(alone & ((F.size(labels) < 2) | (F.size(F.array_distinct(labels)) < F.size(labels))), "unreadable_option_assets").when(~alone & F.exists(written, lambda o: o["text"] == ""), "empty_option_text")
-        options = F.when(alone, images).otherwise(written)
-        until = F.coalesce(F.get(options, 0)["start"], F.length(x["t"]))
-        return F.struct(shown(cut(x["t"], F.lit(0), until)).alias("stem"), _spans(ordinal, shown_runs(x["t"], F.lit(0), until)).alias("stem_spans"), options.alias("options"), bad.alias("problem"))
-
-    return named(F.struct(raw.alias("t"), matches(raw, OPTION).alias("told"), matches(raw, PLACED_OPTION).alias("placed")), of)
+def _ordered(cond: Column, *columns: Column) -> Column:
+    """The columns of rows for which the condition holds, in order. Fields of what comes out are arrays."""
+    return F.sort_array(F.collect_list(F.when(cond, F.struct(F.col("ordinal"), *columns))))
+
+
+def _with_parts(blocks: DataFrame, asked: Column) -> DataFrame:
+    """blocks with _stem, _stem_spans, _options and _problem of those that are asked. An option reaches from its label to the next one (or the block's end), its
+    text lies behind its label; one of an image alone reaches to the image's mark."""
+    raw, ordinal = F.coalesce(F.col("raw_text"), F.lit("")), F.col("ordinal")
+    out = blocks.withColumns({"_told": F.when(asked, matches(raw, OPTION, hint="[A-D][.．、]")), "_placed": F.when(asked, matches(raw, PLACED_OPTION, hint="\x01"))})
+    told, placed = F.col("_told"), F.col("_placed")
+    alone = F.size(placed) > 0
+    # A match may begin with the white space before its label.
+    label_at = lambda m: (m["start"] + F.when(cut(raw, m["start"], m["start"] + 1) == m["value"], 0).otherwise(1)).cast("int")
+    option = lambda m, end, value, spans, only: F.struct(m["value"].alias("label"), value.alias("text"), F.lit(only).alias("asset_only"), ordinal.alias("block"), label_at(m).alias("start"), end.cast("int").alias("end"), spans.alias("text_spans"))
+    end_of = lambda i: F.coalesce(F.get(told, i + 1)["start"], F.length(raw))
+    written = F.transform(told, lambda m, i: named(cut(raw, m["end"], end_of(i)), lambda t: option(m, m["end"] + F.length(t), shown(t), shown_runs(t, m["end"], ordinal), False)))
+    nowhere = F.array_repeat(F.struct(ordinal.alias("block"), F.lit(0).alias("start"), F.lit(0).alias("end")), 0)
+    images = F.transform(placed, lambda m: option(m, m["end"], F.lit(None).cast("string"), nowhere, True))
+    until = F.when(alone, label_at(F.get(placed, 0))).when(F.size(told) > 0, label_at(F.get(told, 0))).otherwise(F.length(raw))
+    out = out.withColumns({"_options": F.when(alone, images).otherwise(written), "_until": until})
+    labels = F.col("_placed.value")
+    bad = F.when(alone & ((F.size(labels) < 2) | (F.size(F.array_distinct(labels)) < F.size(labels))), "unreadable_option_assets").when(~alone & F.array_contains(F.col("_options.text"), ""), "empty_option_text")
+    return out.withColumns({"_stem": F.when(asked, shown(cut(raw, F.lit(0), F.col("_until")))), "_stem_spans": F.when(asked, shown_runs(cut(raw, F.lit(0), F.col("_until")), block=ordinal)), "_problem": F.when(asked, bad)})
 
 
 def segment_questions(blocks: DataFrame, document: str) -> DataFrame:
@@ -70,46 +65,42 @@ def segment_questions(blocks: DataFrame, document: str) -> DataFrame:
 
     blocks: document, ordinal, raw_text. Questions stand in sections before the first answer heading or numbered block with an answer mark;
     answers behind it belong to the question of their number, the last entry of a number if there are several. What cannot be read for sure has
-    a problem (empty_option_text, unreadable_option_assets, question_stem_missing or duplicate_option_label) and must not be taken.
+    a problem (empty_option_text, unreadable_option_assets, question_stem_missing or duplicate_option_label) and must not be taken. Blocks are shuffled once, by document.
     """
     raw = F.coalesce(F.col("raw_text"), F.lit(""))
     numbered = raw.rlike(NUMBER)
     answers_at = F.min(F.when(F.contains(raw, F.lit(HEADING)) | (numbered & F.contains(raw, F.lit(ANSWER))), F.col("ordinal"))).over(Window.partitionBy(document))
-    cut = blocks.withColumns({"_at": answers_at, "_number": F.when(numbered, F.regexp_extract(raw, NUMBER, 1)), "_type": F.nullif(F.regexp_extract(raw, SECTION, 1), F.lit(""))})
-    asked = cut.where("_at IS NULL OR ordinal < _at").withColumns({"section": _count(F.col("_type").isNotNull(), _running(document)), "question_type": F.last("_type", ignorenulls=True).over(_running(document))})
-    asked = asked.where("section > 0").withColumn("item", _count(F.col("_number").isNotNull(), _running(document, "section"))).where("item > 0")
-    parts = _parts(F.col("raw_text"), F.col("ordinal"))
-    per = asked.groupBy(document, "section", "item").agg(
-        F.min_by("_number", "ordinal").alias("number"), F.min("question_type").alias("question_type"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), _ordered(parts.alias("p")).alias("_p")
-    )
-    stems = F.filter(F.transform("_p", lambda x: x["p"]["stem"]), lambda x: x != "")
-    per = per.withColumns({"stem": F.array_join(stems, "\n"), "stem_spans": F.flatten(F.transform("_p", lambda x: x["p"]["stem_spans"])), "options": F.flatten(F.transform("_p", lambda x: x["p"]["options"]))})
-    labels = F.transform("options", lambda o: o["label"])
-    problem = F.coalesce(
-        F.get(F.filter(F.transform("_p", lambda x: x["p"]["problem"]), lambda x: x.isNotNull()), 0),
-        F.when(F.size(stems) == 0, "question_stem_missing"),
-        F.when(F.size(F.array_distinct(labels)) < F.size(labels), "duplicate_option_label"),
-    )
-    return per.withColumn("problem", problem).join(_answers(cut, document), [document, "number"], "left").select(document, "section", "item", "number", "question_type", "stem", "stem_spans", "options", "answer", "answer_spans", "analysis", "analysis_spans", "first", "last", "problem")
-
-
-def _answers(cut_: DataFrame, document: str) -> DataFrame:
-    """document, number, answer, answer_spans, analysis, analysis_spans: the marked texts of each number's last entry, from their marks on."""
+    cut_ = blocks.select(document, "ordinal", "raw_text", answers_at.alias("_at"))
+    behind = F.when(F.col("_at").isNull() | (F.col("ordinal") < F.col("_at")), False).when((F.col("ordinal") > F.col("_at")) | ~F.contains(raw, F.lit(HEADING)), True)
+    cut_ = cut_.select(document, "ordinal", "raw_text", behind.alias("_behind"), F.when(numbered, F.regexp_extract(raw, NUMBER, 1)).alias("_number"), F.when(~behind, F.nullif(F.regexp_extract(raw, SECTION, 1), F.lit(""))).alias("_type")).where("_behind IS NOT NULL")
+    cut_ = cut_.withColumns({"section": _count(F.col("_type").isNotNull(), _running(document, "_behind")), "question_type": F.last("_type", ignorenulls=True).over(_running(document, "_behind"))})
+    cut_ = cut_.where("_behind OR section > 0").withColumn("item", _count(F.col("_number").isNotNull(), _running(document, "_behind", "section"))).where("item > 0")
+    cut_ = _with_answers(_with_parts(cut_, ~F.col("_behind")), F.col("_behind"))
+    per = cut_.groupBy(document, "_behind", "section", "item").agg(
+        F.min_by("_number", "ordinal").alias("number"), F.min("question_type").alias("question_type"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"),
+        _ordered(~F.col("_behind"), *(F.col(c) for c in ("_stem_spans", "_options"))).alias("_p"), _ordered(F.col("_stem") != "", F.col("_stem")).alias("_s"),
+        F.min_by("_problem", F.when(F.col("_problem").isNotNull(), F.col("ordinal"))).alias("_problem"), *(_ordered(F.col(k).isNotNull(), F.col(k)).alias(k) for k in ("_answer", "_analysis")),
+    )
+    # The last entry of a number, next to its questions.
+    same = Window.partitionBy(document, "number")
+    given = F.max_by(F.when(F.col("_behind"), F.struct("_answer", "_analysis")), F.when(F.col("_behind"), F.col("item"))).over(same)
+    per = per.withColumn("_e", given).where("NOT _behind").withColumns({"stem": F.array_join("_s._stem", "\n"), "stem_spans": F.flatten("_p._stem_spans"), "options": F.flatten("_p._options")})
+    labels = F.col("options.label")
+    problem = F.coalesce("_problem", F.when(F.size("_s") == 0, "question_stem_missing"), F.when(F.size(F.array_distinct(labels)) < F.size(labels), "duplicate_option_label"))
+    told = [F.col(f"_e._{k}._{k}.{field}").alias(name) for k in ("answer", "analysis") for field, name in (("text", k), ("span", f"{k}_spans"))]
+    return per.select(document, "section", "item", "number", "question_type", "stem", "stem_spans", "options", *told, "first", "last", problem.alias("problem"))
+
+
+def _with_answers(blocks: DataFrame, behind: Column) -> DataFrame:
+    """blocks with _answer and _analysis (text and span) of those behind the questions: the marked texts, from their marks on."""
     raw = F.coalesce(F.col("raw_text"), F.lit(""))
-    behind = cut_.where((F.col("ordinal") > F.col("_at")) | ((F.col("ordinal") == F.col("_at")) & ~F.contains(raw, F.lit(HEADING))))
-    behind = behind.withColumn("_entry", _count(F.col("_number").isNotNull(), _running(document))).where("_entry > 0")
     a, b, whole = F.locate(ANSWER, raw) - 1, F.locate(ANALYSIS, raw) - 1, F.length(raw)
     stop = F.when(b > a + len(ANSWER), b).otherwise(whole)
-    span = lambda start, end: F.struct(F.col("ordinal").alias("block"), start.cast("int").alias("start"), end.cast("int").alias("end"), cut(raw, start, end).alias("text"))
+    span = lambda start, end: F.struct(cut(raw, start, end).alias("text"), F.struct(F.col("ordinal").alias("block"), start.cast("int").alias("start"), end.cast("int").alias("end")).alias("span"))
     filled = lambda start, end: shown(cut(raw, start, end)) != ""
-    answer = F.when((a >= 0) & filled(a + len(ANSWER), stop), span(a, stop))
-    analysis = F.when(b >= 0, F.when(filled(b + len(ANALYSIS), whole), span(b, whole))).when(F.col("_number").isNull() & (shown(raw) != ""), span(F.lit(0), whole))
-    entries = behind.groupBy(document, "_entry").agg(F.min_by("_number", "ordinal").alias("number"), _ordered(answer.alias("a"), analysis.alias("b")).alias("_x"))
-    of = lambda k: F.filter(F.transform("_x", lambda x: x[k]), lambda x: x.isNotNull())
-    last = entries.groupBy(document, "number").agg(F.max_by(F.struct(of("a").alias("a"), of("b").alias("b")), "_entry").alias("_e"))
-    texts = lambda k: F.transform(F.col("_e")[k], lambda x: x["text"])
-    places = lambda k: F.transform(F.col("_e")[k], lambda x: F.struct(x["block"].alias("block"), x["start"].alias("start"), x["end"].alias("end")))
-    return last.select(document, "number", texts("a").alias("answer"), places("a").alias("answer_spans"), texts("b").alias("analysis"), places("b").alias("analysis_spans"))
+    answer = F.when(behind & (a >= 0) & filled(a + len(ANSWER), stop), span(a, stop))
+    analysis = F.when(behind & (b >= 0), F.when(filled(b + len(ANALYSIS), whole), span(b, whole))).when(behind & F.col("_number").isNull() & (shown(raw) != ""), span(F.lit(0), whole))
+    return blocks.withColumns({"_answer": answer, "_analysis": analysis})
 
 
 def segment_notes(blocks: DataFrame, document: str) -> DataFrame:
@@ -118,26 +109,26 @@ def segment_notes(blocks: DataFrame, document: str) -> DataFrame:
     Notes begin at the learning goals or a point, before the typical examples (or the first type); examples stand under a type, and what
     follows the first mark of hints, answers or summaries in one is internal. Items without a text for students go.
     """
-    text = shown(F.col("raw_text"))
+    raw = F.coalesce("raw_text", F.lit(""))
     whole = Window.partitionBy(document)
-    runs = _spans(F.col("ordinal"), shown_runs(F.coalesce("raw_text", F.lit("")), F.lit(0), F.length(F.coalesce("raw_text", F.lit("")))))
-    cut = blocks.select(document, "ordinal", text.alias("_t"), runs.alias("_runs")).withColumn("_is_type", F.col("_t").rlike(TYPE))
-    cut = cut.withColumns({"_typical": F.min(F.when(F.contains("_t", F.lit(TYPICAL)), F.col("ordinal"))).over(whole), "_types": F.min(F.when(F.col("_is_type"), F.col("ordinal"))).over(whole)})
-    notes = cut.where(F.coalesce(F.col("ordinal") < F.coalesce("_typical", "_types"), F.lit(True)))
-    notes = notes.withColumn("_item", _count((F.col("_t") == GOAL) | F.col("_t").rlike(POINT), _running(document))).where("_item > 0")
-    notes = notes.select(document, F.lit(0).cast("long").alias("_group"), "_item", "ordinal", "_t", "_runs", F.lit(None).cast("string").alias("_name"), F.lit(False).alias("_inner"))
-    typed = cut.where("ordinal >= _types").withColumn("_group", _count(F.col("_is_type"), _running(document))).withColumn("_name", F.last(F.when(F.col("_is_type"), F.col("_t")), ignorenulls=True).over(_running(document)))
+    cut_ = blocks.select(document, "ordinal", shown(raw).alias("_t"), shown_runs(raw, block=F.col("ordinal")).alias("_runs")).withColumn("_is_type", F.col("_t").rlike(TYPE))
+    cut_ = cut_.withColumns({"_typical": F.min(F.when(F.contains("_t", F.lit(TYPICAL)), F.col("ordinal"))).over(whole), "_types": F.min(F.when(F.col("_is_type"), F.col("ordinal"))).over(whole)})
+    # A block may be both a note's and an example's: then it is there twice.
+    note, typed = F.coalesce(F.col("ordinal") < F.coalesce("_typical", "_types"), F.lit(True)), F.coalesce(F.col("ordinal") >= F.col("_types"), F.lit(False))
+    sides = F.when(note & typed, F.array(F.lit(False), F.lit(True))).when(note, F.array(F.lit(False))).when(typed, F.array(F.lit(True)))
+    each = cut_.select(document, "ordinal", "_t", "_runs", "_is_type", F.explode(sides).alias("_typed"))
+    begins = F.col("_typed") & F.col("_is_type")
+    each = each.withColumns({"_group": _count(begins, _running(document, "_typed")), "_name": F.last(F.when(begins, F.col("_t")), ignorenulls=True).over(_running(document, "_typed"))})
     variant = F.startswith("_t", F.lit(VARIANT))
-    starts = ~F.col("_is_type") & (F.col("_t").rlike(EXAMPLE) | variant)
-    typed = typed.withColumn("_item", _count(starts, _running(document, "_group"))).where("_item > 0")
+    starts = F.when(F.col("_typed"), ~F.col("_is_type") & (F.col("_t").rlike(EXAMPLE) | variant)).otherwise((F.col("_t") == GOAL) | F.col("_t").rlike(POINT))
+    each = each.withColumn("_item", _count(starts, _running(document, "_typed", "_group"))).where("_item > 0")
     mark = F.lit(False)
     for m in INTERNAL:
         mark = mark | F.startswith("_t", F.lit(m))
-    typed = typed.withColumn("_inner", _count(mark, _running(document, "_group", "_item")) > 0)
-    every = notes.unionByName(typed.select(*notes.columns))
-    said = lambda inner: F.array_join(F.transform(F.filter("_x", lambda x: (x["inner"] == inner) & (x["t"] != "")), lambda x: x["t"]), "\n")
-    spans = lambda inner: F.flatten(F.transform(F.filter("_x", lambda x: x["inner"] == inner), lambda x: x["r"]))
-    out = every.groupBy(document, "_group", "_item").agg(F.min_by("_t", "ordinal").alias("_t"), F.min("_name").alias("_name"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), _ordered(F.col("_inner").alias("inner"), F.col("_t").alias("t"), F.col("_runs").alias("r")).alias("_x"))
-    title = F.when(F.col("_group") == 0, F.col("_t")).otherwise(F.concat("_name", F.when(variant, " / variant").otherwise("")))
-    kind = F.when(F.col("_group") == 0, "knowledge_note").otherwise("worked_example")
-    return out.withColumns({"student_text": said(F.lit(False)), "internal_text": said(F.lit(True)), "student_spans": spans(F.lit(False)), "internal_spans": spans(F.lit(True))}).where("student_text <> ''").select(document, kind.alias("item_kind"), title.alias("title"), "student_text", "student_spans", "internal_text", "internal_spans", "first", "last")
+    each = each.withColumn("_inner", _count(F.col("_typed") & mark, _running(document, "_typed", "_group", "_item")) > 0)
+    shown_, hidden = ~F.col("_inner") & (F.col("_t") != ""), F.col("_inner") & (F.col("_t") != "")
+    out = each.groupBy(document, "_typed", "_group", "_item").agg(F.min_by("_t", "ordinal").alias("_t"), F.min("_name").alias("_name"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), *(_ordered(c, F.col("_t"), F.col("_runs")).alias(n) for n, c in (("_s", shown_), ("_h", hidden))))
+    title = F.when(~F.col("_typed"), F.col("_t")).otherwise(F.concat("_name", F.when(variant, " / variant").otherwise("")))
+    kind = F.when(~F.col("_typed"), "knowledge_note").otherwise("worked_example")
+    said = {f"{n}_text": F.array_join(f"{c}._t", "\n") for n, c in (("student", "_s"), ("internal", "_h"))} | {f"{n}_spans": F.flatten(f"{c}._runs") for n, c in (("student", "_s"), ("internal", "_h"))}
+    return out.withColumns(said).where("student_text <> ''").select(document, kind.alias("item_kind"), title.alias("title"), "student_text", "student_spans", "internal_text", "internal_spans", "first", "last")

@@ -100,3 +100,14 @@ def test_batches_of_long_texts_are_bounded(spark):
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
     spark.conf.unset(size)
     assert catalogue.nfkc_normalise(spark, "/root/testdata/sf0.001").count() and 0 < int(spark.conf.get(size)) <= 16 << 20
+
+
+def test_blocks_of_papers_and_notes_are_shuffled_once(spark):
+    from attestra.operators import questions
+
+    paper = ["一、选择题", "1. 甲 A. 乙 B. 丙", "\x01 A. 图 \x01", "2. 丁", "【答案与解析】", "1. 【答案】 A", "2. 【答案】 B 【解析】 戊"]
+    notes = ["【学习目标】", "甲", "【典型例题】", "类型一、乙", "1. 丙", "【思路点拨】丁"]
+    for segment, texts, want in ((questions.segment_questions, paper, 2), (questions.segment_notes, notes, 2)):
+        rows = [(d, i, t) for d in range(100) for i, t in enumerate(texts)]
+        got, records = shuffled(spark, segment(spark.createDataFrame(rows, "d int, ordinal int, raw_text string").repartition(3), "d"))
+        assert len(got) == want * 100 and records <= 2 * len(rows)  # one of the two is repartition's
