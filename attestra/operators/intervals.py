@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tables import written
+
 _LEVELS = "array<int>"
 
 
@@ -93,6 +95,35 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], start:
 _CHUNK = 20
 
 
+def overlaps_among(ranges: DataFrame, keys: Sequence[str], id_col: str, start: str = "start", end: str = "end", prefix: str = "other_") -> DataFrame:
+    """Each pair of ranges of one table with equal keys and different ids that overlap, as `overlap_pairs` has it, once: the one that begins first, then (with `prefix`)
+    the other's columns but for the keys; of two that begin at one place the smaller id comes first.
+
+    Ranges are shuffled once and swept in order; only those that meet another go on to bins, and only as what they meet it as.
+    """
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    held = ranges.where(known & (F.col(start) <= F.col(end))).withColumn("_chunk", F.shiftright(F.col(start).cast("long"), _CHUNK))
+    # What reaches into a chunk from those before it; in a chunk, ranges that only may meet another pass.
+    chunks = held.groupBy(*keys, "_chunk").agg(F.max(F.col(end)).alias("_to"))
+    before = F.max("_to").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    first = F.shiftleft("_chunk", _CHUNK)
+    carried = chunks.withColumn("_to", before).where(F.col("_to") > first).select(*keys, (first - 1).cast(held.schema[start].dataType).alias(start), F.col("_to").alias(end), "_chunk")
+    swept = held.withColumn("_real", F.lit(True)).unionByName(carried, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(start)
+    a, z, next_ = F.col(start), F.col(end), F.lead(start).over(w)
+    inside = F.coalesce(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)) > a, F.lit(False))
+    holds = (a < z) & (F.coalesce(next_, F.shiftleft(F.col("_chunk") + 1, _CHUNK)) < z)
+    same = (a < z) & F.coalesce((next_ == a) | (F.lag(start).over(w) == a), F.lit(False))
+    met = swept.select(*ranges.columns, "_real", inside.alias("_inside"), holds.alias("_holds"), same.alias("_same")).where("_real AND (_inside OR _holds OR _same)")
+    met = written(met.drop("_real"), "met")
+    more = [c for c in ranges.columns if c not in keys]
+    renamed = lambda df, *own: df.select(*keys, *own, *(F.col(c).alias(prefix + c) for c in more))
+    columns = [*ranges.columns, *(prefix + c for c in more)]
+    later = places_in_ranges(renamed(met.where("_inside")), met.where("_holds").withColumn("_inner", F.col(start).cast("long") + 1), keys, prefix + start, "_inner", end)
+    together = met.where("_same").join(renamed(met.where("_same"), start), [*keys, start])
+    return later.where(F.col(id_col) != F.col(prefix + id_col)).select(columns).unionByName(together.where(F.col(id_col) < F.col(prefix + id_col)).select(columns))
+
+
 def not_overlapping(spans: DataFrame, others: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
     """The rows of spans that overlap no range of others, as `overlap_pairs` has it; no pair and no bin is listed.
 

@@ -111,3 +111,17 @@ def test_blocks_of_papers_and_notes_are_shuffled_once(spark):
         rows = [(d, i, t) for d in range(100) for i, t in enumerate(texts)]
         got, records = shuffled(spark, segment(spark.createDataFrame(rows, "d int, ordinal int, raw_text string").repartition(3), "d"))
         assert len(got) == want * 100 and records <= 2 * len(rows)  # one of the two is repartition's
+
+
+def test_pairs_among_ranges_are_those_of_brute_force_and_few_ranges_are_shuffled(spark):
+    rng = random.Random(9)
+    size = lambda: rng.choice([-5, 0, 0, 1, 60, 900, 3 << 20])
+    rows = [(i, rng.choice(["a", "b", None]), a, a + size()) for i in range(300) for a in [rng.choice([rng.randrange(200), rng.randrange(64 << 20), (1 << 20) - 1, 5 << 20])]] + [(900, "a", None, 5), (901, "a", 5, None), (299, "a", 7, 9)]
+    frame = lambda rows: spark.createDataFrame(rows, "id int, k string, start long, end long")
+    held = [r for r in rows if None not in r and r[2] <= r[3]]
+    want = sorted((x[0], y[0]) for x in held for y in held if x[1] == y[1] and x[0] != y[0] and (x[2], x[0]) < (y[2], y[0]) and x[2] < y[3] and y[2] < x[3])
+    got = intervals.overlaps_among(frame(rows), ["k"], "id").collect()
+    assert sorted((r["id"], r["other_id"]) for r in got) == want and len(want) > 500
+    apart = [(i, "a", 100 * i, 100 * i + 40) for i in range(1000)] + [(5000, "a", 30, 35)]
+    got, records = shuffled(spark, intervals.overlaps_among(frame(apart), ["k"], "id").select("id", "other_id"))
+    assert [tuple(r) for r in got] == [(0, 5000)] and records < 2 * len(apart)
