@@ -117,14 +117,15 @@ def source_derivations(derivations: DataFrame, runs: DataFrame, documents: DataF
 
 def role_evidence(evidence: DataFrame, runs: DataFrame, questions: DataFrame, snapshots: DataFrame, mappings: DataFrame, documents: DataFrame, fragments: DataFrame) -> DataFrame:
     """Roles of approved questions with live snapshots and approved mappings, whose marker is in the cited fragment of the parsed document."""
+    # What is asked of one question, and of one document, is put together first, so that evidence meets each side once.
     out = backed(evidence, runs, {"import_run_id": "id"}, F.col("status") == "validated_evidence")
-    out = backed(out, questions, {"question_id": "id"}, (F.col("quality_status") == "approved") & (F.col("review_status") == "approved"))
-    out = backed(out, snapshots, ["question_id", "input_hash"], F.col("invalidated_at").isNull())
-    out = backed(out, mappings, ["question_id", *_PLACE], F.col("fit_status") == "approved")
-    out = backed(out, documents, {"source_document_id": "id", "source_document_hash": "file_hash"}, F.col("parse_status") == "parsed")
-    cited = fragments.select(F.col("id").alias("_f"), F.col("source_document_id").alias("_d"), F.col("raw_hash").alias("_h"), F.col("raw_text").alias("_t"))
-    on = (F.col("source_fragment_id") == F.col("_f")) & (F.col("source_document_id") == F.col("_d")) & (F.col("source_hash") == F.col("_h")) & F.contains("_t", F.col("role_marker"))
-    return out.join(cited, on, "left_semi")
+    parsed = documents.where("parse_status = 'parsed'").select(F.col("id").alias("_d"), F.col("file_hash").alias("_dh"))
+    cited = fragments.select(F.col("id").alias("_f"), F.col("source_document_id").alias("_d"), F.col("raw_hash").alias("_h"), F.col("raw_text").alias("_t")).join(parsed, "_d")
+    on = (F.col("source_fragment_id") == F.col("_f")) & (F.col("source_document_id") == F.col("_d")) & (F.col("source_hash") == F.col("_h")) & (F.col("source_document_hash") == F.col("_dh")) & F.contains("_t", F.col("role_marker"))
+    out = out.join(cited, on, "left_semi")
+    live = backed(snapshots.where("invalidated_at IS NULL"), questions, {"question_id": "id"}, (F.col("quality_status") == "approved") & (F.col("review_status") == "approved"))
+    out = backed(out, live, ["question_id", "input_hash"])
+    return backed(out, mappings, ["question_id", *_PLACE], F.col("fit_status") == "approved")
 
 
 def auxiliary_evidence(evidence: DataFrame, runs: DataFrame, sources: DataFrame) -> DataFrame:

@@ -125,3 +125,25 @@ def test_pairs_among_ranges_are_those_of_brute_force_and_few_ranges_are_shuffled
     apart = [(i, "a", 100 * i, 100 * i + 40) for i in range(1000)] + [(5000, "a", 30, 35)]
     got, records = shuffled(spark, intervals.overlaps_among(frame(apart), ["k"], "id").select("id", "other_id"))
     assert [tuple(r) for r in got] == [(0, 5000)] and records < 2 * len(apart)
+
+
+def test_role_evidence_meets_each_side_once(spark):
+    from attestra.operators import evidence
+
+    n = 400
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    roles = frame([(i, 1, i % 20, "s" if i % 3 else "t", 7, i % 4, i % 30, f"d{i % 30}", i % 30, "h", "A") for i in range(n)], "id int, import_run_id int, question_id int, input_hash string, textbook_id int, curriculum_node_id int, source_document_id int, source_document_hash string, source_fragment_id int, source_hash string, role_marker string")
+    asked = frame([(q, "approved" if q % 5 else "blocked", "approved") for q in range(20)], "id int, quality_status string, review_status string")
+    inputs = frame([(q, "s", None if q % 7 else "now") for q in range(20)], "question_id int, input_hash string, invalidated_at string")
+    fits = frame([(q, 7, n_, "approved" if q % 3 else "pending") for q in range(20) for n_ in range(3)], "question_id int, textbook_id int, curriculum_node_id int, fit_status string")
+    files = frame([(d, f"d{d if d % 6 else 0}", "parsed" if d % 11 else "failed") for d in range(30)], "id int, file_hash string, parse_status string")
+    fragments = frame([(d, d, "h", "xAx" if d % 4 else "x") for d in range(30)], "id int, source_document_id int, raw_hash string, raw_text string")
+    size = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(size, "-1")
+    try:
+        got, records = shuffled(spark, evidence.role_evidence(roles, frame([(1, "validated_evidence")], "id int, status string"), asked, inputs, fits, files, fragments).select("id"))
+    finally:
+        spark.conf.unset(size)
+    want = [i for i in range(n) if i % 3 and i % 20 % 5 and i % 20 % 7 and i % 20 % 3 and i % 4 < 3 and i % 30 % 6 and i % 30 % 11 and i % 30 % 4]
+    assert sorted(r["id"] for r in got) == want and want
+    assert records < 3.5 * n  # runs and documents meet all of it, questions and mappings what is left
