@@ -126,7 +126,8 @@ def _stands(name: str, but: bool) -> str:
 
 def _ledger_changes(spark, sf_dir):
     """(what stood, what the batch changes)"""
-    whole = dict(zip(_LEDGERS, made(spark, sf_dir, *_LEDGERS), strict=True))
+    # Every step reads the ledgers: they are stored, not grouped anew for each.
+    whole = {n: written(t, n) for n, t in zip(_LEDGERS, made(spark, sf_dir, *_LEDGERS), strict=True)}
     before, batch = {n: t.where(f"NOT ({_CAME[n]})") for n, t in whole.items()}, {n: t.where(_CAME[n]) for n, t in whole.items()}
     state = written(deltas.standing(_LINES_VIEW, before), "state")
     return state, deltas.changes(_LINES_VIEW, state, before, batch)

@@ -147,3 +147,10 @@ def test_role_evidence_meets_each_side_once(spark):
     want = [i for i in range(n) if i % 3 and i % 20 % 5 and i % 20 % 7 and i % 20 % 3 and i % 4 < 3 and i % 30 % 6 and i % 30 % 11 and i % 30 % 4]
     assert sorted(r["id"] for r in got) == want and want
     assert records < 3.5 * n  # runs and documents meet all of it, questions and mappings what is left
+
+
+def test_ledgers_are_stored_before_their_steps(spark):
+    from attestra.plans import stores
+
+    _, changed = stores._ledger_changes(spark, "/root/testdata/sf0.001")
+    assert not any(f.endswith("lineitem.parquet") for f in changed.inputFiles())
