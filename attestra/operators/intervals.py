@@ -124,6 +124,36 @@ def overlaps_among(ranges: DataFrame, keys: Sequence[str], id_col: str, start: s
     return later.where(F.col(id_col) != F.col(prefix + id_col)).select(columns).unionByName(together.where(F.col(id_col) < F.col(prefix + id_col)).select(columns))
 
 
+def places_swept(places: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, first: str, end: str) -> DataFrame:
+    """What `places_in_ranges` returns, for ranges few of which overlap (keys and columns apart, their names must differ from those of places).
+
+    Places and ranges are shuffled once, and swept in order chunk by chunk: of the ranges that begin at or before a place, the last one alone can hold it if all others
+    end before. Only places that an earlier range holds too, and ranges longer than a chunk, go on to bins. A range that reaches into the next chunk is in both.
+    """
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    more = [c for c in ranges.columns if c not in keys]
+    columns = [*places.columns, *more]
+    held, asked = ranges.where(known & (F.col(first) < F.col(end))), places.where(known & F.col(at).isNotNull())
+    long_ = F.col(end).cast("long") - F.col(first).cast("long") > 1 << _CHUNK
+    chunk = lambda c: F.shiftright(c.cast("long"), _CHUNK)
+    one = held.where(~long_).withColumn("_chunk", F.explode(F.array_distinct(F.array(chunk(F.col(first)), chunk(F.col(end) - 1)))))
+    one = one.select(*keys, "_chunk", F.col(first).cast("long").alias("_at"), F.lit(0).alias("_kind"), F.col(end).cast("long").alias("_to"), F.struct(*more).alias("_range"))
+    rows = asked.select(*keys, chunk(F.col(at)).alias("_chunk"), F.col(at).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.struct(*places.columns).alias("_row"))
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_at", "_kind")
+    swept = one.unionByName(rows, allowMissingColumns=True).withColumn("_before", F.max("_to").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    range_ = F.when(F.col("_kind") == 0, F.struct("_to", "_before", "_range"))
+    swept = swept.withColumn("_last", F.last(range_, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    several = F.coalesce(F.col("_last._before") > F.col("_at"), F.lit(False))
+    met = swept.where((F.col("_kind") == 1) & (several | (F.col("_last._to") > F.col("_at"))))
+    met = written(met.select(several.alias("_several"), "_row", F.when(~several, F.col("_last._range")).alias("_range")), "swept")
+    out = met.where("NOT _several").select("_row.*", "_range.*").select(columns)
+    if not met.where("_several").isEmpty():
+        out = out.unionByName(places_in_ranges(met.where("_several").select("_row.*"), held.where(~long_), keys, at, first, end).select(columns))
+    if not held.where(long_).isEmpty():
+        out = out.unionByName(places_in_ranges(asked, held.where(long_), keys, at, first, end).select(columns))
+    return out
+
+
 def not_overlapping(spans: DataFrame, others: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
     """The rows of spans that overlap no range of others, as `overlap_pairs` has it; no pair and no bin is listed.
 

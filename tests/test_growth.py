@@ -154,3 +154,53 @@ def test_ledgers_are_stored_before_their_steps(spark):
 
     _, changed = stores._ledger_changes(spark, "/root/testdata/sf0.001")
     assert not any(f.endswith("lineitem.parquet") for f in changed.inputFiles())
+
+
+def test_places_are_swept_into_ranges(spark):
+    """As brute force has it, whether ranges overlap, are long, empty or reach over chunks; places and ranges apart are shuffled once."""
+    rng = random.Random(7)
+    size = lambda: rng.choice([-5, 0, 1, 60, 60, 900, 1 << 20, 3 << 20])
+    ranges = [(i, rng.choice(["a", "b", None]), a, a + size()) for i in range(200) for a in [rng.choice([rng.randrange(2000), rng.randrange(8 << 20), (1 << 20) - 1, -(1 << 20)])]] + [(900, "a", None, 5), (901, "a", 5, None)]
+    places = [(i, rng.choice(["a", "b", None]), rng.choice([rng.randrange(2000), rng.randrange(8 << 20), 1 << 20, 0, None])) for i in range(200)] + [(500 + i, "a", z + d) for i, (_, _, _, z) in enumerate(ranges) if z is not None for d in (-1, 0)]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    swept = lambda p, r: intervals.places_swept(frame(p, "place int, k string, at long"), frame(r, "id int, k string, a long, z long"), ["k"], "at", "a", "z")
+    want = sorted((p[0], p[2], r[0]) for p in places for r in ranges if None not in (*p, *r) and p[1] == r[1] and r[2] <= p[2] < r[3])
+    assert sorted((x["place"], x["at"], x["id"]) for x in swept(places, ranges).collect()) == want and len(want) > 1000
+    before = [(i, "a", 100 * i + 7) for i in range(1000)]
+    got, records = shuffled(spark, swept(before, [(i, "a", 100 * i, 100 * i + 40) for i in range(1000)]))
+    assert sorted((x["place"], x["id"]) for x in got) == [(i, i) for i in range(1000)] and records == 0  # written already, no bins
+
+
+def test_options_meet_assets_with_few_records(spark):
+    """Options and blocks are shuffled a few times in all, and nothing is listed by bins; options outside of their block are bound too."""
+    from attestra.operators import bindings
+
+    n = 300
+    options = [(q % 7, q, i, "ABCD"[i], f"b{q}", 30 * i + (500 if q % 10 == 9 else 0), 30 * i + 20 + (500 if q % 10 == 9 else 0), q % 10 != 8 or i > 0) for q in range(n) for i in range(4)]
+    blocks = [(q % 7, f"b{q}", 1000 * q, 1000 * q + 120) for q in range(n)]
+    assets = [(d, f"{q}-{i}", i, 1000 * q + s + (500 if q % 10 == 9 else 0), 1000 * q + s + 5 + (500 if q % 10 == 9 else 0)) for d, q, i, *_ in options for s in [30 * i + (7 if q % 3 else 18)]]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    size, before = "spark.sql.autoBroadcastJoinThreshold", _written_records(spark)
+    spark.conf.set(size, "-1")
+    try:
+        out = bindings.bind_assets(frame(options, "document int, question int, position int, label string, block string, start int, end int, asset_only boolean"), frame(blocks, "document int, block string, range_start long, range_end long"), frame(assets, "document int, asset string, ordinal int, range_start long, range_end long"))
+        got = {(r["question"], r["position"]): (r["asset"], r["mode"], r["reason"]) for r in out.collect()}
+    finally:
+        spark.conf.unset(size)
+    records = _written_records(spark) - before
+
+    def bound(q, i):
+        if q % 10 == 8:
+            return None, None, bindings.AMBIGUOUS
+        if q % 3:
+            return f"{q}-{i}", bindings.EXACT, None
+        return (None, None, bindings.BAD_COUNT) if q % 10 == 9 else (f"{q}-{i}", bindings.ORDER, None)
+
+    assert got == {(q, i): bound(q, i) for q in range(n) for i in range(4)}
+    assert records < 4 * len(options)
+
+
+def _written_records(spark):
+    sc, jvm = spark.sparkContext, spark._jvm
+    found = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
