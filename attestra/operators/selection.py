@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tables import spread
+
 
 def not_delivered(items: DataFrame, usage: DataFrame, authorised: DataFrame, item: str, audience: str) -> DataFrame:
     """items (with item and audience) without those delivered to the audience, unless an active authorisation allows them again."""
@@ -46,8 +48,14 @@ def matching(df: DataFrame, conditions: Sequence[Column | None]) -> DataFrame:
 
 def usage_completeness(documents: DataFrame, bound: DataFrame, used: DataFrame, document: str, item: str) -> DataFrame:
     """document, n_missing, n_extra, n_duplicate, complete: one usage row for each bound item, no other."""
-    per = used.groupBy(document, item).agg(F.count(F.lit(1)).alias("_n"))
-    both = bound.select(document, item).distinct().withColumn("_b", F.lit(True)).join(per, [document, item], "full")
-    out = both.groupBy(document).agg(F.count_if(F.col("_n").isNull()).alias("n_missing"), F.count_if(F.col("_b").isNull()).alias("n_extra"), F.count_if(F.col("_n") > 1).alias("n_duplicate"))
-    out = documents.select(document).distinct().join(out, document, "left").na.fill(0, ["n_missing", "n_extra", "n_duplicate"])
+    # Documents, bound and used items pass one shuffle together; null items match nothing.
+    marked = lambda df, kind, i: df.select(F.col(document), i.alias(item), F.lit(kind).alias("_kind"))
+    none = F.lit(None).cast(bound.schema[item].dataType)
+    rows = marked(documents, 0, none)
+    for kind, df in ((1, bound), (2, used)):
+        rows = rows.unionByName(marked(df.where(F.col(document).isNotNull()), kind, F.col(item)))
+    kinds = [F.count_if(F.col("_kind") == k).alias(c) for k, c in enumerate(("_d", "_b", "_n"))]
+    per = spread(rows, document).groupBy(document, item).agg(*kinds)
+    lone = lambda mine, other: F.count_if((F.col(mine) > 0) & (F.col(item).isNull() | (F.col(other) == 0)))
+    out = per.groupBy(document).agg(F.max("_d").alias("_d"), lone("_b", "_n").alias("n_missing"), lone("_n", "_b").alias("n_extra"), F.count_if(F.col("_n") > 1).alias("n_duplicate")).where("_d > 0").drop("_d")
     return out.withColumn("complete", (F.col("n_missing") + F.col("n_extra") + F.col("n_duplicate")) == 0)

@@ -32,6 +32,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that one task is given by `spread`, about.
+ROWS = 1 << 19
+
+
+def spread(df: DataFrame, *keys: Column | str, rows: int | None = None) -> DataFrame:
+    """df shuffled by keys into as many partitions as its rows ask for, so that what a task holds of them does not grow with the table. rows: how many
+    there are, counted if not given."""
+    return df.repartition((df.count() if rows is None else rows) // ROWS + 1, *keys)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches sent to Python by bytes and by fewer rows, so that long texts cannot add up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

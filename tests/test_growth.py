@@ -204,3 +204,64 @@ def _written_records(spark):
     sc, jvm = spark.sparkContext, spark._jvm
     found = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
     return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+
+def _most_read(spark, df):
+    """The rows of df, and the most shuffled records that one of its tasks read."""
+    sc, jvm = spark.sparkContext, spark._jvm
+    store = sc._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {found.apply(i).stageId() for i in range(found.size())}
+
+    size, before = "spark.sql.autoBroadcastJoinThreshold", stages()
+    spark.conf.set(size, "-1")
+    try:
+        got = df().collect()
+    finally:
+        spark.conf.unset(size)
+    tasks = [store.taskList(s, 0, 10_000) for s in stages() - before]
+    metrics = [t.apply(i).taskMetrics() for t in tasks for i in range(t.size())]
+    return got, max(m.get().shuffleReadMetrics().recordsRead() for m in metrics if m.isDefined())
+
+
+def test_completeness_is_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    from attestra.operators import selection, tables
+
+    monkeypatch.setattr(tables, "ROWS", 200)
+    n = 2000
+    frame = lambda rows: spark.createDataFrame(rows, "doc int, item int")
+    bound = [(d, i) for d in range(n) for i in (1, 2) if d % 5] + [(7, None), (7, None), (None, 1), (n + 5, 1), (8, 1)]
+    used = [(d, i) for d in range(n) for i in (1, 2, 2, 3)[d % 3 :] if d % 7] + [(9, None), (9, None), (None, 1), (n + 6, 1)]
+    docs = frame([(d, 0) for d in range(n)] + [(3, 0), (None, 0)]).select("doc")
+
+    def want(d):
+        b, u = {i for x, i in bound if x == d}, [i for x, i in used if x == d]
+        if d is None:
+            return 0, 0, 0, True
+        missing, extra = sum(i is None or i not in u for i in b), sum(i is None or i not in b for i in set(u))
+        several = sum(u.count(i) > 1 for i in set(u))
+        return missing, extra, several, missing + extra + several == 0
+
+    got, most = _most_read(spark, lambda: selection.usage_completeness(docs, frame(bound), frame(used), "doc", "item"))
+    assert {r["doc"]: tuple(r)[1:] for r in got} == {d: want(d) for d in [*range(n), None]} and len(got) == n + 1
+    assert most < 3 * 200
+
+
+def test_violations_are_found_in_tasks_of_bounded_size(spark, monkeypatch):
+    from attestra.operators import integrity, tables
+
+    monkeypatch.setattr(tables, "ROWS", 200)
+    rows = [(i, i % 3, i * 2 % 4001) for i in range(4000)] + [(5, 2, None), (None, 1, 3), (None, 1, 4)]
+    df, parents = spark.createDataFrame(rows, "a int, b int, p int"), spark.createDataFrame([(i,) for i in range(0, 4001, 3)] + [(0,), (None,)], "q int")
+    told, most = lambda got: sorted(r["key"] for r in got), []
+    for f, want in (
+        (lambda: integrity.duplicate_keys(df, ["a", "b"], "r"), ["1", "5|2"]),
+        (lambda: integrity.orphans(df, "p", parents, "q", ["a", "b"], "r"), sorted("|".join(str(x) for x in r[:2] if x is not None) for r in rows if r[2] is not None and r[2] % 3)),
+        (lambda: integrity.several_active(df, "a", F.col("b") < 2, "r"), [""]),
+    ):
+        got, n = _most_read(spark, f)
+        assert told(got) == want
+        most.append(n)
+    assert max(most) < 5 * 200  # a join's task reads from both sides
