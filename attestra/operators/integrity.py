@@ -8,18 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tables import spread
+
 
 def _rows(df: DataFrame, rule: str, keys: Sequence[str]) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), F.concat_ws("|", *(F.col(k).cast("string") for k in keys)).alias("key"))
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
-    return _rows(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), rule, keys)
+    return _rows(spread(df.select(*keys), *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), rule, keys)
 
 
 def orphans(df: DataFrame, column: str, parents: DataFrame, parent: str, keys: Sequence[str], rule: str) -> DataFrame:
-    known = parents.select(F.col(parent).alias("_p")).distinct()
-    return _rows(df.where(F.col(column).isNotNull()).join(known, F.col(column) == F.col("_p"), "left_anti"), rule, keys)
+    own, known = df.where(F.col(column).isNotNull()).select(column, *(k for k in keys if k != column)), parents.select(F.col(parent).alias("_p"))
+    rows = own.count() + known.count()
+    return _rows(spread(own, column, rows=rows).join(spread(known, "_p", rows=rows), F.col(column) == F.col("_p"), "left_anti"), rule, keys)
 
 
 def failed_checks(df: DataFrame, checks: Mapping[str, Column], keys: Sequence[str]) -> DataFrame:
@@ -45,4 +48,4 @@ def illegal_transitions(log: DataFrame, key: str, order: str, state: str, allowe
 
 def several_active(df: DataFrame, key: str, active: Column, rule: str) -> DataFrame:
     """At most one active row a key."""
-    return _rows(df.where(active).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), rule, [key])
+    return _rows(spread(df.where(active).select(key), key).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), rule, [key])
