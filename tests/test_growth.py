@@ -265,3 +265,29 @@ def test_violations_are_found_in_tasks_of_bounded_size(spark, monkeypatch):
         assert told(got) == want
         most.append(n)
     assert max(most) < 5 * 200  # a join's task reads from both sides
+
+
+def test_rules_are_judged_text_by_text(spark):
+    """A row a text is shuffled, not one a pattern or rule; ids that repeat are judged together."""
+    from attestra.operators import patterns
+    from attestra.plans import content
+
+    rng = random.Random(5)
+    words = [f"w{k}x" for k in range(30)]
+    texts = [(rng.choice([None, *range(150)]), rng.choice([None, " ".join(rng.sample(words, rng.randrange(20)))])) for _ in range(400)]
+    rules = [(rng.choice(["r1", "r2", "r3", "r4"]), rng.choice([0, 1, 2]), rng.randrange(32)) for _ in range(40)] + [("n", None, 1), ("n", 0, 2), (None, 0, 1), ("lost", 0, 3), ("lost", 1, 99)]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    made = lambda rows, held: patterns.rules_of_texts(frame(texts, "i int, t string"), frame([*enumerate(words), (30, ""), (31, None)], "pattern_id long, pattern string"), frame(rows, "rule string, group int, pattern_id long"), "i", "t", held)
+    want = set()
+    for i in {i for i, _ in texts}:
+        held = {k for j, t in texts if j == i and t for k, w in enumerate(words) if w in t}
+        for rule in {r for r, *_ in rules if r}:
+            found = {g for r, g, k in rules if r == rule and k in held}
+            if found and len(found) == len({g for r, g, _ in rules if r == rule and g is not None}):
+                want.add((i, rule))
+    for held in (1 << 24, 0):
+        got = [tuple(r) for r in made(rules, held).collect()]
+        assert set(got) == want and len(got) == len(want) > 50
+    assert not made([], 1 << 24).collect()
+    got, records = shuffled(spark, content.signal_rules(spark, "/root/testdata/sf0.001"))
+    assert records <= spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count() < len(got)
