@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.bags import blocks, first_similar
 from ..functions.text import char_ngrams, file_base, jaccard, keyword_f1, keyword_grams, plain, strip_space
 from .patterns import hits
+from .tables import small_batches, written
 
 #: Least scores for sources of one family, compared after rounding to four places.
 FILE_SCORE, STEM_SCORE = 0.72, 0.74
@@ -56,32 +61,47 @@ def similar_pairs(texts: DataFrame, key: str, text: str, least: float) -> DataFr
     return told.select("a", "b", similarity(F.col("_ta"), F.col("_tb")).alias("score")).where(F.col("score") >= least)
 
 
+#: Texts and characters of a block; blocks of a scope's first texts that all its texts meet (those left then meet the next ones, up to
+#: four times as many, and so on); texts that a task puts in order, and texts that a task compares, about.
+TEXTS, CHARACTERS, LEADERS, PLACED, MET = 512, 1 << 20, 4, 1 << 16, 1 << 10
+
+
 def find_similar(items: DataFrame, key: str, text: str, scope: str, ratio, least: float = 0.9) -> DataFrame:
     """key, similar_to, ratio: for each item the first earlier item (by key) of its scope whose text is as similar; those without one are left out.
-
-    Equal texts are compared once. A ratio is at most twice the characters that two texts share (each as often as in both) by those of both; so
-    similar texts share one of each other's rarest characters, as many as may be lacking and one more, counting a text's first, second ... of a character as
-    different. Only pairs that meet there and whose shared characters suffice are compared."""
-    t = items.groupBy(F.col(scope).alias("_s"), F.col(text).alias("_t")).agg(F.min(key).alias("_first"))
-    chars = F.array_sort(F.filter(F.split("_t", ""), lambda c: c != ""))
-    tagged = F.transform(F.array(chars), lambda cs: F.transform(cs, lambda c, i: F.concat(c, (i - F.array_position(cs, c)).cast("string"))))
-    bags = t.withColumns({"_bag": F.element_at(tagged, 1), "_n": F.length("_t")})
-    each = bags.select("_s", "_t", "_n", F.explode("_bag").alias("_c"))
-    often = each.groupBy("_s", "_c").agg(F.count(F.lit(1)).alias("_often"))
-    place = F.row_number().over(Window.partitionBy("_s", "_t").orderBy("_often", "_c"))
-    rare = each.join(often, ["_s", "_c"]).withColumn("_p", place).where(F.col("_p") <= F.col("_n") - F.ceil(F.col("_n") * (least / (2 - least)) - 1e-9) + 1)
-    side = lambda x: rare.select("_s", "_c", F.col("_t").alias(x), F.col("_n").alias(f"{x}n"))
-    met = side("_a").join(side("_b"), ["_s", "_c"]).where((F.col("_a") <= F.col("_b")) & (2 * F.least("_an", "_bn") >= least * (F.col("_an") + F.col("_bn")))).select("_s", "_a", "_b").distinct()
-    bag = lambda x: bags.select("_s", F.col("_t").alias(x), F.col("_bag").alias(f"{x}s"), F.col("_first").alias(f"{x}f"))
-    near = met.join(bag("_a"), ["_s", "_a"]).join(bag("_b"), ["_s", "_b"]).where(2 * F.size(F.array_intersect("_as", "_bs")) >= least * (F.size("_as") + F.size("_bs")) - 1e-9)
-    # The ratio may depend on which text comes first. Texts come out of one explode, so that Spark cannot move the ratio before the joins, where all pairs that met would be compared.
-    way = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("o"), F.col(f"{y}f").alias("first"))
-    ways = F.explode(F.when(F.col("_a") == F.col("_b"), F.array(way("_a", "_b"))).otherwise(F.array(way("_a", "_b"), way("_b", "_a"))))
-    both = near.select("_s", ways.alias("_w")).select("_s", F.col("_w.a").alias("_a"), F.col("_w.o").alias("_o"), F.col("_w.first").alias("_first"))
-    good = both.withColumn("_r", F.when(F.col("_a") == F.col("_o"), F.lit(1.0)).otherwise(ratio("_a", "_o"))).where(F.col("_r") >= least).select("_s", "_a", "_first", "_r")
-    empty = t.where("_t = ''").select("_s", F.col("_t").alias("_a"), "_first", F.lit(1.0).alias("_r"))
-    found = items.select(key, F.col(scope).alias("_s"), F.col(text).alias("_a")).join(good.unionByName(empty), ["_s", "_a"]).where(F.col("_first") < F.col(key))
-    return found.groupBy(key).agg(F.min("_first").alias("similar_to"), F.min_by("_r", "_first").alias("ratio"))
+    ratio: a pandas UDF of two texts.
+
+    Equal texts are compared once, and a text with texts before its own first item until one is similar: later ones come after its own. A ratio is at most
+    twice the characters that two texts share (each as often as in both) by those of both; only pairs whose shared characters suffice are compared."""
+    spark = items.sparkSession
+    small_batches(spark)
+    t = written(items.where(F.col(scope).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(scope).alias("_s"), F.col(text).alias("_t")).agg(F.min(key).alias("_first")).where("_first IS NOT NULL"), "texts")
+    ordered = t.repartitionByRange(t.count() // PLACED + 1, "_s", "_first").sortWithinPartitions("_s", "_first")
+    placed = written(ordered.withColumn("_p", F.monotonically_increasing_id()), "places")
+    kinds = {f.name: f.dataType for f in placed.schema}
+    shape = T.StructType([T.StructField("_s", kinds["_s"]), T.StructField("_low", T.LongType()), T.StructField("_high", T.LongType()), T.StructField("_places", T.ArrayType(T.LongType())), T.StructField("_texts", T.ArrayType(T.StringType()))])
+    block = lambda df, what: written(df.select("_s", "_p", "_t").mapInPandas(blocks(TEXTS, CHARACTERS), shape), what)
+    live = all_blocks = block(placed, "blocks")
+    turns = written(all_blocks.select("_s", "_low", (F.row_number().over(Window.partitionBy("_s").orderBy("_low")) - 1).alias("_j")), "turns")
+    last, low, high, found = turns.agg(F.max("_j")).first()[0], 0, LEADERS, []
+    while last is not None and low <= last and (n := live.agg(F.sum(F.size("_places"))).first()[0]):
+        leaders = turns.where((F.col("_j") >= low) & (F.col("_j") < high)).join(all_blocks.select("_low", "_places", "_texts"), "_low")
+        meet = live.select("_s", F.col("_low").alias("_id"), "_high").join(leaders, "_s").where(F.col("_low") < F.col("_high")).select("_id", "_j", "_places", "_texts")
+        own = live.select(F.col("_low").alias("_id"), F.lit(-1).alias("_j"), "_places", "_texts")
+        dealt = own.unionByName(meet).repartition(n // MET + 1, "_id").sortWithinPartitions("_id", "_j").select("_j", "_places", "_texts")
+        told = written(dealt.mapInPandas(first_similar(ratio.func, least), "_p long, _o long, _r double"), "similar")
+        found.append(told.where("_o >= 0"))
+        after = turns.where(F.col("_j") == high).select("_s", F.col("_low").alias("_after"))
+        low, high = high, high * 4
+        if low <= last:
+            left = placed.join(told.where("_o < 0").select("_p"), "_p").join(after, "_s").where(F.col("_p") > F.col("_after"))
+            live = block(left.repartitionByRange(n // PLACED + 1, "_p").sortWithinPartitions("_p"), "blocks")
+    if not found:
+        return items.select(key, F.col(key).alias("similar_to"), F.lit(1.0).alias("ratio")).where(F.lit(False))
+    similar = functools.reduce(DataFrame.unionByName, found)
+    first = placed.select(F.col("_p").alias("_o"), F.col("_first").alias("_before"))
+    best = placed.join(similar.join(first, "_o"), "_p", "left").select("_s", F.col("_t").alias("_a"), F.coalesce("_before", "_first").alias("_first"), F.coalesce("_r", F.lit(1.0)).alias("_r"))
+    told = items.select(key, F.col(scope).alias("_s"), F.col(text).alias("_a")).join(best, ["_s", "_a"]).where(F.col("_first") < F.col(key))
+    return told.groupBy(key).agg(F.min("_first").alias("similar_to"), F.min_by("_r", "_first").alias("ratio"))
 
 
 def classify(items: DataFrame, nodes: DataFrame, item: str, stem: str, node: str, name: str, alphabet: str = "一-鿿", k: int = 3, least: float = 0.35) -> DataFrame:

@@ -39,6 +39,50 @@ def test_only_pairs_that_suffice_are_compared(spark):
     assert got == {k: j for k in range(len(texts)) if (j := first(k)) is not None} and got
 
 
+def test_texts_are_compared_with_earlier_ones_until_one_is_similar(spark, monkeypatch):
+    """As brute force has it, over several blocks and rounds; a few records a text are shuffled, and later texts are never compared."""
+    for name, value in {"TEXTS": 16, "CHARACTERS": 300, "LEADERS": 1, "PLACED": 100, "MET": 50}.items():
+        monkeypatch.setattr(similarity, name, value, raising=False)
+    rng = random.Random(3)
+    names = [f"{a} {b}" for a in ("large", "small", "old", "blue", "hot") for b in ("ring", "plate", "bolt", "gear")]
+    drawn = lambda: rng.choice(["".join(rng.choice("abcdefghij é一二😀") for _ in range(rng.randrange(25))), f"{rng.choice(names)} {rng.choice(['PROMO', 'LARGE'])} {rng.randrange(1, 51)}"])
+    rows = [(k, "s" if k % 4 else f"t{k % 3}", drawn()) for k in range(700)] + [(700 + k, "s", "") for k in range(3)] + [(k, "u", "one and only") for k in (5, 800, 801)] + [(802, "v", "same key 1"), (802, "v", "same key 2"), (803, "v", "same key 3")]
+    odd = [(900, None, "blue ring PROMO 1"), (901, "s", None), (None, "v", "same key 1"), (None, "w", "none")]
+    first = {}
+    for k, s, t in rows:
+        first[t, s] = min(k, first.get((t, s), k))
+    place = {}
+    for (t, _), k in first.items():
+        place.setdefault(t, []).append(k)
+
+    @F.pandas_udf("double")
+    def ratio(a, b):
+        for x, y in zip(a, b, strict=True):
+            if x != y and min(place[y]) > max(place[x]):
+                raise ValueError(f"{x} was compared with {y}, which comes later")
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    want = {}
+    for k, s, t in rows:
+        for j, z, o in sorted(rows):
+            if z == s and j < k and (r := 1.0 if t == o else difflib.SequenceMatcher(None, t, o).ratio()) >= 0.9:
+                want[k] = (j, r)
+                break
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows + odd, "k int, s string, t string")
+    size, before = "spark.sql.autoBroadcastJoinThreshold", _written_records(spark)
+    spark.conf.set(size, "-1")
+    try:
+        got = similarity.find_similar(frame, "k", "t", "s", ratio).collect()
+    finally:
+        spark.conf.unset(size)
+    told = {r["k"]: (r["similar_to"], r["ratio"]) for r in got}
+    assert {k: v for k, v in told.items() if k != 803} == {k: v for k, v in want.items() if k != 803} and told[803][0] == want[803][0] and len(got) == len(want) > 200
+    records = _written_records(spark) - before
+    assert records < 20 * len(rows), records
+    assert not similarity.find_similar(frame.where("k < 0"), "k", "t", "s", ratio).collect()
+
+
 def test_suggestions_do_not_list_questions_by_nodes(spark):
     """Questions of one text meet nodes of one name: as many rows as there are of both, not their product."""
     texts, names = ["一二三四五", "甲乙丙丁", "一二三四甲乙丙丁", "子丑寅卯"], ["一二三四", "甲乙丙丁", "二三四五", "一二三四五"]
